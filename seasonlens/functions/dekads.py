@@ -82,9 +82,9 @@ def fixed10_dekads(d) -> Column:
     """
     d = as_col(d)
     own = F.struct(F.year(d).alias("year"), date_to_dekad(d).alias("dekad"))
-    before = F.date_sub(d, 9)
+    before = F.date_sub(dekad_start(F.year(d), date_to_dekad(d)), 1)
     prev = F.struct(F.year(before).alias("year"), date_to_dekad(before).alias("dekad"))
     return F.filter(
-        F.array_distinct(F.array(prev, own)),
+        F.array(prev, own),
         lambda w: F.datediff(d, dekad_start(w["year"], w["dekad"])) < 10,
     )

@@ -84,15 +84,15 @@ def dekad_climatology(
     )
 
 
-def climatology_document(by_dekad: DataFrame, variables: Sequence[str]) -> DataFrame:
+def climatology_document(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Regional mean per dekad -> one JSON document {variable: {dekad: value}} (36 entries each)."""
-    means = by_dekad.groupBy("dekad").agg(*[F.avg(v).alias(v) for v in variables])
+    means = rows.groupBy("dekad").agg(*[F.avg(v).alias(v) for v in variables])
     entries = F.array_sort(F.collect_list(F.struct("dekad", *variables)))
-    maps = [
-        F.map_from_entries(F.transform("e", lambda x, v=v: F.struct(x["dekad"].cast("string"), F.round(x[v], 6)))).alias(v)
-        for v in variables
-    ]
-    return means.agg(entries.alias("e")).select(F.to_json(F.struct(*maps)).alias("doc"))
+
+    def by_dekad(v: str):
+        return F.map_from_entries(F.transform("e", lambda x: F.struct(x["dekad"].cast("string"), F.round(x[v], 6)))).alias(v)
+
+    return means.agg(entries.alias("e")).select(F.to_json(F.struct(*[by_dekad(v) for v in variables])).alias("doc"))
 
 
 def three_month_totals(daily: DataFrame, end_month: int, keys: Sequence[str] = PX) -> DataFrame:

@@ -109,15 +109,14 @@ def bilinear(points: DataFrame, coarse: DataFrame, spec: GridSpec, band: str, ou
         F.sum(F.when(ok, F.col("w") * F.col(band))), F.sum(F.when(ok, F.col("w")))).alias(out))
 
 
-def canvas_pixels(cells: DataFrame, height: int, width: int, out_height: int, out_width: int) -> DataFrame:
-    """Nearest down-sampling: keep the source cell under each canvas cell's centre.
+def canvas_pixels(cells: DataFrame, height, width, out_height, out_width) -> DataFrame:
+    """Nearest down-sampling: keep the source cell under each canvas cell's centre (sizes are
+    numbers or columns; the canvas is no larger than the source).
 
     Whether a source line is sampled, and by which canvas line, follows from its index alone, so
     this is a filter and needs no join.
     """
-    def sampled(src: str, n: int, m: int) -> Column:
-        if m > n:
-            raise ValueError("canvas is larger than the source")
+    def sampled(src: str, n, m) -> Column:
         i = F.ceil(F.col(src) * m / n - 0.5)
         return F.when((i >= 0) & (i < m) & (F.floor((i + 0.5) * n / m) == F.col(src)), i.cast("int"))
 
