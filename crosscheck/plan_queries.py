@@ -1 +1,70 @@
+"""End-to-end season products."""
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from crosscheck import inputs as I
+from crosscheck.balance_queries import PLANT, WHC_SQL
+from crosscheck.balance_sql import balance_sql
+from crosscheck.onset_queries import PRIOR_SQL, TNORM_SQL, OFF, _gate_sql, _prior, _sos_sql, _tnorm
+from crosscheck.registry import query
+from crosscheck.risk_queries import AER_OUT, AER_SQL, SPI_SQL, spi
+from crosscheck.onset_queries import GATE_SQL
+from crosscheck.util import r6, rounded
+from crosscheck.views import start, wrsi_class
+from seasonlens.config import MAIZE
+from seasonlens.operators import rainfall as RA, soil as SO
+from seasonlens.plans import season as P
+
+OUT = ("mean_onset", "hit_rate", "mean_wrsi", "mean_deficit_mm", "fail_pct")
+
+
+def zones(spark, sf):
+    s = I.table(spark, sf, "supplier").join(I.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.col("s_suppkey").alias("px_id"), F.col("n_name").alias("county"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """When did the rains start, and did the crop get enough water, per county."""
+    whc = SO.texture_whc(I.soil_layers(spark, sf))
+    return rounded(P.rain_led_product(I.climate(spark, sf), zones(spark, sf), P.SeasonParams(), whc), *OUT)
+
+
+WB = balance_sql(PLANT, MAIZE, 7, 15, "any_value(whc_mm)", whc_from=WHC_SQL)
+
+
+@query("plan_rain_led_county", f"""
+    SELECT n_name AS county, count(*) AS n_seasons, count(onset) AS n_onset, round(avg(onset), 6) AS mean_onset, round(avg(CASE WHEN onset IS NOT NULL THEN CASE WHEN onset BETWEEN 8 AND 12 THEN 1 ELSE 0 END END), 6) AS hit_rate,
+           round(avg(wrsi), 6) AS mean_wrsi, round(avg(deficit_mm), 6) AS mean_deficit_mm, round(avg(CASE WHEN wrsi < 50 THEN 1 WHEN wrsi IS NOT NULL THEN 0 END) * 100, 6) AS fail_pct
+    FROM v_onset LEFT JOIN ({WB}) USING (px_id, year) JOIN supplier ON s_suppkey = px_id JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
+def _(spark, sf):
+    return flagship(spark, sf)
+
+
+# season start with the prior, thermal lag, real-date gate
+_PL = f"SELECT px_id, year, sos, sos - {OFF} AS planting FROM ({_sos_sql(True, True)}) LEFT JOIN ({TNORM_SQL}) USING (px_id)"
+_GATE = _gate_sql(start("year", "planting"), f"SELECT px_id, year, planting FROM ({_PL}) WHERE planting IS NOT NULL")
+_GATED = f"""
+    gated AS (SELECT a.px_id, a.year, a.sos, CASE WHEN max_dry_days <= 7 AND onset_acc_mm >= 20 THEN a.planting END AS planting,
+              CASE WHEN a.planting IS NULL THEN NULL WHEN max_dry_days <= 7 AND onset_acc_mm >= 20 THEN 0 ELSE 1 END AS false_start
+              FROM ({_PL}) a LEFT JOIN diag USING (px_id, year))"""
+
+
+@query("plan_season_product", f"""
+    WITH {_GATE}, {_GATED}, wb AS ({balance_sql('SELECT px_id, year, planting FROM gated', MAIZE, 7, 15)})
+    SELECT g.px_id, g.year, g.sos, g.planting, g.false_start, o.onset, {r6('wrsi deficit_mm')}, {wrsi_class('wrsi')} AS wrsi_class
+    FROM gated g LEFT JOIN v_onset o USING (px_id, year) LEFT JOIN wb USING (px_id, year)""")
+def _(spark, sf):
+    cl = I.climate(spark, sf)
+    out = P.season_product(I.greenness(spark, sf), cl, I.rain_daily(spark, sf), P.SeasonParams(), _prior(spark, sf), _tnorm(spark, sf))
+    return rounded(out.select("px_id", "year", "sos", "planting", "false_start", "onset", "wrsi", "deficit_mm", "wrsi_class"), "wrsi", "deficit_mm")
+
+
+@query("plan_excess_product", f"""
+    WITH RECURSIVE {AER_SQL}, {GATE_SQL}, wl AS ({AER_OUT})
+    SELECT o.px_id, o.year, CASE WHEN o.onset IS NULL THEN NULL WHEN max_dry_days <= 7 AND onset_acc_mm >= 20 THEN 0 ELSE 1 END AS false_start, onset_acc_mm, waterlog_idx, CAST(spi3 >= 15e-1 AS INTEGER) AS spi3_wet
+    FROM v_onset o LEFT JOIN diag USING (px_id, year) LEFT JOIN wl USING (px_id, year) LEFT JOIN ({SPI_SQL}) USING (px_id, year)""")
+def _(spark, sf):
+    out = P.excess_product(I.planting(spark, sf), I.rain_daily(spark, sf), SO.hydraulics(I.soil_layers(spark, sf)),
+                           RA.spi_flags(spi(spark, sf)), P.SeasonParams())
+    return rounded(out, "waterlog_idx")

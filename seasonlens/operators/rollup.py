@@ -149,14 +149,13 @@ CPI_BANDS = ("wrsi_veg", "wrsi_flo", "wrsi_grf", "wsi_veg", "wsi_flo", "wsi_grf"
 
 
 def cpi_aggs(min_px: int = 5) -> list[Column]:
-    y = F.col("yield_tha_x100") / 100.0
-    y = F.when(y.between(0, 15), y)
+    y = F.when(F.col("yield_tha_x100").between(0, 1500), F.col("yield_tha_x100"))  # hundredths, exact
     flo = F.col("wrsi_flo")
     fail = F.when(flo.between(0, 100), flag(flo < 50))
     return [
         *[median_where(b, 0, 100, min_px).alias(b) for b in CPI_BANDS],
-        F.when(F.count(y) >= min_px, F.bround(F.percentile(y, F.lit(0.5)), 2)).alias("yield_tha"),
-        F.when(F.count(y) >= min_px, F.bround(F.sum(y) * C.PIXEL_HA, 0)).alias("total_yield_t"),
+        F.when(F.count(y) >= min_px, F.bround(F.percentile(y, F.lit(0.5)), 0) / 100).alias("yield_tha"),
+        F.when(F.count(y) >= min_px, F.bround(F.sum(y) * C.PIXEL_HA / 100, 0)).alias("total_yield_t"),
         F.when(F.count(fail) >= min_px, F.bround(F.avg(fail) * 100, 1)).alias("failflo_pct"),
     ]
 

@@ -13,7 +13,7 @@ from seasonlens.functions.climate import crop_coefficient
 
 OUT = ("px_id long, year int, gd int, sw double, wrsi double, wrsi_class int, previous_class int, "
        "alert int, late int")
-STATE = "gd int, sw double, aet double, wr double, cls int"
+STATE = "gd int, sw double, aet double, wr double, wclass int"
 
 
 def _class(w: float) -> int:
