@@ -53,17 +53,16 @@ def rain_daily(spark, sf) -> DataFrame:
 
 def temps_daily(spark, sf) -> DataFrame:
     px, doy = F.col("px_id"), F.dayofyear("d")
-    return day_spine(grid(spark, sf), "1995-01-01", "2001-12-31").select(
-        "px_id", "d", (303.0 + (px * 7 + doy * 3) % 25 * 0.25).alias("tmax_k"),
+    return day_spine(grid(spark, sf), "1995-01-01", "2001-12-31", ("px_id", "lat", "elev_m")).select(
+        "px_id", "d", "lat", "elev_m", (303.0 + (px * 7 + doy * 3) % 25 * 0.25).alias("tmax_k"),
         (288.0 + (px * 5 + doy) % 17 * 0.25).alias("tmin_k"))
 
 
 def climate(spark, sf) -> DataFrame:
     """px_id, year, dekad, p, tmax_c, tmin_c, lat, elev_m, et0: rain and temperature rows are
-    unioned so that one group-by does the work of two and a join."""
+    unioned, and the pixel's position rides along, so one group-by does the work of two and a join."""
     rows = rain_rows(spark, sf).unionByName(temps_daily(spark, sf), allowMissingColumns=True)
-    by = RA.climate_by_dekad(rows).join(grid(spark, sf).select("px_id", "lat", "elev_m"), "px_id")
-    return RA.with_et0(by)
+    return RA.with_et0(RA.climate_by_dekad(rows, carry=("lat", "elev_m")))
 
 
 def rain(spark, sf) -> DataFrame:

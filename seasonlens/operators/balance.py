@@ -13,38 +13,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seasonlens import config as C
 from seasonlens.config import SOIL, CropParams, SoilConfig
 from seasonlens.functions.climate import crop_coefficient, dekad_gdd
-from seasonlens.functions.dekads import dekad_start
 from seasonlens.functions.masks import clamp, floor_at, nmax, nmin
-from seasonlens.operators.frames import PX, season_frame
+from seasonlens.operators.frames import PX, season_days, season_frame
 from seasonlens.operators.onset import SEASON
 
 D0 = F.lit(0.0)
 
 
-def demand_series(
-    climate: DataFrame, planting: DataFrame, p: CropParams, gd_lo: int, gd_hi: int,
-    keys: Sequence[str] = SEASON, whc: DataFrame | None = None, soil: SoilConfig = SOIL,
-) -> DataFrame:
-    """Season rows with rain, water requirement and dekads since planting.
+def season_series(climate: DataFrame, gd_lo: int, gd_hi: int, keys: Sequence[str] = SEASON,
+                  extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per season with its ordered dekads ``s``: array<struct<gd, p, et0>>.
 
-    climate: px_id, year, dekad, p, et0.  ``whc`` (px_id, whc_mm) replaces the constant capacity.
+    climate: px_id, year, dekad, p, et0.  ``extra`` aggregates (such as ``onset_aggs``) ride on the
+    same shuffle.
     """
-    rows = season_frame(climate.select(*PX, "year", "dekad", "p", "et0"), gd_lo, gd_hi)
+    return season_frame(climate.select(*PX, "year", "dekad", "p", "et0"), gd_lo, gd_hi).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("gd", "p", "et0"))).alias("s"), *extra)
+
+
+def with_demand(series: DataFrame, p: CropParams) -> DataFrame:
+    """Turn ``s`` into array<struct<dsp, p, wr>>, given ``planting`` on the same row."""
+    return series.withColumn("s", F.transform("s", lambda x: F.struct(
+        (x["gd"] - F.col("planting")).alias("dsp"), x["p"].alias("p"),
+        (crop_coefficient(x["gd"] - F.col("planting"), p) * x["et0"]).alias("wr"))))
+
+
+def _seasons(climate: DataFrame, planting: DataFrame, p: CropParams, gd_lo: int, gd_hi: int,
+             keys: Sequence[str], whc: DataFrame | None, soil: SoilConfig) -> DataFrame:
+    """Series, planting and soil capacity of each planted season; joins happen at season level."""
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, F.col("planting").cast("int").alias("planting"))
-    if whc is not None:
-        pl = pl.join(whc.select(*PX, "whc_mm"), list(PX), "left")
-    else:
-        pl = pl.withColumn("whc_mm", F.lit(soil.default_whc_mm))
-    dsp = F.col("gd") - F.col("planting")
-    return rows.join(pl, list(keys)).withColumns(
-        {"dsp": dsp, "wr": crop_coefficient(dsp, p) * F.col("et0")})
+    rows = season_series(climate, gd_lo, gd_hi, keys).join(pl, list(keys))
+    return with_demand(with_capacity(rows, whc, soil), p)
 
 
-def _folded(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.first("whc_mm").alias("whc_mm"),
-        F.array_sort(F.collect_list(F.struct("gd", *fields))).alias("s"),
-    )
+def with_capacity(rows: DataFrame, whc: DataFrame | None, soil: SoilConfig = SOIL) -> DataFrame:
+    """Attach whc_mm: a table (px_id, whc_mm), else the configured constant."""
+    if whc is None:
+        return rows.withColumn("whc_mm", F.lit(soil.default_whc_mm))
+    return rows.join(whc.select(*PX, "whc_mm"), list(PX), "left")
 
 
 def water_balance(
@@ -55,8 +61,16 @@ def water_balance(
 
     A NULL anywhere in the season's rain or demand makes the result NULL.
     """
-    lo, hi = max(1, sos_start - 1), sos_end + p.lgp + 1
-    rows = demand_series(climate, planting, p, lo, hi, keys, whc, soil)
+    lo, hi = balance_range(p, sos_start, sos_end)
+    return fold_balance(_seasons(climate, planting, p, lo, hi, keys, whc, soil), keys, soil)
+
+
+def balance_range(p: CropParams, sos_start: int, sos_end: int) -> tuple[int, int]:
+    return max(1, sos_start - 1), sos_end + p.lgp + 1
+
+
+def fold_balance(seasons: DataFrame, keys: Sequence[str], soil: SoilConfig = SOIL) -> DataFrame:
+    """The recurrence itself, over rows of ``with_demand`` with whc_mm; other columns are kept."""
     start = F.struct((F.col("whc_mm") * soil.init_frac).alias("sw"), D0.alias("aet"), D0.alias("wr"))
 
     def step(a: Column, x: Column) -> Column:
@@ -66,7 +80,7 @@ def water_balance(
             floor_at(nmin(water - aet, F.col("whc_mm")), 0.0).alias("sw"),
             (a["aet"] + aet).alias("aet"), (a["wr"] + x["wr"]).alias("wr"))
 
-    r = _folded(rows, ("p", "wr"), keys).select(*keys, F.aggregate("s", start, step).alias("r"))
+    r = seasons.select(*keys, F.aggregate("s", start, step).alias("r"))
     return r.select(
         *keys,
         (F.col("r.aet") / floor_at(F.col("r.wr"), 1e-6) * 100).alias("wrsi"),
@@ -88,7 +102,7 @@ def staged_balance(
     """
     lo, hi = max(1, sos_start - 1), sos_end + p.lgp + 2
     bounds = {"veg": (0, p.veg_end), "flo": (p.veg_end, p.flo_end), "grf": (p.flo_end, p.lgp)}
-    rows = demand_series(climate, planting, p, lo, hi, keys, whc, soil)
+    rows = _seasons(climate, planting, p, lo, hi, keys, whc, soil)
     init = [(F.col("whc_mm") * soil.init_frac).alias("sw"), D0.alias("aet"), D0.alias("wr")]
     init += [D0.alias(f"{k}_{s}") for s in STAGES for k in ("wrsi", "wsi", "aet", "wr")]
 
@@ -110,7 +124,7 @@ def staged_balance(
             ]
         return F.struct(*out)
 
-    r = _folded(rows, ("p", "wr", "dsp"), keys).select(*keys, F.aggregate("s", F.struct(*init), step).alias("r"))
+    r = rows.select(*keys, F.aggregate("s", F.struct(*init), step).alias("r"))
     return r.select(*keys, *[F.col(f"r.{k}_{s}").alias(f"{k}_{s}") for k in ("wrsi", "wsi", "aet", "wr") for s in STAGES])
 
 
@@ -126,15 +140,10 @@ def aeration_stress(
     lifted to it every day.  Only rainy days are shuffled; the fold restores the dry ones.
     """
     n = (sos_end - sos_start + p.lgp) * 10 + 2
-    first = dekad_start("year", F.lit(sos_start))
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting").join(
         hydro.select(*PX, "fc_mm", "sat_mm", "tau"), list(PX))
-    # a season's scan is shorter than two years, so a day belongs to this year's or last year's
     wet = (
-        daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm")
-        .withColumn("year", F.explode(F.array(F.year("d"), F.year("d") - 1)))
-        .withColumn("i", F.datediff("d", dekad_start("year", F.lit(sos_start))))
-        .filter((F.col("i") >= 0) & (F.col("i") < n))
+        season_days(daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm"), sos_start, n)
         .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "rain_mm"))).alias("rain"))
     )
     rows = pl.join(wet, list(keys), "left").withColumns({
@@ -197,12 +206,7 @@ def heavy_rain_days(
     n = (sos_end - sos_start + p.lgp) * 10 + 2
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
     # the threshold is applied before anything moves: heavy days are rare
-    hits = (
-        daily.filter(F.col("rain_mm") > heavy_mm).select(*PX, "d")
-        .withColumn("year", F.explode(F.array(F.year("d"), F.year("d") - 1)))
-        .withColumn("i", F.datediff("d", dekad_start("year", F.lit(sos_start))))
-        .filter((F.col("i") >= 0) & (F.col("i") < n))
-    )
+    hits = season_days(daily.filter(F.col("rain_mm") > heavy_mm).select(*PX, "d"), sos_start, n)
     dsp = F.col("i") - (F.col("planting") - sos_start) * 10
     return pl.join(hits, list(keys), "left").groupBy(*keys).agg(
         F.count(F.when((dsp >= lo) & (dsp < hi), 1)).alias("heavy_rain_days"))

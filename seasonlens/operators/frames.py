@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seasonlens.functions.dekads import DEKADS, date_to_dekad, fixed10_dekads
+from seasonlens.functions.dekads import DEKADS, date_to_dekad, dekad_start, fixed10_dekads
 
 PX = ("px_id",)
 
@@ -67,17 +67,34 @@ def season_frame(by_dekad: DataFrame, gd_lo: int, gd_hi: int) -> DataFrame:
     )
 
 
-def wide(rows: DataFrame, keys: Sequence[str], index: str, lo: int, hi: int, **bands: str) -> DataFrame:
-    """Turn a short ordered series into columns ``<band>_<k>``, k in lo..hi.
+def season_days(daily: DataFrame, first_gd: int, n_days: int) -> DataFrame:
+    """Re-key daily rows by season year and day index 0..n_days-1 from the start of dekad first_gd.
+
+    The candidate years follow from the window, and out-of-window days go before any shuffle.
+    """
+    back = (first_gd - 1) // DEKADS, (first_gd - 1 + n_days // 8) // DEKADS
+    years = [F.year("d") - k for k in range(back[0], back[1] + 1)]
+    return (
+        daily.withColumn("year", F.explode(F.array(*years)) if len(years) > 1 else years[0])
+        .withColumn("i", F.datediff("d", dekad_start("year", F.lit(first_gd))))
+        .filter((F.col("i") >= 0) & (F.col("i") < n_days))
+    )
 
-    A conditional aggregate: it combines map-side to one row per key, needs no sort, and the
-    look-ahead rules that follow are plain column expressions inside code generation.
+
+def wide_aggs(index: str, lo: int, hi: int, **bands: str) -> list[Column]:
+    """Aggregates that lay a short ordered series out as columns ``<band>_<k>``, k in lo..hi.
+
+    They combine map-side to one row per key and need no sort; the look-ahead rules that follow
+    are plain column expressions inside code generation.
     """
-    aggs = [
+    return [
         F.max(F.when(F.col(index) == k, F.col(col))).alias(f"{name}_{k}")
         for name, col in bands.items() for k in range(lo, hi + 1)
     ]
-    return rows.filter(F.col(index).between(lo, hi)).groupBy(*keys).agg(*aggs)
+
+
+def wide(rows: DataFrame, keys: Sequence[str], index: str, lo: int, hi: int, **bands: str) -> DataFrame:
+    return rows.filter(F.col(index).between(lo, hi)).groupBy(*keys).agg(*wide_aggs(index, lo, hi, **bands))
 
 
 def first_true(conds: dict[int, Column]) -> Column:

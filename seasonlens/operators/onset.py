@@ -9,7 +9,8 @@ from seasonlens import config as C
 from seasonlens.functions.climate import thermal_offset
 from seasonlens.functions.dekads import dekad_start
 from seasonlens.functions.masks import as_col, floor_at, unmask
-from seasonlens.operators.frames import PX, bit_set, first_true, longest_run, season_frame, wide
+from seasonlens.operators.frames import (
+    PX, bit_set, first_true, longest_run, season_days, season_frame, wide, wide_aggs)
 
 SEASON = (*PX, "year")
 
@@ -72,14 +73,15 @@ def anomaly(rows: DataFrame, normal: DataFrame, value: str, normal_col: str, out
 
 
 # ---- rainfall onset ---------------------------------------------------------------------------
-def rain_onset(
-    by_dekad: DataFrame, start: int, end: int, pet: str | None = None, ratio_min: float = 0.5,
-    keys: Sequence[str] = SEASON, first_mm: float = 25.0, next_mm: float = 20.0,
-) -> DataFrame:
+def onset_aggs(start: int, end: int, pet: str | None = None) -> list[Column]:
+    """Season aggregates that ``onset_rule`` reads (rows keyed by gd)."""
+    return wide_aggs("gd", start, end, p="p", **({"e": pet} if pet else {}))
+
+
+def onset_rule(start: int, end: int, pet: bool = False, ratio_min: float = 0.5,
+               first_mm: float = 25.0, next_mm: float = 20.0) -> Column:
     """25/20 rule: P0 >= 25 mm and P1 + P2 >= 20 mm, all inside the window; candidates are
-    start..end-2.  ``pet`` names a column that adds P0 / PET >= ratio_min.  NULL when none."""
-    bands = {"p": "p"} | ({"e": pet} if pet else {})
-    s = wide(season_frame(by_dekad, start, end), keys, "gd", start, end, **bands)
+    start..end-2.  With ``pet`` also P0 / PET >= ratio_min.  NULL when none."""
     conds = {}
     for k in range(start, end - 1):
         p0, p1, p2 = (F.col(f"p_{k + j}") for j in range(3))
@@ -87,7 +89,16 @@ def rain_onset(
         if pet:
             cond = cond & (p0 / floor_at(f"e_{k}", 1e-3) >= ratio_min)
         conds[k] = cond
-    return s.select(*keys, first_true(conds).alias("onset"))
+    return first_true(conds)
+
+
+def rain_onset(
+    by_dekad: DataFrame, start: int, end: int, pet: str | None = None, ratio_min: float = 0.5,
+    keys: Sequence[str] = SEASON,
+) -> DataFrame:
+    """Rainfall onset per season; ``pet`` names the column of the optional P / PET gate."""
+    s = season_frame(by_dekad, start, end).groupBy(*keys).agg(*onset_aggs(start, end, pet))
+    return s.select(*keys, onset_rule(start, end, pet is not None, ratio_min).alias("onset"))
 
 
 def climatological_onset(
@@ -136,53 +147,44 @@ def season_prior(rain: DataFrame, pheno: DataFrame, mode: str = "rainfall_led",
 
 
 # ---- false-start and viability gates ----------------------------------------------------------
-def days_after(
-    planting: DataFrame, window_days: int, scan: tuple[int, int] | None = None, as_coded: bool = False
+def post_onset_rain(
+    planting: DataFrame, daily: DataFrame, window_days: int = 20, trigger_days: int = 5,
+    dry_mm: float = 1.0, bounds: tuple[int, int] = (-2, 54), scan: tuple[int, int] | None = None,
+    as_coded: bool = False, keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """One row per season and day of the window that opens at planting: keys, i, d.
+    """Longest dry run in the window that opens at planting, and rain over its first trigger days.
 
     Default: real dates from the start of the planting dekad.  ``as_coded``: day index
     (planting - scan_lo) * 10 from the start of the scan, cut to the scan's length, so a planting
     before the scan loses its leading days.
-    """
-    p = planting.filter(F.col("planting").isNotNull())
-    i = F.explode(F.sequence(F.lit(0), F.lit(window_days - 1))).alias("i")
-    if not as_coded:
-        return p.select("*", i).withColumn(
-            "d", F.date_add(dekad_start("year", F.col("planting").cast("int")), F.col("i")))
-    lo, hi = scan
-    n = (hi - lo) * 10 + window_days + 2
-    idx = (F.col("planting") - lo) * 10 + F.col("i")
-    return (
-        p.select("*", i).withColumn("_s", idx.cast("int"))
-        .filter((F.col("_s") >= 0) & (F.col("_s") < n))
-        .withColumn("d", F.date_add(dekad_start("year", F.lit(lo)), F.col("_s"))).drop("_s")
-    )
-
-
-def post_onset_rain(
-    planting: DataFrame, daily: DataFrame, window_days: int = 20, trigger_days: int = 5,
-    dry_mm: float = 1.0, scan: tuple[int, int] | None = None, as_coded: bool = False,
-    keys: Sequence[str] = SEASON,
-) -> DataFrame:
-    """Longest dry run in the window and rain over the first trigger days.
 
-    The window is exploded to days and equi-joined on (pixel, date); days without a record
-    count as 0 mm.  Dry days collapse into a bitmap, so both results come from one aggregate.
+    Only rainy days move: a day that is not wet is dry, recorded or not, so the dry bitmap is the
+    complement of the wet one and no day spine is built.  The join and the aggregate share the
+    season key.  daily: one row per pixel-day; ``bounds`` are the possible planting dekads and
+    prune days before the shuffle.
     """
-    days = days_after(planting.select(*keys, "planting"), window_days, scan, as_coded)
-    rain = daily.select(*PX, "d", "rain_mm")
-    p = unmask("rain_mm", 0.0)
-    out = days.join(rain, [*PX, "d"], "left").groupBy(*keys).agg(
-        bit_set(F.col("i"), p < dry_mm).alias("_dry"),
-        F.sum(F.when(F.col("i") < trigger_days, p).otherwise(0.0)).alias("onset_acc_mm"),
+    pl = planting.filter(F.col("planting").isNotNull()).select(*keys, F.col("planting").cast("int").alias("planting"))
+    wet_rows = daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm")
+    if as_coded:
+        lo, n = scan[0], (scan[1] - scan[0]) * 10 + window_days + 2
+        rows = season_days(wet_rows, lo, n)
+        j = F.col("i") - (F.col("planting") - lo) * 10
+        opening = F.greatest(F.least((lo - F.col("planting")) * 10, F.lit(window_days)), F.lit(0))
+    else:
+        rows = season_days(wet_rows, bounds[0], (bounds[1] - bounds[0] + 1) * 11 + window_days)
+        j = F.datediff("d", dekad_start("year", F.col("planting")))
+        opening = F.lit(0)
+    inside = (F.col("j") >= 0) & (F.col("j") < window_days)
+    out = (
+        pl.join(rows, list(keys), "left").withColumns({"j": j, "skip": opening}).groupBy(*keys).agg(
+            bit_set(F.col("j"), inside & (F.col("rain_mm") >= dry_mm)).alias("_wet"),
+            F.coalesce(F.sum(F.when(inside & (F.col("j") < trigger_days), F.col("rain_mm"))), F.lit(0.0)).alias("onset_acc_mm"),
+            F.first("skip").alias("skip"))
     )
-    res = out.select(*keys, longest_run(F.col("_dry"), window_days).alias("max_dry_days"), "onset_acc_mm")
-    if not as_coded:
-        return res
-    # the scan may cover none of the window: no dry day, no rain
-    return planting.filter(F.col("planting").isNotNull()).select(*keys).join(res, list(keys), "left").fillna(
-        {"max_dry_days": 0, "onset_acc_mm": 0.0})
+    window = F.lit((1 << window_days) - 1).cast("long")
+    unseen = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("skip")) - 1
+    dry = window.bitwiseAND(F.bitwise_not(F.col("_wet"))).bitwiseAND(F.bitwise_not(unseen))
+    return out.select(*keys, longest_run(dry, window_days).alias("max_dry_days"), "onset_acc_mm")
 
 
 def false_start_ok(max_dry_days: int = 7, trigger_mm: float = 20.0) -> Column:

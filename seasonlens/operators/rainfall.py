@@ -16,12 +16,13 @@ def rain_by_dekad(daily: DataFrame, keys: Sequence[str] = PX, mode: str = "calen
     return dekadal(daily, [F.sum("rain_mm").alias("p")], "d", keys, mode)
 
 
-def climate_by_dekad(rows: DataFrame, keys: Sequence[str] = PX) -> DataFrame:
-    """Rain sum and mean temperatures in one pass over daily (or unioned sparse) rows."""
+def climate_by_dekad(rows: DataFrame, keys: Sequence[str] = PX, carry: Sequence[str] = ()) -> DataFrame:
+    """Rain sum and mean temperatures in one pass over daily (or unioned sparse) rows; ``carry``
+    names pixel constants to keep (NULL on some rows is fine)."""
     return dekadal(
         rows,
         [F.sum("rain_mm").alias("p"), (F.avg("tmax_k") - KELVIN).alias("tmax_c"),
-         (F.avg("tmin_k") - KELVIN).alias("tmin_c")],
+         (F.avg("tmin_k") - KELVIN).alias("tmin_c"), *[F.max(c).alias(c) for c in carry]],
         "d", keys,
     )
 

@@ -27,16 +27,16 @@ class GridSpec:
 
 
 # ---- neighbourhoods ---------------------------------------------------------------------------
-def dense_grid(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add NULL rows so that every (row, col) of each key's bounding box exists.
+def grid_skeleton(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every (row, col) of each key's bounding box.
 
-    The boxes are one row per key; each expands to its rows, then to its columns.
+    A box is one row; it expands to its lines, which are spread over the cluster before they
+    expand to cells.
     """
     agg = [F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")]
-    box = cells.groupBy(*keys).agg(*agg) if keys else cells.agg(*agg)
-    rows = box.select(*keys, F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").repartition(*keys, "row")
-    full = rows.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
-    return full.join(cells, [*keys, "row", "col"], "left")
+    box = cells.groupBy(*keys).agg(*agg)
+    lines = box.select(*keys, F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").repartition(*keys, "row")
+    return lines.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 def focal_mean(
@@ -45,19 +45,24 @@ def focal_mean(
 ) -> DataFrame:
     """Masked square-window mean of several bands, as two range-window passes (rows, then columns).
 
-    A window partition is one grid line of one key, so it is bounded by the canvas size.  Set
-    ``dense`` when every cell of the bounding box already has a row.
+    A window partition is one grid line of one key, so it is bounded by the canvas size.  Where
+    cells may be absent, an empty skeleton is unioned in (no join): line sums are taken on the
+    skeleton and results read at the cells.  Set ``dense`` when the bounding box is full.
     """
-    cells0 = cells if dense else dense_grid(cells.withColumn("_own", F.lit(True)), keys)
+    if dense:
+        rows, frame = cells, F.lit(True)
+    else:
+        blank = grid_skeleton(cells, keys).withColumn("_blank", F.lit(True))
+        rows = cells.withColumn("_blank", F.lit(False)).unionByName(blank, allowMissingColumns=True)
+        frame = F.col("_blank")
     along = Window.partitionBy(*keys, "row").orderBy("col").rangeBetween(-radius, radius)
     down = Window.partitionBy(*keys, "col").orderBy("row").rangeBetween(-radius, radius)
-    h = cells0.withColumns(
+    h = rows.withColumns(
         {f"_s_{b}": F.sum(b).over(along) for b in bands} | {f"_n_{b}": F.count(b).over(along) for b in bands})
-    v = h.withColumns(
-        {f"_S_{b}": F.sum(f"_s_{b}").over(down) for b in bands} | {f"_N_{b}": F.sum(f"_n_{b}").over(down) for b in bands})
-    out = v.withColumns({f"{b}{suffix}": F.try_divide(F.col(f"_S_{b}"), F.col(f"_N_{b}")) for b in bands})
-    out = out if dense else out.filter(F.col("_own"))
-    return out.select(*cells.columns, *[f"{b}{suffix}" for b in bands])
+    line = lambda c: F.sum(F.when(frame, F.col(c))).over(down)
+    v = h.withColumns({f"_S_{b}": line(f"_s_{b}") for b in bands} | {f"_N_{b}": line(f"_n_{b}") for b in bands})
+    out = v if dense else v.filter(~F.col("_blank"))
+    return out.select(*cells.columns, *[F.try_divide(F.col(f"_S_{b}"), F.col(f"_N_{b}")).alias(f"{b}{suffix}") for b in bands])
 
 
 def circle_offsets(radius_m: float, pixel_m: float) -> list[tuple[int, int]]:

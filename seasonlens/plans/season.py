@@ -30,18 +30,21 @@ def rain_led_product(climate: DataFrame, zones: DataFrame, p: SeasonParams, whc:
     climate: px_id, year, dekad, p, et0; zones: px_id, county.  Seasons without an onset stay in
     the counts.
     """
-    onset = O.rain_onset(climate, p.sos_start, p.sos_end, "et0" if p.ppet_gate else None)
-    planting = onset.withColumn("planting", F.col("onset"))
-    wrsi = B.water_balance(climate, planting, p.crop, p.sos_start, p.sos_end, whc)
-    px = planting.join(wrsi, ["px_id", "year"], "left").join(zones.select("px_id", "county"), "px_id")
-    px = px.withColumn("wrsi_class", wrsi_class("wrsi"))
+    onset_args = (p.sos_start, p.sos_end)
+    lo, hi = B.balance_range(p.crop, *onset_args)
+    aggs = O.onset_aggs(*onset_args, "et0" if p.ppet_gate else None)
+    seasons = B.season_series(climate, lo, hi, extra=aggs).withColumn("planting", O.onset_rule(*onset_args, p.ppet_gate))
+    # one shuffle per season serves the onset rule and the balance; no self-join
+    seasons = B.with_demand(B.with_capacity(seasons, whc), p.crop)
+    px = B.fold_balance(seasons, ("px_id", "year", "planting"))
+    px = px.join(zones.select("px_id", "county"), "px_id")
     ok = F.col("planting").isNotNull()
     return px.groupBy("county").agg(
         F.count(F.lit(1)).alias("n_seasons"), F.count("planting").alias("n_onset"),
         F.avg("planting").alias("mean_onset"),
         F.avg(F.when(ok, F.col("planting").between(p.win_start, p.win_end).cast("int"))).alias("hit_rate"),
-        F.avg("wrsi").alias("mean_wrsi"), F.avg("deficit_mm").alias("mean_deficit_mm"),
-        (F.avg(F.when(F.col("wrsi").isNotNull(), (F.col("wrsi") < 50).cast("int"))) * 100).alias("fail_pct"),
+        F.avg(F.when(ok, F.col("wrsi"))).alias("mean_wrsi"), F.avg(F.when(ok, F.col("deficit_mm"))).alias("mean_deficit_mm"),
+        (F.avg(F.when(ok & F.col("wrsi").isNotNull(), (F.col("wrsi") < 50).cast("int"))) * 100).alias("fail_pct"),
     ).filter(F.col("n_seasons") >= min_px)
 
 
