@@ -81,7 +81,7 @@ def optical(spark, sf) -> DataFrame:
 
 
 def s2(spark, sf) -> DataFrame:
-    return OB.median_composite(OB.optical_indices(OB.cloud_mask(optical(spark, sf))))
+    return OB.median_composite(OB.optical_indices(OB.clear_scenes(optical(spark, sf))))
 
 
 def sar(spark, sf) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seasonlens import config as C
 from seasonlens.config import SOIL, CropParams, SoilConfig
 from seasonlens.functions.climate import crop_coefficient, dekad_gdd
-from seasonlens.functions.masks import clamp, floor_at, nmax, nmin
+from seasonlens.functions.masks import clamp, floor_at
 from seasonlens.operators.frames import PX, season_days, season_frame
 from seasonlens.operators.onset import SEASON
 
@@ -21,29 +21,27 @@ D0 = F.lit(0.0)
 
 
 def season_series(climate: DataFrame, gd_lo: int, gd_hi: int, keys: Sequence[str] = SEASON,
-                  extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per season with its ordered dekads ``s``: array<struct<gd, p, et0>>.
+                  extra: Sequence[Column] = (), fields: Sequence[str] = ("p", "et0")) -> DataFrame:
+    """One row per season with its ordered dekads ``s``: array<struct<gd, fields...>>.
 
-    climate: px_id, year, dekad, p, et0.  ``extra`` aggregates (such as ``onset_aggs``) ride on the
+    climate: px_id, year, dekad, fields.  ``extra`` aggregates (such as ``onset_aggs``) ride on the
     same shuffle.
     """
-    return season_frame(climate.select(*PX, "year", "dekad", "p", "et0"), gd_lo, gd_hi).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("gd", "p", "et0"))).alias("s"), *extra)
+    return season_frame(climate.select(*PX, "year", "dekad", *fields), gd_lo, gd_hi).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("gd", *fields))).alias("s"), *extra)
 
 
-def with_demand(series: DataFrame, p: CropParams) -> DataFrame:
-    """Turn ``s`` into array<struct<dsp, p, wr>>, given ``planting`` on the same row."""
-    return series.withColumn("s", F.transform("s", lambda x: F.struct(
-        (x["gd"] - F.col("planting")).alias("dsp"), x["p"].alias("p"),
-        (crop_coefficient(x["gd"] - F.col("planting"), p) * x["et0"]).alias("wr"))))
+def with_demand(seasons: DataFrame, p: CropParams) -> DataFrame:
+    """Add ``demand``: array<struct<dsp, p, wr>>, from ``s`` and ``planting`` on the same row."""
+    dsp = lambda x: x["gd"] - F.col("planting")
+    return seasons.withColumn("demand", F.transform("s", lambda x: F.struct(
+        dsp(x).alias("dsp"), x["p"].alias("p"), (crop_coefficient(dsp(x), p) * x["et0"]).alias("wr"))))
 
 
-def _seasons(climate: DataFrame, planting: DataFrame, p: CropParams, gd_lo: int, gd_hi: int,
-             keys: Sequence[str], whc: DataFrame | None, soil: SoilConfig) -> DataFrame:
-    """Series, planting and soil capacity of each planted season; joins happen at season level."""
-    pl = planting.filter(F.col("planting").isNotNull()).select(*keys, F.col("planting").cast("int").alias("planting"))
-    rows = season_series(climate, gd_lo, gd_hi, keys).join(pl, list(keys))
-    return with_demand(with_capacity(rows, whc, soil), p)
+def _complete() -> Column:
+    """No masked rain, demand or capacity in the season: a mask anywhere masks the whole result, so
+    it is tested once and the folds below run on plain numbers."""
+    return F.col("whc_mm").isNotNull() & ~F.exists("demand", lambda x: (x["p"] + x["wr"]).isNull())
 
 
 def with_capacity(rows: DataFrame, whc: DataFrame | None, soil: SoilConfig = SOIL) -> DataFrame:
@@ -53,6 +51,10 @@ def with_capacity(rows: DataFrame, whc: DataFrame | None, soil: SoilConfig = SOI
     return rows.join(whc.select(*PX, "whc_mm"), list(PX), "left")
 
 
+def _planted(planting: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return planting.filter(F.col("planting").isNotNull()).select(*keys, F.col("planting").cast("int").alias("planting"))
+
+
 def water_balance(
     climate: DataFrame, planting: DataFrame, p: CropParams, sos_start: int, sos_end: int,
     whc: DataFrame | None = None, soil: SoilConfig = SOIL, keys: Sequence[str] = SEASON,
@@ -61,32 +63,39 @@ def water_balance(
 
     A NULL anywhere in the season's rain or demand makes the result NULL.
     """
-    lo, hi = balance_range(p, sos_start, sos_end)
-    return fold_balance(_seasons(climate, planting, p, lo, hi, keys, whc, soil), keys, soil)
+    series = season_series(climate, *balance_range(p, sos_start, sos_end), keys)
+    rows = with_capacity(series.join(_planted(planting, keys), list(keys)), whc, soil)
+    return add_water_balance(rows, p, soil).select(*keys, *BALANCE)
+
+
+BALANCE = ("wrsi", "deficit_mm", "aet_mm", "wr_mm", "sw_end_mm")
 
 
-def balance_range(p: CropParams, sos_start: int, sos_end: int) -> tuple[int, int]:
-    return max(1, sos_start - 1), sos_end + p.lgp + 1
+def balance_range(p: CropParams, sos_start: int, sos_end: int, staged: bool = False) -> tuple[int, int]:
+    return max(1, sos_start - 1), sos_end + p.lgp + (2 if staged else 1)
 
 
-def fold_balance(seasons: DataFrame, keys: Sequence[str], soil: SoilConfig = SOIL) -> DataFrame:
-    """The recurrence itself, over rows of ``with_demand`` with whc_mm; other columns are kept."""
+def add_water_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
+    """The recurrence over rows that hold ``s``, planting and whc_mm; other columns are kept.
+
+    ``s`` may run past the balance's own range: demand is 0 outside the cycle.
+    """
     start = F.struct((F.col("whc_mm") * soil.init_frac).alias("sw"), D0.alias("aet"), D0.alias("wr"))
 
     def step(a: Column, x: Column) -> Column:
         water = a["sw"] + x["p"]
-        aet = nmin(water, x["wr"])
+        aet = F.least(water, x["wr"])
         return F.struct(
-            floor_at(nmin(water - aet, F.col("whc_mm")), 0.0).alias("sw"),
+            F.greatest(F.least(water - aet, F.col("whc_mm")), D0).alias("sw"),
             (a["aet"] + aet).alias("aet"), (a["wr"] + x["wr"]).alias("wr"))
 
-    r = seasons.select(*keys, F.aggregate("s", start, step).alias("r"))
-    return r.select(
-        *keys,
-        (F.col("r.aet") / floor_at(F.col("r.wr"), 1e-6) * 100).alias("wrsi"),
-        (F.col("r.wr") - F.col("r.aet")).alias("deficit_mm"),
-        F.col("r.aet").alias("aet_mm"), F.col("r.wr").alias("wr_mm"), F.col("r.sw").alias("sw_end_mm"),
-    )
+    r = with_demand(seasons, p).withColumn(
+        "_r", F.when(_complete(), F.aggregate("demand", start, step))).drop("demand")
+    return r.withColumns({
+        "wrsi": F.col("_r.aet") / floor_at(F.col("_r.wr"), 1e-6) * 100,
+        "deficit_mm": F.col("_r.wr") - F.col("_r.aet"),
+        "aet_mm": F.col("_r.aet"), "wr_mm": F.col("_r.wr"), "sw_end_mm": F.col("_r.sw"),
+    }).drop("_r")
 
 
 STAGES = ("veg", "flo", "grf")
@@ -100,62 +109,77 @@ def staged_balance(
 
     The snapshot at a stage end is taken once the first dekad after it has been added.
     """
-    lo, hi = max(1, sos_start - 1), sos_end + p.lgp + 2
+    series = season_series(climate, *balance_range(p, sos_start, sos_end, staged=True), keys)
+    rows = with_capacity(series.join(_planted(planting, keys), list(keys)), whc, soil)
+    return add_staged_balance(rows, p, soil).select(*keys, *STAGED)
+
+
+STAGED = tuple(f"{k}_{s}" for k in ("wrsi", "wsi", "aet", "wr") for s in STAGES)
+
+
+def add_staged_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
+    """The staged recurrence over rows that hold ``s``, planting and whc_mm; others are kept."""
     bounds = {"veg": (0, p.veg_end), "flo": (p.veg_end, p.flo_end), "grf": (p.flo_end, p.lgp)}
-    rows = _seasons(climate, planting, p, lo, hi, keys, whc, soil)
     init = [(F.col("whc_mm") * soil.init_frac).alias("sw"), D0.alias("aet"), D0.alias("wr")]
     init += [D0.alias(f"{k}_{s}") for s in STAGES for k in ("wrsi", "wsi", "aet", "wr")]
 
     def step(a: Column, x: Column) -> Column:
         water = a["sw"] + x["p"]
-        aet = nmin(water, x["wr"])
+        aet = F.least(water, x["wr"])
         cum_aet, cum_wr = a["aet"] + aet, a["wr"] + x["wr"]
-        running = cum_aet / floor_at(cum_wr, 1e-6) * 100
-        wsi = clamp(1 - aet / floor_at(x["wr"], 1e-6), 0.0, 1.0) * 100
-        out = [floor_at(nmin(water - aet, F.col("whc_mm")), 0.0).alias("sw"),
+        running = cum_aet / F.greatest(cum_wr, F.lit(1e-6)) * 100
+        wsi = F.least(F.greatest(1 - aet / F.greatest(x["wr"], F.lit(1e-6)), D0), F.lit(1.0)) * 100
+        out = [F.greatest(F.least(water - aet, F.col("whc_mm")), D0).alias("sw"),
                cum_aet.alias("aet"), cum_wr.alias("wr")]
         for s, (b, e) in bounds.items():
             on = (x["dsp"] >= b) & (x["dsp"] < e)
             out += [
                 F.when(x["dsp"] == e, running).otherwise(a[f"wrsi_{s}"]).alias(f"wrsi_{s}"),
-                F.when(on, nmax(a[f"wsi_{s}"], wsi)).otherwise(a[f"wsi_{s}"]).alias(f"wsi_{s}"),
+                F.when(on, F.greatest(a[f"wsi_{s}"], wsi)).otherwise(a[f"wsi_{s}"]).alias(f"wsi_{s}"),
                 F.when(on, a[f"aet_{s}"] + aet).otherwise(a[f"aet_{s}"]).alias(f"aet_{s}"),
                 F.when(on, a[f"wr_{s}"] + x["wr"]).otherwise(a[f"wr_{s}"]).alias(f"wr_{s}"),
             ]
         return F.struct(*out)
 
-    r = rows.select(*keys, F.aggregate("s", F.struct(*init), step).alias("r"))
-    return r.select(*keys, *[F.col(f"r.{k}_{s}").alias(f"{k}_{s}") for k in ("wrsi", "wsi", "aet", "wr") for s in STAGES])
+    r = with_demand(seasons, p).withColumn(
+        "_r", F.when(_complete(), F.aggregate("demand", F.struct(*init), step))).drop("demand")
+    return r.withColumns({c: F.col(f"_r.{c}") for c in STAGED}).drop("_r")
+
+
+def aeration_stress(planting: DataFrame, daily: DataFrame, hydro: DataFrame, p: CropParams,
+                    sos_start: int, sos_end: int, keys: Sequence[str] = SEASON, **kw) -> DataFrame:
+    """Waterlogging index of planted seasons on soils with known hydraulics."""
+    pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
+    out = add_aeration_stress(pl, daily, hydro, p, sos_start, sos_end, keys=keys, **kw)
+    return out.filter(F.col("waterlog_idx").isNotNull()).drop("planting")
 
 
-def aeration_stress(
-    planting: DataFrame, daily: DataFrame, hydro: DataFrame, p: CropParams, sos_start: int, sos_end: int,
+def add_aeration_stress(
+    seasons: DataFrame, daily: DataFrame, hydro: DataFrame, p: CropParams, sos_start: int, sos_end: int,
     et_mm: float = C.AER_ET_MM, scale_days: float = C.AER_SCALE_DAYS, as_coded: bool = False,
     keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """Waterlogging index 0..100: peak of a stage-weighted run of saturated days that resets when
-    the soil drains below the anaerobiosis point.
+    """Add waterlog_idx 0..100: peak of a stage-weighted run of saturated days that resets when the
+    soil drains below the anaerobiosis point; NULL without planting or soil.
 
     Default: only water above field capacity drains.  ``as_coded``: soil below field capacity is
     lifted to it every day.  Only rainy days are shuffled; the fold restores the dry ones.
     """
     n = (sos_end - sos_start + p.lgp) * 10 + 2
-    pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting").join(
-        hydro.select(*PX, "fc_mm", "sat_mm", "tau"), list(PX))
     wet = (
         season_days(daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm"), sos_start, n)
-        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "rain_mm"))).alias("rain"))
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "rain_mm"))).alias("_rain"))
     )
-    rows = pl.join(wet, list(keys), "left").withColumns({
+    rows = seasons.join(wet, list(keys), "left").join(hydro.select(*PX, "fc_mm", "sat_mm", "tau"), list(PX), "left").withColumns({
         "onset_day": (F.col("planting") - sos_start) * 10,
         "thr": F.col("fc_mm") + (F.col("sat_mm") - F.col("fc_mm")) * C.AER_START,
-        "rain": F.coalesce("rain", F.create_map().cast("map<int,double>")),
+        "_rain": F.coalesce("_rain", F.create_map().cast("map<int,double>")),
     })
     # per-day stress weight, 0 outside the crop cycle
     days = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda i: F.struct(
-            F.coalesce(F.try_element_at("rain", i), D0).alias("p"),
+            F.coalesce(F.try_element_at("_rain", i), D0).alias("p"),
             F.when((i < F.col("onset_day")) | (i >= F.col("onset_day") + p.lgp * 10), D0)
             .when(i - F.col("onset_day") < p.veg_end * 10, C.EXCESS_WEIGHT["veg"])
             .when(i - F.col("onset_day") < p.flo_end * 10, C.EXCESS_WEIGHT["flo"])
@@ -174,9 +198,9 @@ def aeration_stress(
         return F.struct(water.alias("w"), run.alias("run"), F.greatest(a["peak"], run).alias("peak"))
 
     start = F.struct((fc * C.AER_W0).alias("w"), D0.alias("run"), D0.alias("peak"))
-    return rows.withColumn("_days", days).select(
-        *keys, F.aggregate("_days", start, step)["peak"].alias("_pk")
-    ).select(*keys, (clamp(F.col("_pk") / scale_days, 0.0, 1.0) * 100).alias("waterlog_idx"))
+    peak = F.when(F.col("planting").isNotNull() & (fc + sat + tau).isNotNull(), F.aggregate("_days", start, step)["peak"])
+    return rows.withColumn("_days", days).withColumn(
+        "waterlog_idx", clamp(peak / scale_days, 0.0, 1.0) * 100).select(*seasons.columns, "waterlog_idx")
 
 
 def wet_dekad_exposure(

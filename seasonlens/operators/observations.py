@@ -18,6 +18,13 @@ def cloud_mask(obs: DataFrame, threshold: float = 0.60, bands: Sequence[str] = O
     return obs.withColumns({b: keep_if(F.col(b) / 10000.0, clear) for b in bands if b in obs.columns})
 
 
+def clear_scenes(obs: DataFrame, threshold: float = 0.60, bands: Sequence[str] = OPTICAL_BANDS) -> DataFrame:
+    """``cloud_mask`` for compositing: cloudy observations are filtered out (a filter that reaches
+    the scan) instead of carried as NULLs."""
+    return obs.filter(F.col("cs_cdf") >= threshold).withColumns(
+        {b: F.col(b) / 10000.0 for b in bands if b in obs.columns})
+
+
 def optical_indices(obs: DataFrame) -> DataFrame:
     n, r = F.col("b8"), F.col("b4")
     return obs.withColumns({
@@ -34,14 +41,14 @@ def median_composite(
     obs: DataFrame, bands: Sequence[str] = INDICES, date_col: str = "d", keys: Sequence[str] = PX,
     mode: str = "calendar",
 ) -> DataFrame:
-    """Dekad median of each band over its valid observations.
+    """Dekad median of each band over its valid observations (feed it ``clear_scenes``; dekads
+    without any return as gaps of the spine).
 
-    ``percentile`` buffers value counts and merges map-side, so copies of a value cost one
-    entry; rows with every band masked are dropped first (their dekads return as spine gaps).
+    ``percentile`` buffers value counts and merges map-side, so copies of a value cost one entry
+    and a pixel with very many scenes is combined before the shuffle.
     """
-    seen = F.coalesce(*[F.col(b) for b in bands]).isNotNull()
     aggs = [F.percentile(F.col(b), F.lit(0.5)).alias(b) for b in bands]
-    return dekadal(obs.filter(seen), aggs, date_col, keys, mode)
+    return dekadal(obs, aggs, date_col, keys, mode)
 
 
 def scenes_in_year(obs: DataFrame, year: int, ts: str = "ts") -> DataFrame:

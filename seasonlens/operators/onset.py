@@ -147,12 +147,18 @@ def season_prior(rain: DataFrame, pheno: DataFrame, mode: str = "rainfall_led",
 
 
 # ---- false-start and viability gates ----------------------------------------------------------
-def post_onset_rain(
-    planting: DataFrame, daily: DataFrame, window_days: int = 20, trigger_days: int = 5,
+def carried(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Aggregates that keep the season's other columns through a group-by on its key."""
+    return [F.first(c).alias(c) for c in df.columns if c not in keys]
+
+
+def add_post_onset_rain(
+    seasons: DataFrame, daily: DataFrame, window_days: int = 20, trigger_days: int = 5,
     dry_mm: float = 1.0, bounds: tuple[int, int] = (-2, 54), scan: tuple[int, int] | None = None,
     as_coded: bool = False, keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """Longest dry run in the window that opens at planting, and rain over its first trigger days.
+    """Add max_dry_days (longest dry run in the window that opens at planting) and onset_acc_mm
+    (rain over its first trigger days); NULL where there is no planting.
 
     Default: real dates from the start of the planting dekad.  ``as_coded``: day index
     (planting - scan_lo) * 10 from the start of the scan, cut to the scan's length, so a planting
@@ -160,31 +166,39 @@ def post_onset_rain(
 
     Only rainy days move: a day that is not wet is dry, recorded or not, so the dry bitmap is the
     complement of the wet one and no day spine is built.  The join and the aggregate share the
-    season key.  daily: one row per pixel-day; ``bounds`` are the possible planting dekads and
-    prune days before the shuffle.
+    season key, and the season table is read once.  daily: one row per pixel-day; ``bounds`` are
+    the possible planting dekads and prune days before the shuffle.
     """
-    pl = planting.filter(F.col("planting").isNotNull()).select(*keys, F.col("planting").cast("int").alias("planting"))
     wet_rows = daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm")
+    planting = F.col("planting").cast("int")
     if as_coded:
         lo, n = scan[0], (scan[1] - scan[0]) * 10 + window_days + 2
         rows = season_days(wet_rows, lo, n)
-        j = F.col("i") - (F.col("planting") - lo) * 10
-        opening = F.greatest(F.least((lo - F.col("planting")) * 10, F.lit(window_days)), F.lit(0))
+        j = F.col("_i") - (planting - lo) * 10
+        opening = F.greatest(F.least((lo - planting) * 10, F.lit(window_days)), F.lit(0))
     else:
         rows = season_days(wet_rows, bounds[0], (bounds[1] - bounds[0] + 1) * 11 + window_days)
-        j = F.datediff("d", dekad_start("year", F.col("planting")))
+        j = F.datediff("_d", dekad_start("year", planting))
         opening = F.lit(0)
-    inside = (F.col("j") >= 0) & (F.col("j") < window_days)
-    out = (
-        pl.join(rows, list(keys), "left").withColumns({"j": j, "skip": opening}).groupBy(*keys).agg(
-            bit_set(F.col("j"), inside & (F.col("rain_mm") >= dry_mm)).alias("_wet"),
-            F.coalesce(F.sum(F.when(inside & (F.col("j") < trigger_days), F.col("rain_mm"))), F.lit(0.0)).alias("onset_acc_mm"),
-            F.first("skip").alias("skip"))
-    )
+    rows = rows.select(*keys, F.col("d").alias("_d"), F.col("i").alias("_i"), F.col("rain_mm").alias("_r"))
+    inside = (F.col("_j") >= 0) & (F.col("_j") < window_days)
+    out = seasons.join(rows, list(keys), "left").withColumn("_j", j).groupBy(*keys).agg(
+        *carried(seasons, keys),
+        bit_set(F.col("_j"), inside & (F.col("_r") >= dry_mm)).alias("_wet"),
+        F.coalesce(F.sum(F.when(inside & (F.col("_j") < trigger_days), F.col("_r"))), F.lit(0.0)).alias("_acc"))
     window = F.lit((1 << window_days) - 1).cast("long")
-    unseen = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("skip")) - 1
+    unseen = F.call_function("shiftleft", F.lit(1).cast("long"), opening) - 1
     dry = window.bitwiseAND(F.bitwise_not(F.col("_wet"))).bitwiseAND(F.bitwise_not(unseen))
-    return out.select(*keys, longest_run(dry, window_days).alias("max_dry_days"), "onset_acc_mm")
+    planted = F.col("planting").isNotNull()
+    return out.withColumns({
+        "max_dry_days": F.when(planted, longest_run(dry, window_days)),
+        "onset_acc_mm": F.when(planted, F.col("_acc"))}).drop("_wet", "_acc")
+
+
+def post_onset_rain(planting: DataFrame, daily: DataFrame, keys: Sequence[str] = SEASON, **kw) -> DataFrame:
+    """The two diagnostics alone, for planted seasons."""
+    pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
+    return add_post_onset_rain(pl, daily, keys=keys, **kw).drop("planting")
 
 
 def false_start_ok(max_dry_days: int = 7, trigger_mm: float = 20.0) -> Column:
@@ -196,9 +210,8 @@ def false_start_ok(max_dry_days: int = 7, trigger_mm: float = 20.0) -> Column:
 def gate_false_starts(planting: DataFrame, daily: DataFrame, max_dry_days: int = 7,
                       trigger_mm: float = 20.0, keys: Sequence[str] = SEASON, **kw) -> DataFrame:
     """Planting masked where the rains that triggered it did not hold; adds false_start 0/1."""
-    diag = post_onset_rain(planting, daily, keys=keys, **kw)
     ok = false_start_ok(max_dry_days, trigger_mm)
-    return planting.join(diag, list(keys), "left").withColumns({
+    return add_post_onset_rain(planting, daily, keys=keys, **kw).withColumns({
         "false_start": F.when(ok, 0).when(ok.isNotNull(), 1),
         "planting": F.when(ok, F.col("planting")),
     })

@@ -23,6 +23,14 @@ class SeasonParams:
     ltn_pad: int = 2
 
 
+def _seasons(climate: DataFrame, p: SeasonParams) -> DataFrame:
+    """Season rows with the ordered dekads of the balance and the rainfall onset."""
+    lo, hi = B.balance_range(p.crop, p.sos_start, p.sos_end)
+    aggs = O.onset_aggs(p.sos_start, p.sos_end, "et0" if p.ppet_gate else None)
+    return B.season_series(climate, lo, hi, extra=aggs).select(
+        "px_id", "year", "s", O.onset_rule(p.sos_start, p.sos_end, p.ppet_gate).alias("onset"))
+
+
 def rain_led_product(climate: DataFrame, zones: DataFrame, p: SeasonParams, whc: DataFrame | None = None,
                      min_px: int = 1) -> DataFrame:
     """When did the rains start and did the crop get enough water, per zone and level 'county'.
@@ -30,14 +38,10 @@ def rain_led_product(climate: DataFrame, zones: DataFrame, p: SeasonParams, whc:
     climate: px_id, year, dekad, p, et0; zones: px_id, county.  Seasons without an onset stay in
     the counts.
     """
-    onset_args = (p.sos_start, p.sos_end)
-    lo, hi = B.balance_range(p.crop, *onset_args)
-    aggs = O.onset_aggs(*onset_args, "et0" if p.ppet_gate else None)
-    seasons = B.season_series(climate, lo, hi, extra=aggs).withColumn("planting", O.onset_rule(*onset_args, p.ppet_gate))
+    seasons = _seasons(climate, p).withColumn("planting", F.col("onset"))
     # one shuffle per season serves the onset rule and the balance; no self-join
-    seasons = B.with_demand(B.with_capacity(seasons, whc), p.crop)
-    px = B.fold_balance(seasons, ("px_id", "year", "planting"))
-    px = px.join(zones.select("px_id", "county"), "px_id")
+    px = B.add_water_balance(B.with_capacity(seasons, whc), p.crop)
+    px = px.select("px_id", "year", "planting", "wrsi", "deficit_mm").join(zones.select("px_id", "county"), "px_id")
     ok = F.col("planting").isNotNull()
     return px.groupBy("county").agg(
         F.count(F.lit(1)).alias("n_seasons"), F.count("planting").alias("n_onset"),
@@ -61,33 +65,35 @@ def season_product(g: DataFrame, climate: DataFrame, daily: DataFrame, p: Season
                    whc: DataFrame | None = None) -> DataFrame:
     """Planting, the rainfall onset it is checked against, and the seasonal water balance."""
     planting = planting_product(g, daily, p, prior, t_normal)
-    onset = O.rain_onset(climate, p.sos_start, p.sos_end, "et0" if p.ppet_gate else None)
-    wrsi = B.water_balance(climate, planting, p.crop, p.sos_start, p.sos_end, whc)
-    return (
-        planting.join(onset, ["px_id", "year"], "left").join(wrsi, ["px_id", "year"], "left")
-        .withColumn("wrsi_class", wrsi_class("wrsi"))
-    )
+    px = B.with_capacity(planting.join(_seasons(climate, p), ["px_id", "year"], "left"), whc)
+    return B.add_water_balance(px, p.crop).drop("s", "whc_mm").withColumn("wrsi_class", wrsi_class("wrsi"))
 
 
 def risk_product(climate: DataFrame, planting: DataFrame, veg: DataFrame, p: SeasonParams,
                  whc: DataFrame | None = None, ym: float = YM_MAIN_THA) -> DataFrame:
-    """Staged balance, three stresses, CPI and yield per pixel and season.
+    """Staged balance, three stresses, CPI and yield per pixel and planted season.
 
-    climate: px_id, year, dekad, p, et0, tmax_c; veg: px_id, year, s_veg.
+    climate: px_id, year, dekad, p, et0, tmax_c; veg: px_id, year, s_veg.  Water and heat stress
+    read one gathered series.
     """
-    staged = B.staged_balance(climate, planting, p.crop, p.sos_start, p.sos_end, whc)
-    heat = R.heat_stress(climate, planting, p.crop, p.sos_start, p.sos_end)
-    px = staged.join(heat, ["px_id", "year"]).join(veg, ["px_id", "year"], "left")
-    return R.performance_index(px.withColumn("s_water", R.water_stress()), ym)
+    lo, hi = B.balance_range(p.crop, p.sos_start, p.sos_end, staged=True)
+    series = B.season_series(climate, lo, hi, fields=("p", "et0", "tmax_c"))
+    pl = planting.filter(F.col("planting").isNotNull()).select("px_id", "year", F.col("planting").cast("int").alias("planting"))
+    px = B.add_staged_balance(B.with_capacity(series.join(pl, ["px_id", "year"]), whc), p.crop)
+    px = px.withColumns({"s_water": R.water_stress(), "s_heat": R.heat_stress_of(p.crop)}).drop("s", "whc_mm")
+    return R.performance_index(px.join(veg, ["px_id", "year"], "left"), ym)
 
 
 def excess_product(planting: DataFrame, daily: DataFrame, hydro: DataFrame, spi: DataFrame,
                    p: SeasonParams) -> DataFrame:
-    """False start, waterlogging, wet-season flag and trigger rain per pixel and season."""
-    gate = O.gate_false_starts(planting, daily).select("px_id", "year", "false_start", "onset_acc_mm")
-    wl = B.aeration_stress(planting, daily, hydro, p.crop, p.sos_start, p.sos_end)
+    """False start, waterlogging, wet-season flag and trigger rain per pixel and season.  Each step
+    adds its columns to the season rows, so the planting table is computed once."""
+    px = O.add_post_onset_rain(planting, daily)
+    ok = O.false_start_ok()
+    px = px.withColumn("false_start", F.when(ok, 0).when(ok.isNotNull(), 1))
+    px = B.add_aeration_stress(px, daily, hydro, p.crop, p.sos_start, p.sos_end)
     wet = spi.select("px_id", "year", F.col("wet").alias("spi3_wet"))
-    return gate.join(wl, ["px_id", "year"], "left").join(wet, ["px_id", "year"], "left")
+    return px.select("px_id", "year", "false_start", "onset_acc_mm", "waterlog_idx").join(wet, ["px_id", "year"], "left")
 
 
 def county_report(px: DataFrame, p: SeasonParams, min_px: int = 15) -> DataFrame:

@@ -2,6 +2,7 @@
 row whenever the performance class changes."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,12 +46,19 @@ class BucketProcessor(StatefulProcessor):
             if r.gd <= last:
                 out.append((px, year, r.gd, sw, None, cls, cls, 0, 1))
                 continue
-            got = min(sw + r.p, r.wr)
-            sw = max(min(sw + r.p - got, self._whc), 0.0)
-            aet, wr, last = aet + got, wr + r.wr, r.gd
+            last = r.gd
+            if math.isnan(r.p + r.wr):
+                sw = aet = wr = math.nan
+            else:
+                got = min(sw + r.p, r.wr)
+                sw = max(min(sw + r.p - got, self._whc), 0.0)
+                aet, wr = aet + got, wr + r.wr
             if wr <= 0:
                 continue
             wrsi = aet / max(wr, 1e-6) * 100
+            if math.isnan(wrsi):  # a masked dekad masks the rest of the season
+                out.append((px, year, r.gd, None, None, None, cls, 0, 0))
+                continue
             new = _class(wrsi)
             out.append((px, year, r.gd, sw, wrsi, new, cls, int(new != cls), 0))
             cls = new
