@@ -17,7 +17,9 @@ from seasonlens.functions.masks import clamp, floor_at
 from seasonlens.operators.frames import PX, season_days, season_frame
 from seasonlens.operators.onset import SEASON
 
-D0 = F.lit(0.0)
+
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def season_series(climate: DataFrame, gd_lo: int, gd_hi: int, keys: Sequence[str] = SEASON,
@@ -80,13 +82,13 @@ def add_water_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL
 
     ``s`` may run past the balance's own range: demand is 0 outside the cycle.
     """
-    start = F.struct((F.col("whc_mm") * soil.init_frac).alias("sw"), D0.alias("aet"), D0.alias("wr"))
+    start = F.struct((F.col("whc_mm") * soil.init_frac).alias("sw"), zero().alias("aet"), zero().alias("wr"))
 
     def step(a: Column, x: Column) -> Column:
         water = a["sw"] + x["p"]
         aet = F.least(water, x["wr"])
         return F.struct(
-            F.greatest(F.least(water - aet, F.col("whc_mm")), D0).alias("sw"),
+            F.greatest(F.least(water - aet, F.col("whc_mm")), zero()).alias("sw"),
             (a["aet"] + aet).alias("aet"), (a["wr"] + x["wr"]).alias("wr"))
 
     r = with_demand(seasons, p).withColumn(
@@ -120,16 +122,16 @@ STAGED = tuple(f"{k}_{s}" for k in ("wrsi", "wsi", "aet", "wr") for s in STAGES)
 def add_staged_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
     """The staged recurrence over rows that hold ``s``, planting and whc_mm; others are kept."""
     bounds = {"veg": (0, p.veg_end), "flo": (p.veg_end, p.flo_end), "grf": (p.flo_end, p.lgp)}
-    init = [(F.col("whc_mm") * soil.init_frac).alias("sw"), D0.alias("aet"), D0.alias("wr")]
-    init += [D0.alias(f"{k}_{s}") for s in STAGES for k in ("wrsi", "wsi", "aet", "wr")]
+    init = [(F.col("whc_mm") * soil.init_frac).alias("sw"), zero().alias("aet"), zero().alias("wr")]
+    init += [zero().alias(f"{k}_{s}") for s in STAGES for k in ("wrsi", "wsi", "aet", "wr")]
 
     def step(a: Column, x: Column) -> Column:
         water = a["sw"] + x["p"]
         aet = F.least(water, x["wr"])
         cum_aet, cum_wr = a["aet"] + aet, a["wr"] + x["wr"]
         running = cum_aet / F.greatest(cum_wr, F.lit(1e-6)) * 100
-        wsi = F.least(F.greatest(1 - aet / F.greatest(x["wr"], F.lit(1e-6)), D0), F.lit(1.0)) * 100
-        out = [F.greatest(F.least(water - aet, F.col("whc_mm")), D0).alias("sw"),
+        wsi = F.least(F.greatest(1 - aet / F.greatest(x["wr"], F.lit(1e-6)), zero()), F.lit(1.0)) * 100
+        out = [F.greatest(F.least(water - aet, F.col("whc_mm")), zero()).alias("sw"),
                cum_aet.alias("aet"), cum_wr.alias("wr")]
         for s, (b, e) in bounds.items():
             on = (x["dsp"] >= b) & (x["dsp"] < e)
@@ -179,8 +181,8 @@ def add_aeration_stress(
     days = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda i: F.struct(
-            F.coalesce(F.try_element_at("_rain", i), D0).alias("p"),
-            F.when((i < F.col("onset_day")) | (i >= F.col("onset_day") + p.lgp * 10), D0)
+            F.coalesce(F.try_element_at("_rain", i), zero()).alias("p"),
+            F.when((i < F.col("onset_day")) | (i >= F.col("onset_day") + p.lgp * 10), zero())
             .when(i - F.col("onset_day") < p.veg_end * 10, C.EXCESS_WEIGHT["veg"])
             .when(i - F.col("onset_day") < p.flo_end * 10, C.EXCESS_WEIGHT["flo"])
             .otherwise(C.EXCESS_WEIGHT["grf"]).alias("w"),
@@ -188,19 +190,27 @@ def add_aeration_stress(
     )
     fc, sat, thr, tau = F.col("fc_mm"), F.col("sat_mm"), F.col("thr"), F.col("tau")
 
-    def step(a: Column, x: Column) -> Column:
-        filled = F.least(F.greatest(a["w"] + x["p"] - et_mm, D0), sat)
-        above = F.greatest(filled - fc, D0)
-        water = fc + above * (1 - tau) if as_coded else filled - above * tau
-        stress = F.least(F.greatest((water - thr) / F.greatest(sat - thr, F.lit(1e-3)), D0), F.lit(1.0))
+    def run_of(a: Column) -> Column:
         # stress is 0 at and below the threshold, so the reset and the weight use one test
-        run = F.when((x["w"] > 0) & (water > thr), a["run"] + stress * x["w"]).otherwise(D0)
-        return F.struct(water.alias("w"), run.alias("run"), F.greatest(a["peak"], run).alias("peak"))
+        stress = F.least((a["w"] - thr) / F.greatest(sat - thr, F.lit(1e-3)), F.lit(1.0))
+        return F.when((a["wt"] > 0) & (a["w"] > thr), a["run"] + stress * a["wt"]).otherwise(zero())
 
-    start = F.struct((fc * C.AER_W0).alias("w"), D0.alias("run"), D0.alias("peak"))
-    peak = F.when(F.col("planting").isNotNull() & (fc + sat + tau).isNotNull(), F.aggregate("_days", start, step)["peak"])
-    return rows.withColumn("_days", days).withColumn(
-        "waterlog_idx", clamp(peak / scale_days, 0.0, 1.0) * 100).select(*seasons.columns, "waterlog_idx")
+    def step(a: Column, x: Column) -> Column:
+        # the run lags the water by a day, so that it reads a stored value, not a re-evaluated one
+        filled = F.least(F.greatest(a["w"] + x["p"] - et_mm, zero()), sat)
+        above = F.greatest(filled - fc, zero())
+        water = fc + above * (1 - tau) if as_coded else filled - above * tau
+        return F.struct(water.alias("w"), x["w"].alias("wt"), run_of(a).alias("run"),
+                        F.greatest(a["peak"], a["run"]).alias("peak"))
+
+    start = F.struct((fc * C.AER_W0).alias("w"), zero().alias("wt"), zero().alias("run"), zero().alias("peak"))
+    last = lambda a: F.greatest(a["peak"], a["run"], run_of(a))
+    known = F.col("planting").isNotNull() & (fc + sat + tau).isNotNull()
+    return (
+        rows.withColumn("_days", days).withColumn("_peak", F.when(known, F.aggregate("_days", start, step, last)))
+        .withColumn("waterlog_idx", clamp(F.col("_peak") / scale_days, 0.0, 1.0) * 100)
+        .select(*seasons.columns, "waterlog_idx")
+    )
 
 
 def wet_dekad_exposure(
@@ -211,10 +221,10 @@ def wet_dekad_exposure(
     rows = season_frame(rain.select(*PX, "year", "dekad", "p"), max(1, sos_start), sos_end + p.lgp)
     dsp = F.col("gd") - F.col("planting")
     w = (
-        F.when((dsp < 0) | (dsp >= p.lgp), D0).when(dsp < p.veg_end, C.EXCESS_WEIGHT["veg"])
+        F.when((dsp < 0) | (dsp >= p.lgp), zero()).when(dsp < p.veg_end, C.EXCESS_WEIGHT["veg"])
         .when(dsp < p.flo_end, C.EXCESS_WEIGHT["flo"]).otherwise(C.EXCESS_WEIGHT["grf"])
     )
-    over = clamp((F.coalesce(F.col("p"), D0) - wet_mm) / wet_mm, 0.0, 1.0)
+    over = clamp((F.coalesce(F.col("p"), zero()) - wet_mm) / wet_mm, 0.0, 1.0)
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
     return rows.join(pl, list(keys)).groupBy(*keys).agg(
         (clamp(F.max(over * w), 0.0, 1.0) * 100).alias("waterlog_idx"))
@@ -250,7 +260,7 @@ def gdd_clock(
     anchor = sos.filter(F.col("sos").isNotNull()).select(*keys, "sos").join(
         maturity.select(*PX, "gdd_maturity"), list(PX))
     w = Window.partitionBy(*keys).orderBy("gd").rowsBetween(Window.unboundedPreceding, 0)
-    active = F.when(F.col("gd") >= F.col("sos"), dekad_gdd("tmax_c", "tmin_c")).otherwise(D0)
+    active = F.when(F.col("gd") >= F.col("sos"), dekad_gdd("tmax_c", "tmin_c")).otherwise(zero())
     cum = rows.join(anchor, list(keys)).withColumn("cum", F.sum(active).over(w))
     marks = [
         F.min(F.when(F.col("cum") >= F.col("gdd_maturity") * frac, F.col("gd"))).alias(f"{name}_dekad")

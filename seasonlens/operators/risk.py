@@ -37,12 +37,12 @@ def heat_stress(
         clamp(F.sum(hot) * C.HEAT_LOSS, 0.0, 1.0).alias("s_heat"))
 
 
-def heat_stress_of(p: CropParams, series: str = "s") -> Column:
-    """The same, from a season's array of dekads that carry gd and tmax_c."""
+def add_heat_stress(seasons: DataFrame, p: CropParams, series: str = "s") -> DataFrame:
+    """Add s_heat from a season's array of dekads that carry gd and tmax_c."""
     hot = F.aggregate(series, F.lit(0.0), lambda a, x: a + F.when(
         (x["gd"] - F.col("planting") >= p.veg_end) & (x["gd"] - F.col("planting") < p.flo_end),
         floor_at(x["tmax_c"] - C.HEAT_CAP_C, 0.0)).otherwise(0.0))
-    return clamp(hot * C.HEAT_LOSS, 0.0, 1.0)
+    return seasons.withColumn("_hot", hot).withColumn("s_heat", clamp(F.col("_hot") * C.HEAT_LOSS, 0.0, 1.0)).drop("_hot")
 
 
 def season_of(d: Column, sos_start: int, sos_end: int, years: Sequence[int]) -> Column:

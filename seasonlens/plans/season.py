@@ -80,7 +80,7 @@ def risk_product(climate: DataFrame, planting: DataFrame, veg: DataFrame, p: Sea
     series = B.season_series(climate, lo, hi, fields=("p", "et0", "tmax_c"))
     pl = planting.filter(F.col("planting").isNotNull()).select("px_id", "year", F.col("planting").cast("int").alias("planting"))
     px = B.add_staged_balance(B.with_capacity(series.join(pl, ["px_id", "year"]), whc), p.crop)
-    px = px.withColumns({"s_water": R.water_stress(), "s_heat": R.heat_stress_of(p.crop)}).drop("s", "whc_mm")
+    px = R.add_heat_stress(px, p.crop).withColumn("s_water", R.water_stress()).drop("s", "whc_mm")
     return R.performance_index(px.join(veg, ["px_id", "year"], "left"), ym)
 
 
