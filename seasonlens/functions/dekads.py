@@ -49,7 +49,7 @@ def parse_dekad_token(token) -> Column:
     token = as_col(token)
     months = F.array(*[F.lit(m) for m in MONTHS])
     month = F.array_position(months, F.substring(token, 1, 3))
-    third = F.regexp_extract(token, r"-d(\d)$", 1).cast("int")
+    third = F.regexp_extract(token, r"-d(\d)$", 1).try_cast("int")
     return F.when(month > 0, (month.cast("int") - 1) * 3 + third)
 
 

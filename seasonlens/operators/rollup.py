@@ -237,8 +237,9 @@ def equal_width_bins(rows: DataFrame, value: str, bins: int, keys: Sequence[str]
         x = rows.join(rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), list(keys))
     else:
         x = rows.withColumns({"_lo": rows.agg(F.min(value)).scalar(), "_hi": rows.agg(F.max(value)).scalar()})
-    idx = F.least(F.floor(F.try_divide((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
-    return x.filter(F.col(value).isNotNull()).groupBy(*keys, F.coalesce(idx, F.lit(0)).cast("int").alias("bin")).agg(
+    at = F.floor(F.try_divide((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
+    idx = F.least(F.coalesce(at, F.lit(bins // 2)), F.lit(bins - 1))  # a constant lies in the middle
+    return x.filter(F.col(value).isNotNull()).groupBy(*keys, idx.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -353,7 +354,7 @@ def validation_metrics(rows: DataFrame, keys: Sequence[str] = (), est: str = "es
     return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(flag(F.abs(e) <= 1)) * 100).alias("within1_pct"),
-        (F.avg(flag(F.abs(e) <= 2)) * 100).alias("within2_pct"), F.corr(est, obs).alias("r"))
+        (F.avg(flag(F.abs(e) <= 2)) * 100).alias("within2_pct"), F.try_divide(F.covar_pop(est, obs), F.stddev_pop(est) * F.stddev_pop(obs)).alias("r"))
 
 
 def farmer_weighted(rows: DataFrame, keys: Sequence[str] = (), est: str = "est_dk", obs: str = "obs_dk",

@@ -30,8 +30,8 @@ def test_labels_round_half_even(spark):
 
 def test_tokens_and_wrapping_window(spark):
     w = one(spark, D.parse_dekad_token(F.lit("Mar-d3")), D.parse_dekad_window(F.lit("Jul-d1-Aug-d3")),
-            D.parse_dekad_window(F.lit("Nov-d3-Jan-d2")), D.parse_dekad_token(F.lit("Foo-d1")))
-    assert w[0] == 9 and tuple(w[1]) == (19, 24) and tuple(w[2]) == (33, 38) and w[3] is None
+            D.parse_dekad_window(F.lit("Nov-d3-Jan-d2")), D.parse_dekad_token(F.lit("Foo-d1")), D.parse_dekad_token(F.lit("Mar")))
+    assert w[4] is None and w[0] == 9 and tuple(w[1]) == (19, 24) and tuple(w[2]) == (33, 38) and w[3] is None
 
 
 def test_greenup(spark):
