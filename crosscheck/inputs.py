@@ -36,19 +36,22 @@ def grid(spark, sf) -> DataFrame:
         ((k * 131) % 2600).cast("double").alias("elev_m"))
 
 
-def rain_rows(spark, sf) -> DataFrame:
-    """Rain records plus a zero at each dekad start, so every dekad exists (no shuffle)."""
+def rain_records(spark, sf) -> DataFrame:
     m, px = F.month("l_shipdate"), F.col("l_suppkey")
     w = F.when(m.isin(3, 4, 5, 10, 11, 12), 2 + (px + m) % 3).otherwise((px + m) % 2)
-    rec = table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").select(
         px.alias("px_id"), F.col("l_shipdate").cast("date").alias("d"), (F.col("l_quantity") * w * 0.25).alias("rain_mm"))
+
+
+def rain_rows(spark, sf) -> DataFrame:
+    """Rain records plus a zero at each dekad start, so every dekad exists (no shuffle)."""
     zero = dekad_spine(grid(spark, sf), YEARS).select(
         "px_id", dekad_start("year", "dekad").alias("d"), F.lit(0.0).alias("rain_mm"))
-    return rec.unionByName(zero)
+    return rain_records(spark, sf).unionByName(zero)
 
 
 def rain_daily(spark, sf) -> DataFrame:
-    return rain_rows(spark, sf).groupBy("px_id", "d").agg(F.sum("rain_mm").alias("rain_mm"))
+    return rain_records(spark, sf).groupBy("px_id", "d").agg(F.sum("rain_mm").alias("rain_mm"))
 
 
 def temps_daily(spark, sf) -> DataFrame:

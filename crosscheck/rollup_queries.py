@@ -284,9 +284,9 @@ def _(spark, sf):
 
 @query("aez6_by_maturity", f"""
     SELECT maturity_class, sum(n_px) AS pixels, round_even(sum(modal_dekad * n_px) / sum(n_px), 2) AS wtd_modal_dekad, count(DISTINCT aez) AS n_zones,
-           list_slice(list_sort(list(DISTINCT aez)), 1, 6) AS samples FROM ({AEZ_STATS}) GROUP BY ALL""")
+           array_to_string(list_slice(list_sort(list(DISTINCT aez)), 1, 6), ',') AS samples FROM ({AEZ_STATS}) GROUP BY ALL""")
 def _(spark, sf):
-    return U.aez_by_maturity(aez_stats(spark, sf))
+    return U.aez_by_maturity(aez_stats(spark, sf)).withColumn("samples", F.array_join("samples", ","))
 
 
 @query("aez7_wrsi_by_zone", f"""

@@ -91,12 +91,12 @@ def _(spark, sf):
 
 
 @query("src8_newest_version", """
-    SELECT base, file, mtime FROM (SELECT base, base || CASE WHEN ver = 0 THEN '' ELSE ' (' || ver || ')' END || '.tif' AS file, mtime FROM v_files)
+    SELECT base, file, CAST(mtime AS DATE) AS mtime FROM (SELECT base, base || CASE WHEN ver = 0 THEN '' ELSE ' (' || ver || ')' END || '.tif' AS file, mtime FROM v_files)
     QUALIFY row_number() OVER (PARTITION BY base ORDER BY mtime DESC, file DESC) = 1""")
 def _(spark, sf):
     v = F.col("ver").cast("string")
     name = F.concat("base", F.when(F.col("ver") == 0, "").otherwise(F.concat(F.lit(" ("), v, F.lit(")"))), F.lit(".tif"))
-    return PR.newest_version(I.files(spark, sf).select(name.alias("file"), "mtime"))
+    return PR.newest_version(I.files(spark, sf).select(name.alias("file"), "mtime")).withColumn("mtime", F.col("mtime").cast("date"))
 
 
 @query("src9_tile_grouping", """

@@ -34,7 +34,7 @@ def _(spark, sf):
 
 
 @query("grid2_bilinear", """
-    SELECT px_id, round(sum(w * v) / sum(w), 6) AS v FROM (
+    SELECT px_id, round(sum(w * v) / sum(w), 9) AS v FROM (
       SELECT p.px_id, c.v, (1 - abs(p.y - c.row)) * (1 - abs(p.x - c.col)) AS w
       FROM (SELECT px_id, (55e-1 - lat) / 5e-1 - 5e-1 AS y, (lon - 33e0) / 5e-1 - 5e-1 AS x FROM v_cells) p
       JOIN (SELECT row // 4 AS row, col // 4 AS col, avg(elev_m) AS v FROM v_cells GROUP BY ALL) c
@@ -42,7 +42,7 @@ def _(spark, sf):
 def _(spark, sf):
     cells = I.cells(spark, sf)
     coarse = cells.groupBy(F.floor(F.col("row") / 4).cast("int").alias("row"), F.floor(F.col("col") / 4).cast("int").alias("col")).agg(F.avg("elev_m").alias("v0"))
-    return rounded(SP.bilinear(cells, coarse, SP.GridSpec(33.0, 5.5, 0.5), "v0", "v"), "v")
+    return rounded(SP.bilinear(cells, coarse, SP.GridSpec(33.0, 5.5, 0.5), "v0", "v"), "v", n=9)
 
 
 @query("grid3_canvas", """

@@ -69,12 +69,14 @@ VIEWS: dict[str, str] = {
     "v_dekad_spine": """
         SELECT px_id, CAST(y.v AS INTEGER) AS year, CAST(k.v AS INTEGER) AS dekad
         FROM v_grid, (SELECT unnest(range(1995, 2002)) AS v) y, (SELECT unnest(range(1, 37)) AS v) k""",
-    "v_rain_rows": f"""
+    "v_rain_records": """
         SELECT l_suppkey AS px_id, CAST(l_shipdate AS DATE) AS d,
                l_quantity * (CASE WHEN month(l_shipdate) IN (3,4,5,10,11,12) THEN 2 + (l_suppkey + month(l_shipdate)) % 3
-                             ELSE (l_suppkey + month(l_shipdate)) % 2 END) * 25e-2 AS rain_mm FROM lineitem
+                             ELSE (l_suppkey + month(l_shipdate)) % 2 END) * 25e-2 AS rain_mm FROM lineitem""",
+    "v_rain_rows": f"""
+        SELECT px_id, d, rain_mm FROM v_rain_records
         UNION ALL SELECT px_id, {start('year', 'dekad')}, 0e0 FROM v_dekad_spine""",
-    "v_rain_daily": "SELECT px_id, d, sum(rain_mm) AS rain_mm FROM v_rain_rows GROUP BY px_id, d",
+    "v_rain_daily": "SELECT px_id, d, sum(rain_mm) AS rain_mm FROM v_rain_records GROUP BY px_id, d",
     "v_rain": f"""
         SELECT px_id, CAST(year(d) AS INTEGER) AS year, {dk('d')} AS dekad, sum(rain_mm) AS p
         FROM v_rain_rows GROUP BY ALL""",

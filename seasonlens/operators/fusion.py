@@ -57,6 +57,8 @@ def fused_series(
     dim = base_pair_table(spark, sos_start, sos_end)
     targets = dim.select(
         "dekad", F.explode(F.array_distinct(F.array("b0", "b1"))).alias("base"))  # at most 72 rows
+    used = F.col("dekad").between(max(1, sos_start - 1), min(36, sos_end + 1))
+    fine, coarse = fine.filter(used), coarse.filter(used)
     cells = coarse.join(fine.select(*CELL, "dekad", "f"), ["px_id", "dekad"])
     bases = local_slope(
         cells.join(F.broadcast(targets.select(F.col("base").alias("dekad")).distinct()), "dekad")
