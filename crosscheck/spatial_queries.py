@@ -117,7 +117,7 @@ FUSE_SQL = f"""
     fm AS (SELECT t.px_id, t.dekad, t.base, avg(n.r) AS m FROM raw t JOIN raw n ON n.dekad = t.dekad AND n.base = t.base
            AND n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL),
     pred AS (SELECT raw.*, r + (ct - m) AS pred FROM raw JOIN fm USING (px_id, dekad, base)),
-    fused AS (SELECT px_id, dekad, least(greatest(sum(pred / (abs(ct - c0) + 1e-3)) / sum(1 / (abs(ct - c0) + 1e-3)), -2e-1), 1e0) AS g
+    fused AS (SELECT px_id, dekad, CASE WHEN count(pred) = count(*) THEN least(greatest(sum(pred / (abs(ct - c0) + 1e-3)) / sum(1 / (abs(ct - c0) + 1e-3)), -2e-1), 1e0) END AS g
               FROM pred GROUP BY ALL)"""
 
 
@@ -136,13 +136,13 @@ def _(spark, sf):
 
 @query("fuse5_unbiased_prediction", """
     WITH b AS (SELECT x.px_id, x.row, x.col, coalesce(x.f, x.c) + 5e-1 * (y.c - x.c) AS r, y.c AS ct FROM v_fc x JOIN v_fc y ON y.px_id = x.px_id AND x.dekad = 8 AND y.dekad = 9)
-    SELECT t.px_id, round(any_value(t.r + t.ct) - avg(n.r), 6) AS pred FROM b t JOIN b n ON n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
+    SELECT t.px_id, round(any_value(t.r + t.ct) - avg(n.r), 9) AS pred FROM b t JOIN b n ON n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
 def _(spark, sf):
     fc = I.fine_coarse(spark, sf)
     ct = fc.filter(F.col("dekad") == 9).select("px_id", F.col("c").alias("ct"))
     pairs = fc.filter(F.col("dekad") == 8).select(
         "px_id", "row", "col", F.coalesce("f", "c").alias("f0"), F.col("c").alias("c0"), F.lit(0.5).alias("v")).join(ct, "px_id")
-    return rounded(FU.predict_unbiased(pairs, 2, ()).select("px_id", "pred"), "pred")
+    return rounded(FU.predict_unbiased(pairs, 2, ()).select("px_id", "pred"), "pred", n=9)
 
 
 @query("fuse6_pair_blend", """

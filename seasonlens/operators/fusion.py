@@ -40,9 +40,11 @@ def predict_unbiased(pairs: DataFrame, radius: int, keys: Sequence[str], dense:
 
 
 def blend_pairs(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine the predictions of one target, weighted by inverse coarse change."""
+    """Combine the predictions of one target, weighted by inverse coarse change; a masked member
+    masks the blend."""
     w = 1 / (F.abs(F.col("ct") - F.col("c0")) + 1e-3)
-    return preds.groupBy(*keys).agg((F.sum(F.col("pred") * w) / F.sum(w)).alias("g"))
+    whole = F.count(F.col("pred") * w) == F.count(F.lit(1))
+    return preds.groupBy(*keys).agg(F.when(whole, F.sum(F.col("pred") * w) / F.sum(w)).alias("g"))
 
 
 def fused_series(

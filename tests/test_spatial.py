@@ -103,3 +103,11 @@ def test_bilinear_rescales_masked_corners(spark):
     pts = spark.createDataFrame([(1, 1.0, 5.0), (2, 0.5, 5.5)], "px_id int, lon double, lat double")
     got = {r.px_id: r.o for r in SP.bilinear(pts, coarse, SPEC, "v", "o").collect()}
     assert got[1] == pytest.approx(70 / 3) and got[2] == 10.0
+
+
+def test_blend_masks_with_either_member(spark):
+    rows = [(1, 0.4, 0.5, 0.4), (1, 0.6, 0.5, 0.5), (2, 0.4, 0.5, 0.4), (2, None, 0.5, 0.5)]
+    d = spark.createDataFrame(rows, "px_id int, pred double, ct double, c0 double")
+    got = {r.px_id: r.g for r in FU.blend_pairs(d, ("px_id",)).collect()}
+    w0, w1 = 1 / 0.101, 1 / 0.001
+    assert got[1] == pytest.approx((0.4 * w0 + 0.6 * w1) / (w0 + w1)) and got[2] is None
