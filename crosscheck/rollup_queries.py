@@ -347,25 +347,26 @@ def _(spark, sf):
     return I.pixels(spark, sf).select("px_id", name_key(F.concat("name", F.lit(" St."))).alias("key"))
 
 
-# observed dekad: median day of year of the 1997 records; wards whose record count is divisible by 3 have none
+# observed dekad: median day of year of the 1997 records; for wards, of the best-performing ones, which not every ward has
 OBS_SQL = """
     SELECT {k} CAST((month(d)-1)*3 + least(3, (day(d)-1)//10 + 1) AS INTEGER) AS dk, farmers FROM (
-      SELECT {k} DATE '1996-12-31' + CAST(floor(quantile_cont(planting_all * 10 - 5, 0.5)) AS INTEGER) AS d, count(*) AS farmers FROM v_pixels WHERE year = 1997 GROUP BY ALL) {w}"""
-COUNTY_OBS, WARD_OBS = OBS_SQL.format(k="county,", w=""), OBS_SQL.format(k="county, name,", w="WHERE farmers % 3 <> 0")
+      SELECT {k} DATE '1996-12-31' + CAST(floor(quantile_cont(planting_all * 10 - 5, 0.5)) AS INTEGER) AS d, count(*) AS farmers FROM v_pixels WHERE year = 1997 {w} GROUP BY ALL)"""
+COUNTY_OBS, WARD_OBS = OBS_SQL.format(k="county,", w=""), OBS_SQL.format(k="county, name,", w="AND cpi > 105")
 EST_SQL = f"SELECT county, name, modal_dekad, n_px FROM ({skill_sql('county, constituency, name', 1)})"
 VAL_SQL = f"""
     SELECT e.county, e.name, e.modal_dekad, coalesce(w.dk, c.dk) AS obs_plant_dk, e.modal_dekad - coalesce(w.dk, c.dk) AS plant_err, w.farmers
     FROM ({EST_SQL}) e LEFT JOIN ({WARD_OBS}) w ON w.county = e.county AND w.name = e.name LEFT JOIN ({COUNTY_OBS}) c ON c.county = e.county"""
 
 
-def observed(spark, sf, keys):
+def observed(spark, sf, keys, best=False):
     px = I.pixels(spark, sf).filter(F.col("year") == 1997)
+    px = px.filter(F.col("cpi") > 105) if best else px
     o = px.groupBy(*keys).agg(F.floor(F.percentile(F.col("planting_all") * 10 - 5, F.lit(0.5))).cast("int").alias("m"), F.count(F.lit(1)).alias("farmers"))
     return o.select(*keys, date_to_dekad(F.date_add(F.lit("1996-12-31").cast("date"), F.col("m"))).alias("dk"), "farmers")
 
 
 def ward_obs(spark, sf):
-    return observed(spark, sf, ["county", "name"]).filter(F.col("farmers") % 3 != 0).withColumnRenamed("name", "ward")
+    return observed(spark, sf, ["county", "name"], best=True).withColumnRenamed("name", "ward")
 
 
 def validated(spark, sf):
