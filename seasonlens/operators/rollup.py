@@ -179,21 +179,26 @@ def fcci_rows(pixels: DataFrame, keys: Sequence[str], min_px: int = 5) -> DataFr
 
 def season_table(pixels: DataFrame, keys: Sequence[str], win_start: int, win_end: int,
                  min_px: int = 5) -> DataFrame:
-    """The full season row per zone.
+    """The full season row per zone, in one pass over the pixels and one shuffle.
 
     pixels: keys, planting (gated), planting_all (ungated), lvpd, spi3, stage markers, CPI bands.
-    Planting columns come from the histogram; the other columns from one pass over the pixels, and
-    the two meet on the zone key.
+    Every aggregate combines map-side; mode and percentile buffers hold value counts of small
+    integers.
     """
-    skill = planting_skill(dekad_histogram(pixels, keys), keys, win_start, win_end, min_px)
+    pl = F.when(F.col("planting").between(1, 36), F.col("planting").cast("int"))
+    centre = (win_start + win_end) / 2.0
+    q = F.percentile(pl, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     crop = F.col("planting_all").between(1, 36)
-    n_ok, n_all = F.count(F.when(F.col("planting").between(1, 36), 1)), F.count(F.when(crop, 1))
+    n_ok, n_all = F.count(pl), F.count(F.when(crop, 1))
     spi = F.when(~F.isnan("spi3"), F.col("spi3"))
     names = {"peak_vegetative_dekad": "pkv_dekad", "flowering_dekad": "flo_dekad",
              "grain_filling_dekad": "grf_dekad", "maturity_dekad": "mat_dekad"}
-    bands = [b for b in (*CPI_BANDS, "yield_tha_x100")]
-    masked = pixels.withColumns({b: F.when(crop, F.col(b)) for b in bands})
-    rest = masked.groupBy(*keys).agg(
+    masked = pixels.withColumns({b: F.when(crop, F.col(b)) for b in (*CPI_BANDS, "yield_tha_x100")})
+    rows = masked.groupBy(*keys).agg(
+        n_ok.alias("n_px"), F.mode(pl, deterministic=True).alias("modal_dekad"),
+        F.bround(F.avg(pl), 2).alias("mean_dekad"), q.alias("_q"),
+        F.bround(F.avg(flag(pl.between(win_start, win_end))), 3).alias("hit_rate"),
+        F.bround(F.avg(pl - centre), 2).alias("bias_dek"), F.bround(F.avg(F.abs(pl - centre)), 2).alias("mae_dek"),
         F.bround(n_ok / F.count(F.lit(1)), 4).alias("crop_area_frac"),
         F.bround(F.try_divide(n_ok * 100.0, n_all), 1).alias("crop_viable_pct"),
         median_where("lvpd", 1, 54, min_px).alias("lvpd_dekad"),
@@ -201,8 +206,10 @@ def season_table(pixels: DataFrame, keys: Sequence[str], win_start: int, win_end
         F.when(F.count(spi) >= min_px, F.bround(F.avg(spi), 2)).alias("spi3_mean"),
         *[median_where(b, 1, 54, min_px).alias(o) for b, o in names.items()],
         *cpi_aggs(min_px),
-    )
-    return skill.join(rest, list(keys))
+    ).filter(F.col("n_px") >= min_px)
+    return rows.withColumns({
+        "p10": F.bround(F.col("_q")[0], 1), "p50": F.bround(F.col("_q")[1], 1), "p90": F.bround(F.col("_q")[2], 1),
+        "modal_label": dekad_label("modal_dekad")}).drop("_q")
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -57,7 +57,12 @@ def planting_product(g: DataFrame, daily: DataFrame, p: SeasonParams, prior: Dat
     """Greenness-led planting: season start -> emergence lag -> false-start gate."""
     sos = O.detect_sos(g, p.sos_start, p.sos_end, prior if p.use_prior else None, p.ltn_pad)
     pl = O.planting_thermal(sos, t_normal, p.crop.crop) if t_normal is not None else O.planting_fixed(sos, p.crop.crop)
-    return O.gate_false_starts(pl, daily) if p.false_start_gate else pl
+    return O.gate_false_starts(pl, daily, bounds=planting_bounds(p)) if p.false_start_gate else pl
+
+
+def planting_bounds(p: SeasonParams) -> tuple[int, int]:
+    """Possible planting dekads: the season window less the longest emergence lag."""
+    return p.sos_start - 3, p.sos_end
 
 
 def season_product(g: DataFrame, climate: DataFrame, daily: DataFrame, p: SeasonParams,
@@ -88,7 +93,7 @@ def excess_product(planting: DataFrame, daily: DataFrame, hydro: DataFrame, spi:
                    p: SeasonParams) -> DataFrame:
     """False start, waterlogging, wet-season flag and trigger rain per pixel and season.  Each step
     adds its columns to the season rows, so the planting table is computed once."""
-    px = O.add_post_onset_rain(planting, daily)
+    px = O.add_post_onset_rain(planting, daily, bounds=planting_bounds(p))
     ok = O.false_start_ok()
     px = px.withColumn("false_start", F.when(ok, 0).when(ok.isNotNull(), 1))
     px = B.add_aeration_stress(px, daily, hydro, p.crop, p.sos_start, p.sos_end)
