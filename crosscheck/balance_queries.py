@@ -4,13 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosscheck import inputs as I
-from crosscheck.balance_sql import balance_sql, season_sql, staged_sql, stepwise_sql
+from crosscheck.balance_sql import balance_sql, staged_sql, stepwise_sql
 from crosscheck.onset_queries import FALLBACK_SQL, short_onset
 from crosscheck.registry import query
 from crosscheck.source_queries import TEXTURE_SQL, WHC_SQL
 from crosscheck.util import r6, rounded
 from crosscheck.views import kc, ra, start, wrsi_class
-from seasonlens.config import EXCESS_WEIGHT, MAIZE, MAIZE_EARLY, SoilConfig
+from seasonlens.config import MAIZE, MAIZE_EARLY, SoilConfig
 from seasonlens.functions import classes as CL, climate as CM, dekads as D
 from seasonlens.operators import balance as B, onset as O, soil as SO
 

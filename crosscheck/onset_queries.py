@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from crosscheck import inputs as I
 from crosscheck.balance_sql import balance_sql
 from crosscheck.registry import query
-from crosscheck.util import r6, rounded
-from crosscheck.views import dk, start
+from crosscheck.util import rounded
+from crosscheck.views import start
 from seasonlens.config import MAIZE_EARLY
-from seasonlens.operators import balance as B, observations as OB, onset as O, rainfall as RA
+from seasonlens.operators import balance as B, onset as O, rainfall as RA
 from seasonlens.functions.dekads import greenup_to_dekad
 
 PHENO_DK = """least(greatest(CAST(ceil((greenup_days - date_diff('day', DATE '1970-01-01', make_date(year, 1, 1))) / 10139e-3) AS INTEGER), 1), 36)"""

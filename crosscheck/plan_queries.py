@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crosscheck import inputs as I
 from crosscheck.balance_queries import PLANT, WHC_SQL
 from crosscheck.balance_sql import balance_sql
-from crosscheck.onset_queries import PRIOR_SQL, TNORM_SQL, OFF, _gate_sql, _prior, _sos_sql, _tnorm
+from crosscheck.onset_queries import TNORM_SQL, OFF, _gate_sql, _prior, _sos_sql, _tnorm
 from crosscheck.registry import query
 from crosscheck.risk_queries import AER_OUT, AER_SQL, SPI_SQL, spi
 from crosscheck.onset_queries import GATE_SQL

@@ -8,8 +8,9 @@ from crosscheck.balance_queries import CLOCK_SQL, HYDRO_SQL, PLANT, clock
 from crosscheck.balance_sql import staged_sql, stepwise_sql
 from crosscheck.registry import query
 from crosscheck.util import r6, rounded
-from crosscheck.views import dk, start
+from crosscheck.views import start
 from seasonlens.config import MAIZE
+from seasonlens.plans.season import SeasonParams, risk_product
 from seasonlens.operators import balance as B, frames as FR, rainfall as RA, risk as R, soil as SO
 
 SPI_SQL = """
@@ -160,7 +161,6 @@ def staged(spark, sf, cl=None):
 
 
 def cpi_pixels(spark, sf):
-    from seasonlens.plans.season import SeasonParams, risk_product
     cl = I.climate(spark, sf)
     return risk_product(cl, I.planting(spark, sf, cl), veg(spark, sf), SeasonParams())
 

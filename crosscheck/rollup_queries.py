@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from crosscheck import inputs as I
 from crosscheck.balance_queries import AEZ_SQL, with_aez
-from crosscheck.onset_queries import PRIOR_SQL, TNORM_SQL, _onset2520, _onset_ltn, _pheno, _prior, _sos_sql, _tnorm
+from crosscheck.onset_queries import TNORM_SQL, _onset2520, _pheno, _prior, _sos_sql, _tnorm
 from crosscheck.registry import query
 from crosscheck.util import r6, rounded
-from crosscheck.views import dk, label
+from crosscheck.views import label
 from seasonlens.functions.classes import name_key
 from seasonlens.functions.dekads import date_to_dekad
 from seasonlens.operators import observations as OB, onset as O, rollup as U

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 from crosscheck import inputs as I
 from crosscheck.registry import query
 from crosscheck.time_queries import WINDOW_SQL
-from crosscheck.util import r6, rounded
-from crosscheck.views import dk, label
+from crosscheck.util import rounded
+from crosscheck.views import label
 from seasonlens.config import EARLY_STAGES
-from seasonlens.functions.dekads import date_to_dekad
-from seasonlens.operators import observations as OB, rollup as U, soil as SO, spatial as SP
+from seasonlens.operators import observations as OB, soil as SO, spatial as SP
 from seasonlens.sources import calendars as CA, products as PR, sinks as SK, tables as TB
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from crosscheck import inputs as I
 from crosscheck.registry import query
-from crosscheck.util import r6, rounded
+from crosscheck.util import rounded
 from crosscheck.views import unit
 from seasonlens.functions.climate import lapse_correct
 from seasonlens.operators import fusion as FU, spatial as SP
@@ -136,13 +136,13 @@ def _(spark, sf):
 
 @query("fuse5_unbiased_prediction", """
     WITH b AS (SELECT x.px_id, x.row, x.col, coalesce(x.f, x.c) + 5e-1 * (y.c - x.c) AS r, y.c AS ct FROM v_fc x JOIN v_fc y ON y.px_id = x.px_id AND x.dekad = 8 AND y.dekad = 9)
-    SELECT t.px_id, round(any_value(t.r + t.ct) - avg(n.r), 9) AS pred FROM b t JOIN b n ON n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
+    SELECT t.px_id, round(any_value(t.r + t.ct) - avg(n.r), 11) AS pred FROM b t JOIN b n ON n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
 def _(spark, sf):
     fc = I.fine_coarse(spark, sf)
     ct = fc.filter(F.col("dekad") == 9).select("px_id", F.col("c").alias("ct"))
     pairs = fc.filter(F.col("dekad") == 8).select(
         "px_id", "row", "col", F.coalesce("f", "c").alias("f0"), F.col("c").alias("c0"), F.lit(0.5).alias("v")).join(ct, "px_id")
-    return rounded(FU.predict_unbiased(pairs, 2, ()).select("px_id", "pred"), "pred", n=9)
+    return rounded(FU.predict_unbiased(pairs, 2, ()).select("px_id", "pred"), "pred", n=11)
 
 
 @query("fuse6_pair_blend", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from crosscheck import inputs as I
 from crosscheck.balance_sql import stepwise_sql
 from crosscheck.registry import query
-from crosscheck.util import r6, rounded
+from crosscheck.util import rounded
 from crosscheck.views import dk
 from seasonlens.config import MAIZE
 from seasonlens.operators.frames import season_frame

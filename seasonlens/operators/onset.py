@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seasonlens import config as C
 from seasonlens.functions.climate import thermal_offset
 from seasonlens.functions.dekads import dekad_start
-from seasonlens.functions.masks import as_col, floor_at, unmask
+from seasonlens.functions.masks import floor_at, unmask
 from seasonlens.operators.frames import (
     PX, bit_set, first_true, longest_run, season_days, season_frame, wide, wide_aggs)
 

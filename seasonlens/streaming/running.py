@@ -1,12 +1,9 @@
 """Running-dekad rainfall as a stream: late observations replace forecast days."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seasonlens.functions.dekads import date_to_dekad, dekad_days, dekad_start
+from seasonlens.functions.dekads import date_to_dekad, dekad_days
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", per_batch: int = 1000) -> DataFrame:

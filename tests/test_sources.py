@@ -1,8 +1,6 @@
 import json
 import os
-import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from seasonlens.config import CROPS, EARLY_STAGES, MAIZE_EARLY
