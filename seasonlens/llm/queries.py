@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import lines, mixing
+from seasonlens.llm import decontaminate, lines, mixing
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
 def table(spark, sf: str, name: str, *columns: str):
-    return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
+    return spark.read.parquet(f"{sf}/{name}.parquet").select(*(columns or "*"))
 
 
 @query("op4_mix_sources")
@@ -32,3 +32,27 @@ FROM keyed LEFT JOIN hot h USING (source, k) GROUP BY doc_id
 """)
 def op8(spark, sf):
     return lines.drop_boilerplate(table(spark, sf, "documents", "doc_id", "text", "source")).drop("source")
+
+
+@query("op6_decontaminate", r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bl AS (SELECT item_id, w, least(13, len(w)) AS n FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+        FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bl)),
+lens AS (SELECT DISTINCT n FROM bl),
+pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lens WHERE len(w) >= n)),
+hit AS (SELECT doc_id, n, i, item_id FROM pos JOIN win USING (n, s)),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h
+        FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
+FROM dw d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+""")
+def op6(spark, sf):
+    found = decontaminate.find_contamination(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark"))
+    return decontaminate.with_verdict(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

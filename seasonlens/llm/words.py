@@ -110,8 +110,8 @@ def windows(h: np.ndarray, length: int, base: np.uint64 = BASE1) -> np.ndarray:
     p = powers(base, n)
     s = np.zeros(n + 1, np.uint64)
     np.cumsum(h * p, out=s[1:])
-    # shift every window to the same power: multiply by base^(n-1-i), so no inverse is needed
-    return mix((s[length:] - s[:-length]) * p[n - length::-1])
+    back = powers(np.uint64(pow(int(base), -1, 1 << 64)), n - length + 1)  # to the same power everywhere
+    return mix((s[length:] - s[:-length]) * back)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -131,8 +131,7 @@ def winnowed(g: np.ndarray, whole: np.ndarray, width: int) -> np.ndarray:
     n = len(g)
     if n < width:
         return np.zeros(0, np.int64)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << 31) - 1)  # places of the longest text that Spark can hold; the rest is hash
     key = (g & ~low) | (low - np.arange(n, dtype=np.uint64))
     m = sliding_min(key, width)[whole[:n - width + 1]]
     pos = (low - (m & low)).astype(np.int64)
