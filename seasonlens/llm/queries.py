@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, lines, mixing
+from seasonlens.llm import decontaminate, language, lines, mixing
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -56,3 +56,10 @@ FROM dw d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 def op6(spark, sf):
     found = decontaminate.find_contamination(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark"))
     return decontaminate.with_verdict(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_language_id")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang")
+    model = language.fit(docs)
+    return language.identify(docs.drop("lang"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
