@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, language, lines, mixing
+from seasonlens.llm import decontaminate, language, lines, mixing, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -63,3 +63,8 @@ def op9(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "text", "lang")
     model = language.fit(docs)
     return language.identify(docs.drop("lang"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_substring_dedup")
+def op3(spark, sf):
+    return substrings.repeated_spans(table(spark, sf, "documents", "doc_id", "text")).drop("spans")
