@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, language, lines, mixing, substrings
+from seasonlens.llm import decontaminate, jaccard, language, lines, mixing, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -68,3 +68,8 @@ def op9(spark, sf):
 @query("op3_substring_dedup")
 def op3(spark, sf):
     return substrings.repeated_spans(table(spark, sf, "documents", "doc_id", "text")).drop("spans")
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
