@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, jaccard, language, lines, mixing, substrings
+from seasonlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -73,3 +73,8 @@ def op3(spark, sf):
 @query("op10_ngram_jaccard_join")
 def op10(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op1_nearest_neighbours")
+def op1(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"))
