@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, substrings
+from seasonlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, secrets, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -78,3 +78,12 @@ def op10(spark, sf):
 @query("op1_nearest_neighbours")
 def op1(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
+@query("op5_secret_scan")
+def op5(spark, sf):
+    found = secrets.find_secrets(table(spark, sf, "documents", "doc_id", "text")).drop("text")
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE],
+                        F.sha2(told(of(*secrets.BASE)).cast("binary"), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
