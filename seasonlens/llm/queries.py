@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, secrets, substrings
+from seasonlens.llm import decontaminate, html_text, jaccard, language, lines, mixing, neighbours, secrets, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -87,3 +87,9 @@ def op5(spark, sf):
     told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE],
                         F.sha2(told(of(*secrets.BASE)).cast("binary"), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
+
+
+@query("op7_html_extraction")
+def op7(spark, sf):
+    found = html_text.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
