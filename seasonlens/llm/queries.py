@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, html_text, jaccard, language, lines, mixing, neighbours, secrets, substrings
+from seasonlens.llm import decontaminate, html_text, jaccard, language, licences, lines, mixing, neighbours, secrets, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -93,3 +93,10 @@ def op5(spark, sf):
 def op7(spark, sf):
     found = html_text.extract(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_licence_scan", licences.oracle_sql())
+def op2(spark, sf):
+    found = licences.find_licences(table(spark, sf, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.length("licence_ids").alias("n_sentences"), F.size("licences").alias("n_licences"),
+                        F.array_join(F.array_sort(F.array_distinct("licences")), ",").alias("licences"))
