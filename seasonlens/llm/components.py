@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seasonlens.sources.tables import new_path
+from seasonlens.llm.store import stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -12,8 +12,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each step joins the links with one minimum per node and is written to the shared folder, which cuts the
     lineage; a node with very many links is one row on one side of that join.
     """
-    spark = links.sparkSession
-    e = _stored(_ordered(links), spark)
+    e = stored(_ordered(links), "links")
     seen = None
     while True:
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -23,17 +22,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = _ordered(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = _stored(large, spark)
+        large = stored(large, "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = _stored(_ordered(small), spark)
+        e = stored(_ordered(small), "links")
 
 
 def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-
-
-def _stored(df: DataFrame, spark) -> DataFrame:
-    path = new_path(spark, "links")
-    df.write.parquet(path)
-    return spark.read.schema("u long, v long").parquet(path)

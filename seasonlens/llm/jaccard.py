@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from seasonlens.llm.components import connected_components
 from seasonlens.llm.substrings import _text_hashes
 from seasonlens.llm.words import WHITE, mix, signed, split_words, text_chunks, windows
-from seasonlens.sources.tables import new_path
+from seasonlens.llm.store import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -222,12 +222,8 @@ def _tiled(rows: DataFrame, group: str, rest: list[str], limit: int) -> DataFram
 
 def _paths(classes: DataFrame, runs: int, depth: int, limit: int, seed: int) -> DataFrame:
     """path, n, rep: the buckets of two or more sets at which splitting ends."""
-    spark = classes.sparkSession
-
     def buckets(rows: DataFrame) -> DataFrame:
-        path = new_path(spark, "paths")
-        rows.write.parquet(path)
-        rows = spark.read.schema("path long, rep long").parquet(path)
+        rows = stored(rows, "paths")
         return rows.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
 
     def down(rows: DataFrame) -> DataFrame:
@@ -252,24 +248,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                     runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT, seed: int = 3) -> DataFrame:
     """key, class_id (smallest key of the connected class), n_links (other documents at the threshold or over):
     one row per input row."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    path = new_path(spark, "sketches")
-    rows.mapInArrow(_sketches(size), "key long, t1 long, t2 long, n_words long, sketch array<int>").write.parquet(path)
-    known = spark.read.parquet(path)
-    path = new_path(spark, "classes")
-    known.filter(F.col("key").isNotNull() & (F.col("n_words") > 0)).groupBy("t1", "t2").agg(
-        F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")).write.parquet(path)
-    classes = spark.read.parquet(path)
+    known = stored(rows.mapInArrow(_sketches(size), "key long, t1 long, t2 long, n_words long, sketch array<int>"), "sketches")
+    classes = stored(known.filter(F.col("key").isNotNull() & (F.col("n_words") > 0)).groupBy("t1", "t2").agg(
+        F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "classes")
 
     leaves = _paths(classes, runs, depth, limit, seed)
     bits = classes.select("rep", F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), "")).alias("bits"))
     tiles = _tiled(leaves, "path", ["rep"], limit).join(bits, "rep").select("tile", "side", "rep", "bits")
     near = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_candidates(threshold - SLACK), "u long, v long")
     member = connected_components(near)
-    path = new_path(spark, "groups")
-    member.unionByName(member.select(F.col("root").alias("node"), "root").distinct()).write.parquet(path)
-    member = spark.read.schema("node long, root long").parquet(path)
+    member = stored(member.unionByName(member.select(F.col("root").alias("node"), "root").distinct()), "groups")
     sized = member.join(member.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("node", "rep")
 
     # tiles are laid out on narrow rows; a text is shuffled to its key once and once more to each of its tiles
@@ -277,10 +266,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .select(F.col("key").alias("rep"), "t1", "copies").distinct()
     tiles = _tiled(sized.join(firsts, "rep"), "root", ["rep", "copies", "t1"], limit)
     tiles = rows.withColumnRenamed("key", "rep").join(tiles, "rep")
-    path = new_path(spark, "verified")
-    tiles.select("tile", "side", "rep", "copies", "t1", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(
-        _verified(size, threshold), "rep long, links long, root long").write.parquet(path)
-    found = spark.read.schema("rep long, links long, root long").parquet(path)
+    found = stored(tiles.select("tile", "side", "rep", "copies", "t1", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(
+        _verified(size, threshold), "rep long, links long, root long"), "verified")
     # a class inside one tile is settled there; classes over several tiles meet through their links
     meet = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(meet.withColumnRenamed("node", "rep"), "rep", "left")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seasonlens.sources.tables import new_path
+from seasonlens.llm.store import stored
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -53,9 +53,7 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     clash = {*ADDED, "_host", "_salt", "lines"} & set(pages.columns)
     if clash:
         pages = pages.withColumnsRenamed({c: f"{c}_in" for c in clash})
-    spark, path = pages.sparkSession, new_path(pages.sparkSession, "boilerplate")
-    boilerplate_lines(pages, text, host, ratio, min_pages).write.parquet(path)
-    hot = spark.read.parquet(path)
+    hot = stored(boilerplate_lines(pages, text, host, ratio, min_pages), "boilerplate")
     n = hot.agg(F.sum(F.size("lines"))).first()[0] or 0
     keyed = pages.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")))
     if n <= broadcast_lines:

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seasonlens.sources.tables import new_path
+from seasonlens.llm.store import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -98,9 +98,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     per = source_targets(sized.select("_src", "size"), weights, share, max_repeat).withColumns({
         "n_blocks": F.ceil(F.sqrt("n_rows")).cast("long"), "words_due": F.round("target").cast("long")})
     # one row per source, stored: Spark sees its true size and broadcasts it only below its own threshold
-    path = new_path(docs.sparkSession, "mix-sources")
-    per.write.parquet(path)
-    per = docs.sparkSession.read.parquet(path)
+    per = stored(per, "mix-sources")
     salt = F.xxhash64(F.lit(seed), F.col("_src"), F.col(key), F.xxhash64(F.col(text)))
     placed = sized.withColumn("_h", salt).join(per, "_src").withColumn("_block", F.pmod("_h", "n_blocks"))
     blocks = placed.groupBy("_src", "_block").agg(F.sum("size").alias("words"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from seasonlens.sources.tables import new_path
+from seasonlens.llm.store import stored
 
 DIMS = 8
 CONFIDENCE = 0.99
@@ -139,11 +139,6 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """query_id, rank, vec_id, score: the k largest inner products of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = new_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     good = usable(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")), "vec_id", "vector")
     good = good.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # -0 and 0 are one value
     usual = good.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlens.llm.words import BASE1, BASE2, WHITE, mix, signed, split_words, text_chunks, windows, winnowed
-from seasonlens.sources.tables import new_path
+from seasonlens.llm.store import stored
 
 MIN_WORDS = 50
 _TEXT = "key long, t1 long, t2 long, n_words long, sha string"
@@ -159,19 +159,17 @@ _SPANS = "array<struct<start:long,end:long>>"
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """key, n_words, n_removed, spans (word spans to remove, end exclusive), kept_sha256: one row per input row."""
-    spark = docs.sparkSession
-    keep = lambda df, name: _stored(df, new_path(spark, name))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     base, half, full = _lengths(min_words)
 
-    texts = keep(rows.mapInArrow(_describe, _TEXT), "texts")
+    texts = stored(rows.mapInArrow(_describe, _TEXT), "texts")
     known = texts.filter(F.col("key").isNotNull() & (F.col("n_words") >= min_words))
     first = known.groupBy("t1", "t2").agg(F.min("key").alias("first_key"))
 
     live = rows.filter(F.col("key").isNotNull() & F.col("text").isNotNull())
-    anchors = keep(live.mapInArrow(_anchors(min_words), _ANCHOR), "anchors")
+    anchors = stored(live.mapInArrow(_anchors(min_words), _ANCHOR), "anchors")
     shared = lambda df, *by: df.groupBy(*by).agg(F.min("key").alias("_lo"), F.max("key").alias("_hi")).filter("_lo < _hi")
-    again = keep(anchors.join(shared(anchors, "base").select("base"), "base", "left_semi")
+    again = stored(anchors.join(shared(anchors, "base").select("base"), "base", "left_semi")
                  .select("key", "t1", "at", F.explode(F.array(
                      F.struct((F.col("at") + half - full).alias("lo"), F.col("at").alias("hi"), F.col("right_half").alias("h")),
                      F.struct((F.col("at") + base - full).alias("lo"), (F.col("at") + base - half).alias("hi"), F.col("left_half").alias("h")))).alias("x"))
@@ -180,7 +178,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     ranges = halves.groupBy("key", "t1").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     # whole copies of a text with a smaller key need no windows; the first copy stands for them
     one = known.join(first, ["t1", "t2"]).filter("key = first_key").select("key", "t1").distinct()
-    todo = keep(live.join(ranges.join(one, ["key", "t1"]), "key").select("key", "text", "t1", "ranges"), "candidates")
+    todo = stored(live.join(ranges.join(one, ["key", "t1"]), "key").select("key", "text", "t1", "ranges"), "candidates")
     dense = todo.mapInArrow(_full_windows(min_words), _FULL)
     earliest = dense.groupBy("w1", "w2").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi")).filter("_lo < _hi").drop("_hi")
     hits = dense.join(earliest, ["w1", "w2"]).filter("key > _lo").groupBy("key", "t1").agg(F.collect_list("at").alias("starts"))
@@ -196,11 +194,6 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the repeated words cut from their texts (remaining words joined by a space);
     untouched texts stay as they are.  Keys must tell rows apart."""
