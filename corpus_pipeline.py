@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seasonlens.llm import decontaminate, jaccard, language, lines, mixing
+from seasonlens.llm.store import given
 from seasonlens.sources.tables import new_path
 
 #: Posterior under which a language is not believed.
@@ -20,13 +21,14 @@ ORACLE_SQL = None
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a believable language."""
     found = language.identify(docs, language.fit(docs))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(given(docs, language.NAMES))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts each source's boilerplate lines from its documents; all documents stay."""
     cut = lines.drop_boilerplate(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(given(docs, lines.NAMES))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents of which a twentieth or more of the words occur in benchmark passages."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.with_verdict(decontaminate.find_contamination(docs, bench))
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    return found.filter(~F.col("contaminated")).select(given(docs, decontaminate.NAMES))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

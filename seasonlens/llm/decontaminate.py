@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from seasonlens.llm.store import set_aside
 from seasonlens.llm.words import LOWER, NOT_ALNUM, signed, split_words, text_chunks, windows, winnowed
 
 SPAN = 13
@@ -183,15 +184,15 @@ def merged(pairs: list[tuple[int, int]]) -> list[dict]:
 
 
 ADDED = ("n_words", "hit_spans", "items")
+#: Names that the operator uses itself.
+NAMES = {*ADDED, "_block", "n_hit", "n_items", "items_sha256", "contaminated"}
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                        span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with ``n_words``, ``hit_spans`` (merged word spans, end exclusive) and ``items`` (ids of
     the items that occur, by value)."""
-    clash = {*ADDED, "_block"} & set(docs.columns)
-    if clash:
-        docs = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    docs = set_aside(docs, NAMES)
     spark = docs.sparkSession
     bench = benchmark.select(item, F.col("text").alias("text"))
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from seasonlens.llm.store import set_aside
 from seasonlens.llm.words import BASE1, WHITE, _BYTE, mix, powers, split_words, text_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -34,6 +35,7 @@ MAX_PIECE = 16
 SIDE_BY_SIDE = 32
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score")
+NAMES = ADDED
 _TILT = 3.0  # added to the log probability of a piece per byte, and taken off again: keeps sums in range
 _FLOOR = 0.02  # added to each expected count
 _INVERSE = np.uint64(pow(int(BASE1), -1, 1 << 64))
@@ -284,9 +286,7 @@ def _letters(data, offsets) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with ``lang_pred`` and ``score``, the posterior of the prediction."""
-    clash = {*ADDED} & set(docs.columns)
-    if clash:
-        docs = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    docs = set_aside(docs, NAMES)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

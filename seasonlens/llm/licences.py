@@ -16,11 +16,13 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seasonlens.llm.store import set_aside
+
 # Ways to grant, and public licences by their usual names.
 GRANTS = ("licensed under", "released under", "distributed under", "available under", "published under", "provided under")
 SUBJECTS = ("", "this work is", "this software is", "this project is", "this file is", "this document is", "this code is",
             "the source code is", "this program is", "this dataset is", "this text is", "it is")
-NAMES = {
+PLAIN = {
     "MIT": ("mit license", "mit licence"),
     "ISC": ("isc license",),
     "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license"),
@@ -61,7 +63,7 @@ def normal(text: str) -> str:
 
 
 def _names() -> dict[str, list[str]]:
-    out = {k: list(v) for k, v in NAMES.items()}
+    out = {k: list(v) for k, v in PLAIN.items()}
     for (short, name), v in product(GNU.items(), GNU_VERSIONS):
         dotted = v.replace(" ", ".") if " " in v else v + ".0"
         out.setdefault(f"{short}-{dotted}", []).extend(n + later for n in (
@@ -101,6 +103,7 @@ def dictionary() -> tuple[dict[str, str], list[tuple[str, str]]]:
 
 
 ADDED = ("licence_ids", "licences")
+NAMES = ADDED
 
 
 def _normal(s: Column) -> Column:
@@ -111,9 +114,7 @@ def _normal(s: Column) -> Column:
 def find_licences(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with ``licence_ids`` (the identifiers of their known sentences, in order) and ``licences`` (what
     the rules make of them, in order)."""
-    clash = {*ADDED} & set(docs.columns)
-    if clash:
-        docs = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    docs = set_aside(docs, NAMES)
     known, rules = dictionary()
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     sentences = F.split(F.regexp_replace(F.col(text), _SPLIT, "$1\u0001"), "\u0001")

@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seasonlens.llm.store import stored
+from seasonlens.llm.store import set_aside, stored
 
 RATIO = 0.05
 MIN_PAGES = 5
 ADDED = ("n_lines", "n_dropped")
+#: Names that the operator uses itself.
+NAMES = {*ADDED, "_host", "_salt", "_kept", "lines"}
 #: Boilerplate lists of at most this many lines in all are sent to every task; beyond it, they are joined.
 BROADCAST_LINES = 200_000
 #: Ways a host's pages are spread when the lists are joined.
@@ -50,9 +52,7 @@ def boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "source"
 def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
                      min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The pages with ``text`` cleaned, and ``n_lines, n_dropped``."""
-    clash = {*ADDED, "_host", "_salt", "lines"} & set(pages.columns)
-    if clash:
-        pages = pages.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    pages = set_aside(pages, NAMES)
     hot = stored(boilerplate_lines(pages, text, host, ratio, min_pages), "boilerplate")
     n = hot.agg(F.sum(F.size("lines"))).first()[0] or 0
     keyed = pages.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")))

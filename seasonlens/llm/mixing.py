@@ -17,12 +17,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seasonlens.llm.store import stored
+from seasonlens.llm.store import set_aside, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_REPEAT = 2.0
 ADDED = ("size", "source_size", "target", "draws")
+#: Names that the operator uses itself.
+NAMES = {*ADDED, "_src", "_h", "_block", "_off", "_given", "n_rows", "n_blocks", "words_due",
+         "_g", "epoch", "shard", "words", "mix_order"}
 _DRAWS = "array<struct<epoch:int,shard:int,words:bigint>>"
 
 
@@ -90,9 +93,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
                   seed: int = 17) -> DataFrame:
     """Every input row with ``size, source_size, target`` and ``draws``: the passes in which the mix
     takes it, the shard each goes to and how many of its words (from the front) are taken."""
-    taken_names = {*ADDED, "_src", "_h", "_block"} & set(docs.columns)
-    if taken_names:
-        docs = docs.withColumnsRenamed({c: f"{c}_in" for c in taken_names})
+    docs = set_aside(docs, NAMES)
     src = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t"))  # 't' comes after every 's...'
     sized = docs.select("*", src.alias("_src"), word_count(text).alias("size"))
     per = source_targets(sized.select("_src", "size"), weights, share, max_repeat).withColumns({

@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from seasonlens.llm.store import set_aside
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "key")
 _FLAGS = re.IGNORECASE | re.ASCII
@@ -145,14 +147,13 @@ def scan_text(t: str) -> list[tuple[int, int, str]]:
 
 
 ADDED = ("secrets",)
+NAMES = ADDED
 _SECRET = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with ``secrets``: kind, start and end of each span."""
-    clash = {*ADDED} & set(docs.columns)
-    if clash:
-        docs = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    docs = set_aside(docs, NAMES)
     at = docs.columns.index(text)
 
     def scan(batches):

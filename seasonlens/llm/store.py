@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonlens.sources.tables import new_path
 
@@ -11,3 +11,19 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _aside(name: str, taken: set[str]) -> str:
+    name = f"{name}_in"
+    return name if name.lower() not in taken else _aside(name, taken)
+
+
+def set_aside(df: DataFrame, names) -> DataFrame:
+    """Renames the columns that an operator's own names would hide (names are not case-sensitive): x becomes x_in."""
+    taken, names = {c.lower() for c in df.columns}, {n.lower() for n in names}
+    return df.withColumnsRenamed({c: _aside(c, taken) for c in df.columns if c.lower() in names})
+
+
+def given(before: DataFrame, names) -> list[Column]:
+    """The columns of ``before`` under their own names, from what an operator made of ``set_aside(before, names)``."""
+    return [F.col(new).alias(old) for old, new in zip(before.columns, set_aside(before, names).columns)]
