@@ -83,7 +83,7 @@ def _(spark, sf):
 
 
 # ---- water balance ---------------------------------------------------------------------------
-@query("wb1_water_balance", f"SELECT px_id, year, {r6('wrsi deficit_mm aet_mm wr_mm sw_end_mm')} FROM ({balance_sql(PLANT, MAIZE, 7, 15, 'any_value(whc_mm)', whc_from=WHC_SQL)})")
+@query("wb1_water_balance", f"SELECT px_id, year, {r6('wrsi deficit_mm aet_mm wr_mm sw_end_mm')}, complete FROM ({balance_sql(PLANT, MAIZE, 7, 15, 'any_value(whc_mm)', whc_from=WHC_SQL)})")
 def _(spark, sf):
     cl = I.climate(spark, sf)
     w = B.water_balance(cl, I.planting(spark, sf, cl), MAIZE, 7, 15, SO.texture_whc(I.soil_layers(spark, sf)))
@@ -102,18 +102,18 @@ def _(spark, sf):
 STAGED = [f"{k}_{s}" for k in ("wrsi", "wsi", "aet", "wr") for s in B.STAGES]
 
 
-@query("wb3_staged_balance", f"WITH RECURSIVE {stepwise_sql(PLANT, MAIZE, 7, 15, 2)} SELECT px_id, year, {r6(' '.join(STAGED))} FROM ({staged_sql(MAIZE)})")
+@query("wb3_staged_balance", f"WITH RECURSIVE {stepwise_sql(PLANT, MAIZE, 7, 15, 2)} SELECT px_id, year, {r6(' '.join(STAGED))}, complete FROM ({staged_sql(MAIZE)})")
 def _(spark, sf):
     cl = I.climate(spark, sf)
     return rounded(B.staged_balance(cl, I.planting(spark, sf, cl), MAIZE, 7, 15), *STAGED)
 
 
-@query("wb3_staged_short_rains", f"WITH RECURSIVE {stepwise_sql(FALLBACK_SQL, MAIZE_EARLY, 28, 34, 2, col='onset')} SELECT px_id, year, {r6(' '.join(STAGED))} FROM ({staged_sql(MAIZE_EARLY)}) WHERE year < 2001")
+@query("wb3_staged_short_rains", f"WITH RECURSIVE {stepwise_sql(FALLBACK_SQL, MAIZE_EARLY, 28, 34, 2, col='onset')} SELECT px_id, year, {r6(' '.join(STAGED))}, complete FROM ({staged_sql(MAIZE_EARLY, 28, 34)})")
 def _(spark, sf):
-    """The cycle runs into the next year; the last season lacks it and is left out."""
+    """The cycle runs into the next year; the last season lacks it: NULL and not complete."""
     cl = I.climate(spark, sf)
     pl = short_onset(spark, sf, cl).withColumn("planting", F.col("onset"))
-    return rounded(B.staged_balance(cl, pl, MAIZE_EARLY, 28, 34).filter(F.col("year") < 2001), *STAGED)
+    return rounded(B.staged_balance(cl, pl, MAIZE_EARLY, 28, 34), *STAGED)
 
 
 @query("wb4_driver", f"SELECT px_id, year, onset AS planting, round(wrsi, 6) AS wrsi, {wrsi_class('wrsi')} AS wrsi_class FROM v_onset LEFT JOIN ({balance_sql(PLANT, MAIZE, 7, 15)}) USING (px_id, year)")
@@ -160,7 +160,7 @@ def clock_sql(sos: str, lo: int, hi: int) -> str:
     marks = ", ".join(f"min(CASE WHEN cum >= gdd_maturity * {f}::DOUBLE THEN gd END) AS {n}_dekad" for n, f in
                       (("peak_vegetative", 0.45), ("flowering", 0.55), ("grain_filling", 0.65), ("maturity", 1.0)))
     return f"""
-    SELECT px_id, year, {marks}, CAST(trunc(max(cum)) AS INTEGER) AS gdd_total FROM (
+    SELECT px_id, year, {marks}, CAST(trunc(CASE WHEN count(*) = {hi - lo + 1} THEN max(cum) END) AS INTEGER) AS gdd_total FROM (
       SELECT *, sum(CASE WHEN gd >= sos THEN {GDD} ELSE 0 END) OVER (PARTITION BY px_id, year ORDER BY gd) AS cum FROM (
         SELECT px_id, year, dekad AS gd, tmax_c, tmin_c FROM v_temps WHERE dekad BETWEEN {lo} AND {hi}
         UNION ALL SELECT px_id, year - 1, dekad + 36, tmax_c, tmin_c FROM v_temps WHERE dekad + 36 BETWEEN {lo} AND {hi})

@@ -11,7 +11,7 @@ from crosscheck.util import r6, rounded
 from crosscheck.views import start
 from seasonlens.config import MAIZE
 from seasonlens.plans.season import SeasonParams, risk_product
-from seasonlens.operators import balance as B, frames as FR, rainfall as RA, risk as R, soil as SO
+from seasonlens.operators import balance as B, frames as FR, onset as O, rainfall as RA, risk as R, soil as SO
 
 SPI_SQL = """
     SELECT px_id, year, p3, least(greatest((pow(p3 / mu, 1/3e0) - 1 + 1/a9) * sqrt(a9), -35e-1), 35e-1) AS spi3 FROM (
@@ -41,31 +41,44 @@ def _(spark, sf):
     return rounded(B.wet_dekad_exposure(I.rain(spark, sf), I.planting(spark, sf), MAIZE, 7, 15), "waterlog_idx")
 
 
-def aeration_sql(drain: str) -> str:
-    """Day-by-day recursion on a dense series (200 + 2 days from the start of dekad 7)."""
+ONSETS = "SELECT px_id, year, onset AS planting FROM v_onset WHERE onset IS NOT NULL"
+# season start less the fixed emergence lag: may precede dekad 7
+GREEN = "SELECT px_id, year, sos - 2 AS planting FROM v_sos WHERE sos IS NOT NULL"
+
+
+def aeration_sql(drain: str, first: str, days: int, dsp: str, planted: str = ONSETS) -> str:
+    """Day-by-day recursion on a dense series of ``days`` days from the date ``first``."""
     filled = "least(greatest(r.w + coalesce(d.rain_mm, 0) - 4, 0), r.sat_mm)"
     return f"""
-    base AS MATERIALIZED (SELECT px_id, year, onset, fc_mm, sat_mm, tau, fc_mm + (sat_mm - fc_mm) * 5e-1 AS thr, {start('year', '7')} AS d0
-                          FROM v_onset JOIN ({HYDRO_SQL}) USING (px_id) WHERE onset IS NOT NULL),
+    base AS MATERIALIZED (SELECT px_id, year, planting, fc_mm, sat_mm, tau, fc_mm + (sat_mm - fc_mm) * 5e-1 AS thr, {first} AS d0
+                          FROM ({planted}) JOIN ({HYDRO_SQL}) USING (px_id)),
     wet AS MATERIALIZED (SELECT * FROM v_rain_daily),
     run AS (
-      SELECT px_id, year, onset, fc_mm, sat_mm, tau, thr, d0, -1 AS i, fc_mm * 8e-1 AS w, 0e0 AS run, 0e0 AS peak FROM base
+      SELECT px_id, year, planting, fc_mm, sat_mm, tau, thr, d0, -1 AS i, fc_mm * 8e-1 AS w, 0e0 AS run, 0e0 AS peak FROM base
       UNION ALL
-      SELECT px_id, year, onset, fc_mm, sat_mm, tau, thr, d0, i, w, run, greatest(peak, run) FROM (
+      SELECT px_id, year, planting, fc_mm, sat_mm, tau, thr, d0, i, w, run, greatest(peak, run) FROM (
         SELECT *, CASE WHEN dsp >= 0 AND dsp < 120 AND w > thr THEN
                  prev + least(greatest((w - thr) / greatest(sat_mm - thr, 1e-3), 0), 1) * CASE WHEN dsp < 70 THEN 1 WHEN dsp < 100 THEN 6e-1 ELSE 35e-2 END ELSE 0e0 END AS run FROM (
-          SELECT r.px_id, r.year, r.onset, r.fc_mm, r.sat_mm, r.tau, r.thr, r.d0, r.i + 1 AS i, r.run AS prev, r.peak,
-                 r.i + 1 - (r.onset - 7) * 10 AS dsp, {drain.format(f=filled)} AS w
-          FROM run r LEFT JOIN wet d ON d.px_id = r.px_id AND d.d = r.d0 + CAST(r.i + 1 AS INTEGER) WHERE r.i < 201)))"""
+          SELECT r.px_id, r.year, r.planting, r.fc_mm, r.sat_mm, r.tau, r.thr, r.d0, r.i + 1 AS i, r.run AS prev, r.peak,
+                 {dsp} AS dsp, {drain.format(f=filled)} AS w
+          FROM run r LEFT JOIN wet d ON d.px_id = r.px_id AND d.d = r.d0 + CAST(r.i + 1 AS INTEGER) WHERE r.i < {days - 1})))"""
 
 
-AER_SQL = aeration_sql("({f}) - greatest(({f}) - r.fc_mm, 0) * r.tau")
-AER_CODED_SQL = aeration_sql("r.fc_mm + greatest(({f}) - r.fc_mm, 0) * (1 - r.tau)")
+_DRAIN = "({f}) - greatest(({f}) - r.fc_mm, 0) * r.tau"
+_CODED = "r.fc_mm + greatest(({f}) - r.fc_mm, 0) * (1 - r.tau)"
+_INDEX = (start("year", "7"), 202, "r.i + 1 - (r.planting - 7) * 10")
+AER_SQL = aeration_sql(_DRAIN, start("year", "planting"), 120, "r.i + 1")
+AER_CODED_SQL = aeration_sql(_CODED, *_INDEX)
 AER_OUT = "SELECT px_id, year, round(least(greatest(max(peak) / 4, 0), 1) * 100, 6) AS waterlog_idx FROM run GROUP BY ALL"
 
 
-def aeration(spark, sf, as_coded=False):
-    return B.aeration_stress(I.planting(spark, sf), I.rain_daily(spark, sf), SO.hydraulics(I.soil_layers(spark, sf)), MAIZE, 7, 15, as_coded=as_coded)
+def greenness_planting(spark, sf):
+    return O.planting_fixed(I.sos(spark, sf), "maize")
+
+
+def aeration(spark, sf, as_coded=False, planting=None):
+    pl = planting if planting is not None else I.planting(spark, sf)
+    return B.aeration_stress(pl, I.rain_daily(spark, sf), SO.hydraulics(I.soil_layers(spark, sf)), MAIZE, 7, 15, as_coded=as_coded)
 
 
 @query("exc2_aeration_stress", f"WITH RECURSIVE {AER_SQL} {AER_OUT}")
@@ -78,12 +91,23 @@ def _(spark, sf):
     return rounded(aeration(spark, sf, True), "waterlog_idx")
 
 
-def _heavy_sql(lo: int, hi: int) -> str:
+@query("exc2_greenness_planting", f"WITH RECURSIVE {aeration_sql(_DRAIN, start('year', 'planting'), 120, 'r.i + 1', GREEN)} {AER_OUT}")
+def _(spark, sf):
+    """Plantings before the window keep their first days."""
+    return rounded(aeration(spark, sf, planting=greenness_planting(spark, sf)), "waterlog_idx")
+
+
+@query("exc2_greenness_as_coded", f"WITH RECURSIVE {aeration_sql(_CODED, *_INDEX, GREEN)} {AER_OUT}")
+def _(spark, sf):
+    return rounded(aeration(spark, sf, True, greenness_planting(spark, sf)), "waterlog_idx")
+
+
+def _heavy_sql(lo: int, hi: int, coded: bool = False, planted: str = ONSETS) -> str:
+    first, end = (start("o.year", "7"), 202) if coded else (start("o.year", "o.planting"), 120)
+    dsp = f"date_diff('day', {first}, d.d)" + (" - (o.planting - 7) * 10" if coded else "")
     return f"""
-    SELECT o.px_id, o.year, count(d.d) AS heavy_rain_days FROM v_onset o LEFT JOIN v_rain_daily d ON d.px_id = o.px_id AND d.rain_mm > 50
-      AND d.d >= {start('o.year', '7')} AND d.d < {start('o.year', '7')} + 202
-      AND date_diff('day', {start('o.year', '7')}, d.d) - (o.onset - 7) * 10 BETWEEN {lo} AND {hi - 1}
-    WHERE o.onset IS NOT NULL GROUP BY ALL"""
+    SELECT o.px_id, o.year, count(d.d) AS heavy_rain_days FROM ({planted}) o LEFT JOIN v_rain_daily d ON d.px_id = o.px_id AND d.rain_mm > 50
+      AND d.d >= {first} AND d.d < {first} + {end} AND {dsp} BETWEEN {lo} AND {hi - 1} GROUP BY ALL"""
 
 
 @query("exc3_heavy_rain_days", _heavy_sql(0, 120))
@@ -96,6 +120,16 @@ def _(spark, sf):
     return B.heavy_rain_days(I.planting(spark, sf), I.rain_daily(spark, sf), MAIZE, 7, 15, stage="flo")
 
 
+@query("exc3_greenness_planting", _heavy_sql(0, 120, planted=GREEN))
+def _(spark, sf):
+    return B.heavy_rain_days(greenness_planting(spark, sf), I.rain_records(spark, sf), MAIZE, 7, 15)
+
+
+@query("exc3_as_coded", _heavy_sql(0, 120, True, GREEN))
+def _(spark, sf):
+    return B.heavy_rain_days(greenness_planting(spark, sf), I.rain_daily(spark, sf), MAIZE, 7, 15, as_coded=True)
+
+
 # ---- vegetation ------------------------------------------------------------------------------
 def peak_sql(view: str, scale: str) -> str:
     return f"""
@@ -114,10 +148,11 @@ def _(spark, sf):
 
 
 @query("veg1_wrapping_season", f"""
-    SELECT px_id, y AS year, round(max(raw) * 1e-4, 6) AS peak FROM v_ndvi_obs, (SELECT unnest(range(1994, 2002)) AS y)
+    SELECT px_id, y AS year, round(max(raw) * 1e-4, 6) AS peak FROM v_ndvi_obs, (SELECT unnest(range(1995, 2001)) AS y)
     WHERE d >= {start('y', '33')} AND d < {start('y', '38')} + 40 GROUP BY ALL""")
 def _(spark, sf):
-    return rounded(R.seasonal_peak(I.ndvi_obs(spark, sf), 33, 38, 0.0001), "peak")
+    """Seasons whose window the record holds whole: 1995 to 2000."""
+    return rounded(R.seasonal_peak(I.ndvi_obs(spark, sf), 33, 38, 0.0001, years=(1995, 2000)), "peak")
 
 
 VCI_SQL = f"""

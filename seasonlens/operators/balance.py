@@ -14,8 +14,9 @@ from seasonlens import config as C
 from seasonlens.config import SOIL, CropParams, SoilConfig
 from seasonlens.functions.climate import crop_coefficient, dekad_gdd
 from seasonlens.functions.masks import clamp, floor_at
-from seasonlens.operators.frames import PX, season_days, season_frame
-from seasonlens.operators.onset import SEASON
+from seasonlens.functions.dekads import dekad_start
+from seasonlens.operators.frames import PX, own_year, season_days, season_frame
+from seasonlens.operators.onset import SEASON, rain_days
 
 
 def zero() -> Column:
@@ -27,10 +28,10 @@ def season_series(climate: DataFrame, gd_lo: int, gd_hi: int, keys: Sequence[str
     """One row per season with its ordered dekads ``s``: array<struct<gd, fields...>>.
 
     climate: px_id, year, dekad, fields.  ``extra`` aggregates (such as ``onset_aggs``) ride on the
-    same shuffle.
+    same shuffle.  A season without a dekad in its own calendar year is none.
     """
     return season_frame(climate.select(*PX, "year", "dekad", *fields), gd_lo, gd_hi).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("gd", *fields))).alias("s"), *extra)
+        F.array_sort(F.collect_list(F.struct("gd", *fields))).alias("s"), own_year().alias("_own"), *extra).filter("_own").drop("_own")
 
 
 def with_demand(seasons: DataFrame, p: CropParams) -> DataFrame:
@@ -40,10 +41,13 @@ def with_demand(seasons: DataFrame, p: CropParams) -> DataFrame:
         dsp(x).alias("dsp"), x["p"].alias("p"), (crop_coefficient(dsp(x), p) * x["et0"]).alias("wr"))))
 
 
-def _complete() -> Column:
-    """No masked rain, demand or capacity in the season: a mask anywhere masks the whole result, so
-    it is tested once and the folds below run on plain numbers."""
-    return F.col("whc_mm").isNotNull() & ~F.exists("demand", lambda x: (x["p"] + x["wr"]).isNull())
+def _complete(span: tuple[int, int]) -> Column:
+    """Every dekad of the span once, and no masked rain, demand or capacity in the season: a gap or a mask
+    anywhere masks the whole result, so it is tested once and the folds below run on plain numbers."""
+    inside = F.transform(F.filter("s", lambda x: x["gd"].between(*span)), lambda x: x["gd"])
+    n = span[1] - span[0] + 1
+    whole = (F.size(inside) == n) & (F.size(F.array_distinct(inside)) == n)
+    return F.col("whc_mm").isNotNull() & whole & ~F.exists("demand", lambda x: (x["p"] + x["wr"]).isNull())
 
 
 def with_capacity(rows: DataFrame, whc: DataFrame | None, soil: SoilConfig = SOIL) -> DataFrame:
@@ -61,26 +65,27 @@ def water_balance(
     climate: DataFrame, planting: DataFrame, p: CropParams, sos_start: int, sos_end: int,
     whc: DataFrame | None = None, soil: SoilConfig = SOIL, keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """Seasonal WRSI, deficit, AET, WR and closing soil water.
+    """Seasonal WRSI, deficit, AET, WR and closing soil water, and whether the season is complete.
 
-    A NULL anywhere in the season's rain or demand makes the result NULL.
+    A NULL anywhere in the season's rain or demand, or a dekad that is not there, makes the result
+    NULL and ``complete`` 0.
     """
-    series = season_series(climate, *balance_range(p, sos_start, sos_end), keys)
-    rows = with_capacity(series.join(_planted(planting, keys), list(keys)), whc, soil)
-    return add_water_balance(rows, p, soil).select(*keys, *BALANCE)
+    span = balance_range(p, sos_start, sos_end)
+    rows = with_capacity(season_series(climate, *span, keys).join(_planted(planting, keys), list(keys)), whc, soil)
+    return add_water_balance(rows, p, span, soil).select(*keys, *BALANCE)
 
 
-BALANCE = ("wrsi", "deficit_mm", "aet_mm", "wr_mm", "sw_end_mm")
+BALANCE = ("wrsi", "deficit_mm", "aet_mm", "wr_mm", "sw_end_mm", "complete")
 
 
 def balance_range(p: CropParams, sos_start: int, sos_end: int, staged: bool = False) -> tuple[int, int]:
     return max(1, sos_start - 1), sos_end + p.lgp + (2 if staged else 1)
 
 
-def add_water_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
+def add_water_balance(seasons: DataFrame, p: CropParams, span: tuple[int, int], soil: SoilConfig = SOIL) -> DataFrame:
     """The recurrence over rows that hold ``s``, planting and whc_mm; other columns are kept.
 
-    ``s`` may run past the balance's own range: demand is 0 outside the cycle.
+    ``span``: the dekads the balance needs.  ``s`` may run past it: demand is 0 outside the cycle.
     """
     start = F.struct((F.col("whc_mm") * soil.init_frac).alias("sw"), zero().alias("aet"), zero().alias("wr"))
 
@@ -92,8 +97,9 @@ def add_water_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL
             (a["aet"] + aet).alias("aet"), (a["wr"] + x["wr"]).alias("wr"))
 
     r = with_demand(seasons, p).withColumn(
-        "_r", F.when(_complete(), F.aggregate("demand", start, step))).drop("demand")
+        "_r", F.when(_complete(span), F.aggregate("demand", start, step))).drop("demand")
     return r.withColumns({
+        "complete": F.col("_r").isNotNull().cast("int"),
         "wrsi": F.col("_r.aet") / floor_at(F.col("_r.wr"), 1e-6) * 100,
         "deficit_mm": F.col("_r.wr") - F.col("_r.aet"),
         "aet_mm": F.col("_r.aet"), "wr_mm": F.col("_r.wr"), "sw_end_mm": F.col("_r.sw"),
@@ -111,16 +117,17 @@ def staged_balance(
 
     The snapshot at a stage end is taken once the first dekad after it has been added.
     """
-    series = season_series(climate, *balance_range(p, sos_start, sos_end, staged=True), keys)
-    rows = with_capacity(series.join(_planted(planting, keys), list(keys)), whc, soil)
-    return add_staged_balance(rows, p, soil).select(*keys, *STAGED)
+    span = balance_range(p, sos_start, sos_end, staged=True)
+    rows = with_capacity(season_series(climate, *span, keys).join(_planted(planting, keys), list(keys)), whc, soil)
+    return add_staged_balance(rows, p, span, soil).select(*keys, *STAGED, "complete")
 
 
 STAGED = tuple(f"{k}_{s}" for k in ("wrsi", "wsi", "aet", "wr") for s in STAGES)
 
 
-def add_staged_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
-    """The staged recurrence over rows that hold ``s``, planting and whc_mm; others are kept."""
+def add_staged_balance(seasons: DataFrame, p: CropParams, span: tuple[int, int], soil: SoilConfig = SOIL) -> DataFrame:
+    """The staged recurrence over rows that hold ``s``, planting and whc_mm; others are kept.
+    ``span`` as in ``add_water_balance``."""
     bounds = {"veg": (0, p.veg_end), "flo": (p.veg_end, p.flo_end), "grf": (p.flo_end, p.lgp)}
     init = [(F.col("whc_mm") * soil.init_frac).alias("sw"), zero().alias("aet"), zero().alias("wr")]
     init += [zero().alias(f"{k}_{s}") for s in STAGES for k in ("wrsi", "wsi", "aet", "wr")]
@@ -144,8 +151,8 @@ def add_staged_balance(seasons: DataFrame, p: CropParams, soil: SoilConfig = SOI
         return F.struct(*out)
 
     r = with_demand(seasons, p).withColumn(
-        "_r", F.when(_complete(), F.aggregate("demand", F.struct(*init), step))).drop("demand")
-    return r.withColumns({c: F.col(f"_r.{c}") for c in STAGED}).drop("_r")
+        "_r", F.when(_complete(span), F.aggregate("demand", F.struct(*init), step))).drop("demand")
+    return r.withColumns({c: F.col(f"_r.{c}") for c in STAGED} | {"complete": F.col("_r").isNotNull().cast("int")}).drop("_r")
 
 
 def aeration_stress(planting: DataFrame, daily: DataFrame, hydro: DataFrame, p: CropParams,
@@ -164,16 +171,22 @@ def add_aeration_stress(
     """Add waterlog_idx 0..100: peak of a stage-weighted run of saturated days that resets when the
     soil drains below the anaerobiosis point; NULL without planting or soil.
 
-    Default: only water above field capacity drains.  ``as_coded``: soil below field capacity is
-    lifted to it every day.  Only rainy days are shuffled; the fold restores the dry ones.
+    Default: the balance starts on the first day of the planting dekad, by real dates, and only water
+    above field capacity drains.  ``as_coded``: it starts at sos_start, the cycle's days are counted as
+    (planting - sos_start) * 10 from there, so that a planting before it loses its first days, and soil
+    below field capacity is lifted to it every day.  Plantings up to three dekads before sos_start are
+    served.  Only rainy days are shuffled, summed by day; the fold restores the dry ones.
     """
-    n = (sos_end - sos_start + p.lgp) * 10 + 2
+    first, reach = (sos_start, (sos_end - sos_start + p.lgp) * 10 + 2) if as_coded else _scan(p, sos_start, sos_end)
     wet = (
-        season_days(daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm"), sos_start, n)
+        season_days(rain_days(daily), first, reach)
         .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "rain_mm"))).alias("_rain"))
     )
+    n = reach if as_coded else p.lgp * 10
+    opening = F.lit(0) if as_coded else planting_day(first)
     rows = seasons.join(wet, list(keys), "left").join(hydro.select(*PX, "fc_mm", "sat_mm", "tau"), list(PX), "left").withColumns({
-        "onset_day": (F.col("planting") - sos_start) * 10,
+        "onset_day": (F.col("planting") - sos_start) * 10 if as_coded else F.lit(0),
+        "_open": opening,
         "thr": F.col("fc_mm") + (F.col("sat_mm") - F.col("fc_mm")) * C.AER_START,
         "_rain": F.coalesce("_rain", F.create_map().cast("map<int,double>")),
     })
@@ -181,7 +194,7 @@ def add_aeration_stress(
     days = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda i: F.struct(
-            F.coalesce(F.try_element_at("_rain", i), zero()).alias("p"),
+            F.coalesce(F.try_element_at("_rain", F.col("_open") + i), zero()).alias("p"),
             F.when((i < F.col("onset_day")) | (i >= F.col("onset_day") + p.lgp * 10), zero())
             .when(i - F.col("onset_day") < p.veg_end * 10, C.EXCESS_WEIGHT["veg"])
             .when(i - F.col("onset_day") < p.flo_end * 10, C.EXCESS_WEIGHT["flo"])
@@ -213,6 +226,16 @@ def add_aeration_stress(
     )
 
 
+def _scan(p: CropParams, sos_start: int, sos_end: int) -> tuple[int, int]:
+    """(first dekad, days) that hold the whole cycle of every planting from sos_start - 3 to sos_end."""
+    return sos_start - 3, (sos_end - sos_start + 4) * 11 + p.lgp * 10
+
+
+def planting_day(first_gd: int) -> Column:
+    """Days from the start of dekad first_gd to that of the planting dekad, by the calendar."""
+    return F.datediff(dekad_start("year", F.col("planting").cast("int")), dekad_start("year", F.lit(first_gd)))
+
+
 def wet_dekad_exposure(
     rain: DataFrame, planting: DataFrame, p: CropParams, sos_start: int, sos_end: int,
     wet_mm: float = C.WET_DEKAD_MM, keys: Sequence[str] = SEASON,
@@ -232,16 +255,17 @@ def wet_dekad_exposure(
 
 def heavy_rain_days(
     planting: DataFrame, daily: DataFrame, p: CropParams, sos_start: int, sos_end: int,
-    heavy_mm: float = 50.0, stage: str | None = None, keys: Sequence[str] = SEASON,
+    heavy_mm: float = 50.0, stage: str | None = None, as_coded: bool = False, keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """Days above heavy_mm in the cycle, or in one stage of it.  Seasons without any get 0."""
+    """Days above heavy_mm in the cycle, or in one stage of it, by real dates from the planting dekad on
+    (``as_coded``: by day index from sos_start).  Seasons without any get 0."""
     lo = {None: 0, "veg": 0, "flo": p.veg_end, "grf": p.flo_end}[stage] * 10
     hi = {None: p.lgp, "veg": p.veg_end, "flo": p.flo_end, "grf": p.lgp}[stage] * 10
-    n = (sos_end - sos_start + p.lgp) * 10 + 2
+    first, reach = (sos_start, (sos_end - sos_start + p.lgp) * 10 + 2) if as_coded else _scan(p, sos_start, sos_end)
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
-    # the threshold is applied before anything moves: heavy days are rare
-    hits = season_days(daily.filter(F.col("rain_mm") > heavy_mm).select(*PX, "d"), sos_start, n)
-    dsp = F.col("i") - (F.col("planting") - sos_start) * 10
+    # heavy days are rare: the threshold is applied to the day's sum before the seasons meet them
+    hits = season_days(rain_days(daily, heavy_mm).select(*PX, "d"), first, reach)
+    dsp = F.col("i") - ((F.col("planting") - sos_start) * 10 if as_coded else planting_day(first))
     return pl.join(hits, list(keys), "left").groupBy(*keys).agg(
         F.count(F.when((dsp >= lo) & (dsp < hi), 1)).alias("heavy_rain_days"))
 
@@ -253,20 +277,25 @@ def gdd_clock(
 ) -> DataFrame:
     """Global dekad at which each growth stage is reached, and total degree-days.
 
-    temps: px_id, year, dekad, tmax_c, tmin_c (already lapse-corrected).  The running sum and the
-    aggregate after it share one partitioning by season.
+    temps: px_id, year, dekad, tmax_c, tmin_c (already lapse-corrected).  A masked or absent dekad masks
+    every marker not reached before it, and the total.  The running sum and the aggregate after it
+    share one partitioning by season.
     """
     rows = season_frame(temps.select(*PX, "year", "dekad", "tmax_c", "tmin_c"), dk_lo, dk_hi)
     anchor = sos.filter(F.col("sos").isNotNull()).select(*keys, "sos").join(
         maturity.select(*PX, "gdd_maturity"), list(PX))
     w = Window.partitionBy(*keys).orderBy("gd").rowsBetween(Window.unboundedPreceding, 0)
-    active = F.when(F.col("gd") >= F.col("sos"), dekad_gdd("tmax_c", "tmin_c")).otherwise(zero())
-    cum = rows.join(anchor, list(keys)).withColumn("cum", F.sum(active).over(w))
+    gdd = dekad_gdd("tmax_c", "tmin_c")
+    active = F.when(F.col("gd") >= F.col("sos"), gdd).otherwise(zero())
+    # unbroken so far: as many values as dekads since the first one
+    sound = F.count(gdd).over(w) == F.col("gd") - (dk_lo - 1)
+    cum = rows.join(anchor, list(keys)).withColumn("cum", F.when(sound, F.sum(active).over(w)))
     marks = [
         F.min(F.when(F.col("cum") >= F.col("gdd_maturity") * frac, F.col("gd"))).alias(f"{name}_dekad")
         for name, frac in C.STAGE_FRACTION.items()
     ]
-    return cum.groupBy(*keys).agg(*marks, F.max("cum").cast("int").alias("gdd_total"))
+    whole = F.count("cum") == dk_hi - dk_lo + 1
+    return cum.groupBy(*keys).agg(*marks, F.when(whole, F.max("cum")).cast("int").alias("gdd_total"))
 
 
 def rain_anchored_clock(temps: DataFrame, onset: DataFrame, maturity: DataFrame,

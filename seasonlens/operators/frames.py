@@ -47,13 +47,15 @@ def dekadal(
     return with_dekad(rows, date_col, mode).groupBy(*keys, "year", "dekad").agg(*aggs)
 
 
-def season_frame(by_dekad: DataFrame, gd_lo: int, gd_hi: int) -> DataFrame:
+def season_frame(by_dekad: DataFrame, gd_lo: int, gd_hi: int, years: tuple[int, int] | None = None) -> DataFrame:
     """Re-key (year, dekad) rows by season year and global dekad, keeping gd_lo..gd_hi.
 
     A row serves its own year and, when the range passes 36, earlier season years too, so the
     only multiplication is the overlap the season really needs; the filter is applied per row
-    before any shuffle.
+    before any shuffle.  ``years`` are the season years wanted: their calendar years reach the scan.
     """
+    if years:
+        by_dekad = by_dekad.filter(F.col("year").between(years[0], years[1] + max(0, (gd_hi - 1) // DEKADS)))
     reach = (gd_hi - 1) // DEKADS
     if reach <= 0:
         return by_dekad.filter(F.col("dekad").between(gd_lo, gd_hi)).withColumnRenamed("dekad", "gd")
@@ -62,11 +64,23 @@ def season_frame(by_dekad: DataFrame, gd_lo: int, gd_hi: int) -> DataFrame:
     return (
         by_dekad.withColumn("_back", back)
         .withColumns({"gd": F.col("dekad") + DEKADS * F.col("_back"), "year": F.col("year") - F.col("_back")})
-        .filter(F.col("gd").between(gd_lo, gd_hi))
+        .filter(F.col("gd").between(gd_lo, gd_hi) & (F.col("year").between(*years) if years else F.lit(True)))
         .select("year", "gd", *rest)
     )
 
 
+def own_year() -> Column:
+    """Aggregate over a season's rows: some of them lie in the season's own calendar year.  A season
+    that only the next year's rows suggest is not one."""
+    return F.min("gd") <= DEKADS
+
+
+def in_years(date_col: str, first: int, last: int) -> Column:
+    """Date bounds of whole years, in a form that reaches the scan."""
+    d = F.col(date_col)
+    return (d >= F.make_date(F.lit(first), F.lit(1), F.lit(1))) & (d < F.make_date(F.lit(last + 1), F.lit(1), F.lit(1)))
+
+
 def season_days(daily: DataFrame, first_gd: int, n_days: int) -> DataFrame:
     """Re-key daily rows by season year and day index 0..n_days-1 from the start of dekad first_gd.
 
@@ -103,10 +117,15 @@ def first_true(conds: dict[int, Column]) -> Column:
     return picks[0] if len(picks) == 1 else F.least(*picks)
 
 
+BITS = 63
+
+
 def bit_set(index: Column, cond: Column) -> Column:
-    """Aggregate: bitmap of the indexes (0..62) at which cond holds.  Merges map-side."""
+    """Aggregate: bitmap of the indexes (0..62) at which cond holds.  Merges map-side; an index that the
+    bitmap cannot hold is an error, never a wrapped bit."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), index.cast("int"))
-    return F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0).cast("long"))
+    bit = F.when(index.between(0, BITS - 1), bit).otherwise(F.raise_error(F.lit("index outside the bitmap")).cast("long"))
+    return F.coalesce(F.bit_or(F.when(cond & index.isNotNull(), bit)), F.lit(0).cast("long"))
 
 
 def longest_run(bits: Column, width: int, ring: bool = False) -> Column:

@@ -10,7 +10,7 @@ from seasonlens.functions.climate import thermal_offset
 from seasonlens.functions.dekads import dekad_start
 from seasonlens.functions.masks import floor_at, unmask
 from seasonlens.operators.frames import (
-    PX, bit_set, first_true, longest_run, season_days, season_frame, wide, wide_aggs)
+    BITS, PX, bit_set, first_true, in_years, longest_run, own_year, season_days, season_frame, wide, wide_aggs)
 
 SEASON = (*PX, "year")
 
@@ -97,7 +97,7 @@ def rain_onset(
     keys: Sequence[str] = SEASON,
 ) -> DataFrame:
     """Rainfall onset per season; ``pet`` names the column of the optional P / PET gate."""
-    s = season_frame(by_dekad, start, end).groupBy(*keys).agg(*onset_aggs(start, end, pet))
+    s = season_frame(by_dekad, start, end).groupBy(*keys).agg(*onset_aggs(start, end, pet), own_year().alias("_own")).filter("_own")
     return s.select(*keys, onset_rule(start, end, pet is not None, ratio_min).alias("onset"))
 
 
@@ -129,7 +129,7 @@ def median_over_years(rows: DataFrame, value: str, out: str, years: tuple[int, i
 
 
 def temperature_normal(daily: DataFrame, years: tuple[int, int], keys: Sequence[str] = PX) -> DataFrame:
-    return daily.filter(F.year("d").between(*years)).groupBy(*keys).agg(
+    return daily.filter(in_years("d", *years)).groupBy(*keys).agg(
         (F.avg("tmean_k") - 273.15).alias("t_norm_c"))
 
 
@@ -166,10 +166,12 @@ def add_post_onset_rain(
 
     Only rainy days move: a day that is not wet is dry, recorded or not, so the dry bitmap is the
     complement of the wet one and no day spine is built.  The join and the aggregate share the
-    season key, and the season table is read once.  daily: one row per pixel-day; ``bounds`` are
-    the possible planting dekads and prune days before the shuffle.
+    season key, and the season table is read once.  Readings of one pixel and day are summed first;
+    ``bounds`` are the possible planting dekads and prune days before the shuffle.
     """
-    wet_rows = daily.filter(F.col("rain_mm") > 0).select(*PX, "d", "rain_mm")
+    if not 1 <= window_days < BITS:
+        raise ValueError(f"window_days must be 1..{BITS - 1}")
+    wet_rows = rain_days(daily)
     planting = F.col("planting").cast("int")
     if as_coded:
         lo, n = scan[0], (scan[1] - scan[0]) * 10 + window_days + 2
@@ -195,6 +197,13 @@ def add_post_onset_rain(
         "onset_acc_mm": F.when(planted, F.col("_acc"))}).drop("_wet", "_acc")
 
 
+def rain_days(daily: DataFrame, above: float = 0.0) -> DataFrame:
+    """Rain per pixel and day where it exceeds ``above``.  Sums combine map-side and need no shuffle
+    of their own where the rows are already laid out by pixel and day."""
+    rows = daily.filter(F.col("rain_mm") > 0).groupBy(*PX, "d").agg(F.sum("rain_mm").alias("rain_mm"))
+    return rows.filter(F.col("rain_mm") > above) if above > 0 else rows
+
+
 def post_onset_rain(planting: DataFrame, daily: DataFrame, keys: Sequence[str] = SEASON, **kw) -> DataFrame:
     """The two diagnostics alone, for planted seasons."""
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")

@@ -9,7 +9,7 @@ from seasonlens import config as C
 from seasonlens.functions.climate import KELVIN, hargreaves_et0
 from seasonlens.functions.dekads import date_to_dekad, dekad_start
 from seasonlens.functions.masks import clamp, unmask
-from seasonlens.operators.frames import PX, dekadal
+from seasonlens.operators.frames import PX, dekadal, in_years
 
 
 def rain_by_dekad(daily: DataFrame, keys: Sequence[str] = PX, mode: str = "calendar") -> DataFrame:
@@ -70,19 +70,12 @@ def blend_totals(obs: DataFrame, forecast: DataFrame, keys: Sequence[str] = PX)
 def dekad_climatology(
     daily: DataFrame, years: tuple[int, int], keys: Sequence[str] = PX
 ) -> DataFrame:
-    """Mean over years of the dekad sum, in one shuffle.
-
-    mean(yearly sums) = total / number of years with data, and that count is a bitmap OR, so no
-    per-year intermediate table is built.  Up to 62 years.
-    """
-    y0 = years[0]
-    rows = daily.filter(F.year("d").between(*years))
-    year_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.year("d") - y0)
-    return (
-        rows.filter(F.col("rain_mm").isNotNull())
-        .groupBy(*keys, date_to_dekad("d").alias("dekad"))
-        .agg((F.sum("rain_mm") / F.bit_count(F.bit_or(year_bit))).alias("p"))
+    """Mean over years of the dekad sum: sums per year first (combined map-side), then their mean."""
+    per_year = (
+        daily.filter(in_years("d", *years) & F.col("rain_mm").isNotNull())
+        .groupBy(*keys, date_to_dekad("d").alias("dekad"), F.year("d").alias("_y")).agg(F.sum("rain_mm").alias("_p"))
     )
+    return per_year.groupBy(*keys, "dekad").agg((F.sum("_p") / F.count("_y")).alias("p"))
 
 
 def climatology_document(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -97,13 +90,16 @@ def climatology_document(rows: DataFrame, variables: Sequence[str]) -> DataFrame
 
 
 def three_month_totals(daily: DataFrame, end_month: int, keys: Sequence[str] = PX) -> DataFrame:
-    """Rain over the three months ending in end_month, labelled by the ending year."""
+    """Rain over the three months ending in end_month, labelled by the ending year.  A window of which
+    a month has no rows at all (before, after or inside the record) has no total."""
     months = [(end_month - k - 1) % 12 + 1 for k in range(3)]
     m = F.month("d")
     ending = F.year("d") + F.when(m > end_month, 1).otherwise(0)
     return (
         daily.filter(m.isin(*months))
-        .groupBy(*keys, ending.alias("year")).agg(F.sum("rain_mm").alias("p3"))
+        .groupBy(*keys, ending.alias("year"))
+        .agg(F.sum("rain_mm").alias("p3"), *[F.max(m == k).alias(f"_m{k}") for k in months])
+        .filter(" AND ".join(f"_m{k}" for k in months)).select(*keys, "year", "p3")
     )
 
 

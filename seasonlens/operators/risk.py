@@ -3,15 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seasonlens import config as C
 from seasonlens.config import CropParams
 from seasonlens.functions.classes import asap_class
 from seasonlens.functions.dekads import dekad_start
 from seasonlens.functions.masks import clamp, floor_at
-from seasonlens.operators.balance import STAGES
-from seasonlens.operators.frames import PX, bit_set, season_frame
+from seasonlens.operators.balance import STAGES, season_series
+from seasonlens.operators.frames import BITS, PX, bit_set, in_years
 from seasonlens.operators.onset import SEASON
 
 
@@ -28,21 +28,21 @@ def heat_stress(
     temps: DataFrame, planting: DataFrame, p: CropParams, sos_start: int, sos_end: int,
     keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """Heat-degree-dekads above the cap during flowering -> loss fraction."""
-    rows = season_frame(temps.select(*PX, "year", "dekad", "tmax_c"), max(1, sos_start), sos_end + p.flo_end + 1)
-    dsp = F.col("gd") - F.col("planting")
-    hot = F.when((dsp >= p.veg_end) & (dsp < p.flo_end), floor_at(F.col("tmax_c") - C.HEAT_CAP_C, 0.0)).otherwise(0.0)
+    """Heat-degree-dekads above the cap during flowering -> loss fraction, of planted seasons."""
+    s = season_series(temps, max(1, sos_start), sos_end + p.flo_end + 1, keys, fields=("tmax_c",))
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
-    return rows.join(pl, list(keys)).groupBy(*keys).agg(
-        clamp(F.sum(hot) * C.HEAT_LOSS, 0.0, 1.0).alias("s_heat"))
+    return add_heat_stress(s.join(pl, list(keys)), p).select(*keys, "s_heat")
 
 
 def add_heat_stress(seasons: DataFrame, p: CropParams, series: str = "s") -> DataFrame:
-    """Add s_heat from a season's array of dekads that carry gd and tmax_c."""
-    hot = F.aggregate(series, F.lit(0.0), lambda a, x: a + F.when(
-        (x["gd"] - F.col("planting") >= p.veg_end) & (x["gd"] - F.col("planting") < p.flo_end),
-        floor_at(x["tmax_c"] - C.HEAT_CAP_C, 0.0)).otherwise(0.0))
-    return seasons.withColumn("_hot", hot).withColumn("s_heat", clamp(F.col("_hot") * C.HEAT_LOSS, 0.0, 1.0)).drop("_hot")
+    """Add s_heat from a season's array of dekads that carry gd and tmax_c; NULL where a flowering dekad
+    is masked or missing."""
+    dsp = lambda x: x["gd"] - F.col("planting")
+    flowering = F.filter(series, lambda x: (dsp(x) >= p.veg_end) & (dsp(x) < p.flo_end))
+    hot = F.aggregate("_flo", F.lit(0.0), lambda a, x: a + floor_at(x["tmax_c"] - C.HEAT_CAP_C, 0.0))
+    return seasons.withColumn("_flo", flowering).withColumn(
+        "_hot", F.when(F.size("_flo") == p.flo_end - p.veg_end, hot)).withColumn(
+        "s_heat", clamp(F.col("_hot") * C.HEAT_LOSS, 0.0, 1.0)).drop("_hot", "_flo")
 
 
 def season_of(d: Column, sos_start: int, sos_end: int, years: Sequence[int]) -> Column:
@@ -58,21 +58,24 @@ def season_of(d: Column, sos_start: int, sos_end: int, years: Sequence[int]) ->
 
 def seasonal_peak(
     obs: DataFrame, sos_start: int, sos_end: int, scale: float, date_col: str = "d",
-    keys: Sequence[str] = PX,
+    keys: Sequence[str] = PX, years: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Season peak of a raw index per pixel and season year."""
+    """Season peak of a raw index per pixel and season year.  ``years``: the season years whose whole
+    window the record covers; the first and last year of a wrapping season are not among them."""
     d = F.col(date_col)
+    rows = obs.filter(in_years(date_col, years[0], years[1] + 1)) if years else obs
+    rows = rows.withColumn("year", F.explode(season_of(d, sos_start, sos_end, ())))
     return (
-        obs.withColumn("year", F.explode(season_of(d, sos_start, sos_end, ())))
+        (rows.filter(F.col("year").between(*years)) if years else rows)
         .groupBy(*keys, "year").agg((F.max("raw") * scale).alias("peak"))
     )
 
 
 def _peak_history(peaks: DataFrame, clim: tuple[int, int], keys: Sequence[str]) -> DataFrame:
-    past = F.when(F.col("year").between(*clim), F.col("peak"))
-    hist = peaks.groupBy(*keys).agg(
-        F.min(past).alias("_lo"), F.max(past).alias("_hi"), F.avg(past).alias("_mu"), F.stddev_pop(past).alias("_sd"))
-    return peaks.join(hist, list(keys))
+    """A pixel has one peak a year: its history is a window over a few dozen rows, and peaks are read once."""
+    past, w = F.when(F.col("year").between(*clim), F.col("peak")), Window.partitionBy(*keys)
+    return peaks.withColumns({"_lo": F.min(past).over(w), "_hi": F.max(past).over(w),
+                              "_mu": F.avg(past).over(w), "_sd": F.stddev_pop(past).over(w)})
 
 
 def vci_stress(peaks: DataFrame, clim: tuple[int, int], keys: Sequence[str] = PX) -> DataFrame:
@@ -112,14 +115,19 @@ def affected_share(flags: DataFrame, hazard: str, keys: Sequence[str]) -> DataFr
     return flags.groupBy(*keys).agg(pct.alias("affected_pct")).withColumn("asap", asap_class("affected_pct"))
 
 
-def persistent_hazard(flags: DataFrame, hazard: str, keys: Sequence[str] = SEASON, index: str = "gd") -> DataFrame:
-    """Hazard active in two consecutive dekads at some point of the season (gd up to 62).
+def persistent_hazard(flags: DataFrame, hazard: str, keys: Sequence[str] = SEASON, index: str = "gd",
+                      last: int = 2 * (BITS - 1)) -> DataFrame:
+    """Hazard active in two consecutive dekads at some point of the season, up to dekad ``last``.
 
-    Active dekads become a bitmap; it meets itself shifted by one exactly when two are adjacent.
+    Active dekads become bitmaps that overlap by one dekad; one meets itself shifted by one exactly
+    when two dekads are adjacent.  A hazard past ``last`` is an error.
     """
-    bits = bit_set(F.col(index), F.col(hazard) == 1)
-    return flags.groupBy(*keys).agg(bits.alias("_b")).select(
-        *keys, (F.col("_b").bitwiseAND(F.shiftleft("_b", 1)) != 0).cast("int").alias("persistent"))
+    i, step = F.col(index), BITS - 1
+    words = range(-(-last // step))
+    on = (F.col(hazard) == 1) & F.when(i.between(0, last), True).otherwise(F.raise_error(F.lit("dekad past the last one")).cast("boolean"))
+    bits = [bit_set(i - k * step, on & i.between(k * step, (k + 1) * step)).alias(f"_b{k}") for k in words]
+    met = [F.col(f"_b{k}").bitwiseAND(F.shiftleft(f"_b{k}", 1)) != 0 for k in words]
+    return flags.groupBy(*keys).agg(*bits).select(*keys, F.greatest(*met, F.lit(False)).cast("int").alias("persistent"))
 
 
 def stage_weight(rows: DataFrame, markers: DataFrame, keys: Sequence[str] = SEASON) -> DataFrame:

@@ -40,7 +40,7 @@ def rain_led_product(climate: DataFrame, zones: DataFrame, p: SeasonParams, whc:
     """
     seasons = _seasons(climate, p).withColumn("planting", F.col("onset"))
     # one shuffle per season serves the onset rule and the balance; no self-join
-    px = B.add_water_balance(B.with_capacity(seasons, whc), p.crop)
+    px = B.add_water_balance(B.with_capacity(seasons, whc), p.crop, B.balance_range(p.crop, p.sos_start, p.sos_end))
     px = px.select("px_id", "year", "planting", "wrsi", "deficit_mm").join(zones.select("px_id", "county"), "px_id")
     ok = F.col("planting").isNotNull()
     return px.groupBy("county").agg(
@@ -71,7 +71,7 @@ def season_product(g: DataFrame, climate: DataFrame, daily: DataFrame, p: Season
     """Planting, the rainfall onset it is checked against, and the seasonal water balance."""
     planting = planting_product(g, daily, p, prior, t_normal)
     px = B.with_capacity(planting.join(_seasons(climate, p), ["px_id", "year"], "left"), whc)
-    return B.add_water_balance(px, p.crop).drop("s", "whc_mm").withColumn("wrsi_class", wrsi_class("wrsi"))
+    return B.add_water_balance(px, p.crop, B.balance_range(p.crop, p.sos_start, p.sos_end)).drop("s", "whc_mm").withColumn("wrsi_class", wrsi_class("wrsi"))
 
 
 def risk_product(climate: DataFrame, planting: DataFrame, veg: DataFrame, p: SeasonParams,
@@ -84,7 +84,7 @@ def risk_product(climate: DataFrame, planting: DataFrame, veg: DataFrame, p: Sea
     lo, hi = B.balance_range(p.crop, p.sos_start, p.sos_end, staged=True)
     series = B.season_series(climate, lo, hi, fields=("p", "et0", "tmax_c"))
     pl = planting.filter(F.col("planting").isNotNull()).select("px_id", "year", F.col("planting").cast("int").alias("planting"))
-    px = B.add_staged_balance(B.with_capacity(series.join(pl, ["px_id", "year"]), whc), p.crop)
+    px = B.add_staged_balance(B.with_capacity(series.join(pl, ["px_id", "year"]), whc), p.crop, (lo, hi))
     px = R.add_heat_stress(px, p.crop).withColumn("s_water", R.water_stress()).drop("s", "whc_mm")
     return R.performance_index(px.join(veg, ["px_id", "year"], "left"), ym)
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -100,7 +101,7 @@ def test_unplanted_and_unknown_capacity_stay_masked(spark):
     w = {r.px_id: r.wrsi for r in B.water_balance(cl, plant(spark, {1: 8, 2: 8}), MAIZE, 7, 15, whc).collect()}
     assert w[1] == pytest.approx(100) and w[2] is None
     rows = B.with_capacity(B.season_series(cl, 6, 28).withColumn("planting", F.lit(None).cast("int")), None)
-    assert B.add_water_balance(rows, MAIZE).first().wrsi is None
+    assert B.add_water_balance(rows, MAIZE, (6, 28)).first().wrsi is None
 
 
 def test_stage_without_demand_saturates(spark):
@@ -128,7 +129,7 @@ def aeration_model(rain, onset, fc, sat, tau, p, ss, n, coded):
 def test_aeration_against_a_loop(spark, coded):
     rng = random.Random(7)
     ss, se = 30, 34                               # days run past the year end
-    n = (se - ss + MAIZE.lgp) * 10 + 2
+    n = (se - ss + MAIZE.lgp) * 10 + 15
     series = {px: {i: float(rng.choice([30, 60, 90])) for i in range(n) if rng.random() < 0.25} for px in range(8)}
     rows = [(px, i, v) for px, s in series.items() for i, v in s.items()]
     daily = spark.createDataFrame(rows, "px_id int, i int, rain_mm double").select(
@@ -136,8 +137,14 @@ def test_aeration_against_a_loop(spark, coded):
     hydro = spark.createDataFrame([(px, 250.0, 400.0, 0.1 + 0.1 * px) for px in series], "px_id int, fc_mm double, sat_mm double, tau double")
     pl = plant(spark, {px: ss + px % 5 for px in series})
     got = {r.px_id: r.waterlog_idx for r in B.aeration_stress(pl, daily, hydro, MAIZE, ss, se, as_coded=coded).collect()}
+    first = dt.date(2000, 10, 21)
+    starts = {30: first, 31: dt.date(2000, 11, 1), 32: dt.date(2000, 11, 11), 33: dt.date(2000, 11, 21), 34: dt.date(2000, 12, 1)}
     for px, s in series.items():
-        assert got[px] == pytest.approx(aeration_model(s, ss + px % 5, 250.0, 400.0, 0.1 + 0.1 * px, MAIZE, ss, n, coded))
+        k, days = ss + px % 5, (se - ss + MAIZE.lgp) * 10 + 2
+        if not coded:                             # the series as seen from the planting dekad's first day
+            shift = (starts[k] - first).days
+            s, k, days = {i - shift: v for i, v in s.items() if i >= shift}, ss, MAIZE.lgp * 10
+        assert got[px] == pytest.approx(aeration_model(s, k, 250.0, 400.0, 0.1 + 0.1 * px, MAIZE, ss, days, coded))
 
 
 def test_clock_wraps_and_stops(spark):
