@@ -140,7 +140,12 @@ def _(spark, sf):
     return rounded(RA.dekad_climatology(I.rain_rows(spark, sf), (1995, 2000)), "p")
 
 
-@query("clim1_regional_document")
+_DOC = lambda name, value: f"""'"{name}":{{' || string_agg('"' || dekad || '":' || CAST(round({value}, 6) AS VARCHAR), ',' ORDER BY dekad) || '}}'"""
+
+
+@query("clim1_regional_document", f"""
+    SELECT '{{' || {_DOC('p', 'p')} || ',' || {_DOC('t', 't')} || ',' || {_DOC('et0', 'et0')} || '}}' AS doc
+    FROM (SELECT dekad, avg(p) AS p, avg((tmax_c + tmin_c) / 2) AS t, avg(et0) AS et0 FROM v_climate GROUP BY ALL)""")
 def _(spark, sf):
     return RA.climatology_document(I.climate(spark, sf).withColumn("t", (F.col("tmax_c") + F.col("tmin_c")) / 2), ["p", "t", "et0"])
 

@@ -122,37 +122,40 @@ FUSE_SQL = f"""
 
 
 def _bases(spark, sf):
-    return I.fine_coarse(spark, sf).select(
-        "px_id", "row", "col", "dekad", F.coalesce("f", "c").alias("f"), "c").filter(F.col("dekad").isin(8, 10))
+    return I.fine_coarse(spark, sf).select("px_id", "row", "col", "dekad", F.coalesce("f", "c").alias("f"), "c")
 
 
-@query("fuse4_local_slope", f"""
-    WITH b AS (SELECT px_id, row, col, dekad, coalesce(f, c) AS f, c FROM v_fc WHERE dekad IN (8, 10))
-    SELECT t.px_id, t.dekad, round(least(greatest((avg(n.f*n.c) - avg(n.f)*avg(n.c)) / greatest(avg(n.c*n.c) - avg(n.c)*avg(n.c), 1e-6), 1e-1), 5e0), 6) AS v
-    FROM b t JOIN b n ON n.dekad = t.dekad AND n.row BETWEEN t.row-10 AND t.row+10 AND n.col BETWEEN t.col-10 AND t.col+10 GROUP BY ALL""")
+SLOPE_SQL = """
+    b AS (SELECT px_id, row, col, dekad, coalesce(f, c) AS f, c FROM v_fc),
+    sl AS (SELECT t.px_id, t.dekad, least(greatest((avg(n.f*n.c) - avg(n.f)*avg(n.c)) / greatest(avg(n.c*n.c) - avg(n.c)*avg(n.c), 1e-6), 1e-1), 5e0) AS v
+           FROM b t JOIN b n ON n.dekad = t.dekad AND n.row BETWEEN t.row-10 AND t.row+10 AND n.col BETWEEN t.col-10 AND t.col+10 GROUP BY ALL)"""
+
+
+@query("fuse4_local_slope", f"WITH {SLOPE_SQL} SELECT px_id, dekad, round(v, 6) AS v FROM sl")
 def _(spark, sf):
     return rounded(FU.local_slope(_bases(spark, sf), 10, ("dekad",)).select("px_id", "dekad", "v"), "v")
 
 
-@query("fuse5_unbiased_prediction", """
-    WITH b AS (SELECT x.px_id, x.row, x.col, coalesce(x.f, x.c) + 5e-1 * (y.c - x.c) AS r, y.c AS ct FROM v_fc x JOIN v_fc y ON y.px_id = x.px_id AND x.dekad = 8 AND y.dekad = 9)
-    SELECT t.px_id, round(any_value(t.r + t.ct) - avg(n.r), 11) AS pred FROM b t JOIN b n ON n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
+@query("fuse5_unbiased_prediction", f"""
+    WITH {SLOPE_SQL},
+    r AS (SELECT b.px_id, b.row, b.col, b.dekad, b.f + sl.v * (y.c - b.c) AS r, y.c AS ct FROM b JOIN sl USING (px_id, dekad) JOIN v_fc y ON y.px_id = b.px_id AND y.dekad = b.dekad + 1)
+    SELECT t.px_id, t.dekad, round(any_value(t.r + t.ct) - avg(n.r), 6) AS pred FROM r t JOIN r n ON n.dekad = t.dekad AND n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
 def _(spark, sf):
-    fc = I.fine_coarse(spark, sf)
-    ct = fc.filter(F.col("dekad") == 9).select("px_id", F.col("c").alias("ct"))
-    pairs = fc.filter(F.col("dekad") == 8).select(
-        "px_id", "row", "col", F.coalesce("f", "c").alias("f0"), F.col("c").alias("c0"), F.lit(0.5).alias("v")).join(ct, "px_id")
-    return rounded(FU.predict_unbiased(pairs, 2, ()).select("px_id", "pred"), "pred", n=11)
+    """Every dekad predicts the next one with its own local slope."""
+    base = FU.local_slope(_bases(spark, sf), 10, ("dekad",)).select("px_id", "row", "col", "dekad", F.col("f").alias("f0"), F.col("c").alias("c0"), "v")
+    ct = I.fine_coarse(spark, sf).select("px_id", (F.col("dekad") - 1).alias("dekad"), F.col("c").alias("ct"))
+    return rounded(FU.predict_unbiased(base.join(ct, ["px_id", "dekad"]), 2, ("dekad",)).select("px_id", "dekad", "pred"), "pred")
 
 
 @query("fuse6_pair_blend", """
-    SELECT px_id, round((f0 / (abs(ct-c0)+1e-3) + f1 / (abs(ct-c1)+1e-3)) / (1/(abs(ct-c0)+1e-3) + 1/(abs(ct-c1)+1e-3)), 10) AS g
-    FROM (SELECT px_id, coalesce(f, c) AS f0, c AS c0 FROM v_fc WHERE dekad = 8) JOIN (SELECT px_id, coalesce(f, c) AS f1, c AS c1 FROM v_fc WHERE dekad = 10) USING (px_id)
-    JOIN (SELECT px_id, c AS ct FROM v_fc WHERE dekad = 9) USING (px_id)""")
+    SELECT px_id, dekad, round((f0 / (abs(ct-c0)+1e-3) + f1 / (abs(ct-c1)+1e-3)) / (1/(abs(ct-c0)+1e-3) + 1/(abs(ct-c1)+1e-3)), 10) AS g
+    FROM (SELECT px_id, dekad + 1 AS dekad, coalesce(f, c) AS f0, c AS c0 FROM v_fc) JOIN (SELECT px_id, dekad - 1 AS dekad, coalesce(f, c) AS f1, c AS c1 FROM v_fc) USING (px_id, dekad)
+    JOIN (SELECT px_id, dekad, c AS ct FROM v_fc) USING (px_id, dekad)""")
 def _(spark, sf):
-    ct = I.fine_coarse(spark, sf).filter(F.col("dekad") == 9).select("px_id", F.col("c").alias("ct"))
-    preds = _bases(spark, sf).select("px_id", F.col("f").alias("pred"), F.col("c").alias("c0")).join(ct, "px_id")
-    return rounded(FU.blend_pairs(preds, ("px_id",)), "g", n=10)
+    """Every dekad that has one on both sides, blended from its two neighbours."""
+    ct = I.fine_coarse(spark, sf).filter(F.col("dekad").between(2, 35)).select("px_id", "dekad", F.col("c").alias("ct"))
+    near = _bases(spark, sf).select("px_id", F.explode(F.array(F.col("dekad") - 1, F.col("dekad") + 1)).alias("dekad"), F.col("f").alias("pred"), F.col("c").alias("c0"))
+    return rounded(FU.blend_pairs(near.join(ct, ["px_id", "dekad"]), ("px_id", "dekad")), "g", n=10)
 
 
 def _fused(spark, sf):

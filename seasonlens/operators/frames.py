@@ -134,3 +134,14 @@ def longest_run(bits: Column, width: int, ring: bool = False) -> Column:
     s = F.concat(s, s) if ring else s
     run = F.array_max(F.transform(F.split(s, "0"), lambda r: F.length(r)))
     return F.least(run, F.lit(width)).cast("int")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join many rows to a table of one row per key, where one key may hold a large part of the rows: they are
+    dealt over ``salts`` sub-keys and the table is repeated for each."""
+    if salts <= 1:
+        return rows.join(table, list(on), how)
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rest = [F.col(c) for c in rows.columns]
+    mine = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    return mine.join(spread, [*on, "_salt"], how).drop("_salt")

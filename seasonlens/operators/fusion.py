@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from seasonlens.functions.masks import clamp, unit_scale, unmask
 from seasonlens.operators.observations import optical_greenness, radar_greenness
@@ -79,14 +79,16 @@ def calibrated_fill(
 ) -> DataFrame:
     """Fallback chain optical -> fused (moment-matched into red-edge space) -> radar.
 
-    series: keys, dekad, ndre1, fpar, rvi, g (fused).  Moments are aggregated and joined back.
+    series: keys, dekad, ndre1, fpar, rvi, g (fused).  The moments are a window over a pixel's
+    few dozen dekads, so the series is evaluated once.
     """
-    m = series.groupBy(*keys).agg(
-        F.avg("ndre1").alias("_mn"), F.stddev_pop("ndre1").alias("_sn"),
-        F.avg("g").alias("_me"), F.greatest(F.stddev_pop("g"), F.lit(1e-3)).alias("_se"))
+    w = Window.partitionBy(*keys)
+    series = series.withColumns({
+        "_mn": F.avg("ndre1").over(w), "_sn": F.stddev_pop("ndre1").over(w),
+        "_me": F.avg("g").over(w), "_se": F.greatest(F.stddev_pop("g").over(w), F.lit(1e-3))})
     if calibrate:
         est = unit_scale(F.col("_mn") + (F.col("g") - F.col("_me")) * (F.col("_sn") / F.col("_se")), 0.0, 0.7)
     else:
         est = unit_scale("g", 0.0, 0.9)
-    return series.join(m, list(keys)).select(
+    return series.select(
         *keys, "dekad", F.coalesce(optical_greenness(), est, radar_greenness()).alias("g"))

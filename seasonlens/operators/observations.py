@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonlens.functions.masks import clamp, keep_if, norm_diff, ratio, unit_scale, unmask
-from seasonlens.operators.frames import PX, dekadal
+from seasonlens.operators.frames import dekadal, PX, salted_join
 
 OPTICAL_BANDS = ("b3", "b4", "b5", "b6", "b7", "b8", "b8a", "b11", "b12")
 INDICES = ("ndvi", "evi2", "ndre1", "ndre2", "rendvi", "cire")
@@ -67,9 +67,13 @@ def radar_scenes(
     return out
 
 
-def link_band(obs: DataFrame, aux: DataFrame, on: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """Attach auxiliary bands (e.g. a clear-sky score) by scene key; unmatched scenes get NULL."""
-    return obs.join(aux.select(*on, *bands), list(on), "left")
+def link_band(obs: DataFrame, aux: DataFrame, on: Sequence[str], bands: Sequence[str], salts: int = 16) -> DataFrame:
+    """Attach auxiliary bands (e.g. a clear-sky score) by scene key; unmatched scenes get NULL.
+
+    A scene holds many pixels: they are spread over ``salts`` tasks.  Where the band is per pixel, put
+    the pixel into ``on`` and set ``salts=1``, for the keys are then even.
+    """
+    return salted_join(obs, aux.select(*on, *bands), on, "left", salts)
 
 
 def to_linear(db) -> Column:
@@ -138,12 +142,12 @@ def canopy_condition(
 
 
 def temporal_zscore(
-    rows: DataFrame, band: str, keys: Sequence[str] = PX, sd_floor: float = 1e-4
+    rows: DataFrame, band: str, keys: Sequence[str] = PX, sd_floor: float = 1e-4, salts: int = 4
 ) -> DataFrame:
-    """Per-pixel z-score over time.  Moments are a map-side-combined aggregate joined back, so a
-    pixel with very many observations is never gathered in one task."""
+    """Per-pixel z-score over time.  Moments are a map-side-combined aggregate joined back on salted
+    keys, so a pixel with very many observations is never gathered in one task."""
     m = rows.groupBy(*keys).agg(F.avg(band).alias("_m"), F.stddev_pop(band).alias("_s"))
-    return rows.join(m, list(keys)).withColumn(
+    return salted_join(rows, m, keys, salts=salts).withColumn(
         f"{band}_z", (F.col(band) - F.col("_m")) / F.greatest(F.col("_s"), F.lit(sd_floor))
     ).drop("_m", "_s")
 

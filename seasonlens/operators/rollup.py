@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seasonlens import config as C
 from seasonlens.functions.classes import maturity_rank, name_key
@@ -106,9 +106,10 @@ def driver_windows(by_dekad: DataFrame, bands: Sequence[str], start: int, end: i
 
 def national_row(hist: DataFrame, pixels: DataFrame, bands: Sequence[str], constants: dict) -> DataFrame:
     """Distribution and band means over everything, plus run constants: one row."""
-    means = {b: pixels.agg(F.avg(b)).scalar() for b in bands}
-    return describe(hist.groupBy("dekad").agg(F.sum("n").alias("n")), ()).withColumns(
-        means | {k: F.lit(v) for k, v in constants.items()})
+    one = F.lit(1).alias("_one")
+    means = pixels.agg(*[F.avg(b).alias(b) for b in bands]).select("*", one)
+    whole = describe(hist.groupBy("dekad").agg(F.sum("n").alias("n")), ()).select("*", one)
+    return whole.join(means, "_one").drop("_one").withColumns({k: F.lit(v) for k, v in constants.items()})
 
 
 def wrsi_rows(pixels: DataFrame, keys: Sequence[str], min_px: int = 8, positive: bool = False) -> DataFrame:
@@ -243,7 +244,8 @@ def equal_width_bins(rows: DataFrame, value: str, bins: int, keys: Sequence[str]
     if keys:
         x = rows.join(rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), list(keys))
     else:
-        x = rows.withColumns({"_lo": rows.agg(F.min(value)).scalar(), "_hi": rows.agg(F.max(value)).scalar()})
+        ends = rows.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+        x = rows.withColumn("_e", ends).withColumns({"_lo": F.col("_e.lo"), "_hi": F.col("_e.hi")}).drop("_e")
     at = F.floor(F.try_divide((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
     idx = F.least(F.coalesce(at, F.lit(bins // 2)), F.lit(bins - 1))  # a constant lies in the middle
     return x.filter(F.col(value).isNotNull()).groupBy(*keys, idx.cast("int").alias("bin")).agg(
@@ -337,7 +339,8 @@ def class_shares(pixels: DataFrame, cls: str, value: str) -> DataFrame:
     """Share of pixels per class and the mean of a value over all pixels."""
     by = pixels.filter(F.col(cls).isNotNull()).groupBy(cls).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("_s"))
-    n, total = by.agg(F.sum("n")).scalar(), by.agg(F.sum("_s")).scalar()
+    every = Window.partitionBy(F.lit(1))  # a handful of class rows
+    n, total = F.sum("n").over(every), F.sum("_s").over(every)
     return by.select(cls, "n", (F.col("n") * 100.0 / n).alias("share_pct"), (total / n).alias(f"mean_{value}"))
 
 

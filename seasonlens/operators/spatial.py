@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seasonlens.functions.masks import as_col
-from seasonlens.operators.frames import PX
+from seasonlens.operators.frames import PX, salted_join
 
 
 @dataclass(frozen=True)
@@ -27,16 +27,19 @@ class GridSpec:
 
 
 # ---- neighbourhoods ---------------------------------------------------------------------------
-def grid_skeleton(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Every (row, col) of each key's bounding box.
+def grid_skeleton(cells: DataFrame, radius: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The (row, col) places at which a window of ``radius`` can meet a cell: the blocks that hold cells, and
+    the blocks above and below them.
 
-    A box is one row; it expands to its lines, which are spread over the cluster before they
-    expand to cells.
+    A block is one row until it expands, and blocks without cells in reach do not exist, so the work
+    follows the cells and not their bounding box.
     """
-    agg = [F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")]
-    box = cells.groupBy(*keys).agg(*agg)
-    lines = box.select(*keys, F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").repartition(*keys, "row")
-    return lines.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    b = max(radius, 8)
+    at = lambda c: F.floor(F.col(c) / b).cast("int")
+    held = cells.select(*keys, at("row").alias("_r"), at("col").alias("_c")).distinct()
+    near = held.select(*keys, F.explode(F.sequence(F.col("_r") - 1, F.col("_r") + 1)).alias("_r"), "_c").distinct()
+    lines = near.select(*keys, F.explode(F.sequence(F.col("_r") * b, F.col("_r") * b + b - 1)).alias("row"), "_c")
+    return lines.select(*keys, "row", F.explode(F.sequence(F.col("_c") * b, F.col("_c") * b + b - 1)).alias("col"))
 
 
 def focal_mean(
@@ -46,13 +49,13 @@ def focal_mean(
     """Masked square-window mean of several bands, as two range-window passes (rows, then columns).
 
     A window partition is one grid line of one key, so it is bounded by the canvas size.  Where
-    cells may be absent, an empty skeleton is unioned in (no join): line sums are taken on the
-    skeleton and results read at the cells.  Set ``dense`` when the bounding box is full.
+    cells may be absent, an empty skeleton around them is unioned in (no join): line sums are taken on
+    the skeleton and results read at the cells.  Set ``dense`` when the bounding box is full.
     """
     if dense:
         rows, frame = cells, F.lit(True)
     else:
-        blank = grid_skeleton(cells, keys).withColumn("_blank", F.lit(True))
+        blank = grid_skeleton(cells, radius, keys).withColumn("_blank", F.lit(True))
         rows = cells.withColumn("_blank", F.lit(False)).unionByName(blank, allowMissingColumns=True)
         frame = F.col("_blank")
     along = Window.partitionBy(*keys, "row").orderBy("col").rangeBetween(-radius, radius)
@@ -184,9 +187,10 @@ def zone_of_pixels(pixels: DataFrame, edges: DataFrame, spec: GridSpec) -> DataF
     return pixels.join(owner, ["row", "col"], "left")
 
 
-def dissolve(pixel_zone: DataFrame, zone_attr: DataFrame, on: str, attr: str) -> DataFrame:
-    """Merge zones that share an attribute: replace the zone id by the attribute value."""
-    return pixel_zone.join(zone_attr.select(on, attr), on)
+def dissolve(pixel_zone: DataFrame, zone_attr: DataFrame, on: str, attr: str, salts: int = 16) -> DataFrame:
+    """Merge zones that share an attribute: replace the zone id by the attribute value.  A zone's pixels
+    are spread over ``salts`` tasks, and its one row goes to each."""
+    return salted_join(pixel_zone, zone_attr.select(on, attr), [on], salts=salts)
 
 
 def clip_box(rows: DataFrame, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
