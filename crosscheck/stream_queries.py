@@ -38,7 +38,7 @@ _CLS = lambda w: f"CASE WHEN {w} < 50 THEN 1 WHEN {w} < 60 THEN 2 WHEN {w} < 80
 
 @query("str2_season_monitor_stream", f"""
     WITH RECURSIVE {stepwise_sql(SEASONS, MAIZE, 7, 15, 1)}
-    SELECT px_id, year, gd, round(sw, 6) AS sw, round(wrsi, 6) AS wrsi, cls AS wrsi_class, prev AS previous_class, CASE WHEN cls <> prev THEN 1 ELSE 0 END AS alert, 0 AS late FROM (
+    SELECT px_id, year, gd, round(sw, 6) AS sw, round(wrsi, 6) AS wrsi, cls AS wrsi_class, prev AS previous_class, CASE WHEN cls <> prev THEN 1 ELSE 0 END AS alert, 0 AS late, 0 AS gap FROM (
       SELECT *, coalesce(lag(cls) OVER (PARTITION BY px_id, year ORDER BY gd), 0) AS prev FROM (
         SELECT *, {_CLS('wrsi')} AS cls FROM (
           SELECT px_id, year, gd, sw, sum(aet) OVER w / greatest(sum(wr) OVER w, 1e-6) * 100 AS wrsi, sum(wr) OVER w AS cum
@@ -53,7 +53,7 @@ def _(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", M.ROCKSDB)
     try:
         s = R.file_stream(spark, src, spark.read.parquet(src).schema)
-        q = (M.monitor(s, MAIZE).writeStream.outputMode("append").format("parquet")
+        q = (M.monitor(s, MAIZE, (6, 28)).writeStream.outputMode("append").format("parquet")
              .option("checkpointLocation", new_path(spark, "ckpt")).option("path", out).trigger(availableNow=True).start())
         q.awaitTermination()
     finally:

@@ -27,10 +27,12 @@ def cpi_stack(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pixels.select(*keys, *[to_int16(*scale.get(b, (b, 1.0))).alias(b) for b in CPI_STACK])
 
 
-def write_raster(rows: DataFrame, path: str, partition_by: Sequence[str] = ("product", "year")) -> None:
-    """Pixel rows by product and year, each folder written by tasks that hold only its rows split
-    by pixel, so a large product is many files rather than one task."""
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def write_raster(rows: DataFrame, path: str, partition_by: Sequence[str] = ("product", "year"), files: int = 8,
+                 spread: str = "px_id") -> None:
+    """Pixel rows by product and year.  Rows are first gathered by folder and one of ``files`` pixel groups,
+    so a folder holds at most that many files, whatever the number of tasks, and no task holds a whole product."""
+    group = F.pmod(F.xxhash64(spread), F.lit(files))
+    rows.repartition(*partition_by, group).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:

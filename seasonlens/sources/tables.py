@@ -5,19 +5,26 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that
-    is unset (single-machine tests)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets one temporary folder; a cluster, whose machines do not
+    share one, is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL["dir"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,17 +40,21 @@ def scan(spark: SparkSession, path: str, years: Sequence[int] | None = None,
     return df.select(*columns) if columns else df
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A table whose writer has committed: Spark marks it with ``_SUCCESS`` as the last step."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                 partition_by: Sequence[str] = ()) -> DataFrame:
-    """Read a static table if it exists, else build and store it once.
+    """Read a static table if its writer has committed it, else build and store it.
 
-    A folder left by a lost writer has no schema and is rebuilt.
+    What a lost writer has left is written over.
     """
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not is_complete(spark, path):
         build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def select_zones(zones: DataFrame, names: Sequence[str], level: int) -> DataFrame:

@@ -13,7 +13,7 @@ from seasonlens.config import SOIL, CropParams, SoilConfig
 from seasonlens.functions.climate import crop_coefficient
 
 OUT = ("px_id long, year int, gd int, sw double, wrsi double, wrsi_class int, previous_class int, "
-       "alert int, late int")
+       "alert int, late int, gap int")
 STATE = "gd int, sw double, aet double, wr double, wclass int"
 
 
@@ -22,63 +22,72 @@ def _class(w: float) -> int:
 
 
 class BucketProcessor(StatefulProcessor):
-    """Keeps (last dekad, soil water, cumulative AET and WR, class) per pixel and season.
+    """Keeps (last dekad, soil water, cumulative AET and WR, class) per pixel and season, and forgets a season
+    after its last dekad.
 
-    Dekads must arrive in order across batches; one at or before the stored dekad cannot be
-    inserted into the recurrence and is reported with ``late = 1``.
+    Dekads must arrive in order across batches; one at or before the stored dekad cannot be inserted
+    into the recurrence and is reported with ``late = 1``.  A dekad that does not follow the stored one
+    (or, as the first, the season's first) is reported with ``gap = 1`` and masks the rest of the season, as
+    a masked dekad does: an incomplete season has no index.
     """
 
-    def __init__(self, whc_mm: float, init_frac: float):
-        self._whc, self._start = whc_mm, whc_mm * init_frac
+    def __init__(self, first_gd: int, last_gd: int, init_frac: float):
+        self._first, self._last, self._frac = first_gd, last_gd, init_frac
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("bucket", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         px, year = key
-        if self._state.exists():
-            last, sw, aet, wr, cls = self._state.get()
-        else:
-            last, sw, aet, wr, cls = 0, self._start, 0.0, 0.0, 0
+        known = self._state.exists()
+        last, sw, aet, wr, cls = self._state.get() if known else (self._first - 1, None, 0.0, 0.0, 0)
         out = []
         # at most one row per dekad of one season
         for r in pd.concat(list(rows)).sort_values("gd").itertuples():
             if r.gd <= last:
-                out.append((px, year, r.gd, sw, None, cls, cls, 0, 1))
+                out.append((px, year, r.gd, None, None, cls, cls, 0, 1, 0))
                 continue
-            last = r.gd
-            if math.isnan(r.p + r.wr):
+            gap, last = int(r.gd != last + 1), r.gd
+            sw = r.whc_mm * self._frac if sw is None else sw
+            if gap or math.isnan(r.p + r.wr + r.whc_mm):
                 sw = aet = wr = math.nan
             else:
                 got = min(sw + r.p, r.wr)
-                sw = max(min(sw + r.p - got, self._whc), 0.0)
+                sw = max(min(sw + r.p - got, r.whc_mm), 0.0)
                 aet, wr = aet + got, wr + r.wr
             if wr <= 0:
                 continue
             wrsi = aet / max(wr, 1e-6) * 100
             if math.isnan(wrsi):  # a masked dekad masks the rest of the season
-                out.append((px, year, r.gd, None, None, None, cls, 0, 0))
+                out.append((px, year, r.gd, None, None, None, cls, 0, 0, gap))
                 continue
             new = _class(wrsi)
-            out.append((px, year, r.gd, sw, wrsi, new, cls, int(new != cls), 0))
+            out.append((px, year, r.gd, sw, wrsi, new, cls, int(new != cls), 0, 0))
             cls = new
-        self._state.update((int(last), float(sw), float(aet), float(wr), int(cls)))
+        if last >= self._last:
+            self._state.clear()
+        elif sw is not None:
+            self._state.update((int(last), float(sw), float(aet), float(wr), int(cls)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def season_demand(rows: DataFrame, p: CropParams) -> DataFrame:
-    """px_id, year, gd, p, wr from px_id, year, gd, p, et0, planting (works on a stream)."""
-    return rows.select("px_id", "year", "gd", "p",
+def season_demand(rows: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
+    """px_id, year, gd, p, wr, whc_mm from px_id, year, gd, p, et0, planting and, where the soil is known,
+    whc_mm (works on a stream)."""
+    whc = F.col("whc_mm") if "whc_mm" in rows.columns else F.lit(soil.default_whc_mm)
+    return rows.select("px_id", "year", "gd", "p", whc.cast("double").alias("whc_mm"),
                        (crop_coefficient(F.col("gd") - F.col("planting"), p) * F.col("et0")).alias("wr"))
 
 
-def monitor(rows: DataFrame, p: CropParams, soil: SoilConfig = SOIL) -> DataFrame:
-    """Stateful stream of dekad results.  Needs the RocksDB state store provider."""
-    return season_demand(rows, p).groupBy("px_id", "year").transformWithStateInPandas(
-        statefulProcessor=BucketProcessor(soil.default_whc_mm, soil.init_frac),
+def monitor(rows: DataFrame, p: CropParams, span: tuple[int, int], soil: SoilConfig = SOIL) -> DataFrame:
+    """Stateful stream of dekad results over the season's dekads ``span``.  Needs the RocksDB state store
+    provider.  The state is one row per pixel and open season."""
+    rows = rows.filter(F.col("gd").between(*span))
+    return season_demand(rows, p, soil).groupBy("px_id", "year").transformWithStateInPandas(
+        statefulProcessor=BucketProcessor(*span, soil.init_frac),
         outputStructType=OUT, outputMode="Append", timeMode="None")
 
 

@@ -15,7 +15,8 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet",
 
 def daily_totals(obs: DataFrame, watermark: str = "10 days") -> DataFrame:
     """Rain per pixel and day from timestamped observations.  State is one number per pixel-day
-    and is dropped once the watermark has passed the day."""
+    and is dropped once the watermark has passed the day; rows later than that are dropped too
+    (``late_rows`` counts them)."""
     return (
         obs.withWatermark("ts", watermark)
         .groupBy("px_id", F.window("ts", "1 day").alias("w"))
@@ -25,24 +26,34 @@ def daily_totals(obs: DataFrame, watermark: str = "10 days") -> DataFrame:
 
 
 def start_daily_sink(daily: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """Write every micro-batch's updated totals to its own ``batch=N`` folder.
+    """Write every micro-batch's updated totals to its own folder ``year=Y/dekad=K/batch=N``.
 
-    Overwriting that folder makes a replayed batch harmless, so a restart after a lost executor or
-    driver neither drops nor doubles a total.
+    Overwriting a batch's folders makes a replay harmless, so a restart after a lost executor or
+    driver neither drops nor doubles a total; the dekad folders let readers open what they need.
     """
     def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        placed = batch.withColumns({"year": F.year("d"), "dekad": date_to_dekad("d"), "batch": F.lit(n)})
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "dekad", "batch").parquet(path)
 
     w = daily.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def latest_daily(spark: SparkSession, path: str) -> DataFrame:
-    """Newest total per pixel-day over all batches written so far."""
-    return (
-        spark.read.option("basePath", path).parquet(path)
-        .groupBy("px_id", "d").agg(F.max_by("rain_mm", "batch").alias("rain_mm"))
-    )
+def late_rows(query) -> int:
+    """Rows that a stream has dropped behind its watermark, by its progress reports so far.  The batch over the
+    stored rows would count them: stream and batch agree for rows that are no later than the watermark."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
+def latest_daily(spark: SparkSession, path: str, dekads: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
+    """Newest total per pixel-day over the batches written so far.  ``dekads``: first and last (year, dekad)
+    wanted, such as the open ones; other folders are not read."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    if dekads:
+        at = F.col("year") * 36 + F.col("dekad")
+        (y0, k0), (y1, k1) = dekads
+        rows = rows.filter(F.col("year").between(y0, y1) & at.between(y0 * 36 + k0, y1 * 36 + k1))
+    return rows.groupBy("px_id", "d").agg(F.max_by("rain_mm", "batch").alias("rain_mm"))
 
 
 def running_dekads(daily: DataFrame, forecast: DataFrame) -> DataFrame:

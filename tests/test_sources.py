@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from seasonlens.config import CROPS, EARLY_STAGES, MAIZE_EARLY
@@ -93,6 +94,30 @@ def test_shared_dir_reads_the_session():
             assert key == "spark.checkpoint.dir"
             return self.value or default
 
-    session = lambda v: type("S", (), {"conf": Conf(v)})()
+    local = type("C", (), {"master": "local[2]"})
+    session = lambda v: type("S", (), {"conf": Conf(v), "sparkContext": local})()
     assert TB.new_path(session("hdfs://shared/work/"), "x").startswith("hdfs://shared/work/x-")
     assert TB.shared_dir(session(None)) == TB.shared_dir(session(None))
+
+
+def test_rasters_are_few_files_and_half_written_tables_are_rebuilt(spark, tmp_path):
+    rows = spark.range(4000, numPartitions=16).selectExpr("id AS px_id", "'p' AS product", "CAST(2000 + id % 2 AS INT) AS year")
+    SK.write_raster(rows, str(tmp_path / "r"), files=3)
+    folders = list((tmp_path / "r" / "product=p").iterdir())
+    assert len(folders) == 2 and all(len(list(f.glob("part-*.parquet"))) <= 3 for f in folders)
+    path, built = str(tmp_path / "t"), []
+    make = lambda: built.append(1) or spark.range(5)
+    assert TB.materialize(spark, path, make).count() == 5 and TB.materialize(spark, path, make).count() == 5 and len(built) == 1
+    (tmp_path / "t" / "_SUCCESS").unlink()                               # as after a writer lost in its commit
+    assert TB.materialize(spark, path, make).count() == 5 and len(built) == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+    with pytest.raises(ValueError):
+        TB.shared_dir(Session)

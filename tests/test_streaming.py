@@ -60,16 +60,14 @@ def test_monitor_over_batches_equals_batch(spark, tmp_path):
 
     def run():
         s = R.file_stream(spark, src, schema)
-        q = M.monitor(s, MAIZE).writeStream.outputMode("append").format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
+        q = M.monitor(s, MAIZE, (6, 28)).writeStream.outputMode("append").format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
         q.awaitTermination()
 
     for lo, hi in ((6, 12), (13, 20), (21, 28)):
-        put(spark, src, [r for r in rows if lo <= r[2] <= hi], DEK, lo)
-        run()
-    put(spark, src, [(0, 2000, 9, 50.0, 45.0, 8)], DEK, 9)               # too late for the recurrence
-    run()
+        put(spark, src, [r for r in rows if lo <= r[2] <= hi] + [(0, 2000, 9, 50.0, 45.0, 8)] * (lo == 21), DEK, lo)
+        run()                                                            # the repeated dekad 9 is too late
+    assert spark.read.parquet(out).filter("late = 1").count() == 1
     res = spark.read.parquet(out)
-    assert res.filter("late = 1").count() == 1
     final = {r.px_id: r.w for r in res.filter("late = 0").groupBy("px_id").agg(F.max_by("wrsi", "gd").alias("w")).collect()}
     df = spark.createDataFrame(rows, DEK)
     cl = df.select("px_id", "year", F.col("gd").alias("dekad"), "p", "et0")
@@ -77,3 +75,30 @@ def test_monitor_over_batches_equals_batch(spark, tmp_path):
     assert final == pytest.approx({r.px_id: r.wrsi for r in batch.collect()})
     flips = res.filter("late = 0").orderBy("px_id", "gd").collect()
     assert all((r.alert == 1) == (r.wrsi_class != r.previous_class) for r in flips)
+
+
+def test_monitor_masks_after_a_gap_takes_soils_and_forgets_seasons(spark, tmp_path):
+    soils = {0: 60.0, 1: 140.0, 2: 100.0}
+    rows = [(px, 2000, gd, float((gd * (px + 3)) % 7 * 8), 45.0, 8, soils[px]) for px in soils for gd in range(6, 29)
+            if not (px == 2 and gd == 15)]
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = spark.createDataFrame([], DEK + ", whc_mm double").schema
+
+    def run(part, n):
+        put(spark, src, part, DEK + ", whc_mm double", n)
+        q = M.monitor(R.file_stream(spark, src, schema), MAIZE, (6, 28)).writeStream.outputMode("append").format("parquet").option(
+            "checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert run([r for r in rows if r[2] <= 20], 0) == 3
+    assert run([r for r in rows if r[2] > 20], 1) == 0                   # all seasons have ended
+    res = spark.read.parquet(out)
+    last = {r.px_id: r.w for r in res.groupBy("px_id").agg(F.max_by("wrsi", "gd").alias("w")).collect()}
+    df = spark.createDataFrame(rows, DEK + ", whc_mm double")
+    whc = spark.createDataFrame(list(soils.items()), "px_id long, whc_mm double")
+    batch = {r.px_id: r.wrsi for r in B.water_balance(df.select("px_id", "year", F.col("gd").alias("dekad"), "p", "et0"),
+                                                      df.select("px_id", "year", "planting").distinct(), MAIZE, 7, 15, whc).collect()}
+    assert last[0] == pytest.approx(batch[0]) and last[1] == pytest.approx(batch[1]) and last[0] != last[1]
+    assert batch[2] is None and res.filter("px_id = 2 AND gd >= 16 AND wrsi IS NOT NULL").count() == 0
+    assert [r.gd for r in res.filter("gap = 1").collect()] == [16]
