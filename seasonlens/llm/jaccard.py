@@ -3,12 +3,12 @@
 Texts are sets of word shingles; a set is represented by ``COORDS`` minwise tokens.  In each of ``RUNS`` runs the
 sets are split on sampled tokens: sets that agree on a sampled coordinate go down the same path.  A bucket
 of at most ``LIMIT`` sets is compared by brute force on the sketches; a larger one is split again on tokens
-sampled for it, up to ``DEPTH`` times, and what is still larger is compared tile by tile, never dropped.  About
+sampled for it, up to ``DEPTH`` times; what is still larger is taken as one candidate group as it is.  About
 1/threshold tokens are sampled at each node, so a pair at the threshold is expected to survive a split; the
 runs are repeated until a pair at the threshold is found with more than the target recall.
 
 Sets whose sketches nearly agree form candidate groups (connected components).  Within a group every pair is
-verified by its exact Jaccard similarity, again in tiles of bounded size, each pair in one tile; tiles give
+verified by its exact Jaccard similarity in tiles of at most ``TILE`` sets, each pair in one tile; tiles give
 one row per set (its links counted, and one link towards the tile's smallest set of its class), never one
 per pair.  Equal texts are collapsed first and counted.
 
@@ -34,6 +34,7 @@ COORDS = 64
 RUNS = 12
 DEPTH = 3
 LIMIT = 192
+TILE = 512
 #: Sketch agreement from which sets are candidates: four standard errors under the threshold.
 SLACK = 0.2
 PAIRS = 100_000
@@ -112,27 +113,25 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _pairs(group: np.ndarray, side: np.ndarray):
-    """Index pairs (a < b) inside each sorted group, in slices; of a tile between two chunks, the cross pairs."""
+def _pairs(group: np.ndarray):
+    """Index pairs (a < b) inside each sorted group, in slices."""
     end = np.searchsorted(group, group, "right")
     n = end - np.arange(len(group)) - 1
     upto = np.cumsum(n)
     for lo in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
         flat = np.arange(lo, min(lo + PAIRS, int(upto[-1])))
         a = np.searchsorted(upto, flat, "right")
-        b = a + 1 + flat - (upto[a] - n[a])
-        ok = (side[a] < 0) | (side[a] != side[b])
-        yield a[ok], b[ok]
+        yield a, a + 1 + flat - (upto[a] - n[a])
 
 
 def _candidates(floor: float) -> Callable:
-    """Rows (tile, side, rep, bits): links between sets whose sketches agree, one per set towards its root."""
+    """Rows (path, rep, bits): links between sets whose sketches agree, one per set towards its root."""
     def scan(batches):
         for t in _groups(batches):
-            tile, side, rep = (t.column(i).to_numpy() for i in range(3))
-            bits = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, COORDS)
+            path, rep = (t.column(i).to_numpy() for i in range(2))
+            bits = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
             xs, ys = [], []
-            for a, b in _pairs(tile, side):
+            for a, b in _pairs(path):
                 near = (bits[a] == bits[b]).sum(axis=1) >= floor * COORDS
                 xs.append(a[near])
                 ys.append(b[near])
@@ -220,8 +219,8 @@ def _tiled(rows: DataFrame, group: str, rest: list[str], limit: int) -> DataFram
     return small.unionByName(big)
 
 
-def _paths(classes: DataFrame, runs: int, depth: int, limit: int, seed: int) -> DataFrame:
-    """path, n, rep: the buckets of two or more sets at which splitting ends."""
+def _paths(classes: DataFrame, runs: int, depth: int, limit: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(path, rep) of the buckets of 2 to limit sets at which splitting ends, and of the larger ones."""
     def buckets(rows: DataFrame) -> DataFrame:
         rows = stored(rows, "paths")
         return rows.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
@@ -241,7 +240,7 @@ def _paths(classes: DataFrame, runs: int, depth: int, limit: int, seed: int) ->
         wide = level.filter(F.col("n") > limit)
         level = buckets(down(wide.select("path", "rep").join(classes.select("rep", "sketch"), "rep")))
         done = done.unionByName(level.filter(F.col("n") <= limit))
-    return done.unionByName(level.filter(F.col("n") > limit))
+    return done.select("path", "rep"), level.filter(F.col("n") > limit).select("path", "rep")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD,
@@ -253,18 +252,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = stored(known.filter(F.col("key").isNotNull() & (F.col("n_words") > 0)).groupBy("t1", "t2").agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "classes")
 
-    leaves = _paths(classes, runs, depth, limit, seed)
+    leaves, wide = _paths(classes, runs, depth, limit, seed)
     bits = classes.select("rep", F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), "")).alias("bits"))
-    tiles = _tiled(leaves, "path", ["rep"], limit).join(bits, "rep").select("tile", "side", "rep", "bits")
-    near = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_candidates(threshold - SLACK), "u long, v long")
-    member = connected_components(near)
+    near = leaves.join(bits, "rep").select("path", "rep", "bits").repartition("path").sortWithinPartitions("path").mapInArrow(
+        _candidates(threshold - SLACK), "u long, v long")
+    star = wide.join(wide.groupBy("path").agg(F.min("rep").alias("v")), "path").select(F.col("rep").alias("u"), "v")
+    member = connected_components(near.unionByName(star))
     member = stored(member.unionByName(member.select(F.col("root").alias("node"), "root").distinct()), "groups")
     sized = member.join(member.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("node", "rep")
 
     # tiles are laid out on narrow rows; a text is shuffled to its key once and once more to each of its tiles
     firsts = known.filter("n_words > 0").join(classes.select("t1", "t2", F.col("rep").alias("key"), "copies"), ["t1", "t2", "key"]) \
         .select(F.col("key").alias("rep"), "t1", "copies").distinct()
-    tiles = _tiled(sized.join(firsts, "rep"), "root", ["rep", "copies", "t1"], limit)
+    tiles = _tiled(sized.join(firsts, "rep"), "root", ["rep", "copies", "t1"], TILE)
     tiles = rows.withColumnRenamed("key", "rep").join(tiles, "rep")
     found = stored(tiles.select("tile", "side", "rep", "copies", "t1", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(
         _verified(size, threshold), "rep long, links long, root long"), "verified")
