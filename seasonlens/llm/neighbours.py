@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from seasonlens.llm.store import stored
 
 DIMS = 8
-CONFIDENCE = 0.99
+CONFIDENCE = 0.95
 SAMPLE = 65_536
 CELL_ROWS = 2048
 MAX_CELLS = 4096
@@ -99,36 +99,39 @@ def _search(k: int, chi2: float, norm2: float):
             off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             first, many = flat[off[:-1]], np.diff(off)
             qv, qp = _matrix(visits["vector"]), _matrix(visits["place"])
-            for query, q, p, bound in zip(visits["query_id"].to_pylist(), qv, qp, visits["bound"].to_numpy()):
-                far = ((px - p) ** 2).sum(axis=1)
-                order = np.argsort(far, kind="stable")
-                own = (first == query) & (many == 1)
-                base = float(q @ q) + norm2
-                best = np.full(n, -np.inf)  # scores of the rows verified so far
-                at = 0
-                while at < n and far[order[at]] <= chi2 * bound:
-                    some = order[at:at + STEP]
-                    some = some[far[some] <= chi2 * bound]
-                    best[some] = np.where(own[some], -np.inf, x[some] @ q)
-                    at += STEP
-                    if at >= k:
-                        kth = np.partition(best, n - k)[n - k] if n >= k else -np.inf
-                        bound = min(bound, max(0.0, base - 2 * kth) * (1 + 1e-12) + 1e-12) if np.isfinite(kth) else bound
-                seen = np.flatnonzero(np.isfinite(best))
-                if len(seen) > k:  # a little below the k-th, for the last bits of a sum
-                    kth = np.partition(best[seen], len(seen) - k)[len(seen) - k]
-                    seen = seen[best[seen] >= kth - 1e-9 * (1 + abs(kth))]
-                exact = (np.ascontiguousarray(x[seen]) * q).sum(axis=1)
-                take = np.lexsort((first[seen], -exact))[:k]
-                seen, exact = seen[take], exact[take]
-                cand = np.concatenate([flat[off[i]:off[i + 1]] for i in seen]) if len(seen) else np.zeros(0, np.int64)
-                sc = np.repeat(exact, many[seen])
-                sc, cand = sc[cand != query], cand[cand != query]
-                top = np.lexsort((cand, -sc))[:k]
-                qid.append(np.full(len(top), query))
-                rank_id.append(cand[top])
-                score.append(sc[top])
-                bound_out.append(np.full(len(top), base))
+            queries, bounds = visits["query_id"].to_numpy(), visits["bound"].to_numpy()
+            size = (px * px).sum(axis=1)
+            for lo in range(0, len(queries), 64):
+                far = size + (qp[lo:lo + 64] ** 2).sum(axis=1)[:, None] - 2 * qp[lo:lo + 64] @ px.T
+                for query, q, f, bound in zip(queries[lo:lo + 64], qv[lo:lo + 64], far, bounds[lo:lo + 64]):
+                    base = float(q @ q) + norm2
+                    floor = (base - bound) / 2  # what an answer must score
+                    some = np.flatnonzero(f <= chi2 * bound)
+                    best = []  # (rows, scores) verified so far
+                    if len(some) > STEP:  # the nearest by projection first: they tighten the bound
+                        cut = np.argpartition(f[some], STEP)
+                        near, some = some[cut[:STEP]], some[cut[STEP:]]
+                        s = np.where((first[near] == query) & (many[near] == 1), -np.inf, x[near] @ q)
+                        best.append((near, s))
+                        kth = np.partition(s, STEP - k)[STEP - k]
+                        floor = max(floor, kth) if np.isfinite(kth) else floor
+                        some = some[f[some] <= chi2 * max(0.0, base - 2 * floor) * (1 + 1e-12) + 1e-12]
+                    best.append((some, np.where((first[some] == query) & (many[some] == 1), -np.inf, x[some] @ q)))
+                    seen, s = np.concatenate([r for r, _ in best]), np.concatenate([v for _, v in best])
+                    if len(s) > k:
+                        floor = max(floor, np.partition(s, len(s) - k)[len(s) - k])
+                    seen = seen[(s >= floor - 1e-9 * (1 + abs(floor))) & np.isfinite(s)]  # a little below, for the last bits of a sum
+                    exact = (np.ascontiguousarray(x[seen]) * q).sum(axis=1)
+                    take = np.lexsort((first[seen], -exact))[:k]
+                    seen, exact = seen[take], exact[take]
+                    cand = np.concatenate([flat[off[i]:off[i + 1]] for i in seen]) if len(seen) else np.zeros(0, np.int64)
+                    sc = np.repeat(exact, many[seen])
+                    sc, cand = sc[cand != query], cand[cand != query]
+                    top = np.lexsort((cand, -sc))[:k]
+                    qid.append(np.full(len(top), query))
+                    rank_id.append(cand[top])
+                    score.append(sc[top])
+                    bound_out.append(np.full(len(top), base))
         cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
         return pa.table({"query_id": cat(qid, np.int64), "vec_id": cat(rank_id, np.int64), "score": cat(score, np.float64), "base": cat(bound_out, np.float64)})
     return search
