@@ -27,7 +27,7 @@ PLAIN = {
     "ISC": ("isc license",),
     "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license"),
     "BSD-3-Clause": ("bsd 3 clause license", "new bsd license", "modified bsd license"),
-    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license version 2 0 the license"),
     "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0"),
     "Unlicense": ("unlicense",),
 }
@@ -42,7 +42,6 @@ TEXTS = {
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "apache-compliance": "you may not use this file except in compliance with the License.",
-    "apache-file": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at",
     "apache-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -92,7 +91,6 @@ def dictionary() -> tuple[dict[str, str], list[tuple[str, str]]]:
     s = lambda *keys: "".join(sign(k.rstrip("?")) + ("?" if k.endswith("?") else "") for k in keys)
     rules = [
         (s("reserved?", "mit-grant", "mit-notice?", "mit-warranty?"), "MIT"),
-        (s("apache-file", "apache-copy?", "apache-warranty?"), "Apache-2.0"),
         (s("grant:Apache-2.0", "apache-compliance?", "apache-copy?", "apache-warranty?"), "Apache-2.0"),
         (s("reserved?", "bsd-grant", "bsd-source", "bsd-binary"), "BSD"),
         (s("isc-grant"), "ISC"),
