@@ -28,16 +28,17 @@ def balance_sql(planting: str, p: CropParams, ss: int, se: int, whc: str = "1e2"
                 FROM ({rows}) {join} GROUP BY ALL))"""
 
 
-def stepwise_sql(planting: str, p: CropParams, ss: int, se: int, extra: int, col: str = "planting", cap: float = 100.0) -> str:
+def stepwise_sql(planting: str, p: CropParams, ss: int, se: int, extra: int, col: str = "planting", whc_from: str = "") -> str:
     """Body of a WITH RECURSIVE: ``run`` holds one row per season and dekad with its AET."""
     lo, hi = max(1, ss - 1), se + p.lgp + extra
+    whc = f"SELECT * FROM (@) JOIN ({whc_from}) USING (px_id)" if whc_from else "SELECT *, 100e0 AS whc_mm FROM (@)"
     return f"""
-    srow AS MATERIALIZED ({season_sql(planting, p, lo, hi, col)}),
+    srow AS MATERIALIZED ({whc.replace('@', season_sql(planting, p, lo, hi, col))}),
     run AS (
-      SELECT px_id, year, gd, dsp, p, wr, least(p, wr) AS aet, greatest(least(p - least(p, wr), {cap}::DOUBLE), 0e0) AS sw FROM srow WHERE gd = {lo}
+      SELECT px_id, year, gd, dsp, p, wr, least(p, wr) AS aet, greatest(least(p - least(p, wr), whc_mm), 0e0) AS sw FROM srow WHERE gd = {lo}
       UNION ALL
       SELECT s.px_id, s.year, s.gd, s.dsp, s.p, s.wr, least(r.sw + s.p, s.wr),
-             greatest(least(r.sw + s.p - least(r.sw + s.p, s.wr), {cap}::DOUBLE), 0e0)
+             greatest(least(r.sw + s.p - least(r.sw + s.p, s.wr), s.whc_mm), 0e0)
       FROM run r JOIN srow s ON s.px_id = r.px_id AND s.year = r.year AND s.gd = r.gd + 1)"""
 
 

@@ -36,15 +36,17 @@ def hargreaves_et0(lat_deg, tmax_c, tmin_c, year, dekad) -> Column:
 
 
 def crop_coefficient(dsp, p: CropParams) -> Column:
-    """Kc from dekads since planting: flat, ramp, flat, ramp; 0 outside the cycle."""
+    """Kc from dekads since planting: flat, ramp, flat, ramp; 0 outside the cycle.  The parameters may be
+    columns (see ``sources.calendars.crop_columns``)."""
     dsp = as_col(dsp)
+    ramp = lambda n: F.greatest(n, F.lit(1e-6)) if isinstance(n, Column) else max(n, 1e-6)
     d1, d2, d3 = p.l_ini, p.veg_end, p.flo_end
     return (
         F.when((dsp < 0) | (dsp >= p.lgp), F.lit(0.0))
         .when(dsp < d1, F.lit(p.kc_ini))
-        .when(dsp < d2, p.kc_ini + (dsp - d1) / max(p.l_dev, 1e-6) * (p.kc_mid - p.kc_ini))
+        .when(dsp < d2, p.kc_ini + (dsp - d1) / ramp(p.l_dev) * (p.kc_mid - p.kc_ini))
         .when(dsp < d3, F.lit(p.kc_mid))
-        .when(dsp < p.lgp, p.kc_mid + (dsp - d3) / max(p.l_late, 1e-6) * (p.kc_end - p.kc_mid))
+        .when(dsp < p.lgp, p.kc_mid + (dsp - d3) / ramp(p.l_late) * (p.kc_end - p.kc_mid))
     )
 
 

@@ -24,13 +24,14 @@ def zero() -> Column:
 
 
 def season_series(climate: DataFrame, gd_lo: int, gd_hi: int, keys: Sequence[str] = SEASON,
-                  extra: Sequence[Column] = (), fields: Sequence[str] = ("p", "et0")) -> DataFrame:
+                  extra: Sequence[Column] = (), fields: Sequence[str] = ("p", "et0"),
+                  years: tuple[int, int] | None = None) -> DataFrame:
     """One row per season with its ordered dekads ``s``: array<struct<gd, fields...>>.
 
     climate: px_id, year, dekad, fields.  ``extra`` aggregates (such as ``onset_aggs``) ride on the
     same shuffle.  A season without a dekad in its own calendar year is none.
     """
-    return season_frame(climate.select(*PX, "year", "dekad", *fields), gd_lo, gd_hi).groupBy(*keys).agg(
+    return season_frame(climate.select(*PX, "year", "dekad", *fields), gd_lo, gd_hi, years).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("gd", *fields))).alias("s"), own_year().alias("_own"), *extra).filter("_own").drop("_own")
 
 

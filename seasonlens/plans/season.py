@@ -5,9 +5,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from seasonlens.config import MAIZE, YM_MAIN_THA, CropParams
+from seasonlens.config import MAIZE, YM_MAIN_THA, YM_SHORT_THA, CropParams
 from seasonlens.functions.classes import wrsi_class
-from seasonlens.operators import balance as B, onset as O, risk as R, rollup as U
+from seasonlens.operators import balance as B, observations as OB, onset as O, rainfall as RA, risk as R, rollup as U
+from seasonlens.sources import calendars as CA
 
 
 @dataclass(frozen=True)
@@ -21,23 +22,30 @@ class SeasonParams:
     ppet_gate: bool = True
     false_start_gate: bool = True
     ltn_pad: int = 2
+    years: tuple[int, int] | None = None  # season years; None: all that the data hold
 
 
 def _seasons(climate: DataFrame, p: SeasonParams) -> DataFrame:
     """Season rows with the ordered dekads of the balance and the rainfall onset."""
     lo, hi = B.balance_range(p.crop, p.sos_start, p.sos_end)
     aggs = O.onset_aggs(p.sos_start, p.sos_end, "et0" if p.ppet_gate else None)
-    return B.season_series(climate, lo, hi, extra=aggs).select(
+    return B.season_series(climate, lo, hi, extra=aggs, years=p.years).select(
         "px_id", "year", "s", O.onset_rule(p.sos_start, p.sos_end, p.ppet_gate).alias("onset"))
 
 
+def on_crop(crop: DataFrame | None, *tables: DataFrame) -> list[DataFrame]:
+    """The tables' crop pixels, taken before anything else moves; all pixels without a mask."""
+    return [t if crop is None else OB.masked_to(t, crop) for t in tables]
+
+
 def rain_led_product(climate: DataFrame, zones: DataFrame, p: SeasonParams, whc: DataFrame | None = None,
-                     min_px: int = 1) -> DataFrame:
+                     min_px: int = 1, crop: DataFrame | None = None) -> DataFrame:
     """When did the rains start and did the crop get enough water, per zone and level 'county'.
 
     climate: px_id, year, dekad, p, et0; zones: px_id, county.  Seasons without an onset stay in
-    the counts.
+    the counts.  ``crop``: pixels of the crop mask.
     """
+    climate, = on_crop(crop, climate)
     seasons = _seasons(climate, p).withColumn("planting", F.col("onset"))
     # one shuffle per season serves the onset rule and the balance; no self-join
     px = B.add_water_balance(B.with_capacity(seasons, whc), p.crop, B.balance_range(p.crop, p.sos_start, p.sos_end))
@@ -67,8 +75,14 @@ def planting_bounds(p: SeasonParams) -> tuple[int, int]:
 
 def season_product(g: DataFrame, climate: DataFrame, daily: DataFrame, p: SeasonParams,
                    prior: DataFrame | None = None, t_normal: DataFrame | None = None,
-                   whc: DataFrame | None = None) -> DataFrame:
-    """Planting, the rainfall onset it is checked against, and the seasonal water balance."""
+                   whc: DataFrame | None = None, crop: DataFrame | None = None) -> DataFrame:
+    """Planting, the rainfall onset it is checked against, and the seasonal water balance.
+
+    ``g`` may come from any fusion (cue fusion, or ``fusion.fused_series`` and ``calibrated_fill``).
+    """
+    g, climate, daily = on_crop(crop, g, climate, daily)
+    if p.years:
+        g = g.filter(F.col("year").between(*p.years))
     planting = planting_product(g, daily, p, prior, t_normal)
     px = B.with_capacity(planting.join(_seasons(climate, p), ["px_id", "year"], "left"), whc)
     return B.add_water_balance(px, p.crop, B.balance_range(p.crop, p.sos_start, p.sos_end)).drop("s", "whc_mm").withColumn("wrsi_class", wrsi_class("wrsi"))
@@ -89,6 +103,64 @@ def risk_product(climate: DataFrame, planting: DataFrame, veg: DataFrame, p: Sea
     return R.performance_index(px.join(veg, ["px_id", "year"], "left"), ym)
 
 
+def short_rains_product(climate: DataFrame, daily: DataFrame, veg: DataFrame, p: SeasonParams, clim: tuple[int, int],
+                        whc: DataFrame | None = None, crop: DataFrame | None = None, ym: float = YM_SHORT_THA,
+                        min_wrsi: float = 50.0) -> DataFrame:
+    """The rain-anchored season that runs over the year end: onset with climatological fallback, viability of the
+    early variety, and for viable plantings the staged balance, stresses, CPI and yield.
+
+    climate: px_id, year, dekad, p, et0, tmax_c; daily: px_id, d, rain_mm; ``p`` holds the early variety and
+    the wrapping window.  A season whose next-year dekads are missing is NULL from the balance on.
+    """
+    climate, daily = on_crop(crop, climate, daily)
+    pet = "et0" if p.ppet_gate else None
+    normal = O.climatological_onset(RA.dekad_climatology(daily, clim), climate, p.sos_start, p.sos_end, pet)
+    onset = O.onset_with_fallback(O.rain_onset(climate, p.sos_start, p.sos_end, pet), normal)
+    lo, hi = B.balance_range(p.crop, p.sos_start, p.sos_end, staged=True)
+    series = B.season_series(climate, lo, hi, fields=("p", "et0", "tmax_c"), years=p.years)
+    px = B.with_capacity(series.join(onset.withColumn("planting", F.col("onset")), ["px_id", "year"]), whc)
+    # one gathered series serves the early balance, the staged one and the heat
+    px = B.add_water_balance(px, p.crop, B.balance_range(p.crop, p.sos_start, p.sos_end)).withColumnRenamed("wrsi", "wrsi_early")
+    px = px.withColumns({"viable": F.coalesce((F.col("wrsi_early") >= min_wrsi).cast("int"), F.lit(0)),
+                         "planting": F.when(F.col("wrsi_early") >= min_wrsi, F.col("planting"))})
+    px = R.add_heat_stress(B.add_staged_balance(px, p.crop, (lo, hi)), p.crop).withColumn("s_water", R.water_stress())
+    out = R.performance_index(px.join(veg, ["px_id", "year"], "left"), ym)
+    return out.select("px_id", "year", "onset", "planting", "viable", "wrsi_early", "complete", *B.STAGED, "s_water", "s_heat", "s_veg", "cpi", "yield_tha")
+
+
+def calendar_products(climate: DataFrame, zones: DataFrame, calendar: DataFrame, crops: DataFrame, mask: DataFrame | None = None,
+                      whc: DataFrame | None = None, years: tuple[int, int] | None = None) -> DataFrame:
+    """Onset, planting skill and water balance of every viable product of a season calendar, in one plan.
+
+    calendar: rows of ``sources.calendars``; crops: ``crop_table``; zones: px_id, country; mask: px_id, product,
+    classification.  Windows and crop parameters are columns, so a product is a row and not a plan; a pixel's
+    dekads of two years are gathered once for all its products.
+    """
+    cal = CA.with_windows(CA.viable_products(calendar)).withColumn("_crop", F.lower("crop")).drop("crop")
+    cal = cal.join(crops.withColumnRenamed("crop", "_crop"), "_crop")
+    px = zones.select("px_id", "country").join(cal, "country")
+    if mask is not None:
+        product = F.when(F.col("_crop") == "maize", "maize").otherwise("temporarycrops")
+        held = mask.filter(F.col("classification") == 100).select("px_id", F.col("product").alias("_mask"))
+        px = px.withColumn("_mask", product).join(held, ["px_id", "_mask"], "left_semi")
+    c = CA.crop_columns()
+    ss, se = F.col("sos_start"), F.col("sos_end")
+    lo, hi = F.greatest(ss - 1, F.lit(1)), se + c.lgp + 1
+    rows = B.season_series(climate, 1, 72, years=years).join(px, "px_id").withColumns({
+        "_w": F.filter("s", lambda x: x["gd"].between(ss, se)), "s": F.filter("s", lambda x: x["gd"].between(lo, hi))})
+    after = lambda i, n: F.get(F.col("_w"), i + n)
+    starts = F.filter("_w", lambda x, i: (x["p"] >= 25) & (after(i, 1)["p"] + after(i, 2)["p"] >= 20) & (after(i, 2)["gd"] == x["gd"] + 2)
+                      & (x["p"] / F.greatest(x["et0"], F.lit(1e-3)) >= 0.5))
+    rows = rows.withColumn("planting", F.get(starts, F.lit(0))["gd"])
+    px = B.add_water_balance(B.with_capacity(rows, whc), c, (lo, hi))
+    on = F.col("planting").isNotNull()
+    return px.groupBy("country", F.col("_crop").alias("crop"), "season", "sos_start", "sos_end", "win_start", "win_end").agg(
+        F.count(F.lit(1)).alias("n_seasons"), F.count("planting").alias("n_onset"), F.sum("complete").alias("n_complete"),
+        F.avg("planting").alias("mean_onset"), F.avg(F.when(on, F.col("planting").between(F.col("win_start"), F.col("win_end")).cast("int"))).alias("hit_rate"),
+        F.avg(F.when(on, F.col("wrsi"))).alias("mean_wrsi"),
+        (F.avg(F.when(on & F.col("wrsi").isNotNull(), (F.col("wrsi") < 50).cast("int"))) * 100).alias("fail_pct"))
+
+
 def excess_product(planting: DataFrame, daily: DataFrame, hydro: DataFrame, spi: DataFrame,
                    p: SeasonParams) -> DataFrame:
     """False start, waterlogging, wet-season flag and trigger rain per pixel and season.  Each step

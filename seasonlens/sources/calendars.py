@@ -50,6 +50,11 @@ def crop_table(spark: SparkSession, crops: Sequence[CropParams] = tuple(CROPS.va
          for c in crops], CROP_SCHEMA)
 
 
+def crop_columns() -> CropParams:
+    """The parameters of each row's own crop, for rows joined with ``crop_table``."""
+    return CropParams("row", *[F.col(c.split()[0]) for c in CROP_SCHEMA.split(", ")[1:]])
+
+
 def with_variety(base: DataFrame, override: DataFrame, on: Sequence[str] = ("crop",)) -> DataFrame:
     """Variety rows: the override's value where it has one, else the crop's."""
     rest = [c for c in base.columns if c not in on]
