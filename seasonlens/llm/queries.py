@@ -65,12 +65,28 @@ def op9(spark, sf):
     return language.identify(docs.drop("lang"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN (SELECT h, min(doc_id) AS m FROM win GROUP BY h) USING (h) WHERE doc_id > m),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d)
+SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(c.j) AS n_removed,
+       sha256(coalesce(string_agg(x, ' ' ORDER BY o.j) FILTER (WHERE c.j IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN words o USING (doc_id) LEFT JOIN cov c ON c.doc_id = o.doc_id AND c.j = o.j GROUP BY d.doc_id
+""")
 def op3(spark, sf):
     return substrings.repeated_spans(table(spark, sf, "documents", "doc_id", "text")).drop("spans")
 
 
-@query("op10_ngram_jaccard_join")
+@query("op10_ngram_jaccard_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+      JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 10 * c >= 8 * (p.n + q.n - c)),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.o)
+SELECT doc_id, min(o) AS class_id, (SELECT count(*) FROM e WHERE e.a = r.doc_id) AS n_links FROM r GROUP BY doc_id
+""")
 def op10(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
 
