@@ -55,10 +55,17 @@ def rain_daily(spark, sf) -> DataFrame:
 
 
 def temps_daily(spark, sf) -> DataFrame:
+    """A background value per pixel and day, and one reading more for each record of the day."""
     px, doy = F.col("px_id"), F.dayofyear("d")
-    return day_spine(grid(spark, sf), "1995-01-01", "2001-12-31", ("px_id", "lat", "elev_m")).select(
+    background = day_spine(grid(spark, sf), "1995-01-01", "2001-12-31", ("px_id", "lat", "elev_m")).select(
         "px_id", "d", "lat", "elev_m", (303.0 + (px * 7 + doy * 3) % 25 * 0.25).alias("tmax_k"),
         (288.0 + (px * 5 + doy) % 17 * 0.25).alias("tmin_k"))
+    q = F.col("l_quantity").cast("int")
+    readings = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("px_id"), F.col("l_shipdate").cast("date").alias("d"),
+        (301.0 + q % 40 * 0.25).alias("tmax_k"), (286.0 + q % 24 * 0.25).alias("tmin_k"))
+    day = readings.filter((F.col("d") >= "1995-01-01") & (F.col("d") < "2002-01-01"))
+    return background.unionByName(day, allowMissingColumns=True)
 
 
 def climate(spark, sf) -> DataFrame:

@@ -12,6 +12,7 @@ from crosscheck.views import label
 from seasonlens.functions.classes import name_key
 from seasonlens.functions.dekads import date_to_dekad
 from seasonlens.operators import observations as OB, onset as O, rollup as U
+from seasonlens.sources.tables import new_path
 
 Z3 = ["county", "constituency", "name"]
 
@@ -347,32 +348,40 @@ def _(spark, sf):
     return I.pixels(spark, sf).select("px_id", name_key(F.concat("name", F.lit(" St."))).alias("key"))
 
 
-# observed dekad: median day of year of the 1997 records; for wards, of the best-performing ones, which not every ward has
+# observed dekad: median day of year of all records; wards numbered 0 and 3 have no observations of their own
 OBS_SQL = """
     SELECT {k} CAST((month(d)-1)*3 + least(3, (day(d)-1)//10 + 1) AS INTEGER) AS dk, farmers FROM (
-      SELECT {k} DATE '1996-12-31' + CAST(floor(quantile_cont(planting_all * 10 - 5, 0.5)) AS INTEGER) AS d, count(*) AS farmers FROM v_pixels WHERE year = 1997 {w} GROUP BY ALL)"""
-COUNTY_OBS, WARD_OBS = OBS_SQL.format(k="county,", w=""), OBS_SQL.format(k="county, name,", w="AND cpi > 105")
+      SELECT {k} DATE '1996-12-31' + CAST(floor(quantile_cont(planting_all * 10 - 5, 0.5)) AS INTEGER) AS d, count(*) AS farmers FROM v_pixels {w} GROUP BY ALL)"""
+COUNTY_OBS, WARD_OBS = OBS_SQL.format(k="county,", w=""), OBS_SQL.format(k="county, name,", w="WHERE right(name, 1) IN ('1', '2', '4')")
 EST_SQL = f"SELECT county, name, modal_dekad, n_px FROM ({skill_sql('county, constituency, name', 1)})"
 VAL_SQL = f"""
     SELECT e.county, e.name, e.modal_dekad, coalesce(w.dk, c.dk) AS obs_plant_dk, e.modal_dekad - coalesce(w.dk, c.dk) AS plant_err, w.farmers
     FROM ({EST_SQL}) e LEFT JOIN ({WARD_OBS}) w ON w.county = e.county AND w.name = e.name LEFT JOIN ({COUNTY_OBS}) c ON c.county = e.county"""
 
 
-def observed(spark, sf, keys, best=False):
-    px = I.pixels(spark, sf).filter(F.col("year") == 1997)
-    px = px.filter(F.col("cpi") > 105) if best else px
-    o = px.groupBy(*keys).agg(F.floor(F.percentile(F.col("planting_all") * 10 - 5, F.lit(0.5))).cast("int").alias("m"), F.count(F.lit(1)).alias("farmers"))
-    return o.select(*keys, date_to_dekad(F.date_add(F.lit("1996-12-31").cast("date"), F.col("m"))).alias("dk"), "farmers")
+def counts(spark, sf):
+    """Pixels per ward, planting and record, stored: every estimate and observation below reads this table."""
+    path = new_path(spark, "counts")
+    I.pixels(spark, sf).groupBy(*Z3, "planting", "planting_all").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.parquet(path)
+
 
+def estimates(c, keys):
+    h = c.filter(F.col("planting").between(1, 36)).groupBy(*keys, F.col("planting").alias("dekad")).agg(F.sum("n").alias("n"))
+    return U.planting_skill(h, keys, 8, 12, 1)
 
-def ward_obs(spark, sf):
-    return observed(spark, sf, ["county", "name"], best=True).withColumnRenamed("name", "ward")
+
+def observed(c, keys):
+    o = c.groupBy(*keys).agg(F.floor(F.percentile(F.col("planting_all") * 10 - 5, F.lit(0.5), F.col("n"))).cast("int").alias("m"), F.sum("n").alias("farmers"))
+    return o.select(*keys, date_to_dekad(F.date_add(F.lit("1996-12-31").cast("date"), F.col("m"))).alias("dk"), "farmers")
 
 
 def validated(spark, sf):
-    est = U.planting_skill(hist(spark, sf), Z3, 8, 12, 1).select("county", "name", "modal_dekad")
-    out = U.observed_dekads(est, ward_obs(spark, sf), observed(spark, sf, ["county"]))
-    return out.join(ward_obs(spark, sf).select("county", F.col("ward").alias("name"), "farmers"), ["county", "name"], "left")
+    c = counts(spark, sf)
+    wards = observed(c.filter(F.substring("name", -1, 1).isin("1", "2", "4")), ["county", "name"]).withColumnRenamed("name", "ward")
+    est = estimates(c, Z3).select("county", "name", "modal_dekad")
+    out = U.observed_dekads(est, wards, observed(c, ["county"]))
+    return out.join(wards.select("county", F.col("ward").alias("name"), "farmers"), ["county", "name"], "left")
 
 
 @query("val2_observed_with_fallback", f"SELECT county, name, modal_dekad, obs_plant_dk, plant_err, farmers FROM ({VAL_SQL})")
@@ -396,15 +405,15 @@ def _(spark, sf):
 
 
 # live medians exist where a county has at least 20 pixels
-LIVE_SQL = "SELECT county, quantile_cont(planting, 0.5) AS est_dk FROM v_pixels WHERE planting IS NOT NULL AND year = 1997 GROUP BY ALL HAVING count(*) >= {n}"
+LIVE_SQL = "SELECT county, quantile_cont(planting, 0.5) AS est_dk FROM v_pixels WHERE planting IS NOT NULL GROUP BY ALL HAVING count(*) >= {n}"
 OBS5_SQL = f"SELECT o.county, o.dk AS obs_dk, s.modal_dekad FROM ({COUNTY_OBS}) o JOIN ({skill_sql('county', 1)}) s USING (county)"
 
 
 def _live(spark, sf, n):
-    px = I.pixels(spark, sf).filter(F.col("year") == 1997)
-    live = px.groupBy("county").agg(F.percentile("planting", F.lit(0.5)).alias("est_dk"), F.count("planting").alias("n")).filter(F.col("n") >= n)
-    shipped = U.planting_skill(hist(spark, sf, ["county"]), ["county"], 8, 12, 1).select("county", "modal_dekad")
-    obs = observed(spark, sf, ["county"]).select("county", F.col("dk").alias("obs_dk")).join(shipped, "county")
+    c = counts(spark, sf)
+    planted = c.filter(F.col("planting").isNotNull())
+    live = planted.groupBy("county").agg(F.percentile("planting", F.lit(0.5), F.col("n")).alias("est_dk"), F.sum("n").alias("_n")).filter(F.col("_n") >= n)
+    obs = observed(c, ["county"]).select("county", F.col("dk").alias("obs_dk")).join(estimates(c, ["county"]).select("county", "modal_dekad"), "county")
     return U.live_or_shipped(obs, live)
 
 

@@ -109,7 +109,7 @@ def _(spark, sf):
 
 
 @query("time11_dense_days", """
-    SELECT t.px_id, t.d, coalesce(r.rain_mm, 0) AS rain_mm FROM v_temps_daily t LEFT JOIN v_rain_daily r USING (px_id, d)""")
+    SELECT t.px_id, t.d, coalesce(r.rain_mm, 0) AS rain_mm FROM (SELECT DISTINCT px_id, d FROM v_temps_daily) t LEFT JOIN v_rain_daily r USING (px_id, d)""")
 def _(spark, sf):
     spine = FR.day_spine(I.grid(spark, sf), "1995-01-01", "2001-12-31")
     return FR.densify(I.rain_daily(spark, sf), spine, ["px_id", "d"], {"rain_mm": 0.0})

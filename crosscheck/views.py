@@ -83,7 +83,9 @@ VIEWS: dict[str, str] = {
     "v_temps_daily": """
         SELECT px_id, d, 303e0 + ((px_id*7 + dayofyear(d)*3) % 25) * 25e-2 AS tmax_k,
                288e0 + ((px_id*5 + dayofyear(d)) % 17) * 25e-2 AS tmin_k
-        FROM v_grid, (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)""",
+        FROM v_grid, (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
+        UNION ALL SELECT l_suppkey, CAST(l_shipdate AS DATE), 301e0 + (CAST(l_quantity AS INTEGER) % 40) * 25e-2, 286e0 + (CAST(l_quantity AS INTEGER) % 24) * 25e-2
+        FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '2002-01-01'""",
     "v_temps": f"""
         SELECT px_id, CAST(year(d) AS INTEGER) AS year, {dk('d')} AS dekad, avg(tmax_k) - 273.15::DOUBLE AS tmax_c,
                avg(tmin_k) - 273.15::DOUBLE AS tmin_c FROM v_temps_daily GROUP BY ALL""",
