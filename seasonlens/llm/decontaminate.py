@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seasonlens.llm.store import set_aside
+from seasonlens.llm.store import map_texts, set_aside
 from seasonlens.llm.words import LOWER, NOT_ALNUM, signed, split_words, text_chunks, windows, winnowed
 
 SPAN = 13
@@ -207,7 +207,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     for b in range(n_blocks):
         block = bench if n_blocks == 1 else bench.filter(F.pmod(F.xxhash64(item, "text"), F.lit(n_blocks)) == b)
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in block.collect()], span, k))
-        passes.append(docs.mapInArrow(_scan(index, span, k, docs.columns, text, arrow), out))
+        passes.append(map_texts(docs, _scan(index, span, k, docs.columns, text, arrow), out))
     if n_blocks == 1:
         return passes[0]
     first = passes[0]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from seasonlens.llm.components import connected_components
 from seasonlens.llm.substrings import _text_hashes
 from seasonlens.llm.words import WHITE, mix, signed, split_words, text_chunks, windows
-from seasonlens.llm.store import stored
+from seasonlens.llm.store import map_texts, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """key, class_id (smallest key of the connected class), n_links (other documents at the threshold or over):
     one row per input row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    known = stored(rows.mapInArrow(_sketches(size), "key long, t1 long, t2 long, n_words long, sketch array<int>"), "sketches")
+    known = stored(map_texts(rows, _sketches(size), "key long, t1 long, t2 long, n_words long, sketch array<int>"), "sketches")
     classes = stored(known.filter(F.col("key").isNotNull() & (F.col("n_words") > 0)).groupBy("t1", "t2").agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "classes")
 
@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .select(F.col("key").alias("rep"), "t1", "copies").distinct()
     tiles = _tiled(sized.join(firsts, "rep"), "root", ["rep", "copies", "t1"], TILE)
     tiles = rows.withColumnRenamed("key", "rep").join(tiles, "rep")
-    found = stored(tiles.select("tile", "side", "rep", "copies", "t1", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(
-        _verified(size, threshold), "rep long, links long, root long"), "verified")
+    found = stored(map_texts(
+        tiles.select("tile", "side", "rep", "copies", "t1", "text").repartition("tile").sortWithinPartitions("tile"), _verified(size, threshold), "rep long, links long, root long"), "verified")
     # a class inside one tile is settled there; classes over several tiles meet through their links
     meet = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(meet.withColumnRenamed("node", "rep"), "rep", "left")

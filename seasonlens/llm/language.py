@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from seasonlens.llm.store import set_aside
+from seasonlens.llm.store import map_texts, set_aside
 from seasonlens.llm.words import BASE1, WHITE, _BYTE, mix, powers, split_words, text_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return Model([], pieces, np.zeros((len(pieces.pieces), 0)))
     share = F.create_map(*[F.lit(v) for x in langs for v in (x, float(min(1.0, fit_docs / size[x])))])
     chosen = F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)
-    counts = labelled.filter(chosen).select(text, lang).mapInArrow(_word_counts, "lang string, word binary, n long") \
+    counts = map_texts(labelled.filter(chosen).select(text, lang), _word_counts, "lang string, word binary, n long") \
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.cache()  # read once a round; recomputed where an executor is lost
     code = {x: i for i, x in enumerate(langs)}
@@ -305,4 +305,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
                                              names=[*batch.schema.names, *ADDED])
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_texts(docs, predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from seasonlens.llm.store import set_aside
+from seasonlens.llm.store import map_texts, set_aside
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "key")
@@ -162,4 +162,4 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "secrets"])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("secrets", _SECRET)]))
+    return map_texts(docs, scan, T.StructType([*docs.schema.fields, T.StructField("secrets", _SECRET)]))

@@ -6,6 +6,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seasonlens.sources.tables import new_path
 
 
+#: Rows of one Arrow batch where rows carry whole texts; Spark's own 10,000 would be tens of MB several times over.
+BATCH_ROWS = 1000
+
+
+def map_texts(rows: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over rows that carry texts, in batches that stay small.  The limit is a setting of the session,
+    lowered once and never raised."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Written as Parquet and read again: cuts the lineage, survives lost executors, and shows its true size."""
     path = new_path(df.sparkSession, name)

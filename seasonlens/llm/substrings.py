@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlens.llm.words import BASE1, BASE2, WHITE, mix, signed, split_words, text_chunks, windows, winnowed
-from seasonlens.llm.store import stored
+from seasonlens.llm.store import map_texts, stored
 
 MIN_WORDS = 50
 _TEXT = "key long, t1 long, t2 long, n_words long, sha string"
@@ -162,12 +162,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     base, half, full = _lengths(min_words)
 
-    texts = stored(rows.mapInArrow(_describe, _TEXT), "texts")
+    texts = stored(map_texts(rows, _describe, _TEXT), "texts")
     known = texts.filter(F.col("key").isNotNull() & (F.col("n_words") >= min_words))
     first = known.groupBy("t1", "t2").agg(F.min("key").alias("first_key"))
 
     live = rows.filter(F.col("key").isNotNull() & F.col("text").isNotNull())
-    anchors = stored(live.mapInArrow(_anchors(min_words), _ANCHOR), "anchors")
+    anchors = stored(map_texts(live, _anchors(min_words), _ANCHOR), "anchors")
     shared = lambda df, *by: df.groupBy(*by).agg(F.min("key").alias("_lo"), F.max("key").alias("_hi")).filter("_lo < _hi")
     again = stored(anchors.join(shared(anchors, "base").select("base"), "base", "left_semi")
                  .select("key", "t1", "at", F.explode(F.array(
@@ -179,11 +179,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     # whole copies of a text with a smaller key need no windows; the first copy stands for them
     one = known.join(first, ["t1", "t2"]).filter("key = first_key").select("key", "t1").distinct()
     todo = stored(live.join(ranges.join(one, ["key", "t1"]), "key").select("key", "text", "t1", "ranges"), "candidates")
-    dense = todo.mapInArrow(_full_windows(min_words), _FULL)
+    dense = map_texts(todo, _full_windows(min_words), _FULL)
     earliest = dense.groupBy("w1", "w2").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi")).filter("_lo < _hi").drop("_hi")
     hits = dense.join(earliest, ["w1", "w2"]).filter("key > _lo").groupBy("key", "t1").agg(F.collect_list("at").alias("starts"))
-    cut = todo.select("key", "text", "t1").join(hits, ["key", "t1"]).select("key", "text", "t1", "starts").mapInArrow(
-        _cut(min_words), f"key long, t1 long, n_removed long, kept_sha string, spans {_SPANS}").dropDuplicates(["key", "t1"])
+    cut = map_texts(
+        todo.select("key", "text", "t1").join(hits, ["key", "t1"]).select("key", "text", "t1", "starts"), _cut(min_words), f"key long, t1 long, n_removed long, kept_sha string, spans {_SPANS}").dropDuplicates(["key", "t1"])
 
     whole = F.col("key") > F.col("first_key")
     return texts.join(first, ["t1", "t2"], "left").join(cut, ["key", "t1"], "left").select(
