@@ -25,8 +25,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts each source's boilerplate lines from its documents; all documents stay."""
-    cut = lines.drop_boilerplate(docs)
+    """Cuts each source's boilerplate lines from its documents; all documents stay.  Near duplicates count as one page
+    of a source: a group of copies must not make its own lines boilerplate, or none of it would be left to keep."""
+    cut = lines.drop_boilerplate(docs, classes=jaccard.near_duplicates(docs))
     cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(given(docs, lines.NAMES))
 

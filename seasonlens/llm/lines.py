@@ -8,6 +8,10 @@ Lines are compared without surrounding white space, by a 64-bit hash: a false dr
 with one of the host's few boilerplate lines.  A host has at most (mean distinct lines a page) / ratio
 of them, so the per-host list is bounded by the page length and not by the number of pages.
 
+Copies: every row counts as a page of its own, as in the SQL of the query, so a text with more than ``ratio`` of a
+host's pages loses all its lines.  With ``classes`` (key, class_id) the pages of one class count once on a host, by
+the lines of the smallest key; so do equal texts without a class.
+
 Nulls: a NULL text stays NULL with 0 lines; NULL hosts form one host.  A text that loses all lines
 becomes ''.  Equal rows count as pages of their own.  An empty table gives an empty table.
 """
@@ -39,10 +43,16 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
-                      min_pages: int = MIN_PAGES) -> DataFrame:
+                      min_pages: int = MIN_PAGES, classes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """_host, lines: the hashes of each host's boilerplate lines.  Line counts combine map-side."""
-    keyed = pages.select(F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")).alias("_host"), F.col(text).alias("_t"))
-    seen = keyed.select("_host", F.explode(F.array_distinct(F.transform(_lines("_t"), _key))).alias("_line"))
+    of_host, of_page = F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")), F.array_distinct(F.transform(_lines(text), _key))
+    keyed = pages.select(of_host.alias("_host"), of_page.alias("_page"))
+    if classes is not None:  # rows of line hashes are joined, not texts; one of a class leaves a map task
+        rows = pages.select(of_host.alias("_host"), of_page.alias("_page"), F.col(key).alias("_key"), F.xxhash64(text).alias("_t"))
+        known = classes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("class_id").alias("_class"))
+        keyed = stored(rows.join(known, "_key", "left").groupBy("_host", "_class", F.when(F.col("_class").isNull(), F.col("_t")).alias("_own"))
+                       .agg(F.min_by("_page", F.struct("_key", "_t")).alias("_page")).select("_host", "_page"), "counted")
+    seen = keyed.select("_host", F.explode("_page").alias("_line"))
     per_line = seen.filter(F.col("_line").isNotNull()).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     totals = keyed.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
     hot = per_line.filter(F.col("_n") >= min_pages).join(totals, "_host").filter(F.col("_n") > ratio * F.col("_all"))
@@ -50,10 +60,11 @@ def boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "source"
 
 
 def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, classes: DataFrame | None = None,
+                     key: str = "doc_id") -> DataFrame:
     """The pages with ``text`` cleaned, and ``n_lines, n_dropped``."""
     pages = set_aside(pages, NAMES)
-    hot = stored(boilerplate_lines(pages, text, host, ratio, min_pages), "boilerplate")
+    hot = stored(boilerplate_lines(pages, text, host, ratio, min_pages, classes, key), "boilerplate")
     n = hot.agg(F.sum(F.size("lines"))).first()[0] or 0
     keyed = pages.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")))
     if n <= broadcast_lines:

@@ -346,3 +346,20 @@ def test_pipeline_equals_brute_force(spark):
     for k, (t, h) in docs.items():  # a source at its cap takes every document twice
         if taken[h] == 2 * size[h] and t.split():
             assert drawn[k] == {0: len(t.split()), 1: len(t.split())}
+
+
+def test_one_of_a_hot_copy_group_survives_the_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = [r.text.split() for r in docs.filter("lang = 'en' AND size(split(text, ' ')) > 80").orderBy("doc_id").limit(4).collect()]
+    cut = lambda words, k: "\n".join(" ".join(words[i:i + k]) for i in range(0, len(words), k))
+    same, near = cut(long[0][:60] + long[1][:20], 8), long[2][:60] + long[3][:20]
+    copies = [(10_000 + i, same, f"src{i % 20}") for i in range(220)] + [
+        (20_000 + i, cut([*near[:i % 80], f"other{i}", *near[i % 80 + 1:]], 8), f"src{i % 20}") for i in range(220)]
+    more = spark.createDataFrame(copies, DOC + ", source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    every = docs.unionByName(more, allowMissingColumns=True)  # a third of the rows are copies, a third are near copies
+    out = every
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, out, SF).write.parquet(f"{tmp_path}/{i}")
+        out = spark.read.parquet(f"{tmp_path}/{i}")
+    got = {r.doc_id: r.text for r in out.filter("doc_id >= 10000").collect()}
+    assert got == {10_000: same, 20_000: copies[220][1]}
