@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from seasonlens.llm.store import stored
 
 DIMS = 8
-CONFIDENCE = 0.95
+CONFIDENCE = 0.99
 SAMPLE = 65_536
 CELL_ROWS = 2048
 MAX_CELLS = 4096

@@ -233,6 +233,10 @@ def test_neighbours_recall_ties_and_hot_vectors(spark):
     assert N.chi_square_quantile(.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
+def test_a_true_neighbour_is_cut_with_one_percent_at_most():
+    assert N.CONFIDENCE >= .99
+
+
 # ---- secrets, licences, pages -----------------------------------------------------------------
 def der(tag, body):
     n = len(body)
