@@ -3,7 +3,8 @@
 Base kinds are patterns: ``assign`` (a named value of 8 characters or more), ``access`` (AKIA..., 16 or more) and
 ``hex`` (32 digits or more).  Confirmed kinds are reported only when their structure holds: a ``jwt`` has
 a header that decodes to a JSON object with an algorithm, a payload that decodes to an object, and a
-signature; a ``key`` is base64 (with or without PEM lines) or hexadecimal text that decodes to a private key, i.e.
+signature; a ``key`` is base64 (with or without PEM lines, on one line or wrapped, line breaks also as escapes) or
+hexadecimal text that decodes to a private key, i.e.
 nested lengths that fill their parents exactly and hold the fields of PKCS#1, SEC 1, PKCS#8 or the
 OpenSSH container.  Anything else that merely looks encoded is not added.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -29,9 +31,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a whole run: the match starts where the run does
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_.-])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Any three parts as long as the shortest header with an algorithm, payload and signature; what they decode to decides.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]{22,}+)(?!\.[A-Za-z0-9_-])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])++)-----END \1-----")
+_UNPEM = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{56,}={0,2}")
+_BREAK = r"[ \t]*+(?:\r\n?|\n|(?:\\+r)?\\+n)[ \t]*+"
+#: Lines of base64; where a key begins and ends among them, its own lengths tell.
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/]++)++={{0,2}}")
+_LINE = re.compile(rf"([A-Za-z0-9+/]+)={{0,2}}(?:{_BREAK})?")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){48,}(?![0-9A-Fa-f])")
 _SSH = b"openssh-key-v1\0"
 
@@ -79,23 +87,28 @@ def is_private_key(b: bytes) -> bool:
 
 
 def _is_openssh(b: bytes) -> bool:
+    return _openssh_end(b) == len(b)
+
+
+def _openssh_end(b: bytes) -> int:
+    """Where the container that b begins with ends, or -1."""
     fields, i = [], 0
     for _ in range(3):  # cipher, key derivation, its options
         n = int.from_bytes(b[i:i + 4], "big")
         if i + 4 + n > len(b):
-            return False
+            return -1
         fields.append(b[i + 4:i + 4 + n])
         i += 4 + n
     count = int.from_bytes(b[i:i + 4], "big")
     i += 4
     if not 1 <= count <= 16 or not fields[0].isascii():
-        return False
+        return -1
     for _ in range(count + 1):  # public keys, then the private part
         n = int.from_bytes(b[i:i + 4], "big")
         if n == 0 or i + 4 + n > len(b):
-            return False
+            return -1
         i += 4 + n
-    return i == len(b)
+    return i
 
 
 def _decode64(s: str, url: bool = False) -> bytes | None:
@@ -115,6 +128,41 @@ def _object(part: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+def _key_bytes(b: bytes) -> int:
+    """How many bytes the private key that b may begin with states to have, or 0."""
+    if b.startswith(_SSH):
+        end = _openssh_end(b[len(_SSH):])
+        return len(_SSH) + end if end > 0 else 0
+    if len(b) < 6 or b[0] != 0x30:
+        return 0
+    size = b[1] & 0x7F if b[1] >= 0x80 else 0
+    if size > 4 or b[1] == 0x80 or b[2 + size:3 + size] != b"\x02":  # the version follows
+        return 0
+    return 2 + size + (int.from_bytes(b[2:2 + size], "big") if size else b[1])
+
+
+def _wrapped_keys(t: str):
+    """(start, end) of private keys in base64 over several lines."""
+    for m in _WRAPPED.finditer(t):
+        lines = [(x.start(1), x.end(1), x.end(1) + len(x[0][len(x[1]):]) - len(x[0][len(x[1]):].lstrip("="))) for x in _LINE.finditer(t, m.start(), m.end())]
+        upto = [0]
+        for a, b, _ in lines:
+            upto.append(upto[-1] + b - a)
+        whole, i = "".join(t[a:b] for a, b, _ in lines), 0
+        while i < len(lines):
+            at, stop = upto[i], i
+            head = _decode64(whole[at:at + 24])
+            if head and (head[0] == 0x30 or head.startswith(_SSH)):
+                n = _key_bytes(head if head[0] == 0x30 else _decode64(whole[at:len(whole) - ((len(whole) - at) % 4 == 1)]) or b"")
+                end = at - (-4 * n // 3)
+                stop = bisect.bisect_left(upto, end, i + 1) if n > 0 else i
+                if stop > i and stop < len(upto) and upto[stop] == end and is_private_key(_decode64(whole[at:end]) or b""):
+                    yield lines[i][0], lines[stop - 1][2]
+                else:
+                    stop = i
+            i = max(stop, i + 1)
+
+
 def scan_text(t: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of one text, by start, then kind in the order of KINDS."""
     out = []
@@ -124,15 +172,14 @@ def scan_text(t: str) -> list[tuple[int, int, str]]:
     if "AKIA" in t:
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(t) if m.end() - m.start() >= 16]
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(t)]
-    if "eyJ" in t:
-        for m in _JWT.finditer(t):
-            head = _object(m[1])
-            if head is not None and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (len(_decode64(m[3], url=True) or b"") >= 16):
-                out.append((m.start(), m.end(), "jwt"))
+    for m in _JWT.finditer(t):
+        head = _object(m[1])
+        if head is not None and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (len(_decode64(m[3], url=True) or b"") >= 16):
+            out.append((m.start(), m.end(), "jwt"))
     taken = []
     if "PRIVATE KEY-----" in t:
         for m in _PEM.finditer(t):
-            raw = _decode64(re.sub(r"\s+", "", m[2]))
+            raw = _decode64(_UNPEM.sub("", m[2]))
             if raw and is_private_key(raw):
                 taken.append((m.start(), m.end()))
     for rx, decode in ((_BASE64, _decode64), (_HEXKEY, bytes.fromhex)):
@@ -142,6 +189,7 @@ def scan_text(t: str) -> list[tuple[int, int, str]]:
             raw = decode(m[0])
             if raw and is_private_key(raw):
                 taken.append((m.start(), m.end()))
+    taken += [s for s in _wrapped_keys(t) if not any(s[0] < b and a < s[1] for a, b in taken)]
     out += [(a, b, "key") for a, b in taken]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

@@ -268,6 +268,31 @@ def test_keys_are_confirmed_by_their_structure():
     assert kinds(f"see {jwt}") == ["jwt"] and kinds(f"{url({'typ': 'x'})}.{url({})}.{'A' * 43}") == [] and kinds(b64(bytes(90))) == []
 
 
+def test_confirmed_secrets_in_sentences_escapes_and_wrapped_lines():
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+    wrap = lambda b, gap, k=40: gap.join(re.findall(f".{{1,{k}}}", b64(b)))
+    confirmed = lambda t: [t[a:b] for a, b, k in S.scan_text(t) if k in ("jwt", "key")]
+    for head in (b'{"alg":"HS256"}', b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b' {"alg":"HS256"}'):
+        jwt = f"{url(head)}.{url(b'{}')}.{'A' * 43}"
+        for t in (jwt, f"see {jwt}. Next", f"see {jwt}.", f"{jwt}, x", f"www.a.{jwt}..."):
+            assert confirmed(t) == [jwt]
+        assert confirmed(f"{jwt}.more") == [] and confirmed(f"{jwt}.{'B' * 30}") == []
+    for gap in ("\\n", "\\r\\n", "\\\\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{gap}{wrap(PKCS8, gap)}{gap}-----END PRIVATE KEY-----"
+        assert confirmed(f'{{"key": "{pem}{gap}"}}') == [pem]
+    ssh = S._SSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(
+        len(x).to_bytes(4, "big") + x for x in (b"pub" * 9, b"priv" * 9))
+    for key in (RSA, EC, PKCS8, ssh):
+        for gap in ("\n", "\r\n  ", "\\n"):
+            t = wrap(key, gap, 24)
+            for text in (f"é {t}", f"key: {t}\nThe next line", f"internationalization\n{t}\n\nend", f"internationalization\n{t}\nMore"):
+                assert confirmed(text) == [t], (key[:4], gap, text)
+            assert confirmed(t[:-5]) == [] and confirmed(wrap(bytes(120), gap)) == []
+    assert confirmed(f"{wrap(RSA, chr(10))}\n{wrap(EC, chr(10), 24)}") == [wrap(RSA, "\n"), wrap(EC, "\n", 24)]
+    assert confirmed(b64(RSA) + "\nNext") == [b64(RSA)]
+
+
 def test_base_secrets_equal_the_patterns():
     rx = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
           "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
