@@ -335,6 +335,18 @@ def test_pages_without_an_article_keep_their_unique_runs(spark):
     assert got == {i: f"Story {i} has words that only occur here number {i * 7}." for i in range(4)} | {9: "A&B one two three four", 10: "in"}
 
 
+def test_a_host_in_groups_loses_what_a_host_in_one_group_loses(spark):
+    rng = random.Random(4)
+    own = lambda i: " ".join(f"o{i}x{j}" for j in range(30))
+    rare = [" ".join(f"r{k}y{j}" for j in range(10)) for k in range(20)]  # each on two pages only
+    rows = [(i, "http://a/", f"<p>{own(i)}</p><div>{rare[i % 20]}</div>") for i in range(40)]
+    rows += [(100 + i, "http://a/", f"<p>{own(99)}</p>") for i in range(30)]  # equal streams are one page, so nothing repeats
+    rng.shuffle(rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({r.page_id: r.text for r in H.extract(pages, group_bytes=k).collect()} for k in (H.GROUP_BYTES, 2000))
+    assert one == many == {i: own(min(i, 99)) for i, *_ in rows}
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(40):
