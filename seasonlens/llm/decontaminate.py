@@ -7,12 +7,12 @@ the match counts when it reaches ``span`` words.  An item of fewer words counts
 looked up at every position of the document.
 
 The benchmark is the stated query set: it is hashed into blocks of about ``block_words`` words (a block is
-at most that or one item), each block is sent to the tasks, and every document is read once per block.
-Documents are never shuffled; with several blocks the hit spans of a document are united by key.
+at most that or one item), each block is sent to the tasks, and every document passes through them, ``AT_ONCE`` in one task.
+Documents are never shuffled or joined; each block adds to the hit spans and items that a row has so far.
 
 Nulls: a NULL text has no words and no hits.  An item without words hits nothing; a NULL item_id hits, but
-is not listed.  Equal rows get equal results; rows are told apart by position only within a block pass, so with
-several blocks equal keys are united.  Empty tables give empty results or no hits.
+is not listed.  Every row has its own result, whatever its key and the number of blocks; equal rows get equal
+results.  Empty tables give empty results or no hits.
 """
 from __future__ import annotations
 
@@ -23,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from seasonlens.llm.store import map_texts, set_aside
+from seasonlens.llm.store import map_texts, set_aside, stored
 from seasonlens.llm.words import LOWER, NOT_ALNUM, signed, split_words, text_chunks, windows, winnowed
 
 SPAN = 13
 K = 8
 BLOCK_WORDS = 2_000_000
+#: Blocks that a task holds at a time; between them the rows are stored.
+AT_ONCE = 4
 #: Fingerprint pairs extended at a time.
 PAIRS = 200_000
 
@@ -143,7 +145,8 @@ def find_hits(data, offsets, index: Index, span: int = SPAN, k: int = K):
     return w, cat(starts), cat(ends), cat(items)
 
 
-def _scan(index, span: int, k: int, columns: list[str], text: str, schema: pa.Schema):
+def _scan(index, span: int, k: int, columns: list[str], text: str, schema: pa.Schema, again: bool):
+    """again: the rows have the results of other blocks, which are added to."""
     def scan(batches):
         ix = index.value
         for batch in batches:
@@ -155,16 +158,21 @@ def _scan(index, span: int, k: int, columns: list[str], text: str, schema: pa.Sc
                 s, e, it, owner = s[order], e[order], it[order], owner[order]
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 spans, ids = [], []
+                part = batch.slice(lo, hi - lo)
+                had = [part.column(len(columns) + i) for i in (1, 2)] if again else None
                 for r in range(hi - lo):
                     a, b = cut[r], cut[r + 1]
                     if a == b:
-                        spans.append([])
-                        ids.append([])
+                        spans.append(had[0][r].as_py() if again else [])
+                        ids.append(had[1][r].as_py() if again else [])
                         continue
-                    pairs = sorted(set(zip((s[a:b] - w.first[r]).tolist(), (e[a:b] - w.first[r]).tolist())))
-                    spans.append(merged(pairs))
-                    ids.append(sorted({ix.ids[j] for j in it[a:b].tolist()} - {None}))
-                part = batch.slice(lo, hi - lo)
+                    pairs = set(zip((s[a:b] - w.first[r]).tolist(), (e[a:b] - w.first[r]).tolist()))
+                    named = {ix.ids[j] for j in it[a:b].tolist()} - {None}
+                    if again:
+                        pairs |= {(x["start"], x["end"]) for x in had[0][r].as_py()}
+                        named |= set(had[1][r].as_py())
+                    spans.append(merged(sorted(pairs)))
+                    ids.append(sorted(named))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(columns))]
                     + [pa.array(w.counts, pa.int64()), pa.array(spans, schema.field("hit_spans").type), pa.array(ids, schema.field("items").type)],
@@ -173,6 +181,14 @@ def _scan(index, span: int, k: int, columns: list[str], text: str, schema: pa.Sc
     return scan
 
 
+def _in_turn(scans: list):
+    def scan(batches):
+        for s in scans:
+            batches = s(batches)
+        return batches
+    return scan
+
+
 def merged(pairs: list[tuple[int, int]]) -> list[dict]:
     out: list[list[int]] = []
     for a, b in pairs:
@@ -203,27 +219,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                         T.StructField("items", T.ArrayType(id_type))])
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(out)
-    passes = []
+    found, scans = docs, []
     for b in range(n_blocks):
         block = bench if n_blocks == 1 else bench.filter(F.pmod(F.xxhash64(item, "text"), F.lit(n_blocks)) == b)
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in block.collect()], span, k))
-        passes.append(map_texts(docs, _scan(index, span, k, docs.columns, text, arrow), out))
-    if n_blocks == 1:
-        return passes[0]
-    first = passes[0]
-    more = passes[0].select(key, "hit_spans", "items")
-    for p in passes[1:]:
-        more = more.unionByName(p.select(key, "hit_spans", "items"))
-    more = more.filter(F.size("items") + F.size("hit_spans") > 0).groupBy(key).agg(
-        F.sort_array(F.flatten(F.collect_list("hit_spans"))).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_i"))
-    union = F.aggregate("_s", F.array().cast(spans), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))
-    ).otherwise(F.concat(acc, F.array(x))))
-    return first.drop("hit_spans", "items").join(more.select(key, union.alias("hit_spans"), F.col("_i").alias("items")), key, "left").select(
-        *docs.columns, "n_words", F.coalesce("hit_spans", F.array().cast(spans)).alias("hit_spans"),
-        F.coalesce("items", F.array().cast(T.ArrayType(id_type))).alias("items"))
+        scans.append(_scan(index, span, k, docs.columns, text, arrow, b > 0))
+        if len(scans) == AT_ONCE or b == n_blocks - 1:
+            found = map_texts(found, _in_turn(scans), out)
+            found, scans = found if b == n_blocks - 1 else stored(found, "scanned"), []
+    return found
 
 
 def with_verdict(found: DataFrame, share: float = 0.05) -> DataFrame:

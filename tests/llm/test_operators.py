@@ -131,6 +131,17 @@ def test_decontamination_equals_brute_force(spark, block_words):
     assert flags == {k: h > 0 and 20 * h >= n for k, (n, h, _) in got.items()}
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 90])
+def test_contamination_of_rows_with_null_and_repeated_keys(spark, block_words):
+    items = [(i, " ".join(f"b{i}x{j}" for j in range(20))) for i in range(8)] + [(None, "alone here")]
+    rows = [(None, f"so {items[i][1]} end") for i in range(8)] + [(1, f"{items[0][1]} and {items[5][1]}"), (1, "clean text"), (None, "quite clean"), (None, None),
+            (2, "all alone here")]
+    found = DC.find_contamination(spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    got = {(r.doc_id, r.text): (r.n_hit, r["items"], r.contaminated) for r in DC.with_verdict(found).collect()}
+    assert got == {r: (20, [i], True) for i, r in enumerate(rows[:8])} | {rows[8]: (40, [0, 5], True), rows[9]: (0, [], False), rows[10]: (0, [], False),
+                   rows[11]: (0, [], False), rows[12]: (2, [], True)}
+
+
 def test_lines_by_lists_and_by_join_agree(spark):
     rng = random.Random(2)
     rows = [(i, "\n".join([f"line {rng.randrange(40)}" for _ in range(4)] + ["menu "] * (i % 3 == 0) + [""]), f"h{i % 2}") for i in range(80)]
