@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import decontaminate, html_text, jaccard, language, licences, lines, mixing, neighbours, secrets, substrings
+from seasonlens.llm import audit, centroids, decontaminate, html_text, jaccard, language, licences, lines, mixing, neighbours, secrets, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -116,3 +116,60 @@ def op2(spark, sf):
     found = licences.find_licences(table(spark, sf, "documents", "doc_id", "text"))
     return found.select("doc_id", F.length("licence_ids").alias("n_sentences"), F.size("licences").alias("n_licences"),
                         F.array_join(F.array_sort(F.array_distinct("licences")), ",").alias("licences"))
+
+
+@query("op11_filter_audit", r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+low AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+             regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > low, false)] AS fails FROM w JOIN low USING (t)),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE instr(o, x) = 0),
+s AS (SELECT o AS filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(o) = 5),
+r AS (SELECT c.*, filter_order, step, substr(filter_order, step, 1) AS own,
+             len(list_filter(range(1, 6), lambda i: fails[i] AND instr(substr(filter_order, 1, step - 1), substr('ABCDE', i, 1)) > 0)) AS earlier,
+             fails[ascii(substr(filter_order, step, 1)) - 64] AS here, len(list_filter(fails, lambda x: x)) AS many FROM c, s),
+q AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT here AND earlier = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN here AND earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN here AND earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN here AND many = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN here AND earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN here AND earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM q
+""")
+def op11(spark, sf):
+    docs, labels = table(spark, sf, "documents", "doc_id", "text", "source"), table(spark, sf, "labels")
+    return audit.audit_filters(docs, labels)
+
+
+def _clusters_sql() -> str:
+    """The rounds are written out one after another: each is a scan of the centroids before it."""
+    one = r"""a{i} AS MATERIALIZED (SELECT key, v, min(list_sum(list_transform(range(1, 65), lambda p: (v[p] - c[p]) * (v[p] - c[p]))) * 64 + k) AS m FROM t, c{i} GROUP BY key, v),"""
+    two = r"""
+s{i} AS (SELECT (m % 64)::INT AS k, p, sum(v[p]) AS s, count(*) AS n FROM (SELECT m, v, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY ALL),
+c{j} AS MATERIALIZED (SELECT c.k, coalesce(x.c, c.c) AS c FROM c{i} c LEFT JOIN
+      (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c FROM s{i} GROUP BY k) x USING (k)),
+"""
+    rounds = "".join((one + two).format(i=i, j=i + 1) for i in range(centroids.ROUNDS))
+    return r"""
+WITH e AS (SELECT vec_id AS key, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) = 64),
+t AS MATERIALIZED (SELECT key, list_transform(x, lambda y: floor(256 * y)::BIGINT) AS v FROM e WHERE len(list_filter(x, lambda y: coalesce(isfinite(y), false))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS k, v AS c FROM (SELECT sha256('2:' || key) AS h, v FROM t ORDER BY h LIMIT 40)),
+""" + rounds + one.format(i=centroids.ROUNDS) + r"""
+f AS (SELECT key, (m % 64)::INT AS k, (m // 64)::BIGINT AS d FROM a{i})
+SELECT key AS vec_id, f.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN c{i} c ON c.k = f.k
+""".format(i=centroids.ROUNDS)
+
+
+@query("op12_centroid_clusters", _clusters_sql())
+def op12(spark, sf):
+    found = centroids.cluster(table(spark, sf, "embeddings", "vec_id", "embedding"))
+    per = found.members.groupBy("cluster").agg(F.sum("distance").cast("long").alias("cluster_inertia"))  # a row per centroid
+    total = per.agg(F.sum("cluster_inertia").alias("inertia"))
+    texts = [(i, ",".join(map(str, c))) for i, c in enumerate(found.centroids)]
+    text = spark.createDataFrame(texts, "cluster int, components string")
+    shown = per.join(F.broadcast(text), "cluster").withColumn("inertia", F.lit(total.first()[0]).cast("long"))
+    return found.members.join(F.broadcast(shown), "cluster").select(
+        F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("components").cast("binary"), 256).alias("centroid_sha256"))
