@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlens.llm import audit, centroids, decontaminate, html_text, jaccard, language, licences, lines, mixing, neighbours, secrets, substrings
+from seasonlens.llm import audit, centroids, decontaminate, html_text, jaccard, language, licences, lines, mixing, neighbours, personal, secrets, substrings
 from seasonlens.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -173,3 +173,13 @@ def op12(spark, sf):
     shown = per.join(F.broadcast(text), "cluster").withColumn("inertia", F.lit(total.first()[0]).cast("long"))
     return found.members.join(F.broadcast(shown), "cluster").select(
         F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("components").cast("binary"), 256).alias("centroid_sha256"))
+
+
+@query("op13_personal_data")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    found = personal.find_personal(docs, personal.fit(docs)).drop("text")
+    base = F.filter("personal", lambda s: s["base"])
+    told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS],
+                        F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("personal")).alias("spans"))
