@@ -4,7 +4,8 @@ The pieces are the byte strings of a fixed public vocabulary (every single byte
 language, expectation-maximisation learns a probability for each piece; a word's likelihood is the sum
 over all its segmentations into pieces (forward algorithm), a text's the product over its words, and the
 prediction is the language of the largest posterior under equal priors.  A word is a white-space-free run
-with one space in front; pieces do not cross words.
+with one space in front; pieces do not cross words.  All pieces of the vocabulary take part, and words of any length:
+long ones (a text without spaces is one word) are learned and scored one by one, their sums kept in logarithms or rescaled.
 
 Learning takes at most about ``FIT_DOCS`` labelled documents a language (whole texts, chosen by a hash of
 the id): that is the bound of the sample.  The model has (pieces x languages) numbers whatever the input.
@@ -30,9 +31,11 @@ from seasonlens.llm.words import BASE1, WHITE, _BYTE, mix, powers, split_words,
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FIT_DOCS = 4000
 ROUNDS = 2
-MAX_PIECE = 16
-#: Words of up to so many bytes (the space included) are scored side by side, longer ones one by one.
+#: Words of up to so many bytes (the space included) are learned and scored side by side, longer ones one by one.
+#: Changes the order of the work only.
 SIDE_BY_SIDE = 32
+#: Bytes of a long word whose pieces are looked up at once.
+BLOCK = 1 << 14
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score")
 NAMES = ADDED
@@ -45,12 +48,13 @@ class Pieces:
     """The vocabulary with a vectorised look-up of byte substrings by rolling hash."""
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = [p for p in pieces if len(p) <= MAX_PIECE]
+        self.pieces = pieces
         raw = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.len = np.array([len(p) for p in self.pieces])
+        self.longest = int(self.len.max())
         at = np.cumsum(self.len) - self.len
         inside = np.arange(len(raw)) - np.repeat(at, self.len)
-        h = mix(np.add.reduceat(_BYTE[raw] * powers(BASE1, MAX_PIECE)[inside], at) + self.len.astype(np.uint64))
+        h = mix(np.add.reduceat(_BYTE[raw] * powers(BASE1, self.longest)[inside], at) + self.len.astype(np.uint64))
         order = np.argsort(h)
         self.hash, self.id = h[order], order.astype(np.int32)
         self.maybe = np.zeros(1 << 20, bool)
@@ -78,7 +82,7 @@ def _lattice(block: np.ndarray, pieces: Pieces) -> list[tuple[int, int, np.ndarr
     back = powers(_INVERSE, n + 1)
     arcs = []
     for j in range(1, n + 1):
-        for i in range(max(0, j - MAX_PIECE), j):
+        for i in range(max(0, j - pieces.longest), j):
             rows, ids = pieces.find(mix((s[j] - s[i]) * back[i] + np.uint64(j - i)))
             if len(rows):
                 arcs.append((i, j, rows, ids))
@@ -98,27 +102,31 @@ def _forward(block: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     return np.log(a[n]) - _TILT * n
 
 
+def _ending(word: np.ndarray, lo: int, hi: int, pieces: Pieces) -> np.ndarray:
+    """[bytes lo..hi, sizes]: the piece of each size that ends with each byte, or -1."""
+    near = max(0, lo - pieces.longest + 1)
+    part = word[near:hi]
+    s = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * powers(BASE1, len(part)), out=s[1:])
+    back = powers(_INVERSE, len(part) + 1)
+    ids = np.full((hi - lo, pieces.longest), -1, np.int32)
+    for size in range(1, min(pieces.longest, len(part)) + 1):
+        at, found = pieces.find(mix((s[size:] - s[:-size]) * back[:len(part) - size + 1] + np.uint64(size)))
+        end = at + near + size - 1 - lo
+        ok = end >= 0
+        ids[end[ok], size - 1] = found[ok]
+    return ids
+
+
 def _forward_long(word: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """The same for one long word; the running sums are rescaled at every byte."""
     n = len(word)
     total = np.zeros(prob.shape[1])
-    last = np.zeros((MAX_PIECE, prob.shape[1]))  # the sums at the last bytes, newest first
+    last = np.zeros((pieces.longest, prob.shape[1]))  # the sums at the last bytes, newest first
     last[0] = 1
-    for lo in range(0, n, 1 << 14):
-        hi = min(n, lo + (1 << 14))
-        near = max(0, lo - MAX_PIECE + 1)
-        part = word[near:hi]
-        s = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * powers(BASE1, len(part)), out=s[1:])
-        back = powers(_INVERSE, len(part) + 1)
-        ids = np.full((hi - lo, MAX_PIECE), -1, np.int32)
-        for size in range(1, min(MAX_PIECE, len(part)) + 1):
-            h = mix((s[size:] - s[:-size]) * back[:len(part) - size + 1] + np.uint64(size))
-            at, found = pieces.find(h)
-            end = at + near + size - 1 - lo
-            ok = end >= 0
-            ids[end[ok], size - 1] = found[ok]
-        for j in range(hi - lo):
+    for lo in range(0, n, BLOCK):
+        ids = _ending(word, lo, min(n, lo + BLOCK), pieces)
+        for j in range(len(ids)):
             k = np.flatnonzero(ids[j] >= 0)
             new = (last[k] * prob[ids[j, k]]).sum(axis=0)
             last = np.roll(last, 1, axis=0)
@@ -130,6 +138,25 @@ def _forward_long(word: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndar
     return total + np.log(last[0]) - _TILT * n
 
 
+def _expected_long(word: np.ndarray, weight: float, lang: int, pieces: Pieces, logs: np.ndarray, out: np.ndarray) -> None:
+    """Adds the expected piece counts of one long word; its sums are logarithms, 16 bytes per byte of the word."""
+    n = len(word)
+    a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    a[0] = b[n] = 0
+    for lo in range(0, n, BLOCK):
+        for j, row in enumerate(_ending(word, lo, min(n, lo + BLOCK), pieces), lo + 1):
+            k = np.flatnonzero(row >= 0)
+            a[j] = np.logaddexp.reduce(a[j - 1 - k] + logs[row[k], lang])
+    for lo in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        ids = _ending(word, lo, min(n, lo + BLOCK), pieces)
+        for j in range(lo + len(ids), lo, -1):
+            row = ids[j - lo - 1]
+            k = np.flatnonzero(row >= 0)
+            rest = logs[row[k], lang] + b[j]
+            b[j - 1 - k] = np.logaddexp(b[j - 1 - k], rest)
+            out[row[k], lang] += weight * np.exp(a[j - 1 - k] + rest - a[n])
+
+
 def _expected(block: np.ndarray, weight: np.ndarray, lang: np.ndarray, pieces: Pieces, prob: np.ndarray, out: np.ndarray) -> None:
     """Adds the expected piece counts of the words (forward-backward) to out [pieces, languages]."""
     m, n = block.shape
@@ -221,15 +248,14 @@ def _word_counts(batches):
         lang = batch.column(1).to_pylist()
         for lo, hi, data, off in text_chunks(batch.column(0)):
             w = split_words(data, off, WHITE)
-            ok = np.flatnonzero(w.end - w.start < SIDE_BY_SIDE)
-            if not len(ok):
+            if not w.n:
                 continue
             code = {x: i for i, x in enumerate(sorted(set(lang[lo:hi])))}
-            of = np.array([code[x] for x in lang[lo:hi]])[w.owner()[ok]]
-            _, first, n = np.unique(mix(w.hashes()[ok] + of.astype(np.uint64)), return_index=True, return_counts=True)
+            of = np.array([code[x] for x in lang[lo:hi]])[w.owner()]
+            _, first, n = np.unique(mix(w.hashes() + of.astype(np.uint64)), return_index=True, return_counts=True)
             names = list(code)
             yield pa.RecordBatch.from_pydict({"lang": [names[i] for i in of[first].tolist()],
-                                              "word": [w.bytes_of(i) for i in ok[first].tolist()], "n": n})
+                                              "word": [w.bytes_of(i) for i in first.tolist()], "n": n})
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY,
@@ -254,14 +280,18 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
         def e_step(batches, model=model):
             p, tilted = model.value
-            out = np.zeros(tilted.shape)
+            out, logs = np.zeros(tilted.shape), np.log(tilted)
             for batch in batches:
                 words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
                 of = np.array([code[x] for x in batch.column(0).to_pylist()])
                 raw = np.frombuffer(b"".join(words), np.uint8)
                 lens = np.array([len(x) for x in words])
                 start = np.cumsum(lens) - lens
-                for part in _blocks(lens):
+                short = np.flatnonzero(lens < SIDE_BY_SIDE)
+                for i in np.flatnonzero(lens >= SIDE_BY_SIDE):
+                    word = np.concatenate([[0x20], raw[start[i]:start[i] + lens[i]]]).astype(np.uint8)
+                    _expected_long(word, n[i], of[i], p, logs, out)
+                for part in (short[x] for x in _blocks(lens[short])):
                     _expected(_matrix(raw, start[part], int(lens[part[0]])), n[part], of[part], p, tilted, out)
             at, col = np.nonzero(out)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(at, pa.int32()), "lang": pa.array(col, pa.int32()), "n": out[at, col]})

@@ -153,6 +153,18 @@ def test_lines_by_lists_and_by_join_agree(spark):
     assert {k: t for k, t, *_ in a} == want and any(t != want[k] for k, t, _ in rows)
 
 
+def test_copies_count_once_and_stay_whole(spark):
+    rows = [(i, f"head {i}\nfoot\nown text of page {i} that is longer than its foot", "h") for i in range(30)]
+    rows += [(100 + i, "aaaa\nbbbb\nfoot", "h") for i in range(60)]
+    rows += [(200 + i, "\n".join(f"near {j}" if j != i % 9 else f"other {i}" for j in range(9)), "h") for i in range(27)]
+    docs = spark.createDataFrame(rows, DOC + ", source string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in LN.drop_boilerplate(docs, copies_once=True, most=.5).collect()}
+    assert all(got[k] == (t.replace("\nfoot", ""), 1) for k, t, _ in rows if k < 100)
+    assert all(got[k] == ("aaaa\nbbbb", 1) for k, *_ in rows if 100 <= k < 200), "one page of 58: its lines are no boilerplate"
+    assert all(got[k] == (t, 0) for k, t, _ in rows if k >= 200), "near copies stay for the near-duplicate stage"
+    assert LN.drop_boilerplate(docs.filter("doc_id >= 200"), copies_once=True).filter("n_dropped > 0").count() == 27
+
+
 # ---- mixing -----------------------------------------------------------------------------------
 def test_targets_by_resharing(spark):
     rng = random.Random(4)
@@ -213,6 +225,32 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(L._forward_long(long, pieces, tilted)).all()
 
 
+def test_long_words_are_learned_like_short_ones(monkeypatch):
+    pieces = L.Pieces([b"a", b"b", b"ab", b"ba", b"aba", b" ", b" a", b"c", b"abababababababababab"])
+    prob = np.random.default_rng(2).random((len(pieces.pieces), 2))
+    tilted = prob * np.exp(L._TILT * pieces.len)[:, None]
+    for word in (b" a", b" abababababababababababcab", b" cabcabbaaababababababababababab"):
+        block = np.frombuffer(word, np.uint8)
+        one, two = np.zeros(prob.shape), np.zeros(prob.shape)
+        L._expected(block[None, :], np.array([3]), np.array([1]), pieces, tilted, one)
+        for size in (1 << 14, 7):
+            monkeypatch.setattr(L, "BLOCK", size)
+            two[:] = 0
+            L._expected_long(block, 3, 1, pieces, np.log(tilted), two)
+            assert two == pytest.approx(one)
+    assert one[:, 1].sum() > 0 and not one[:, 0].any()
+
+
+def test_all_pieces_and_a_language_without_spaces(spark):
+    assert L.read_vocabulary(L.VOCABULARY).longest == 33 and len(L.read_vocabulary(L.VOCABULARY).pieces) > 50_000
+    rng = random.Random(3)
+    one, two = ["".join(rng.choice("かきくけこ") for _ in range(3)) for _ in range(40)], ["".join(rng.choice("かきくけこ") for _ in range(3)) for _ in range(40)]
+    rows = [(i, "".join(rng.choice((one, two)[i % 2]) for _ in range(60)), ("x1", "x2")[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOC + ", lang string")
+    got = L.identify(docs, L.fit(docs)).withColumn("held", L.held_out()).filter("held").collect()
+    assert len(got) > 15 and sum(r.lang_pred == r.lang for r in got) / len(got) > .9
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = L.fit(docs.select("doc_id", "text", "lang"))
