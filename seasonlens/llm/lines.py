@@ -9,8 +9,9 @@ with one of the host's few boilerplate lines.  A host has at most (mean distinct
 of them, so the per-host list is bounded by the page length and not by the number of pages.
 
 Copies: every row counts as a page of its own, as in the SQL of the query, so a text with more than ``ratio`` of a
-host's pages loses all its lines.  With ``classes`` (key, class_id) the pages of one class count once on a host, by
-the lines of the smallest key; so do equal texts without a class.
+host's pages loses all its lines.  With ``copies_once`` equal texts of a host count as one page.  With ``most`` a page of
+which a larger share of the characters would go stays whole: it is a copy of other pages (near copies have most lines in
+common), which a near-duplicate stage has to settle, and not a page with boilerplate on it.
 
 Nulls: a NULL text stays NULL with 0 lines; NULL hosts form one host.  A text that loses all lines
 becomes ''.  Equal rows count as pages of their own.  An empty table gives an empty table.
@@ -25,7 +26,7 @@ RATIO = 0.05
 MIN_PAGES = 5
 ADDED = ("n_lines", "n_dropped")
 #: Names that the operator uses itself.
-NAMES = {*ADDED, "_host", "_salt", "_kept", "lines"}
+NAMES = {*ADDED, "_host", "_salt", "_kept", "_size", "lines"}
 #: Boilerplate lists of at most this many lines in all are sent to every task; beyond it, they are joined.
 BROADCAST_LINES = 200_000
 #: Ways a host's pages are spread when the lists are joined.
@@ -43,15 +44,12 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
-                      min_pages: int = MIN_PAGES, classes: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+                      min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """_host, lines: the hashes of each host's boilerplate lines.  Line counts combine map-side."""
     of_host, of_page = F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")), F.array_distinct(F.transform(_lines(text), _key))
-    keyed = pages.select(of_host.alias("_host"), of_page.alias("_page"))
-    if classes is not None:  # rows of line hashes are joined, not texts; one of a class leaves a map task
-        rows = pages.select(of_host.alias("_host"), of_page.alias("_page"), F.col(key).alias("_key"), F.xxhash64(text).alias("_t"))
-        known = classes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("class_id").alias("_class"))
-        keyed = stored(rows.join(known, "_key", "left").groupBy("_host", "_class", F.when(F.col("_class").isNull(), F.col("_t")).alias("_own"))
-                       .agg(F.min_by("_page", F.struct("_key", "_t")).alias("_page")).select("_host", "_page"), "counted")
+    keyed = pages.select(of_host.alias("_host"), of_page.alias("_page"), F.xxhash64(text).alias("_t"))
+    if copies_once:  # rows of line hashes are shuffled, not texts; one of a group of copies leaves a map task
+        keyed = stored(keyed.distinct(), "counted")
     seen = keyed.select("_host", F.explode("_page").alias("_line"))
     per_line = seen.filter(F.col("_line").isNotNull()).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     totals = keyed.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
@@ -59,12 +57,11 @@ def boilerplate_lines(pages: DataFrame, text: str = "text", host: str = "source"
     return hot.groupBy("_host").agg(F.sort_array(F.collect_list("_line")).alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, classes: DataFrame | None = None,
-                     key: str = "doc_id") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                     broadcast_lines: int = BROADCAST_LINES, copies_once: bool = False, most: float | None = None) -> DataFrame:
     """The pages with ``text`` cleaned, and ``n_lines, n_dropped``."""
     pages = set_aside(pages, NAMES)
-    hot = stored(boilerplate_lines(pages, text, host, ratio, min_pages, classes, key), "boilerplate")
+    hot = stored(boilerplate_lines(pages, text, host, ratio, min_pages, copies_once), "boilerplate")
     n = hot.agg(F.sum(F.size("lines"))).first()[0] or 0
     keyed = pages.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("-")))
     if n <= broadcast_lines:
@@ -76,6 +73,10 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     kept = F.filter(every, lambda x: F.coalesce(~F.array_contains("lines", _key(x)), F.lit(True)))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(every)).cast("long")
     rows = rows.withColumns({"n_lines": n_lines, "_kept": F.when(F.col("lines").isNotNull(), kept)})
+    if most is not None:
+        left = F.aggregate("_kept", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+        all_of_it = F.length(F.translate(F.col(text), "\n", "")).cast("long")
+        rows = rows.withColumn("_size", all_of_it).withColumn("_kept", F.when(F.col("_size") - left <= most * F.col("_size"), F.col("_kept")))
     return rows.select(
         *[F.when(F.col("_kept").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(text)
           if c == text else F.col(c) for c in pages.columns],
