@@ -14,6 +14,8 @@ from seasonlens.sources.tables import new_path
 
 #: Posterior under which a language is not believed.
 MIN_SCORE = 0.5
+#: Share of a document that may be boilerplate.
+MOST = 0.5
 #: Draws, shards and the kernels' approximations are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -25,9 +27,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts each source's boilerplate lines from its documents; all documents stay.  Near duplicates count as one page
-    of a source: a group of copies must not make its own lines boilerplate, or none of it would be left to keep."""
-    cut = lines.drop_boilerplate(docs, classes=jaccard.near_duplicates(docs))
+    """Cuts each source's boilerplate lines from its documents; all documents stay.  Equal texts count as one page of a
+    source, and a document that would lose more than ``MOST`` of itself stays whole: it is one of a group of copies, of
+    which the next stage has to find one to keep."""
+    cut = lines.drop_boilerplate(docs, copies_once=True, most=MOST)
     cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(given(docs, lines.NAMES))
 
