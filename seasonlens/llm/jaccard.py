@@ -3,20 +3,29 @@
 Texts are sets of word shingles; a set is represented by ``COORDS`` minwise tokens.  In each of ``RUNS`` runs the
 sets are split on sampled tokens: sets that agree on a sampled coordinate go down the same path.  A bucket
 of at most ``LIMIT`` sets is compared by brute force on the sketches; a larger one is split again on tokens
-sampled for it, up to ``DEPTH`` times; what is still larger is taken as one candidate group as it is.  About
-1/threshold tokens are sampled at each node, so a pair at the threshold is expected to survive a split; the
-runs are repeated until a pair at the threshold is found with more than the target recall.
+sampled for it, until none is left.  About 1/threshold tokens are sampled at each node, so a pair at the threshold is
+expected to survive a split; the runs are repeated until a pair at the threshold is found with more than the target recall.
+
+A large bucket of real near duplicates would not fall apart.  So each large bucket compares its sets with one of them, its
+centre: sets whose sketch agrees with the centre's in ``threshold`` or more are settled, they become links to the centre and
+are split no further.  Agreement is a metric: a set that agrees with a settled one in the candidates' floor or more
+agrees with the centre in threshold + floor - 1 at least, so all sets of the bucket from there on are linked to the
+centre too (those that are not settled are split on) and no candidate pair is lost.  Each split settles a centre at least.
 
 Sets whose sketches nearly agree form candidate groups (connected components).  Within a group every pair is
 verified by its exact Jaccard similarity in tiles of at most ``TILE`` sets, each pair in one tile; tiles give
 one row per set (its links counted, and one link towards the tile's smallest set of its class), never one
 per pair.  Equal texts are collapsed first and counted.
 
+What may be missed: a pair at the threshold agrees in under threshold - ``SLACK`` of its tokens with probability 1.3e-4, the
+same sketch for all runs; a pair that does agree is in no common small bucket of any run with probability 2e-4 or less.
+
 Nulls and short texts: a text of fewer words than a shingle is one shingle; a NULL or empty text and a NULL key have
 no links.  Rows with equal keys count as one document whose links are united.  Empty tables give empty tables.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -32,9 +41,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDS = 64
 RUNS = 12
-DEPTH = 3
 LIMIT = 192
 TILE = 512
+#: Sets of one large bucket that are measured in one place.
+SALT_SETS = 20_000
 #: Sketch agreement from which sets are candidates: four standard errors under the threshold.
 SLACK = 0.2
 PAIRS = 100_000
@@ -219,8 +229,8 @@ def _tiled(rows: DataFrame, group: str, rest: list[str], limit: int) -> DataFram
     return small.unionByName(big)
 
 
-def _paths(classes: DataFrame, runs: int, depth: int, limit: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(path, rep) of the buckets of 2 to limit sets at which splitting ends, and of the larger ones."""
+def _paths(classes: DataFrame, runs: int, limit: int, floor: float, threshold: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(path, rep) of the buckets of 2 to limit sets at which splitting ends, and the links (u, v) to centres of larger ones."""
     def buckets(rows: DataFrame) -> DataFrame:
         rows = stored(rows, "paths")
         return rows.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
@@ -233,18 +243,30 @@ def _paths(classes: DataFrame, runs: int, depth: int, limit: int, seed: int) ->
         return rows.withColumn("_i", F.explode(picks)).select(
             F.xxhash64("path", "_i", F.get("sketch", F.col("_i"))).alias("path"), "rep")
 
+    def measured(wide: DataFrame) -> DataFrame:
+        """path, rep, sketch, centre and how many tokens each set has in common with it; a hot bucket is dealt over salts."""
+        sets = wide.join(classes.select("rep", "sketch"), "rep").withColumn(
+            "salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(1) + F.floor(F.col("n") / SALT_SETS)).cast("int"))
+        centre = sets.groupBy("path").agg(F.min(F.struct("rep", "sketch")).alias("c"), F.max("n").alias("n")) \
+            .select("path", "c", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / SALT_SETS).cast("int"))).alias("salt"))
+        same = F.aggregate(F.zip_with("sketch", "c.sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        return stored(sets.join(centre, ["path", "salt"]).select("path", "rep", "sketch", F.col("c.rep").alias("centre"), same.alias("same")), "measured")
+
     roots = F.explode(F.array(*[F.lit(seed * 1000 + r).cast("long") for r in range(runs)]))
     level = buckets(down(classes.select("rep", "sketch", roots.alias("path"))))
-    done = level.filter(F.col("n") <= limit)
-    for _ in range(depth - 1):
-        wide = level.filter(F.col("n") > limit)
-        level = buckets(down(wide.select("path", "rep").join(classes.select("rep", "sketch"), "rep")))
-        done = done.unionByName(level.filter(F.col("n") <= limit))
-    return done.select("path", "rep"), level.filter(F.col("n") > limit).select("path", "rep")
+    leaves, links = level.filter(F.col("n") <= limit).select("path", "rep"), []
+    while not (wide := stored(level.filter(F.col("n") > limit), "wide")).isEmpty():
+        seen = measured(wide)
+        links.append(seen.filter((F.col("same") >= COORDS * (threshold + floor - 1)) & (F.col("rep") != F.col("centre")))
+                     .select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
+        level = buckets(down(seen.filter(F.col("same") < COORDS * threshold)))
+        leaves = leaves.unionByName(level.filter(F.col("n") <= limit).select("path", "rep"))
+    none = classes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
+    return leaves, functools.reduce(DataFrame.unionByName, links, none)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD,
-                    runs: int = RUNS, depth: int = DEPTH, limit: int = LIMIT, seed: int = 3) -> DataFrame:
+                    runs: int = RUNS, limit: int = LIMIT, seed: int = 3) -> DataFrame:
     """key, class_id (smallest key of the connected class), n_links (other documents at the threshold or over):
     one row per input row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -252,12 +274,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = stored(known.filter(F.col("key").isNotNull() & (F.col("n_words") > 0)).groupBy("t1", "t2").agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "classes")
 
-    leaves, wide = _paths(classes, runs, depth, limit, seed)
+    floor = threshold - SLACK
+    leaves, central = _paths(classes, runs, limit, floor, threshold, seed)
     bits = classes.select("rep", F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), "")).alias("bits"))
     near = leaves.join(bits, "rep").select("path", "rep", "bits").repartition("path").sortWithinPartitions("path").mapInArrow(
-        _candidates(threshold - SLACK), "u long, v long")
-    star = wide.join(wide.groupBy("path").agg(F.min("rep").alias("v")), "path").select(F.col("rep").alias("u"), "v")
-    member = connected_components(near.unionByName(star))
+        _candidates(floor), "u long, v long")
+    member = connected_components(near.unionByName(central))
     member = stored(member.unionByName(member.select(F.col("root").alias("node"), "root").distinct()), "groups")
     sized = member.join(member.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("node", "rep")
 

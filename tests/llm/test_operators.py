@@ -96,6 +96,19 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert kept == {k for k, (low, _) in want.items() if k == low}
 
 
+def test_a_frequent_passage_makes_no_candidate_group(spark, monkeypatch):
+    """A third of the texts share a passage: buckets beyond the limit are split until it no longer holds them together."""
+    rng = random.Random(13)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(30)
+    rows = [(i, " ".join(words(60) + passage * (i % 3 == 0))) for i in range(360)]
+    rows += [(1000 + i, " ".join(["n"] * (i % 2) + [f"c{j}" for j in range(70)])) for i in range(40)]
+    links, components = [], J.connected_components
+    monkeypatch.setattr(J, "connected_components", lambda e: links.append(e.count()) or components(e))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, DOC), limit=8).collect()}
+    assert got == classes(rows) and links[0] < 60
+
+
 def brute_hits(rows, items, span=13):
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     win = collections.defaultdict(set)
