@@ -6,8 +6,8 @@ never paired with itself.  Its ids are united with the ids that fail the other f
 one bit combination, and combinations are counted per part: all orders of the chain are read from those counts,
 at most 32 x 4 a part, without another look at a text.
 
-* Right side: one row per repeated (hash, text), its smallest key, combined map-side.  Left side: rows whose hash
-  repeats, so that no text but a repeated one is shuffled for the comparison.
+* Texts are shuffled once to meet the repeated hashes.  Right side of the semi-join: one row per repeated (hash, text), its
+  smallest key, combined map-side.  Left side: the rows whose hash repeats.
 * Hot texts: a hash with more than ``1/HOT_SHARE`` of all rows, and ``SALT_ROWS`` at least, is dealt over salts by
   key, its one right row copied to each.  There are at most ``HOT_SHARE`` such hashes, which bounds the broadcast.
 
@@ -71,8 +71,9 @@ def _copies(texts: DataFrame, rows: DataFrame, salt_rows: int = SALT_ROWS) -> Da
     dealt = lambda of: of.join(F.broadcast(hot), "h", "left").withColumn("salt", deal).drop("hot_salts")
     spread = again.join(F.broadcast(hot), "h", "left").select(
         "h", F.explode(F.sequence(F.lit(0), F.coalesce("hot_salts", F.lit(1)) - 1)).alias("salt"))
-    # only rows of repeated hashes go on; their texts are written once and read by both sides
-    repeated = stored(dealt(texts.filter(F.col("key").isNotNull())).join(spread, ["h", "salt"]), "copies")
+    # only rows of repeated hashes go on; their texts are written once and read by both sides.  The hashes grow with the
+    # table, so they are merged at every size: what a small table could broadcast, a large one could not
+    repeated = stored(dealt(texts.filter(F.col("key").isNotNull())).join(spread.hint("merge"), ["h", "salt"]), "copies")
     first = repeated.groupBy("h", "text").agg(F.min("key").alias("low")).join(spread, "h")
     left, right = repeated.alias("d"), first.alias("e")
     same = (F.col("d.h") == F.col("e.h")) & (F.col("d.salt") == F.col("e.salt")) & (F.col("d.text") == F.col("e.text"))
