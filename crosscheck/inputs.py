@@ -54,6 +54,14 @@ def rain_daily(spark, sf) -> DataFrame:
     return rain_records(spark, sf).groupBy("px_id", "d").agg(F.sum("rain_mm").alias("rain_mm"))
 
 
+def rain_record(spark, sf) -> DataFrame:
+    """A full daily record: zero on days without rain, NULL on masked days, no row on some missing ones."""
+    doy, year, px = F.dayofyear("d"), F.year("d"), F.col("px_id")
+    days = day_spine(grid(spark, sf), "1995-01-01", "2001-12-31").join(rain_daily(spark, sf), ["px_id", "d"], "left")
+    masked = (px * 7 + doy * 3 + year) % 331 == 0
+    return days.filter((px + doy + year * 5) % 613 != 0).select("px_id", "d", F.when(~masked, F.coalesce("rain_mm", F.lit(0.0))).alias("rain_mm"))
+
+
 def temps_daily(spark, sf) -> DataFrame:
     """A background value per pixel and day, and one reading more for each record of the day."""
     px, doy = F.col("px_id"), F.dayofyear("d")

@@ -137,7 +137,7 @@ def _(spark, sf):
 
 @query("rain5_climatology", "SELECT px_id, dekad, round(p, 6) AS p FROM v_clim")
 def _(spark, sf):
-    return rounded(RA.dekad_climatology(I.rain_rows(spark, sf), (1995, 2000)), "p")
+    return rounded(RA.dekad_climatology(I.rain_rows(spark, sf), (1995, 2000), absent="dry"), "p")
 
 
 _DOC = lambda name, value: f"""'"{name}":{{' || string_agg('"' || dekad || '":' || CAST(round({value}, 6) AS VARCHAR), ',' ORDER BY dekad) || '}}'"""
@@ -185,7 +185,7 @@ FALLBACK_SQL = f"SELECT a.px_id, a.year, coalesce(a.onset, n.onset) AS onset FRO
 
 def short_onset(spark, sf, cl=None):
     cl = cl if cl is not None else I.climate(spark, sf)
-    normal = O.climatological_onset(RA.dekad_climatology(I.rain_rows(spark, sf), (1995, 2000)), cl, 28, 34)
+    normal = O.climatological_onset(RA.dekad_climatology(I.rain_rows(spark, sf), (1995, 2000), absent="dry"), cl, 28, 34)
     return O.onset_with_fallback(O.rain_onset(cl, 28, 34, "et0"), normal)
 
 
@@ -273,7 +273,7 @@ def _(spark, sf):
          CASE WHEN onset IS NULL THEN NULL WHEN max_dry_days <= 7 AND onset_acc_mm >= 20 THEN 0 ELSE 1 END AS false_start
     FROM v_onset o LEFT JOIN diag USING (px_id, year)""")
 def _(spark, sf):
-    return O.gate_false_starts(I.planting(spark, sf), I.rain_daily(spark, sf)).select("px_id", "year", "planting", "false_start")
+    return O.gate_false_starts(I.planting(spark, sf), I.rain_daily(spark, sf), bounds=(7, 15)).select("px_id", "year", "planting", "false_start")
 
 
 @query("gate3_continuity_only", f"""

@@ -21,7 +21,7 @@ SPI_SQL = """
 
 
 def spi(spark, sf):
-    return RA.spi3(RA.three_month_totals(I.rain_rows(spark, sf), 5), (1995, 2000))
+    return RA.spi3(RA.three_month_totals(I.rain_rows(spark, sf), 5, absent="dry").drop("coverage"), (1995, 2000))
 
 
 @query("spi1_three_month_index", f"SELECT px_id, year, p3, round(spi3, 6) AS spi3 FROM ({SPI_SQL})")

@@ -148,9 +148,10 @@ def _(spark, sf):
 
 
 @query("fuse6_pair_blend", """
+    WITH fc AS MATERIALIZED (SELECT px_id, dekad, f, c FROM v_fc)
     SELECT px_id, dekad, round((f0 / (abs(ct-c0)+1e-3) + f1 / (abs(ct-c1)+1e-3)) / (1/(abs(ct-c0)+1e-3) + 1/(abs(ct-c1)+1e-3)), 10) AS g
-    FROM (SELECT px_id, dekad + 1 AS dekad, coalesce(f, c) AS f0, c AS c0 FROM v_fc) JOIN (SELECT px_id, dekad - 1 AS dekad, coalesce(f, c) AS f1, c AS c1 FROM v_fc) USING (px_id, dekad)
-    JOIN (SELECT px_id, dekad, c AS ct FROM v_fc) USING (px_id, dekad)""")
+    FROM (SELECT px_id, dekad + 1 AS dekad, coalesce(f, c) AS f0, c AS c0 FROM fc) JOIN (SELECT px_id, dekad - 1 AS dekad, coalesce(f, c) AS f1, c AS c1 FROM fc) USING (px_id, dekad)
+    JOIN (SELECT px_id, dekad, c AS ct FROM fc) USING (px_id, dekad)""")
 def _(spark, sf):
     """Every dekad that has one on both sides, blended from its two neighbours."""
     ct = I.fine_coarse(spark, sf).filter(F.col("dekad").between(2, 35)).select("px_id", "dekad", F.col("c").alias("ct"))

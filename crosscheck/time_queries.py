@@ -105,7 +105,7 @@ def _(spark, sf):
       SELECT px_id, rain_mm, month(d) AS m, CASE WHEN month(d) > 1 THEN year(d) + 1 ELSE year(d) END AS year FROM v_rain_rows
       WHERE month(d) IN (11, 12, 1)) GROUP BY ALL HAVING count(DISTINCT m) = 3""")
 def _(spark, sf):
-    return RA.three_month_totals(I.rain_rows(spark, sf), 1)
+    return RA.three_month_totals(I.rain_rows(spark, sf), 1, absent="dry").drop("coverage")
 
 
 @query("time11_dense_days", """

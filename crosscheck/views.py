@@ -77,6 +77,10 @@ VIEWS: dict[str, str] = {
         SELECT px_id, d, rain_mm FROM v_rain_records
         UNION ALL SELECT px_id, {start('year', 'dekad')}, 0e0 FROM v_dekad_spine""",
     "v_rain_daily": "SELECT px_id, d, sum(rain_mm) AS rain_mm FROM v_rain_records GROUP BY px_id, d",
+    "v_rain_record": """
+        SELECT px_id, d, CASE WHEN (px_id*7 + dayofyear(d)*3 + year(d)) % 331 <> 0 THEN coalesce(rain_mm, 0e0) END AS rain_mm
+        FROM (SELECT px_id, d FROM v_grid, (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d))
+        LEFT JOIN v_rain_daily USING (px_id, d) WHERE (px_id + dayofyear(d) + year(d)*5) % 613 <> 0""",
     "v_rain": f"""
         SELECT px_id, CAST(year(d) AS INTEGER) AS year, {dk('d')} AS dekad, sum(rain_mm) AS p
         FROM v_rain_rows GROUP BY ALL""",

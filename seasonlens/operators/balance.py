@@ -15,8 +15,8 @@ from seasonlens.config import SOIL, CropParams, SoilConfig
 from seasonlens.functions.climate import crop_coefficient, dekad_gdd
 from seasonlens.functions.masks import clamp, floor_at
 from seasonlens.functions.dekads import dekad_start
-from seasonlens.operators.frames import PX, own_year, season_days, season_frame
-from seasonlens.operators.onset import SEASON, rain_days
+from seasonlens.operators.frames import PX, day_record, own_year, season_days, season_frame
+from seasonlens.operators.onset import SEASON
 
 
 def zero() -> Column:
@@ -167,10 +167,11 @@ def aeration_stress(planting: DataFrame, daily: DataFrame, hydro: DataFrame, p:
 def add_aeration_stress(
     seasons: DataFrame, daily: DataFrame, hydro: DataFrame, p: CropParams, sos_start: int, sos_end: int,
     et_mm: float = C.AER_ET_MM, scale_days: float = C.AER_SCALE_DAYS, as_coded: bool = False,
-    keys: Sequence[str] = SEASON,
+    absent: str = "dry", keys: Sequence[str] = SEASON,
 ) -> DataFrame:
     """Add waterlog_idx 0..100: peak of a stage-weighted run of saturated days that resets when the
-    soil drains below the anaerobiosis point; NULL without planting or soil.
+    soil drains below the anaerobiosis point; NULL without planting or soil, and where a day of the balance is unknown
+    (masked; with ``absent="unknown"`` also without a row).
 
     Default: the balance starts on the first day of the planting dekad, by real dates, and only water
     above field capacity drains.  ``as_coded``: it starts at sos_start, the cycle's days are counted as
@@ -180,7 +181,7 @@ def add_aeration_stress(
     """
     first, reach = (sos_start, (sos_end - sos_start + p.lgp) * 10 + 2) if as_coded else _scan(p, sos_start, sos_end)
     wet = (
-        season_days(rain_days(daily), first, reach)
+        season_days(day_record(daily, absent), first, reach)
         .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "rain_mm"))).alias("_rain"))
     )
     n = reach if as_coded else p.lgp * 10
@@ -219,7 +220,12 @@ def add_aeration_stress(
 
     start = F.struct((fc * C.AER_W0).alias("w"), zero().alias("wt"), zero().alias("run"), zero().alias("peak"))
     last = lambda a: F.greatest(a["peak"], a["run"], run_of(a))
-    known = F.col("planting").isNotNull() & (fc + sat + tau).isNotNull()
+    inside = lambda k: (k >= F.col("_open")) & (k < F.col("_open") + n)
+    if absent == "unknown":
+        whole = F.size(F.map_filter("_rain", lambda k, v: inside(k) & v.isNotNull())) == n
+    else:
+        whole = F.size(F.map_filter("_rain", lambda k, v: inside(k) & v.isNull())) == 0
+    known = F.col("planting").isNotNull() & (fc + sat + tau).isNotNull() & whole
     return (
         rows.withColumn("_days", days).withColumn("_peak", F.when(known, F.aggregate("_days", start, step, last)))
         .withColumn("waterlog_idx", clamp(F.col("_peak") / scale_days, 0.0, 1.0) * 100)
@@ -256,19 +262,22 @@ def wet_dekad_exposure(
 
 def heavy_rain_days(
     planting: DataFrame, daily: DataFrame, p: CropParams, sos_start: int, sos_end: int,
-    heavy_mm: float = 50.0, stage: str | None = None, as_coded: bool = False, keys: Sequence[str] = SEASON,
+    heavy_mm: float = 50.0, stage: str | None = None, as_coded: bool = False, absent: str = "dry", keys: Sequence[str] = SEASON,
 ) -> DataFrame:
     """Days above heavy_mm in the cycle, or in one stage of it, by real dates from the planting dekad on
-    (``as_coded``: by day index from sos_start).  Seasons without any get 0."""
+    (``as_coded``: by day index from sos_start).  Seasons without any get 0, seasons with an unknown day in it NULL."""
     lo = {None: 0, "veg": 0, "flo": p.veg_end, "grf": p.flo_end}[stage] * 10
     hi = {None: p.lgp, "veg": p.veg_end, "flo": p.flo_end, "grf": p.lgp}[stage] * 10
     first, reach = (sos_start, (sos_end - sos_start + p.lgp) * 10 + 2) if as_coded else _scan(p, sos_start, sos_end)
     pl = planting.filter(F.col("planting").isNotNull()).select(*keys, "planting")
     # heavy days are rare: the threshold is applied to the day's sum before the seasons meet them
-    hits = season_days(rain_days(daily, heavy_mm).select(*PX, "d"), first, reach)
+    hits = season_days(day_record(daily, absent, heavy_mm), first, reach).select(*keys, "i", "rain_mm", F.lit(1).alias("_day"))
     dsp = F.col("i") - ((F.col("planting") - sos_start) * 10 if as_coded else planting_day(first))
+    inside = (dsp >= lo) & (dsp < hi)
+    known = F.count(F.when(inside, F.col("rain_mm"))) == hi - lo if absent == "unknown" else \
+        F.count(F.when(inside, F.col("_day"))) == F.count(F.when(inside, F.col("rain_mm")))
     return pl.join(hits, list(keys), "left").groupBy(*keys).agg(
-        F.count(F.when((dsp >= lo) & (dsp < hi), 1)).alias("heavy_rain_days"))
+        F.when(known, F.count(F.when(inside & (F.col("rain_mm") > heavy_mm), 1))).alias("heavy_rain_days"))
 
 
 # ---- thermal clock ----------------------------------------------------------------------------

@@ -128,6 +128,38 @@ def bit_set(index: Column, cond: Column) -> Column:
     return F.coalesce(F.bit_or(F.when(cond & index.isNotNull(), bit)), F.lit(0).cast("long"))
 
 
+ABSENT = ("unknown", "dry")
+
+
+def day_record(daily: DataFrame, absent: str, above: float = 0.0, keys: Sequence[str] = PX) -> DataFrame:
+    """Rain per pixel and day; NULL where any reading of the day is masked.
+
+    ``absent`` says what a day without a row is: in a full record it is ``unknown`` and every day is kept; a record of
+    rainy days leaves out ``dry`` ones, so only days above ``above`` and masked ones are kept.  Sums combine map-side.
+    """
+    if absent not in ABSENT:
+        raise ValueError(f"absent must be one of {ABSENT}")
+    if absent == "dry":
+        daily = daily.filter((F.col("rain_mm") > 0) | F.col("rain_mm").isNull())
+    rows = daily.groupBy(*keys, "d").agg(F.when(F.count("rain_mm") == F.count(F.lit(1)), F.sum("rain_mm")).alias("rain_mm"))
+    return rows.filter((F.col("rain_mm") > above) | F.col("rain_mm").isNull()) if absent == "dry" and above > 0 else rows
+
+
+def known_days(index: Column, value: Column, days: Column, width: int, absent: str) -> Column:
+    """Aggregate: how many of the days 0..``days``-1 are known, from rows with a day index below ``width``.
+
+    Two bitmaps per 62 days, of days with a reading and of masked ones, merge map-side; several readings of a day
+    set one bit.  Where absent days are dry, all days but the masked ones are known.
+    """
+    some, masked = F.lit(0), F.lit(0)
+    for lo in range(0, width, 62):
+        here = (index >= lo) & (index < lo + 62)
+        gap = bit_set(index - lo, here & value.isNull())
+        masked = masked + F.bit_count(gap)
+        some = some + F.bit_count(bit_set(index - lo, here & value.isNotNull()).bitwiseAND(F.bitwise_not(gap)))
+    return some if absent == "unknown" else days - masked
+
+
 def longest_run(bits: Column, width: int, ring: bool = False) -> Column:
     """Longest run of set bits; on a ring the run may cross the end."""
     s = F.lpad(F.bin(bits), width, "0")

@@ -10,7 +10,7 @@ from seasonlens.functions.climate import thermal_offset
 from seasonlens.functions.dekads import dekad_start
 from seasonlens.functions.masks import floor_at, unmask
 from seasonlens.operators.frames import (
-    BITS, PX, bit_set, first_true, in_years, longest_run, own_year, season_days, season_frame, wide, wide_aggs)
+    BITS, PX, bit_set, day_record, first_true, in_years, longest_run, own_year, season_days, season_frame, wide, wide_aggs)
 
 SEASON = (*PX, "year")
 
@@ -73,22 +73,30 @@ def anomaly(rows: DataFrame, normal: DataFrame, value: str, normal_col: str, out
 
 
 # ---- rainfall onset ---------------------------------------------------------------------------
+# Rain of the first dekad and of the next two together, and the least P / PET of the first.
+FIRST_MM, NEXT_MM, RATIO_MIN = 25.0, 20.0, 0.5
+
+
+def rains_start(p0: Column, p1: Column, p2: Column, et0: Column | None = None, ratio_min: float = RATIO_MIN,
+                first_mm: float = FIRST_MM, next_mm: float = NEXT_MM) -> Column:
+    """The 25/20 rule on three successive dekads; with ``et0`` also P0 / PET."""
+    rule = (p0 >= first_mm) & (p1 + p2 >= next_mm)
+    return rule if et0 is None else rule & (p0 / F.greatest(et0, F.lit(1e-3)) >= ratio_min)
+
+
 def onset_aggs(start: int, end: int, pet: str | None = None) -> list[Column]:
     """Season aggregates that ``onset_rule`` reads (rows keyed by gd)."""
     return wide_aggs("gd", start, end, p="p", **({"e": pet} if pet else {}))
 
 
-def onset_rule(start: int, end: int, pet: bool = False, ratio_min: float = 0.5,
-               first_mm: float = 25.0, next_mm: float = 20.0) -> Column:
+def onset_rule(start: int, end: int, pet: bool = False, ratio_min: float = RATIO_MIN,
+               first_mm: float = FIRST_MM, next_mm: float = NEXT_MM) -> Column:
     """25/20 rule: P0 >= 25 mm and P1 + P2 >= 20 mm, all inside the window; candidates are
     start..end-2.  With ``pet`` also P0 / PET >= ratio_min.  NULL when none."""
     conds = {}
     for k in range(start, end - 1):
         p0, p1, p2 = (F.col(f"p_{k + j}") for j in range(3))
-        cond = (p0 >= first_mm) & (p1 + p2 >= next_mm)
-        if pet:
-            cond = cond & (p0 / floor_at(f"e_{k}", 1e-3) >= ratio_min)
-        conds[k] = cond
+        conds[k] = rains_start(p0, p1, p2, F.col(f"e_{k}") if pet else None, ratio_min, first_mm, next_mm)
     return first_true(conds)
 
 
@@ -152,56 +160,65 @@ def carried(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     return [F.first(c).alias(c) for c in df.columns if c not in keys]
 
 
-def add_post_onset_rain(
+def _post_onset(
     seasons: DataFrame, daily: DataFrame, window_days: int = 20, trigger_days: int = 5,
     dry_mm: float = 1.0, bounds: tuple[int, int] = (-2, 54), scan: tuple[int, int] | None = None,
-    as_coded: bool = False, keys: Sequence[str] = SEASON,
+    as_coded: bool = False, absent: str = "dry", keys: Sequence[str] = SEASON,
 ) -> DataFrame:
-    """Add max_dry_days (longest dry run in the window that opens at planting) and onset_acc_mm
-    (rain over its first trigger days); NULL where there is no planting.
-
-    Default: real dates from the start of the planting dekad.  ``as_coded``: day index
-    (planting - scan_lo) * 10 from the start of the scan, cut to the scan's length, so a planting
-    before the scan loses its leading days.
-
-    Only rainy days move: a day that is not wet is dry, recorded or not, so the dry bitmap is the
-    complement of the wet one and no day spine is built.  The join and the aggregate share the
-    season key, and the season table is read once.  Readings of one pixel and day are summed first;
-    ``bounds`` are the possible planting dekads and prune days before the shuffle.
-    """
+    """The seasons with _least and _most (longest dry run if unknown days were wet, or dry), _acc (known trigger rain)
+    and _open (whether a trigger day is unknown)."""
     if not 1 <= window_days < BITS:
         raise ValueError(f"window_days must be 1..{BITS - 1}")
-    wet_rows = rain_days(daily)
+    days = day_record(daily, absent)
     planting = F.col("planting").cast("int")
     if as_coded:
         lo, n = scan[0], (scan[1] - scan[0]) * 10 + window_days + 2
-        rows = season_days(wet_rows, lo, n)
+        rows = season_days(days, lo, n)
         j = F.col("_i") - (planting - lo) * 10
         opening = F.greatest(F.least((lo - planting) * 10, F.lit(window_days)), F.lit(0))
     else:
-        rows = season_days(wet_rows, bounds[0], (bounds[1] - bounds[0] + 1) * 11 + window_days)
+        rows = season_days(days, bounds[0], (bounds[1] - bounds[0] + 1) * 11 + window_days)
         j = F.datediff("_d", dekad_start("year", planting))
         opening = F.lit(0)
     rows = rows.select(*keys, F.col("d").alias("_d"), F.col("i").alias("_i"), F.col("rain_mm").alias("_r"))
-    inside = (F.col("_j") >= 0) & (F.col("_j") < window_days)
+    inside, seen = (F.col("_j") >= 0) & (F.col("_j") < window_days), F.col("_r").isNotNull()
     out = seasons.join(rows, list(keys), "left").withColumn("_j", j).groupBy(*keys).agg(
         *carried(seasons, keys),
         bit_set(F.col("_j"), inside & (F.col("_r") >= dry_mm)).alias("_wet"),
+        bit_set(F.col("_j"), inside & (seen if absent == "unknown" else ~seen)).alias("_told"),
         F.coalesce(F.sum(F.when(inside & (F.col("_j") < trigger_days), F.col("_r"))), F.lit(0.0)).alias("_acc"))
-    window = F.lit((1 << window_days) - 1).cast("long")
-    unseen = F.call_function("shiftleft", F.lit(1).cast("long"), opening) - 1
-    dry = window.bitwiseAND(F.bitwise_not(F.col("_wet"))).bitwiseAND(F.bitwise_not(unseen))
+    window, trigger = (F.lit((1 << k) - 1).cast("long") for k in (window_days, trigger_days))
+    before = F.call_function("shiftleft", F.lit(1).cast("long"), opening) - 1  # days the scan does not reach
+    gaps = (F.bitwise_not(F.col("_told")) if absent == "unknown" else F.col("_told")).bitwiseAND(window).bitwiseAND(F.bitwise_not(before))
+    most = window.bitwiseAND(F.bitwise_not(F.col("_wet"))).bitwiseAND(F.bitwise_not(before))
     planted = F.col("planting").isNotNull()
     return out.withColumns({
-        "max_dry_days": F.when(planted, longest_run(dry, window_days)),
-        "onset_acc_mm": F.when(planted, F.col("_acc"))}).drop("_wet", "_acc")
+        "_least": F.when(planted, longest_run(most.bitwiseAND(F.bitwise_not(gaps)), window_days)),
+        "_most": F.when(planted, longest_run(most, window_days)),
+        "_open": F.when(planted, gaps.bitwiseAND(trigger) != 0)}).drop("_wet", "_told")
 
 
-def rain_days(daily: DataFrame, above: float = 0.0) -> DataFrame:
-    """Rain per pixel and day where it exceeds ``above``.  Sums combine map-side and need no shuffle
-    of their own where the rows are already laid out by pixel and day."""
-    rows = daily.filter(F.col("rain_mm") > 0).groupBy(*PX, "d").agg(F.sum("rain_mm").alias("rain_mm"))
-    return rows.filter(F.col("rain_mm") > above) if above > 0 else rows
+def _diagnosed(out: DataFrame) -> DataFrame:
+    return out.withColumns({
+        "max_dry_days": F.when(F.col("_least") == F.col("_most"), F.col("_least")),
+        "onset_acc_mm": F.when(~F.col("_open"), F.col("_acc"))}).drop("_least", "_most", "_acc", "_open")
+
+
+def add_post_onset_rain(seasons: DataFrame, daily: DataFrame, **how) -> DataFrame:
+    """Add max_dry_days (longest dry run in the window that opens at planting) and onset_acc_mm
+    (rain over its first trigger days); NULL where there is no planting, or where unknown days could change the value.
+
+    Default: real dates from the start of the planting dekad.  ``as_coded``: day index
+    (planting - scan_lo) * 10 from the start of the scan, cut to the scan's length, so a planting
+    before the scan loses its leading days.
+
+    A masked (NULL) day is unknown.  A day without a row is dry, as records of rainy days leave such days out; with
+    ``absent="unknown"`` (full records) it is unknown as well.  Only rainy and masked days move where absent days are dry:
+    the dry bitmap is the complement of the wet one and no day spine is built.  The join and the aggregate share the
+    season key, and the season table is read once.  Readings of one pixel and day are summed first;
+    ``bounds`` are the possible planting dekads and prune days before the shuffle.
+    """
+    return _diagnosed(_post_onset(seasons, daily, **how))
 
 
 def post_onset_rain(planting: DataFrame, daily: DataFrame, keys: Sequence[str] = SEASON, **kw) -> DataFrame:
@@ -210,20 +227,21 @@ def post_onset_rain(planting: DataFrame, daily: DataFrame, keys: Sequence[str] =
     return add_post_onset_rain(pl, daily, keys=keys, **kw).drop("planting")
 
 
-def false_start_ok(max_dry_days: int = 7, trigger_mm: float = 20.0) -> Column:
-    """Keep rule; a trigger of 0 turns the accumulation half off."""
-    ok = F.col("max_dry_days") <= max_dry_days
-    return ok & (F.col("onset_acc_mm") >= trigger_mm) if trigger_mm > 0 else ok
+def add_false_start(seasons: DataFrame, daily: DataFrame, max_dry_days: int = 7, trigger_mm: float = 20.0, **kw) -> DataFrame:
+    """Add the diagnostics and false_start: 0 where the rains held whatever the unknown days were, 1 where they did not,
+    NULL where that hangs on unknown days.  A trigger of 0 turns the accumulation half off."""
+    ok = F.when(F.col("_most") <= max_dry_days, True).when(F.col("_least") > max_dry_days, False)
+    if trigger_mm > 0:
+        ok = ok & F.when(F.col("_acc") >= trigger_mm, True).when(~F.col("_open"), False)
+    return _diagnosed(_post_onset(seasons, daily, **kw).withColumn("false_start", F.when(F.col("planting").isNotNull(), F.when(ok, 0).when(~ok, 1))))
 
 
 def gate_false_starts(planting: DataFrame, daily: DataFrame, max_dry_days: int = 7,
                       trigger_mm: float = 20.0, keys: Sequence[str] = SEASON, **kw) -> DataFrame:
-    """Planting masked where the rains that triggered it did not hold; adds false_start 0/1."""
-    ok = false_start_ok(max_dry_days, trigger_mm)
-    return add_post_onset_rain(planting, daily, keys=keys, **kw).withColumns({
-        "false_start": F.when(ok, 0).when(ok.isNotNull(), 1),
-        "planting": F.when(ok, F.col("planting")),
-    })
+    """Planting masked where the rains that triggered it did not hold; adds false_start 0/1.  Where missing days leave that
+    open (false_start NULL) the planting stays: crops are masked on evidence, not on gaps."""
+    out = add_false_start(planting, daily, max_dry_days, trigger_mm, keys=keys, **kw)
+    return out.withColumn("planting", F.when(F.coalesce(F.col("false_start") == 0, F.lit(True)), F.col("planting")))
 
 
 def viability_gate(planting: DataFrame, wrsi_early: DataFrame, min_wrsi: float = 50.0,

@@ -23,6 +23,7 @@ class SeasonParams:
     false_start_gate: bool = True
     ltn_pad: int = 2
     years: tuple[int, int] | None = None  # season years; None: all that the data hold
+    absent: str = "dry"  # what a day without a rain row is: "dry" (records of rainy days) or "unknown" (full records)
 
 
 def _seasons(climate: DataFrame, p: SeasonParams) -> DataFrame:
@@ -65,7 +66,7 @@ def planting_product(g: DataFrame, daily: DataFrame, p: SeasonParams, prior: Dat
     """Greenness-led planting: season start -> emergence lag -> false-start gate."""
     sos = O.detect_sos(g, p.sos_start, p.sos_end, prior if p.use_prior else None, p.ltn_pad)
     pl = O.planting_thermal(sos, t_normal, p.crop.crop) if t_normal is not None else O.planting_fixed(sos, p.crop.crop)
-    return O.gate_false_starts(pl, daily, bounds=planting_bounds(p)) if p.false_start_gate else pl
+    return O.gate_false_starts(pl, daily, bounds=planting_bounds(p), absent=p.absent) if p.false_start_gate else pl
 
 
 def planting_bounds(p: SeasonParams) -> tuple[int, int]:
@@ -114,7 +115,7 @@ def short_rains_product(climate: DataFrame, daily: DataFrame, veg: DataFrame, p:
     """
     climate, daily = on_crop(crop, climate, daily)
     pet = "et0" if p.ppet_gate else None
-    normal = O.climatological_onset(RA.dekad_climatology(daily, clim), climate, p.sos_start, p.sos_end, pet)
+    normal = O.climatological_onset(RA.dekad_climatology(daily, clim, absent=p.absent), climate, p.sos_start, p.sos_end, pet)
     onset = O.onset_with_fallback(O.rain_onset(climate, p.sos_start, p.sos_end, pet), normal)
     lo, hi = B.balance_range(p.crop, p.sos_start, p.sos_end, staged=True)
     series = B.season_series(climate, lo, hi, fields=("p", "et0", "tmax_c"), years=p.years)
@@ -134,7 +135,8 @@ def calendar_products(climate: DataFrame, zones: DataFrame, calendar: DataFrame,
 
     calendar: rows of ``sources.calendars``; crops: ``crop_table``; zones: px_id, country; mask: px_id, product,
     classification.  Windows and crop parameters are columns, so a product is a row and not a plan; a pixel's
-    dekads of two years are gathered once for all its products.
+    dekads are gathered once for all its products: only of pixels with a product, and only from the calendar's first
+    to its last dekad (the calendar is read for these two numbers).
     """
     cal = CA.with_windows(CA.viable_products(calendar)).withColumn("_crop", F.lower("crop")).drop("crop")
     cal = cal.join(crops.withColumnRenamed("crop", "_crop"), "_crop")
@@ -146,11 +148,12 @@ def calendar_products(climate: DataFrame, zones: DataFrame, calendar: DataFrame,
     c = CA.crop_columns()
     ss, se = F.col("sos_start"), F.col("sos_end")
     lo, hi = F.greatest(ss - 1, F.lit(1)), se + c.lgp + 1
-    rows = B.season_series(climate, 1, 72, years=years).join(px, "px_id").withColumns({
+    span = cal.agg(F.min(F.least(lo, ss)).alias("lo"), F.max(hi).alias("hi")).first()
+    held = climate.join(px.select("px_id"), "px_id", "left_semi")
+    rows = B.season_series(held, max(1, span.lo or 1), min(72, span.hi or 72), years=years).join(px, "px_id").withColumns({
         "_w": F.filter("s", lambda x: x["gd"].between(ss, se)), "s": F.filter("s", lambda x: x["gd"].between(lo, hi))})
     after = lambda i, n: F.get(F.col("_w"), i + n)
-    starts = F.filter("_w", lambda x, i: (x["p"] >= 25) & (after(i, 1)["p"] + after(i, 2)["p"] >= 20) & (after(i, 2)["gd"] == x["gd"] + 2)
-                      & (x["p"] / F.greatest(x["et0"], F.lit(1e-3)) >= 0.5))
+    starts = F.filter("_w", lambda x, i: O.rains_start(x["p"], after(i, 1)["p"], after(i, 2)["p"], x["et0"]) & (after(i, 2)["gd"] == x["gd"] + 2))
     rows = rows.withColumn("planting", F.get(starts, F.lit(0))["gd"])
     px = B.add_water_balance(B.with_capacity(rows, whc), c, (lo, hi))
     on = F.col("planting").isNotNull()
@@ -165,10 +168,8 @@ def excess_product(planting: DataFrame, daily: DataFrame, hydro: DataFrame, spi:
                    p: SeasonParams) -> DataFrame:
     """False start, waterlogging, wet-season flag and trigger rain per pixel and season.  Each step
     adds its columns to the season rows, so the planting table is computed once."""
-    px = O.add_post_onset_rain(planting, daily, bounds=planting_bounds(p))
-    ok = O.false_start_ok()
-    px = px.withColumn("false_start", F.when(ok, 0).when(ok.isNotNull(), 1))
-    px = B.add_aeration_stress(px, daily, hydro, p.crop, p.sos_start, p.sos_end)
+    px = O.add_false_start(planting, daily, bounds=planting_bounds(p), absent=p.absent)
+    px = B.add_aeration_stress(px, daily, hydro, p.crop, p.sos_start, p.sos_end, absent=p.absent)
     wet = spi.select("px_id", "year", F.col("wet").alias("spi3_wet"))
     return px.select("px_id", "year", "false_start", "onset_acc_mm", "waterlog_idx").join(wet, ["px_id", "year"], "left")
 

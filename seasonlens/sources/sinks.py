@@ -27,10 +27,14 @@ def cpi_stack(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pixels.select(*keys, *[to_int16(*scale.get(b, (b, 1.0))).alias(b) for b in CPI_STACK])
 
 
-def write_raster(rows: DataFrame, path: str, partition_by: Sequence[str] = ("product", "year"), files: int = 8,
+def write_raster(rows: DataFrame, path: str, partition_by: Sequence[str] = ("product", "year"), files: int | None = None,
                  spread: str = "px_id") -> None:
-    """Pixel rows by product and year.  Rows are first gathered by folder and one of ``files`` pixel groups,
-    so a folder holds at most that many files, whatever the number of tasks, and no task holds a whole product."""
+    """Pixel rows by product and year.  Rows are rebalanced by folder: the writers of a folder follow its size (small folders
+    share a task, a large one is split into files of ``spark.sql.adaptive.advisoryPartitionSizeInBytes``).  With ``files`` a
+    folder is gathered into that many pixel groups instead, and holds at most so many files."""
+    if files is None:
+        rows.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        return
     group = F.pmod(F.xxhash64(spread), F.lit(files))
     rows.repartition(*partition_by, group).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 

@@ -1,5 +1,6 @@
 """Missing, masked and out-of-record values give NULL or no row, never a smaller total; plans read once and prune."""
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def test_heat_and_clock_mask_from_the_first_gap(spark):
 def test_three_month_windows_lie_in_the_record(spark):
     rows = [(1, dt.date(y, m, 1), 10.0) for y in (2000, 2001) for m in range(1, 13)]
     daily = spark.createDataFrame(rows, "px_id int, d date, rain_mm double")
-    assert [(r.year, r.p3) for r in RA.three_month_totals(daily, 1).collect()] == [(2001, 30.0)]
-    spi = RA.spi3(RA.three_month_totals(daily, 5), (2000, 2001)).collect()
+    assert [(r.year, r.p3) for r in RA.three_month_totals(daily, 1, absent="dry").collect()] == [(2001, 30.0)]
+    spi = RA.spi3(RA.three_month_totals(daily, 5, absent="dry"), (2000, 2001)).collect()
     assert sorted(r.year for r in spi) == [2000, 2001] and all(r.p3 == 30.0 for r in spi)
     flags = RA.spi_flags(spark.createDataFrame([(1, 1.5), (2, -1.0), (3, 0.0), (4, None)], "px_id int, spi3 double")).collect()
     assert [(r.wet, r.dry) for r in flags] == [(1, 0), (0, 1), (0, 0), (None, None)]
@@ -83,7 +84,7 @@ def test_peaks_of_seasons_outside_the_record_are_left_out(spark):
 def test_long_records_and_late_dekads_do_not_wrap(spark):
     rows = [(1, dt.date(y, 1, d), 5.0) for y in range(1920, 2004) for d in (1, 2)]
     daily = spark.createDataFrame(rows, "px_id int, d date, rain_mm double")
-    assert [(r.dekad, r.p) for r in RA.dekad_climatology(daily, (1920, 2003)).collect()] == [(1, 10.0)]
+    assert [(r.dekad, r.p) for r in RA.dekad_climatology(daily, (1920, 2003), absent="dry").collect()] == [(1, 10.0)]
     flag = lambda *gds: spark.createDataFrame([(1, 2000, g, 1) for g in gds], "px_id int, year int, gd int, dry int")
     for gds, want in (((1, 66), 0), ((3, 66), 0), ((62, 63), 1), ((61, 62), 1), ((66, 67), 1), ((5,), 0), ((123, 124), 1)):
         assert R.persistent_hazard(flag(*gds), "dry").first().persistent == want
@@ -154,3 +155,104 @@ def test_hot_keys_are_spread(spark):
     assert sorted(r.v_z for r in z.collect()) == [-1.0, 1.0]
     scene = OB.link_band(rows.withColumnRenamed("zone", "scene"), attr.limit(0).withColumnRenamed("zone", "scene"), ["scene"], ["code"])
     assert scene.count() == n and scene.filter("code IS NOT NULL").count() == 0
+
+
+# ---- known days -------------------------------------------------------------------------------
+def record(spark, first, values, px=1):
+    day = dt.date.fromisoformat(first)
+    return spark.createDataFrame([(px, day + dt.timedelta(i), v) for i, v in enumerate(values) if v != "absent"], "px_id int, d date, rain_mm double")
+
+
+def test_a_window_with_unknown_days_has_no_three_month_total(spark):
+    one_day_a_month = spark.createDataFrame([(1, dt.date(2000, m, 5), 1.0) for m in (3, 4, 5)], "px_id int, d date, rain_mm double")
+    r = RA.three_month_totals(one_day_a_month, 5).first()
+    assert r.p3 is None and r.coverage == pytest.approx(3 / 92)
+    full = [0.5] * 92
+    april = [None if 31 <= i < 61 else v for i, v in enumerate(full)]
+    for values, want, share in ((full, 46.0, 1), (april, None, 62 / 92), (full[:91] + ["absent"], None, 91 / 92)):
+        r = RA.three_month_totals(record(spark, "2000-03-01", values), 5).first()
+        assert (r.p3, r.coverage) == (want, pytest.approx(share))
+    masked = RA.three_month_totals(record(spark, "2000-03-01", april), 5, absent="dry").first()
+    assert masked.p3 is None and masked.coverage == pytest.approx(62 / 92)
+    twice = record(spark, "2000-03-01", full).unionByName(record(spark, "2000-03-09", [None]))
+    assert RA.three_month_totals(twice, 5).first().p3 is None, "a day with a masked reading is unknown"
+    winter = record(spark, "1999-11-01", [1.0] * 92)
+    assert [(r.year, r.p3) for r in RA.three_month_totals(winter, 1).collect()] == [(2000, 92.0)]
+
+
+def test_normals_take_complete_dekads_only(spark):
+    daily = record(spark, "2000-01-01", [2.0] * 10).unionByName(record(spark, "2001-01-01", [2.0])).unionByName(record(spark, "2002-01-01", [2.0] * 9 + [None]))
+    assert [(r.dekad, r.p) for r in RA.dekad_climatology(daily, (2000, 2002)).collect()] == [(1, 20.0)]
+    got = {r.year: (r.p, r.coverage) for r in RA.yearly_dekads(daily, (2000, 2002)).collect()}
+    assert got == {2000: (20.0, 1.0), 2001: (None, .1), 2002: (None, .9)}
+    feb = record(spark, "2000-02-21", [1.0] * 9).unionByName(record(spark, "2001-02-21", [1.0] * 8))
+    assert [r.p for r in RA.dekad_climatology(feb, (2000, 2001)).collect()] == [8.5]
+
+
+def test_masked_days_are_neither_dry_nor_wet(spark):
+    pl = spark.createDataFrame([(1, 2000, 7)], "px_id int, year int, planting int")
+    def gate(values, **kw):
+        r = O.gate_false_starts(pl, record(spark, "2000-03-01", values), **kw).first()
+        return r.planting, r.false_start, r.max_dry_days, r.onset_acc_mm
+    assert gate([10.0] * 5 + [None] * 8 + [10.0] * 7) == (7, None, None, 50.0), "eight masked days decide nothing"
+    assert gate([10.0] * 5 + [None] * 7 + [10.0] * 8) == (7, 0, None, 50.0), "seven at most are dry"
+    assert gate([10.0] * 5 + [0.0] * 8 + [None] + [10.0] * 6) == (None, 1, None, 50.0), "eight at least are dry"
+    assert gate([10.0, None] + [10.0] * 18) == (7, 0, None, None), "the known trigger rain suffices"
+    assert gate([1.0, None] + [1.0] * 18) == (7, None, None, None)
+    assert gate([10.0] * 5 + ["absent"] * 8 + [10.0] * 7) == (None, 1, 8, 50.0), "a record of rainy days"
+    assert gate([10.0] * 5 + ["absent"] * 8 + [10.0] * 7, absent="unknown") == (7, None, None, 50.0)
+    assert gate([10.0] * 5 + [0.0] * 8 + [10.0] * 7, absent="unknown") == (None, 1, 8, 50.0)
+    with pytest.raises(ValueError):
+        gate([1.0], absent="wet")
+
+
+def test_excess_of_unknown_days_is_null(spark):
+    pl = spark.createDataFrame([(1, 2000, 7)], "px_id int, year int, planting int")
+    hydro = spark.createDataFrame([(1, 250.0, 400.0, .5)], "px_id int, fc_mm double, sat_mm double, tau double")
+    full = [80.0] * 18 + [0.0] * 110
+    for at, absent, known in ((None, "dry", True), (None, "unknown", True), (40, "dry", False), (40, "unknown", False), (125, "dry", True), (125, "unknown", True)):
+        daily = record(spark, "2000-03-01", [None if i == at else v for i, v in enumerate(full)])
+        assert (B.heavy_rain_days(pl, daily, MAIZE, 7, 15, absent=absent).first().heavy_rain_days == 18) == known
+        assert (B.aeration_stress(pl, daily, hydro, MAIZE, 7, 15, absent=absent).count() == 1) == known
+    short = record(spark, "2000-03-01", full[:100])
+    assert B.heavy_rain_days(pl, short, MAIZE, 7, 15, absent="unknown").first().heavy_rain_days is None
+    assert B.aeration_stress(pl, short, hydro, MAIZE, 7, 15, absent="unknown").count() == 0
+
+
+# ---- mergeable normals ------------------------------------------------------------------------
+def test_merged_and_rolling_normals_equal_recomputed_ones(spark):
+    rng = random.Random(4)
+    rows = [(px, k, y, rng.uniform(0, 200)) for px in (1, 2, 3) for k in (1, 2) for y in range(1990, 2002) if not (px == 2 and y < 2001) and (px, y) != (3, 2001)]
+    df = spark.createDataFrame(rows, "px_id int, dekad int, year int, p double")
+    by = ["px_id", "dekad"]
+    of = lambda lo, hi: RA.moments(df.filter(f"year BETWEEN {lo} AND {hi}"), "p", by)
+    def same(a, b):
+        a, b = ({(r.px_id, r.dekad): (r.n, r.mean, r.m2) for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+    same(RA.merge_moments(of(1990, 2000), of(2001, 2001), by), of(1990, 2001))
+    same(RA.remove_moments(of(1990, 2001), of(1990, 1990), by), of(1991, 2001))
+    same(RA.remove_moments(of(1990, 2001), of(1990, 2000), by), of(2001, 2001))
+    days = record(spark, "1998-01-01", [float(i % 7) for i in range(4 * 365 + 1)])
+    stored = RA.moments(RA.yearly_dekads(days, (1998, 2000)), "p", by)
+    same(RA.update_climatology(stored, days, 2001, drop=1998), RA.moments(RA.yearly_dekads(days, (1999, 2001)), "p", by))
+
+
+def test_index_from_stored_moments_equals_the_recomputed_one(spark):
+    rows = spark.createDataFrame([(px, y, 50.0 + 31 * px * y % 97) for px in (1, 2) for y in range(1995, 2002)], "px_id int, year int, p3 double")
+    normals = RA.moments(rows.filter("year < 2001"), "p3", ["px_id"])
+    a, b = ({(r.px_id, r.year): r.spi3 for r in x.collect()} for x in (RA.spi3(rows, (1995, 2000)), RA.spi3_from_moments(rows, normals)))
+    assert a == pytest.approx(b)
+
+
+def test_calendar_plan_gathers_masked_pixels_and_calendar_dekads_only(spark, tmp_path):
+    from seasonlens.sources import calendars as CA
+    path = str(tmp_path / "climate")
+    spark.createDataFrame([(1, 2000, 1, 1.0, 2.0)], "px_id int, year int, dekad int, p double, et0 double").write.parquet(path)
+    zones = spark.createDataFrame([(1, "Kenya")], "px_id int, country string")
+    cal = spark.createDataFrame([("Kenya", "Maize", "Longrains", "High", "Apr-d1-May-d3", "Mar-d1-May-d3")],
+                                "country string, crop string, season string, crop_viability string, indicative_planting_window string, sos_detection_window string")
+    mask = spark.createDataFrame([(1, "maize", 100)], "px_id int, product string, classification int")
+    got = P.calendar_products(spark.read.parquet(path), zones, cal, CA.crop_table(spark), mask)
+    logical = got._jdf.queryExecution().optimizedPlan().toString()
+    gather = logical[logical.index("collect_"):]
+    assert "LeftSemi" in gather[:gather.index("Relation")], "the pixels' semi-join stands under the gather"
