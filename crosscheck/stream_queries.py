@@ -44,21 +44,43 @@ _CLS = lambda w: f"CASE WHEN {w} < 50 THEN 1 WHEN {w} < 60 THEN 2 WHEN {w} < 80
           SELECT px_id, year, gd, sw, sum(aet) OVER w / greatest(sum(wr) OVER w, 1e-6) * 100 AS wrsi, sum(wr) OVER w AS cum
           FROM run WINDOW w AS (PARTITION BY px_id, year ORDER BY gd)) WHERE cum > 0))""")
 def _(spark, sf):
+    src, out = _season_rows(spark, sf), new_path(spark, "alerts")
+    _run(spark, lambda: M.monitor(R.file_stream(spark, src, spark.read.parquet(src).schema), MAIZE, (6, 28)), out)
+    return rounded(spark.read.parquet(out), "sw", "wrsi")
+
+
+def _season_rows(spark, sf, files: str | None = None) -> str:
     cl = I.climate(spark, sf)
     pl = I.planting(spark, sf, cl).filter(F.col("planting").isNotNull()).select("px_id", "year", "planting")
     rows = season_frame(cl.select("px_id", "year", "dekad", "p", "et0"), 6, 28).join(pl, ["px_id", "year"])
-    src, out = new_path(spark, "season"), new_path(spark, "alerts")
-    rows.write.parquet(src)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", M.ROCKSDB)
+    src = new_path(spark, "season")
+    (rows.repartition(4, F.xxhash64(files)) if files else rows).write.parquet(src)
+    return src
+
+
+def _run(spark, stream, out: str) -> None:
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, M.ROCKSDB)
     try:
-        s = R.file_stream(spark, src, spark.read.parquet(src).schema)
-        q = (M.monitor(s, MAIZE, (6, 28)).writeStream.outputMode("append").format("parquet")
+        q = (stream().writeStream.outputMode("append").format("parquet")
              .option("checkpointLocation", new_path(spark, "ckpt")).option("path", out).trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
         if before is not None:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+            spark.conf.set(key, before)
         else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return rounded(spark.read.parquet(out), "sw", "wrsi")
+            spark.conf.unset(key)
+
+
+@query("str2_dekads_in_any_order", f"""
+    WITH RECURSIVE {stepwise_sql(SEASONS, MAIZE, 7, 15, 1)}
+    SELECT px_id, year, gd, round(sw, 6) AS sw, round(wrsi, 6) AS wrsi, cls AS wrsi_class, coalesce(lag(cls) OVER (PARTITION BY px_id, year ORDER BY gd), 0) AS previous_class FROM (
+      SELECT *, {_CLS('wrsi')} AS cls FROM (
+        SELECT px_id, year, gd, sw, sum(aet) OVER w / greatest(sum(wr) OVER w, 1e-6) * 100 AS wrsi, sum(wr) OVER w AS cum
+        FROM run WINDOW w AS (PARTITION BY px_id, year ORDER BY gd)) WHERE cum > 0)""")
+def _(spark, sf):
+    """A season's dekads are dealt over four files by a hash of the dekad, one file a batch: they arrive in no order."""
+    src, out = _season_rows(spark, sf, "gd"), new_path(spark, "alerts")
+    _run(spark, lambda: M.monitor_any_order(R.file_stream(spark, src, spark.read.parquet(src).schema, per_batch=1), MAIZE, (6, 28), "3000 days"), out)
+    return rounded(M.newest(spark.read.parquet(out)).select("px_id", "year", "gd", "sw", "wrsi", "wrsi_class", "previous_class"), "sw", "wrsi")

@@ -2,6 +2,7 @@
 row whenever the performance class changes."""
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seasonlens.config import SOIL, CropParams, SoilConfig
 from seasonlens.functions.climate import crop_coefficient
+from seasonlens.functions.dekads import dekad_start
 
 OUT = ("px_id long, year int, gd int, sw double, wrsi double, wrsi_class int, previous_class int, "
        "alert int, late int, gap int")
@@ -91,4 +93,104 @@ def monitor(rows: DataFrame, p: CropParams, span: tuple[int, int], soil: SoilCon
         outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
+# ---- dekads in any order ------------------------------------------------------------------------
+REVISED = OUT.replace(", late int, gap int", ", version int, gap int")
+HELD = "p double, wr_in double, whc double, sw double, aet double, wr double, wclass int, version int"
+
+
+def season_end(year: int, last_gd: int) -> dt.datetime:
+    """Start of the dekad after the season's last."""
+    k = last_gd
+    month = k // 3
+    return dt.datetime(year + month // 12, month % 12 + 1, (1, 11, 21)[k % 3], tzinfo=dt.timezone.utc)
+
+
+class ReplayProcessor(StatefulProcessor):
+    """The same recurrence for dekads in any order: the state holds each dekad's input and, once reached, a snapshot behind it.
+
+    A late or corrected dekad folds again from the snapshot before it, and every dekad it changes is put out anew with a
+    higher ``version``; dekads beyond a missing one wait.  A timer at the season's end, on event time, puts
+    what still waits out as masked (the first of them with ``gap = 1``) and forgets the season: what the watermark
+    lets in by then counts, in whatever order it came.  Of several rows of one dekad in one batch the last counts.
+    """
+
+    def __init__(self, first_gd: int, last_gd: int, init_frac: float):
+        self._first, self._last, self._frac = first_gd, last_gd, init_frac
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._dekads = handle.getMapState("dekads", "gd int", HELD)
+
+    def _held(self) -> dict[int, list]:
+        return {k[0]: list(v) for k, v in self._dekads.iterator()}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        px, year = key
+        held = self._held()
+        if not held:
+            self._handle.registerTimer(int(season_end(int(year), self._last).timestamp() * 1000))
+        changed = []
+        for r in pd.concat(list(rows)).sort_values("gd", kind="stable").itertuples():
+            given, old = [float(r.p), float(r.wr), float(r.whc_mm)], held.get(int(r.gd))
+            if old is None or [str(x) for x in old[:3]] != [str(x) for x in given]:  # as text: NaN equals itself
+                held[int(r.gd)] = [*given, *(old[3:] if old else [None, None, None, None, 0])]
+                changed.append(int(r.gd))
+        out = []
+        if changed:
+            gd = min(changed)
+            before = held.get(gd - 1)
+            if gd == self._first or before is not None and before[3] is not None:
+                while gd in held:
+                    out += self._step(px, year, gd, held)
+                    self._dekads.updateValue((gd,), tuple(held[gd]))
+                    gd += 1
+            for k in changed:
+                self._dekads.updateValue((k,), tuple(held[k]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in REVISED.split(", ")])
+
+    def _step(self, px, year, gd: int, held: dict[int, list]) -> list[tuple]:
+        p, need, whc, *_, version = held[gd]
+        sw, aet, wr, cls = held[gd - 1][3:7] if gd > self._first else (whc * self._frac, 0.0, 0.0, 0)
+        if math.isnan(p + need + whc):
+            sw = aet = wr = math.nan
+        else:
+            got = min(sw + p, need)
+            sw, aet, wr = max(min(sw + p - got, whc), 0.0), aet + got, wr + need
+        if wr <= 0:
+            held[gd][3:] = [sw, aet, wr, cls, version]
+            return []
+        wrsi = aet / max(wr, 1e-6) * 100
+        known = not math.isnan(wrsi)
+        new = _class(wrsi) if known else cls
+        held[gd][3:] = [sw, aet, wr, new, version + 1]
+        return [(px, year, gd, sw if known else None, wrsi if known else None, new if known else None, cls, int(known and new != cls), version + 1, 0)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        px, year = key
+        held = self._held()
+        waiting = sorted(k for k, v in held.items() if v[3] is None)
+        out = [(px, year, k, None, None, None, 0, 0, held[k][7] + 1, int(k == waiting[0])) for k in waiting]
+        self._dekads.clear()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in REVISED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def monitor_any_order(rows: DataFrame, p: CropParams, span: tuple[int, int], lateness: str, soil: SoilConfig = SOIL) -> DataFrame:
+    """``monitor`` for dekads that arrive in any order within ``lateness`` of event time (the dekads' own dates).  Read the
+    result with ``newest``.  The state of a season is one row per dekad, at most the span's, until its end."""
+    rows = rows.filter(F.col("gd").between(*span))
+    at = dekad_start(F.col("year"), F.col("gd")).cast("timestamp")
+    need = season_demand(rows, p, soil).withColumn("ts", at).withWatermark("ts", lateness)
+    return need.groupBy("px_id", "year").transformWithStateInPandas(
+        statefulProcessor=ReplayProcessor(*span, soil.init_frac), outputStructType=REVISED, outputMode="Append", timeMode="EventTime")
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The last version of each dekad."""
+    rest = [c for c in rows.columns if c not in ("px_id", "year", "gd")]
+    return rows.groupBy("px_id", "year", "gd").agg(F.max_by(F.struct(*rest), "version").alias("_r")).select("px_id", "year", "gd", "_r.*")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -1,4 +1,6 @@
 import datetime as dt
+import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,65 @@ def test_monitor_masks_after_a_gap_takes_soils_and_forgets_seasons(spark, tmp_pa
     assert last[0] == pytest.approx(batch[0]) and last[1] == pytest.approx(batch[1]) and last[0] != last[1]
     assert batch[2] is None and res.filter("px_id = 2 AND gd >= 16 AND wrsi IS NOT NULL").count() == 0
     assert [r.gd for r in res.filter("gap = 1").collect()] == [16]
+
+
+def test_dekads_in_any_order_equal_the_ordered_stream(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(px, 2000, gd, float((gd * (px + 3)) % 7 * 8), 45.0, 8 + px) for px in range(4) for gd in range(6, 29) if (px, gd) != (3, 20)]
+    wrong = [(px, 2000, 12, 99.0, 45.0, 8 + px) for px in (0, 2)]          # corrected by a later batch
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = spark.createDataFrame([], DEK).schema
+
+    def run():
+        q = M.monitor_any_order(R.file_stream(spark, src, schema), MAIZE, (6, 28), "400 days").writeStream.outputMode("append").format("parquet").option(
+            "checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    early = [r for r in rows if r[0] in (0, 2) and r[2] < 15]
+    mixed = rng.sample([r for r in rows if r not in early], len(rows) - len(early))
+    put(spark, src, [r for r in early if r[2] != 12] + wrong + mixed[:20], DEK, 0)
+    run()
+    put(spark, src, mixed[20:40], DEK, 1)
+    run()
+    put(spark, src, mixed[40:] + [r for r in early if r[2] == 12], DEK, 2)
+    assert run() > 0
+    got = M.newest(spark.read.parquet(out))
+    final = {r.px_id: (r.gd, r.wrsi) for r in got.groupBy("px_id").agg(F.max("gd").alias("gd"), F.max_by("wrsi", "gd").alias("wrsi")).collect()}
+    df = spark.createDataFrame(rows, DEK)
+    batch = {r.px_id: r.wrsi for r in B.water_balance(df.select("px_id", "year", F.col("gd").alias("dekad"), "p", "et0"),
+                                                      df.select("px_id", "year", "planting").distinct(), MAIZE, 7, 15).collect()}
+    assert {k: v for k, v in final.items() if k < 3} == {k: (28, pytest.approx(batch[k])) for k in range(3)} and batch[3] is None
+    assert final[3][0] == 19 and max(r.version for r in got.collect()) > 1
+    put(spark, src, [(9, 2003, 6, 1.0, 45.0, 8)], DEK, 3)                  # the watermark passes the season's end
+    run()
+    put(spark, src, [(9, 2003, 7, 1.0, 45.0, 8)], DEK, 4)
+    assert run() == 2, "only the new season's dekads are held"
+    ended = M.newest(spark.read.parquet(out)).filter("px_id = 3 AND gd > 19").orderBy("gd").collect()
+    assert [(r.gd, r.wrsi, r.gap) for r in ended] == [(g, None, int(g == 21)) for g in range(21, 29)]
+
+
+def test_compaction_keeps_one_version_at_every_point(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    schema = spark.createDataFrame([], OBS).schema
+
+    def run(rows, n):
+        put(spark, src, rows, OBS, n)
+        R.start_daily_sink(R.daily_totals(R.file_stream(spark, src, schema)), out, ck).awaitTermination()
+
+    seen = lambda **kw: sorted((r.px_id, r.d.day, r.rain_mm) for r in R.latest_daily(spark, out, **kw).collect())
+    files = lambda top: len([f for f in pathlib.Path(top).rglob("*.parquet")])
+    for n in range(4):
+        run([(px, at(d), 1.0) for px in (1, 2) for d in range(1, 12)], n)
+    want = [(px, d, 4.0) for px in (1, 2) for d in range(1, 12)]
+    assert seen() == want and files(f"{out}/year=2024/dekad=1") >= 4
+    R.compact_dekad(spark, out, 2024, 1)
+    R.compact_dekad(spark, out, 2024, 1)
+    assert seen() == want and files(f"{out}-closed") == 1
+    assert R.drop_compacted(spark, out, 2024, 1) >= 4
+    assert seen() == want and not files(f"{out}/year=2024/dekad=1") and seen(dekads=((2024, 2), (2024, 2))) == want[10:11] + want[21:]
+    run([(1, at(3, 9), 2.0)], 4)                                          # a late row after it
+    assert (1, 3, 6.0) in seen() and len(seen()) == len(want)
+    assert R.drop_compacted(spark, out, 2024, 1) == 0, "a newer batch stays"
+    R.compact_dekad(spark, out, 2024, 1)
+    assert R.drop_compacted(spark, out, 2024, 1) == 2 and (1, 3, 6.0) in seen() and files(f"{out}-closed") == 1
