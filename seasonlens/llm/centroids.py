@@ -2,7 +2,7 @@
 
 Vectors are scaled to integers, and every distance, mean and tie is decided in integers, so a rerun on any number of
 machines gives the same clusters.  To decide few of them, vectors are rotated to their principal axes once: a row
-stores its ``LEADING`` first rotated coordinates and the norm of the rest.  For a centroid rotated alike, the squared
+stores its leading rotated coordinates, as many as hold ``VARIANCE`` of all variance, and the norm of the rest.  For a centroid rotated alike, the squared
 distance of the coordinates plus the squared difference of the two residual norms is a lower bound of the squared
 distance (the triangle inequality on the rest).  A row first takes the exact distance to the centroid of the least bound;
 centroids whose bound lies above it are out, the survivors are verified in integers.  Bounds are lowered by more than
@@ -32,8 +32,8 @@ K = 40
 ROUNDS = 5
 DIMS = 64
 SCALE = 256
-#: Rotated coordinates that are stored; the rest is one norm.
-LEADING = 16
+#: Share of the variance that the stored coordinates hold; the rest is one norm.
+VARIANCE = 0.9
 #: Largest component: dims x (2 x LARGEST)^2 stays under 2^63.
 LARGEST = 2.0 ** 27
 #: (row, centroid) pairs verified at once.
@@ -74,8 +74,8 @@ def _moments(dims: int):
     return scan
 
 
-def principal_axes(rows: DataFrame, dims: int = DIMS) -> np.ndarray:
-    """Orthonormal columns by falling variance, from the covariance over all rows."""
+def principal_axes(rows: DataFrame, dims: int = DIMS, variance: float = VARIANCE) -> tuple[np.ndarray, int]:
+    """Orthonormal columns by falling variance, from the covariance over all rows, and how many of them hold ``variance``."""
     got = rows.select("v").mapInArrow(_moments(dims), "place int, total double").groupBy("place").agg(F.sum("total").alias("total")).collect()
     at = np.zeros(1 + dims + dims * dims)
     for r in got:
@@ -83,7 +83,9 @@ def principal_axes(rows: DataFrame, dims: int = DIMS) -> np.ndarray:
     n = max(at[0], 1.0)
     mean = at[1:dims + 1] / n
     values, axes = np.linalg.eigh(at[dims + 1:].reshape(dims, dims) / n - np.outer(mean, mean))
-    return axes[:, np.argsort(-values)]
+    order = np.argsort(-values)
+    held = np.cumsum(np.maximum(values[order], 0))
+    return axes[:, order], min(dims, 1 + int(np.searchsorted(held, variance * held[-1])))
 
 
 def _rotated(x: np.ndarray, axes: np.ndarray, leading: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,16 +166,16 @@ def _assigned(c: np.ndarray, axes: np.ndarray):
 
 
 def cluster(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, rounds: int = ROUNDS, dims: int = DIMS,
-            scale: int = SCALE, leading: int = LEADING) -> Clusters:
+            scale: int = SCALE, variance: float = VARIANCE) -> Clusters:
     """Clusters after ``rounds`` rounds of assigning and averaging, and one more assignment."""
-    spark, leading = vectors.sparkSession, min(leading, dims)
+    spark = vectors.sparkSession
     rows = stored(scaled(vectors, key, vector, dims, scale), "scaled")
     mark = F.sha2(F.concat(F.lit("2:"), F.col("key").cast("string")).cast("binary"), 256)
     start = rows.filter(F.col("key").isNotNull()).select(mark.alias("mark"), "v").orderBy("mark", "v").limit(k).collect()
     c = np.array([r.v for r in start], np.int64).reshape(len(start), dims)
     if not len(c):
         return Clusters(spark.createDataFrame([], OUT), [])
-    axes = principal_axes(rows, dims)
+    axes, leading = principal_axes(rows, dims, variance)
     rows = stored(rows.mapInArrow(_with_projection(axes, leading, dims), "key long, v array<long>, lead array<double>, rest double"), "rotated")
     for _ in range(rounds):
         got = rows.mapInArrow(_sums(c, axes), "cluster int, place int, total string") \

@@ -84,7 +84,7 @@ def test_clusters_equal_brute_force(spark, dims, k, spread):
     bad[0][1], bad[1][2], bad[2] = float("nan"), float("inf"), bad[2] + [0.0]
     rows += [(500 + i, v) for i, v in enumerate(bad)] + [(600, None), (601, [None] * dims), (602, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"cluster": F.lit(1), "v": F.lit(2)})
-    found = C.cluster(df, k=k, rounds=3, dims=dims, leading=min(16, dims // 2))
+    found = C.cluster(df, k=k, rounds=3, dims=dims, variance=.6)
     want, c = brute_clusters(rows, k, 3, dims)
     assert found.centroids == c
     assert sorted((r.key if r.key is not None else -1, r.cluster, r.distance) for r in found.members.collect()) == want
