@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("time", "source", "feature", "spatial", "onset", "balance", "risk", "rollup", "stream", "plan", "record", "geometry")
+MODULES = ("time", "source", "feature", "spatial", "onset", "balance", "risk", "rollup", "stream", "plan", "record", "geometry", "calibration")
 
 
 def load():
