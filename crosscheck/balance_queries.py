@@ -196,6 +196,35 @@ def _(spark, sf):
     return B.rain_anchored_clock(cl, short_onset(spark, sf, cl), gdd_target(spark, sf))
 
 
+# the clocks stepped dekad by dekad; a step has four stages: thermal time, juvenile rest, induction, rest after it
+PHOTO_SQL = f"""
+    WITH RECURSIVE h AS (
+      SELECT px_id, year, dekad AS gd, {GDD} AS gdd, least(greatest((135e-1 - 24 / pi() * acos(least(greatest(-tan(radians(lat)) * tan(409e-3 * sin(2 * pi() / 365 * doy - 139e-2)), -1), 1))) / 15e-1, 0), 1) AS rate
+      FROM (SELECT *, dayofyear({start('year', 'dekad')}) + 5 AS doy FROM v_temps JOIN v_grid USING (px_id))),
+    clock AS (
+      SELECT px_id, year, onset AS gd, 0e0 AS j, 0e0 AS i, 0e0 AS t FROM v_onset WHERE onset IS NOT NULL
+      UNION ALL
+      SELECT px_id, year, gd + 1, j1, i0 + left1 * rate, t0 + CASE WHEN i0 >= 150 THEN left1 WHEN i0 + left1 * rate >= 150 THEN left1 - (150 - i0) / rate ELSE 0 END
+      FROM (SELECT c.px_id, c.year, c.gd, c.j + h.gdd AS j1, greatest(c.j + h.gdd - greatest(c.j, 300), 0) AS left1, c.i AS i0, c.t AS t0, h.rate
+            FROM clock c JOIN h USING (px_id, year, gd)))
+    SELECT px_id, year, CAST(min(CASE WHEN j >= 300 THEN gd - 1 END) AS INTEGER) AS juvenile_dekad, CAST(min(CASE WHEN i >= 150 THEN gd - 1 END) AS INTEGER) AS initiation_dekad,
+           CAST(min(CASE WHEN t >= 450 THEN gd - 1 END) AS INTEGER) AS flowering_dekad, CAST(min(CASE WHEN t >= 900 THEN gd - 1 END) AS INTEGER) AS maturity_dekad FROM clock GROUP BY px_id, year"""
+
+
+@query("gdd2_photothermal_clock", PHOTO_SQL)
+def _(spark, sf):
+    cl = I.climate(spark, sf)
+    return B.photothermal_clock(cl, I.onset(spark, sf, cl).withColumn("sos", F.col("onset")))
+
+
+@query("gdd2_day_length", """
+    SELECT px_id, dekad, round(24 / pi() * acos(-tan(radians(lat)) * tan(409e-3 * sin(2 * pi() / 365 * (dekad * 10) - 139e-2))), 6) AS hours
+    FROM v_grid, (SELECT unnest(range(1, 37)) AS dekad)""")
+def _(spark, sf):
+    g = I.grid(spark, sf).select("px_id", "lat", F.explode(F.sequence(F.lit(1), F.lit(36))).alias("dekad"))
+    return g.select("px_id", "dekad", F.round(CM.day_length("lat", F.col("dekad") * 10), 6).alias("hours"))
+
+
 # ---- agro-ecology ----------------------------------------------------------------------------
 @query("aez1_growing_period", LGP_SQL)
 def _(spark, sf):

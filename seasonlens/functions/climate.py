@@ -27,6 +27,19 @@ def extraterrestrial_radiation(lat_deg, doy) -> Column:
     return mj * 0.408
 
 
+def day_length(lat_deg, doy, elevation_deg: float = 0.0) -> Column:
+    """Hours with the sun above an elevation (0: sunrise to sunset; -6: with civil twilight), kept to 0..24 near the poles."""
+    lat, decl = F.radians(as_col(lat_deg)), 0.409 * F.sin(as_col(doy) * (2 * math.pi / 365.0) - 1.39)
+    cos_ws = (math.sin(math.radians(elevation_deg)) - F.sin(lat) * F.sin(decl)) / floor_at(F.cos(lat) * F.cos(decl), 1e-9)
+    return F.acos(clamp(cos_ws, -1.0, 1.0)) * (24 / math.pi)
+
+
+def induction_rate(hours, base: float, ceiling: float) -> Column:
+    """Short-day response, 1 up to the base day length and 0 from the ceiling on: the time to induction is hyperbolic
+    in the day length between them, and endless at the ceiling."""
+    return clamp((ceiling - as_col(hours)) / (ceiling - base), 0.0, 1.0)
+
+
 def hargreaves_et0(lat_deg, tmax_c, tmin_c, year, dekad) -> Column:
     """ET0 over a dekad in mm, from dekad-mean temperatures; Ra at day 5 of the dekad."""
     tmax, tmin = as_col(tmax_c), as_col(tmin_c)

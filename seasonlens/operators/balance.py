@@ -7,12 +7,13 @@ bounded series into one sorted array and folds it with ``aggregate``.  The gathe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seasonlens import config as C
 from seasonlens.config import SOIL, CropParams, SoilConfig
-from seasonlens.functions.climate import crop_coefficient, dekad_gdd
+from seasonlens.functions.climate import crop_coefficient, day_length, dekad_gdd, induction_rate
 from seasonlens.functions.masks import clamp, floor_at
 from seasonlens.functions.dekads import dekad_start
 from seasonlens.operators.frames import PX, day_record, own_year, season_days, season_frame
@@ -312,3 +313,59 @@ def rain_anchored_clock(temps: DataFrame, onset: DataFrame, maturity: DataFrame,
                         dk_lo: int = 28, dk_hi: int = 52) -> DataFrame:
     """Clock anchored one dekad after rainfall onset, running into the next year."""
     return gdd_clock(temps, onset.withColumn("sos", F.col("onset") + 1), maturity, dk_lo, dk_hi)
+
+
+# ---- photothermal clock -----------------------------------------------------------------------
+@dataclass(frozen=True)
+class PhotoParams:
+    """A short-day cultivar: degree-days of the juvenile phase, of induction under short days, and from initiation to
+    flowering and maturity; day lengths in hours with and without response."""
+
+    juvenile: float = 300.0
+    induction: float = 150.0
+    flowering: float = 450.0
+    maturity: float = 900.0
+    base_h: float = 12.0
+    ceiling_h: float = 13.5
+    elevation_deg: float = 0.0
+
+
+PHASES = ("juvenile", "initiation", "flowering", "maturity")
+
+
+def photothermal_clock(temps: DataFrame, sos: DataFrame, p: PhotoParams = PhotoParams(), dk_lo: int = 1, dk_hi: int = 36,
+                       keys: Sequence[str] = SEASON) -> DataFrame:
+    """Global dekad at which a day-length-sensitive crop ends each of its phases, NULL where it does not in dk_lo..dk_hi.
+
+    temps: px_id, year, dekad, tmax_c, tmin_c, lat.  Degree-days from sos on first end the juvenile phase; what a dekad has left then
+    drives induction, slowed by the day length, and after it the thermal time to flowering and maturity.  One
+    fold carries the three clocks.  An absent, repeated or masked dekad from sos on masks the marks after it.
+    """
+    fields = ("tmax_c", "tmin_c", "lat")
+    s = season_series(temps, dk_lo, dk_hi, keys, fields=fields).join(sos.filter(F.col("sos").isNotNull()).select(*keys, "sos"), list(keys))
+    real = lambda x: (x["gd"] - 1) % 36 + 1
+    doy = lambda x: F.dayofyear(dekad_start(F.col("year") + F.floor((x["gd"] - 1) / 36).cast("int"), real(x))) + 5
+    # functions of a dekad are worked out before the fold, so that the fold runs on numbers
+    run = F.transform(F.filter("s", lambda x: x["gd"] >= F.col("sos")), lambda x: F.struct(
+        x["gd"].alias("gd"), dekad_gdd(x["tmax_c"], x["tmin_c"]).alias("gdd"),
+        induction_rate(day_length(x["lat"], doy(x), p.elevation_deg), p.base_h, p.ceiling_h).alias("rate")))
+    none = F.lit(None).cast("int")
+    start = F.struct(zero().alias("j"), zero().alias("i"), zero().alias("t"), F.col("sos").cast("int").alias("next"),
+                     *[none.alias(n) for n in PHASES])
+
+    def step(a: Column, x: Column) -> Column:
+        # an unknown dekad makes every clock NULL from here on
+        gdd = F.when((x["gd"] == a["next"]) & x["rate"].isNotNull(), x["gdd"])
+        j = a["j"] + gdd
+        left = F.when(gdd.isNotNull(), F.greatest(j - F.greatest(a["j"], F.lit(p.juvenile)), zero()))
+        i = a["i"] + left * x["rate"]
+        over = F.when(a["i"] >= p.induction, left).when(
+            i >= p.induction, left - (p.induction - a["i"]) / x["rate"]).when(left.isNotNull(), zero())
+        t = a["t"] + over
+        mark = lambda n, done: F.coalesce(a[n], F.when(done, x["gd"])).alias(n)
+        return F.struct(j.alias("j"), i.alias("i"), t.alias("t"), (x["gd"] + 1).cast("int").alias("next"),
+                        mark("juvenile", j >= p.juvenile), mark("initiation", i >= p.induction),
+                        mark("flowering", t >= p.flowering), mark("maturity", t >= p.maturity))
+
+    return s.withColumn("_run", run).withColumn("_r", F.aggregate("_run", start, step)).select(
+        *keys, *[F.col(f"_r.{n}").alias(f"{n}_dekad") for n in PHASES])
