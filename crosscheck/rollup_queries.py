@@ -456,3 +456,16 @@ def _(spark, sf):
     g = I.greenness(spark, sf)
     out = U.ablation({"base": score(O.detect_sos(g, 7, 15)), "prior": score(O.detect_sos(g, 7, 15, _prior(spark, sf)))}, ["year"], ["mean", "hit"])
     return rounded(out, "base_mean", "base_hit", "prior_mean", "prior_hit")
+
+
+@query("zst1_sketched_percentiles", """
+    SELECT county, CAST(q AS INTEGER) AS q, count(*) AS n, true AS within FROM v_pixels, (SELECT unnest([10, 50, 90]) AS q) WHERE wrsi IS NOT NULL GROUP BY ALL""")
+def _(spark, sf):
+    """County percentiles of a continuous band from ward sketches: their ranks among the pixels, within 0.01."""
+    px = I.pixels(spark, sf).select("county", "constituency", "name", "wrsi")
+    wards = U.value_sketch(px, ["county", "constituency", "name"], "wrsi")
+    q = U.sketch_quantiles(U.merge_sketches(wards, ["county"]), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    at = q.select("county", F.explode(F.array(*[F.struct(F.lit(p).alias("q"), F.col(f"p{p}").alias("v")) for p in (10, 50, 90)])).alias("e")).select("county", "e.*")
+    below, upto = F.avg((F.col("wrsi") < F.col("v")).cast("double")), F.avg((F.col("wrsi") <= F.col("v")).cast("double"))
+    return px.join(at, "county").groupBy("county", "q").agg(
+        F.count(F.lit(1)).alias("n"), (F.col("q") / 100).between(below - 0.01, upto + 0.01).alias("within"))

@@ -49,6 +49,28 @@ def describe(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), F.sum("n").alias("count"))
 
 
+def value_sketch(pixels: DataFrame, keys: Sequence[str], value: str, k: int = 400) -> DataFrame:
+    """(keys, n, sketch) of a continuous band: a KLL quantile sketch per zone, masked and NaN pixels left out.
+
+    A sketch keeps a few thousand bytes however many pixels a zone has, and is built map-side, so no
+    zone's values are gathered.  Stored, it stands for its pixels: levels and later dekads merge (``merge_sketches``).  Rank error is
+    about 1.7 / k of the pixels, 99 times in 100; up to k values are kept as they are.
+    """
+    v = F.col(value).cast("double")
+    return pixels.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(v, k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches of coarser zones (or longer times) from those of finer ones, without their pixels."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """The sketch's columns with one column per name -> rank (0 to 1) in its place."""
+    return sketches.withColumns({n: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))) for n, q in quantiles.items()}).drop("sketch")
+
+
 def skill_aggs(win_start: int, win_end: int) -> list[Column]:
     centre = (win_start + win_end) / 2.0
     off = F.col("dekad") - centre
