@@ -57,6 +57,17 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+def store_bucketed(rows: DataFrame, name: str, path: str, buckets: int, by: Sequence[str] = ("px_id",), order: Sequence[str] = ()) -> DataFrame:
+    """Store rows as a catalogue table bucketed by pixel, files under ``path``; read it as ``spark.table(name)``.
+
+    Tables with the same ``buckets`` are co-located: season gathers, balances and joins by pixel over them need no
+    exchange (joins by pixel and year where the session sets ``spark.sql.requireAllClusterKeysForCoPartition`` to false).  Choose ``buckets`` so that one bucket fits a task (a bucket is one file and is read whole by one
+    task); a pixel's rows are bounded by the calendar, so no bucket is hot.
+    """
+    rows.repartition(buckets, *by).write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by, *order).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def select_zones(zones: DataFrame, names: Sequence[str], level: int) -> DataFrame:
     return zones.filter((F.col("level") == level) & F.col("country").isin(list(names)))
 
