@@ -54,7 +54,7 @@ def value_sketch(pixels: DataFrame, keys: Sequence[str], value: str, k: int = 40
 
     A sketch keeps a few thousand bytes however many pixels a zone has, and is built map-side, so no
     zone's values are gathered.  Stored, it stands for its pixels: levels and later dekads merge (``merge_sketches``).  Rank error is
-    about 1.7 / k of the pixels, 99 times in 100; up to k values are kept as they are.
+    about 2.3 / k^0.97 (0.7 % of the pixels at 400) 99 times in 100; up to k values are kept as they are.
     """
     v = F.col(value).cast("double")
     return pixels.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
