@@ -10,8 +10,8 @@ by their text hash and take no part in the last level.
 
 Windows are compared by hash: 64 bits where a collision only costs a further look, 128 bits (two
 polynomials) in the last level.  Work and shuffles follow the repeated part of the corpus; counts are
-combined map-side and joined back, so that a window shared by very many documents is one row on one side
-and rows that Spark may split on the other.
+combined map-side and joined back.  Hashes that stand on more than a ``HOT_PARTS``-th of a level's rows, fewer than
+``HOT_PARTS`` of them by that very rule, are sent to their rows; only the rest is shuffled by hash.
 
 Nulls: a NULL text has no words; a row with a NULL key is returned unchanged.  Rows with equal keys are
 never removed in favour of each other.  Texts of fewer than ``min_words`` words stay.  Empty tables give
@@ -30,6 +30,8 @@ from seasonlens.llm.words import BASE1, BASE2, WHITE, mix, signed, split_words,
 from seasonlens.llm.store import map_texts, stored
 
 MIN_WORDS = 50
+#: A hash on more than one in so many rows of its level is a hot one.
+HOT_PARTS = 1000
 _TEXT = "key long, t1 long, t2 long, n_words long, sha string"
 _ANCHOR = "key long, t1 long, at int, base long, right_half long, left_half long"
 _FULL = "w1 long, w2 long, key long, t1 long, at int"
@@ -157,6 +159,17 @@ def _cut(min_words: int) -> Callable:
 _SPANS = "array<struct<start:long,end:long>>"
 
 
+def _repeated(rows: DataFrame, by: str) -> DataFrame:
+    """The rows of a stored table whose ``by`` stands under two keys or more.  Values with over one row in ``HOT_PARTS`` are
+    fewer than ``HOT_PARTS`` at any size: these are broadcast, and their rows are not shuffled."""
+    known = rows.groupBy(by).agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"), F.count("*").alias("_n")).filter("_lo < _hi")
+    known = stored(known.select(by, "_n"), "repeated")
+    many = F.col("_n") > rows.count() // HOT_PARTS
+    hot = F.broadcast(known.filter(many).select(by))
+    rest = rows.join(hot, by, "left_anti")
+    return rows.join(hot, by, "left_semi").unionByName(rest.join(known.filter(~many).select(by), by, "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """key, n_words, n_removed, spans (word spans to remove, end exclusive), kept_sha256: one row per input row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -168,13 +181,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     live = rows.filter(F.col("key").isNotNull() & F.col("text").isNotNull())
     anchors = stored(map_texts(live, _anchors(min_words), _ANCHOR), "anchors")
-    shared = lambda df, *by: df.groupBy(*by).agg(F.min("key").alias("_lo"), F.max("key").alias("_hi")).filter("_lo < _hi")
-    again = stored(anchors.join(shared(anchors, "base").select("base"), "base", "left_semi")
+    again = stored(_repeated(anchors, "base")
                  .select("key", "t1", "at", F.explode(F.array(
                      F.struct((F.col("at") + half - full).alias("lo"), F.col("at").alias("hi"), F.col("right_half").alias("h")),
                      F.struct((F.col("at") + base - full).alias("lo"), (F.col("at") + base - half).alias("hi"), F.col("left_half").alias("h")))).alias("x"))
                  .select("key", "t1", "x.*").filter("h IS NOT NULL"), "halves")
-    halves = again.join(shared(again, "h").select("h"), "h", "left_semi")
+    halves = _repeated(again, "h")
     ranges = halves.groupBy("key", "t1").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     # whole copies of a text with a smaller key need no windows; the first copy stands for them
     one = known.join(first, ["t1", "t2"]).filter("key = first_key").select("key", "t1").distinct()
