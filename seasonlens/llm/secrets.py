@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, types as T
 from seasonlens.llm.store import map_texts, set_aside
 
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "jwt", "key")
+KINDS = (*BASE, "jwt", "key", "jwe")
 _FLAGS = re.IGNORECASE | re.ASCII
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
@@ -33,15 +33,23 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a whole run: the match starts where the run does
 #: Any three parts as long as the shortest header with an algorithm, payload and signature; what they decode to decides.
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]{22,}+)(?!\.[A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])++)-----END \1-----")
-_UNPEM = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
+#: Five parts: header, wrapped key (may be empty), vector, content, tag.
+_JWE = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{14,}+)\.([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]{16,22}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]{22,}+)(?!\.[A-Za-z0-9_-])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:[\s>]|\\+[nr])*+[A-Z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+)"
+                  r"((?:[A-Za-z0-9+/=\s>]|\\+[nrt/])++)-----END \1-----")
+_UNPEM = re.compile(r"\\+[nrt]|\\+(?=/)|[\s>]+")
+_SEALED = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])")
+_BASE64URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{56,}+={0,2}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{56,}={0,2}")
 _BREAK = r"[ \t]*+(?:\r\n?|\n|(?:\\+r)?\\+n)[ \t]*+"
 #: Lines of base64; where a key begins and ends among them, its own lengths tell.
 _WRAPPED = re.compile(rf"[A-Za-z0-9+/]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/]++)++={{0,2}}")
 _LINE = re.compile(rf"([A-Za-z0-9+/]+)={{0,2}}(?:{_BREAK})?")
-_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){48,}(?![0-9A-Fa-f])")
+_HEXKEY = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{2}}(?::?+(?:{_BREAK})?+[0-9A-Fa-f]{{2}}){{47,}}+(?![0-9A-Fa-f])")
+_DIGIT = re.compile(r"[0-9A-Fa-f]")
 _SSH = b"openssh-key-v1\0"
+# Object identifiers (DER) of the password-based encryption schemes of PKCS#5 and PKCS#12 begin so.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _elements(b: bytes) -> list[tuple[int, bytes]] | None:
@@ -66,18 +74,27 @@ def _elements(b: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_private_key(b: bytes) -> bool:
-    """DER (PKCS#1, SEC 1, PKCS#8) or an OpenSSH container, by nested lengths and fields."""
+    """DER (PKCS#1, DSA, SEC 1, PKCS#8) or an OpenSSH container, by nested lengths and fields."""
     if b.startswith(_SSH):
         return _is_openssh(b[len(_SSH):])
     top = _elements(b)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     body = _elements(top[0][1])
-    if not body or body[0][0] != 0x02 or len(body) < 2:
+    if not body or len(body) < 2:
+        return False
+    if [t for t, _ in body] == [0x30, 0x04]:  # encrypted PKCS#8: a scheme with its parameters, whole cipher blocks
+        scheme = _elements(body[0][1])
+        return (bool(scheme) and [t for t, _ in scheme] == [0x06, 0x30] and scheme[0][1].startswith(_PBE)
+                and bool(_elements(scheme[1][1])) and len(body[1][1]) >= 32 and len(body[1][1]) % 8 == 0)
+    if body[0][0] != 0x02:
         return False
     version, tags = int.from_bytes(body[0][1], "big"), [t for t, _ in body]
     if version == 0 and len(body) >= 9 and tags[:9] == [0x02] * 9:
         return True  # PKCS#1: nine integers
+    if version == 0 and tags == [0x02] * 6:  # DSA: p, q, g, y, x; the exponent is below q, the others below p
+        p, q, g, y, x = (int.from_bytes(v, "big") for _, v in body[1:])
+        return p >> 511 > 0 and q >> 159 > 0 and 0 < x < q < p and 1 < g < p and 1 < y < p and (p - 1) % q == 0
     if version == 1 and tags[1] == 0x04 and 16 <= len(body[1][1]) <= 96 and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return True  # SEC 1: the scalar, then optional parameters
     if version in (0, 1) and tags[1] == 0x30 and len(tags) > 2 and tags[2] == 0x04:
@@ -136,7 +153,7 @@ def _key_bytes(b: bytes) -> int:
     if len(b) < 6 or b[0] != 0x30:
         return 0
     size = b[1] & 0x7F if b[1] >= 0x80 else 0
-    if size > 4 or b[1] == 0x80 or b[2 + size:3 + size] != b"\x02":  # the version follows
+    if size > 4 or b[1] == 0x80 or b[2 + size:3 + size] not in (b"\x02", b"\x30"):  # the version or a scheme follows
         return 0
     return 2 + size + (int.from_bytes(b[2:2 + size], "big") if size else b[1])
 
@@ -163,6 +180,29 @@ def _wrapped_keys(t: str):
             i = max(stop, i + 1)
 
 
+def _hex_keys(t: str):
+    """(start, end) of private keys in hexadecimal text, from the start of a line to where their lengths end."""
+    for m in _HEXKEY.finditer(t):
+        at = [x.start() for x in _DIGIT.finditer(t, m.start(), m.end())]
+        value = lambda a, b: bytes.fromhex("".join(t[j] for j in at[a:b]))
+        # a line begins, or a key ends, where more than a colon stands between two digits
+        breaks = {j for j in range(1, len(at)) if at[j] - at[j - 1] > 1 and t[at[j - 1] + 1:at[j]] != ":"} | {0, len(at)}
+        done = 0
+        for i in sorted(breaks):
+            if i < done or i + 96 > len(at) or (t[at[i]] + t[at[i + 1]]).lower() not in ("30", "6f"):
+                continue
+            n = _key_bytes(value(i, i + 16) if t[at[i]] == "3" else value(i, len(at) - (len(at) - i) % 2))
+            if n and i + 2 * n in breaks and is_private_key(value(i, i + 2 * n)):
+                done = i + 2 * n
+                yield at[i], at[done - 1] + 1
+
+
+def _sealed(head: str, raw: bytes) -> bool:
+    """An encrypted PEM body: its header names a vector, and it is whole blocks of the vector's length."""
+    m = _SEALED.search(head)
+    return bool(m) and "ENCRYPTED" in head and len(raw) >= 48 and len(raw) % (len(m[1]) // 2) == 0
+
+
 def scan_text(t: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of one text, by start, then kind in the order of KINDS."""
     out = []
@@ -176,19 +216,24 @@ def scan_text(t: str) -> list[tuple[int, int, str]]:
         head = _object(m[1])
         if head is not None and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (len(_decode64(m[3], url=True) or b"") >= 16):
             out.append((m.start(), m.end(), "jwt"))
+    for m in _JWE.finditer(t):
+        head, size = _object(m[1]), [len(_decode64(m[i], url=True) or b"") for i in (3, 5)]
+        if head is not None and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str) and size[0] in (12, 16) and size[1] in (16, 24, 32):
+            out.append((m.start(), m.end(), "jwe"))
     taken = []
     if "PRIVATE KEY-----" in t:
         for m in _PEM.finditer(t):
-            raw = _decode64(_UNPEM.sub("", m[2]))
-            if raw and is_private_key(raw):
+            raw = _decode64(_UNPEM.sub("", m[3]))
+            if raw and (is_private_key(raw) or _sealed(m[2], raw)):
                 taken.append((m.start(), m.end()))
-    for rx, decode in ((_BASE64, _decode64), (_HEXKEY, bytes.fromhex)):
+    for rx, url in ((_BASE64, False), (_BASE64URL, True)):
         for m in rx.finditer(t):
-            if any(a <= m.start() < b for a, b in taken):
+            if any(a < m.end() and m.start() < b for a, b in taken):
                 continue
-            raw = decode(m[0])
+            raw = _decode64(m[0], url)
             if raw and is_private_key(raw):
                 taken.append((m.start(), m.end()))
+    taken += [s for s in _hex_keys(t) if not any(s[0] < b and a < s[1] for a, b in taken)]
     taken += [s for s in _wrapped_keys(t) if not any(s[0] < b and a < s[1] for a, b in taken)]
     out += [(a, b, "key") for a, b in taken]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))

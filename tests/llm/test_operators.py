@@ -355,6 +355,45 @@ def test_confirmed_secrets_in_sentences_escapes_and_wrapped_lines():
     assert confirmed(b64(RSA) + "\nNext") == [b64(RSA)]
 
 
+def test_more_key_encodings_are_confirmed_and_near_misses_are_not():
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+    found = lambda t: [(k, t[a:b]) for a, b, k in S.scan_text(t) if k not in S.BASE]
+    oid = lambda h, params: der(0x30, der(6, bytes.fromhex(h)) + params)
+    pbes2 = oid("2a864886f70d01050d", der(0x30, oid("2a864886f70d01050c", der(0x30, der(4, bytes(8)) + whole(2048)))
+                                          + oid("60864801650304012a", der(4, bytes(16)))))
+    secret = random.Random(5).randbytes(96)
+    sealed = der(0x30, pbes2 + der(4, secret))
+    q = (1 << 160) - 47
+    dsa = der(0x30, b"".join(map(whole, (0, q * (1 << 400) + 1, q, 12345, 67890, 424242))))
+    for key in (sealed, dsa):
+        assert S.is_private_key(key) and found(f"k {b64(key)} e") == [("key", b64(key))]
+    lines = "\n".join(re.findall(".{1,48}", b64(sealed)))
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{lines}\n-----END ENCRYPTED PRIVATE KEY-----"
+    quoted = pem.replace("\n", "\n> ")
+    assert found(f"x {pem} y") == [("key", pem)] and found(f"> {quoted}\n> bye") == [("key", quoted)]
+    assert not S.is_private_key(der(0x30, oid("2a864886f70d010101", der(5, b"")) + der(4, secret))), "a scheme that encrypts nothing"
+    assert not S.is_private_key(der(0x30, pbes2 + der(4, secret[:95]))) and not S.is_private_key(der(0x30, pbes2 + der(3, secret)))
+    assert not S.is_private_key(der(0x30, b"".join(map(whole, (0, 1, 2, 3, 4, 5))))), "six integers that are no key"
+    old = lambda head, body: f"-----BEGIN RSA PRIVATE KEY-----\n{head}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF"
+    assert found(old(head, b64(secret))) == [("key", old(head, b64(secret)))]
+    assert found(old(head, b64(secret[:90]))) == [] and found(old("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011", b64(secret))) == []
+    rare = next(k for i in range(99) if re.search("[-_]", url(k := der(0x30, whole(1) + der(4, random.Random(i).randbytes(48))))))
+    assert found(f"k {url(rare)} e") == [("key", url(rare))] and found(f"k {url(rare)}AAAA e") == []
+    pairs = re.findall("..", RSA.hex())
+    for gap, k in ((":", 1), ("\n", 16), (":\n    ", 1), ("\\n", 20)):
+        t = gap.join(RSA.hex()[i:i + 2 * k] for i in range(0, 2 * len(pairs), 2 * k))
+        assert found(f"key {t} end") == [("key", t)] and found(f"key {t[:-2]} end") == []
+    block = "\n".join(re.findall(".{1,32}", RSA.hex()))
+    assert found(f"{'ab' * 20}\n{block}\n{'cd' * 8}") == [("key", block)] and found(RSA.hex() + "00") == []
+    parts = [url(b'{"alg":"dir","enc":"A256GCM"}'), "", url(bytes(12)), url(bytes(5)), url(bytes(16))]
+    assert found(f"see {'.'.join(parts)}.") == [("jwe", ".".join(parts))]
+    for i, bad in ((0, url(b'{"alg":"dir","zip":"DEF"}')), (2, url(bytes(14))), (4, url(bytes(17)))):
+        assert found(".".join(parts[:i] + [bad] + parts[i + 1:])) == []
+    assert found(".".join([*parts, "AAAA"])) == []
+
+
 def test_base_secrets_equal_the_patterns():
     rx = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
           "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
