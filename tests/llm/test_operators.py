@@ -436,6 +436,31 @@ def test_pages_without_an_article_keep_their_unique_runs(spark):
     assert got == {i: f"Story {i} has words that only occur here number {i * 7}." for i in range(4)} | {9: "A&B one two three four", 10: "in"}
 
 
+def test_containers_hold_half_and_names_in_doubt_are_settled_by_repeats(spark):
+    own = lambda i, n=40: " ".join(f"w{i}x{j}" for j in range(n))
+    share = " ".join(f"s{j}" for j in range(12))
+    art = lambda i, more: f"<nav>menu</nav><article><p>{own(i)}</p>{more}</article>"
+    cases = {
+        1: (f'<p>{own(1)}</p><span class="post-date">3 May</span>', f"{own(1)} 3 May"),
+        2: (f'<article class="teaser">Read this next</article><p>{own(2)}</p>', f"Read this next {own(2)}"),
+        3: (art(3, f'<section id="related-work"><h2>Related work</h2><p>{own(33)}</p></section>'), f"{own(3)} Related work {own(33)}"),
+        4: (art(4, f'<section id="discussion"><p>{own(44)}</p></section>'), f"{own(4)} {own(44)}"),
+        5: (art(5, f'<p class="alert-level">{own(55)}</p>'), f"{own(5)} {own(55)}"),
+        6: (art(6, f'<div class="share-this">{share}</div>'), own(6)),  # in doubt and repeated
+        7: (art(7, f'<div class="share-this">{share}</div><p>{own(77)}</p>'), f"{own(7)} {own(77)}"),
+        8: (art(8, '<div id="related"><a href="/a">One</a> <a href="/b">Two</a> of</div>'), own(8)),  # in doubt, mostly links
+        9: (art(9, '<div class="comment-list"><p>nice</p></div><div class="ad-slot">buy</div><div id="cookieNotice">ok</div>'), own(9)),
+        10: (art(10, f"<p>{own(0)}</p>"), f"{own(10)} {own(0)}"),  # a passage that articles share
+        11: (art(11, f"<p>{own(0)}</p>"), f"{own(11)} {own(0)}"),
+        12: (f"<main><p>{own(12, 9)}</p></main><div>{own(13)}</div>", own(12, 9)),  # half of the words that no page repeats
+        13: (f"<main><p>{own(14, 9)}</p></main><div>{own(13)}</div>", own(14, 9)),
+    }
+    pages = spark.createDataFrame([(i, "http://a/", h) for i, (h, _) in cases.items()], "page_id long, url string, html string")
+    for size in (H.GROUP_BYTES, 500):
+        got = {r.page_id: r.text for r in H.extract(pages, group_bytes=size).collect()}
+        assert got == {i: t for i, (_, t) in cases.items()}, size
+
+
 def test_a_host_in_groups_loses_what_a_host_in_one_group_loses(spark):
     rng = random.Random(4)
     own = lambda i: " ".join(f"o{i}x{j}" for j in range(30))
