@@ -33,6 +33,8 @@ CONFIDENCE = 0.99
 SAMPLE = 65_536
 CELL_ROWS = 2048
 MAX_CELLS = 4096
+#: Coordinates of (query, cell) distances that a task holds at a time, 32 MB of doubles: queries pass in slices.
+REACH_AT_ONCE = 1 << 22
 STEP = 256
 TASK_ROWS = 8192
 TASK_QUERIES = 2048
@@ -190,7 +192,8 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     def visits_of(home: bool):
         """(query, cell) rows; home: the own cell, without a bound; else the other cells within reach."""
         def visit(batches):
-            for b in placed(True)(batches):
+            step = max(1, REACH_AT_ONCE // max(1, lo.size))
+            for b in (b.slice(i, step) for b in placed(True)(batches) for i in range(0, b.num_rows, step)):
                 p = _matrix(b.column(b.schema.names.index("place")))
                 mine = shared.value.cell(p)
                 reach = (np.maximum(np.maximum(lo - p[:, None], p[:, None] - hi), 0) ** 2).sum(axis=2)

@@ -355,6 +355,21 @@ def test_confirmed_secrets_in_sentences_escapes_and_wrapped_lines():
     assert confirmed(b64(RSA) + "\nNext") == [b64(RSA)]
 
 
+def test_neighbours_of_isotropic_vectors_with_queries_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(N, "REACH_AT_ONCE", 1000)  # a few queries at a time
+    x = np.random.default_rng(8).standard_normal((2000, 64))
+    found = N.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), k=10, cell_rows=128)
+    got = collections.defaultdict(set)
+    for r in found.collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:10].tolist()))
+    assert len(got) == 100 and hit / 1000 >= .9
+
+
 def test_more_key_encodings_are_confirmed_and_near_misses_are_not():
     b64 = lambda b: base64.b64encode(b).decode()
     url = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
