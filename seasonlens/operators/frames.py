@@ -1,6 +1,7 @@
 """Time frames: dense spines, dekad bucketing, season-relative global dekads, run lengths."""
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,17 +11,23 @@ from seasonlens.functions.dekads import DEKADS, date_to_dekad, dekad_start, fixe
 PX = ("px_id",)
 
 
+def each(rows: DataFrame, name: str, first: int, last: int) -> DataFrame:
+    """Every row once for each number first..last (a fixed list).  A join to the list and not an explode, of which the planner takes
+    the result to be as small as the rows before it: a later join would broadcast it, however long it is."""
+    values = rows.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias(name))
+    return rows.crossJoin(F.broadcast(values))
+
+
 def day_spine(pixels: DataFrame, first: str, last: str, keys: Sequence[str] = PX) -> DataFrame:
     """One row per pixel and day."""
-    days = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    return pixels.select(*keys, days.alias("d"))
+    days = (dt.date.fromisoformat(last) - dt.date.fromisoformat(first)).days
+    return each(pixels.select(*keys), "_day", 0, days).select(
+        *keys, F.date_add(F.lit(first).cast("date"), F.col("_day")).alias("d"))
 
 
 def dekad_spine(pixels: DataFrame, years: Sequence[int], keys: Sequence[str] = PX) -> DataFrame:
     """One row per pixel, year and dekad."""
-    return pixels.select(
-        *keys, F.explode(F.sequence(F.lit(min(years)), F.lit(max(years)))).alias("year")
-    ).select("*", F.explode(F.sequence(F.lit(1), F.lit(DEKADS))).alias("dekad"))
+    return each(each(pixels.select(*keys), "year", min(years), max(years)), "dekad", 1, DEKADS)
 
 
 def densify(rows: DataFrame, spine: DataFrame, on: Sequence[str], fill: dict | None = None) -> DataFrame:
@@ -173,7 +180,7 @@ def salted_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str =
     dealt over ``salts`` sub-keys and the table is repeated for each."""
     if salts <= 1:
         return rows.join(table, list(on), how)
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = each(table, "_salt", 0, salts - 1)
     rest = [F.col(c) for c in rows.columns]
     mine = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-    return mine.join(spread, [*on, "_salt"], how).drop("_salt")
+    return mine.join(copies, [*on, "_salt"], how).drop("_salt")
