@@ -1,6 +1,7 @@
 """Steps that make many rows of few: how the planner sees them, and over how many tasks they run."""
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from seasonlens.operators import frames as FR
@@ -29,3 +30,11 @@ def test_salted_copies_are_not_taken_for_one_small_table(spark):
         assert "BroadcastHashJoin" not in plan(FR.salted_join(rows, table, ["k"], "left"))
         out = FR.salted_join(rows, table, ["k"], "left")
         assert out.columns == ["k", "x", "v"] and out.count() == 20_000 and out.filter("v = 2 * k").count() == 20_000
+
+
+@pytest.mark.parametrize("query", ["fuse5_unbiased_prediction", "fuse8_calibrated_fill"])
+def test_cells_by_dekad_are_not_broadcast(spark, query):
+    from crosscheck import load
+    with static_plan(spark, 30_000) as plan:
+        joins = [l for l in plan(load()[0][query](spark, SF)).splitlines() if "BroadcastHashJoin" in l and "px_id" in l and "Inner" in l]
+    assert not joins
