@@ -11,6 +11,12 @@ from seasonlens.functions.dekads import DEKADS, date_to_dekad, dekad_start, fixe
 PX = ("px_id",)
 
 
+def spread(rows: DataFrame, keys: Sequence[str] = PX) -> DataFrame:
+    """Rows dealt by key over ``spark.sql.shuffle.partitions`` tasks, a number that adaptive planning keeps: ahead of a
+    step that makes many rows of each.  A small file is one task, and so would be all that it grows to."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def each(rows: DataFrame, name: str, first: int, last: int) -> DataFrame:
     """Every row once for each number first..last (a fixed list).  A join to the list and not an explode, of which the planner takes
     the result to be as small as the rows before it: a later join would broadcast it, however long it is."""
@@ -21,13 +27,13 @@ def each(rows: DataFrame, name: str, first: int, last: int) -> DataFrame:
 def day_spine(pixels: DataFrame, first: str, last: str, keys: Sequence[str] = PX) -> DataFrame:
     """One row per pixel and day."""
     days = (dt.date.fromisoformat(last) - dt.date.fromisoformat(first)).days
-    return each(pixels.select(*keys), "_day", 0, days).select(
+    return each(spread(pixels.select(*keys), keys), "_day", 0, days).select(
         *keys, F.date_add(F.lit(first).cast("date"), F.col("_day")).alias("d"))
 
 
 def dekad_spine(pixels: DataFrame, years: Sequence[int], keys: Sequence[str] = PX) -> DataFrame:
     """One row per pixel, year and dekad."""
-    return each(each(pixels.select(*keys), "year", min(years), max(years)), "dekad", 1, DEKADS)
+    return each(each(spread(pixels.select(*keys), keys), "year", min(years), max(years)), "dekad", 1, DEKADS)
 
 
 def densify(rows: DataFrame, spine: DataFrame, on: Sequence[str], fill: dict | None = None) -> DataFrame:

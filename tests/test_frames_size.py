@@ -38,3 +38,12 @@ def test_cells_by_dekad_are_not_broadcast(spark, query):
     with static_plan(spark, 30_000) as plan:
         joins = [l for l in plan(load()[0][query](spark, SF)).splitlines() if "BroadcastHashJoin" in l and "px_id" in l and "Inner" in l]
     assert not joins
+
+
+def test_spines_leave_the_task_of_their_file(spark):
+    px = spark.range(500).coalesce(1).select(F.col("id").alias("px_id"))
+    for spine, n in ((FR.day_spine(px, "1995-01-30", "1995-03-02"), 32), (FR.dekad_spine(px, range(1995, 1997)), 72)):
+        assert spine.count() == 500 * n and spine.distinct().count() == 500 * n
+        assert spine.select(F.spark_partition_id().alias("t")).distinct().count() > 1
+    days = FR.day_spine(px, "1995-01-30", "1995-03-02").agg(F.min("d"), F.max("d")).first()
+    assert [str(d) for d in days] == ["1995-01-30", "1995-03-02"]
