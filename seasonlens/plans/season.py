@@ -136,9 +136,11 @@ def calendar_products(climate: DataFrame, zones: DataFrame, calendar: DataFrame,
     calendar: rows of ``sources.calendars``; crops: ``crop_table``; zones: px_id, country; mask: px_id, product,
     classification.  Windows and crop parameters are columns, so a product is a row and not a plan; a pixel's
     dekads are gathered once for all its products: only of pixels with a product, and only from the calendar's first
-    to its last dekad (the calendar is read for these two numbers).
+    to its last dekad (the calendar is read for these two numbers).  Calendar rows that say the same are computed once
+    and count as often as they occur, so the work follows the pixels and a country's different products.
     """
-    cal = CA.with_windows(CA.viable_products(calendar)).withColumn("_crop", F.lower("crop")).drop("crop")
+    same = ("country", "_crop", "season", "sos_start", "sos_end", "win_start", "win_end")
+    cal = CA.with_windows(CA.viable_products(calendar)).withColumn("_crop", F.lower("crop")).groupBy(*same).agg(F.count(F.lit(1)).alias("_times"))
     cal = cal.join(crops.withColumnRenamed("crop", "_crop"), "_crop")
     px = zones.select("px_id", "country").join(cal, "country")
     if mask is not None:
@@ -156,9 +158,9 @@ def calendar_products(climate: DataFrame, zones: DataFrame, calendar: DataFrame,
     starts = F.filter("_w", lambda x, i: O.rains_start(x["p"], after(i, 1)["p"], after(i, 2)["p"], x["et0"]) & (after(i, 2)["gd"] == x["gd"] + 2))
     rows = rows.withColumn("planting", F.get(starts, F.lit(0))["gd"])
     px = B.add_water_balance(B.with_capacity(rows, whc), c, (lo, hi))
-    on = F.col("planting").isNotNull()
+    on, times = F.col("planting").isNotNull(), F.max("_times")  # one number per group: averages need no weight
     return px.groupBy("country", F.col("_crop").alias("crop"), "season", "sos_start", "sos_end", "win_start", "win_end").agg(
-        F.count(F.lit(1)).alias("n_seasons"), F.count("planting").alias("n_onset"), F.sum("complete").alias("n_complete"),
+        (F.count(F.lit(1)) * times).alias("n_seasons"), (F.count("planting") * times).alias("n_onset"), (F.sum("complete") * times).alias("n_complete"),
         F.avg("planting").alias("mean_onset"), F.avg(F.when(on, F.col("planting").between(F.col("win_start"), F.col("win_end")).cast("int"))).alias("hit_rate"),
         F.avg(F.when(on, F.col("wrsi"))).alias("mean_wrsi"),
         (F.avg(F.when(on & F.col("wrsi").isNotNull(), (F.col("wrsi") < 50).cast("int"))) * 100).alias("fail_pct"))

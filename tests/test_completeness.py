@@ -256,3 +256,19 @@ def test_calendar_plan_gathers_masked_pixels_and_calendar_dekads_only(spark, tmp
     logical = got._jdf.queryExecution().optimizedPlan().toString()
     gather = logical[logical.index("collect_"):]
     assert "LeftSemi" in gather[:gather.index("Relation")], "the pixels' semi-join stands under the gather"
+
+
+def test_equal_calendar_rows_are_computed_once_and_counted(spark, monkeypatch):
+    from seasonlens.plans import season as P
+    from seasonlens.sources import calendars as CA
+    climate = spark.createDataFrame([(px, 1999, k, 30.0, 40.0) for px in (1, 2) for k in range(1, 37)], "px_id long, year int, dekad int, p double, et0 double")
+    zones = spark.createDataFrame([(1, "K"), (2, "K")], "px_id long, country string")
+    row = ("K", "maize", "Long", "High", "Mar-d1-Apr-d3", "Mar-d1-May-d1")
+    seen, add = [], P.B.add_water_balance
+    monkeypatch.setattr(P.B, "add_water_balance", lambda rows, *a: seen.append(rows.count()) or add(rows, *a))
+    run = lambda n: P.calendar_products(climate, zones, spark.createDataFrame([row] * n, CA.CALENDAR_SCHEMA), CA.crop_table(spark)).first().asDict()
+    one, three = run(1), run(3)
+    counts = ("n_seasons", "n_onset", "n_complete")
+    assert [three[c] for c in counts] == [3 * one[c] for c in counts] and one["n_onset"] == 2
+    assert {k: v for k, v in one.items() if k not in counts} == {k: v for k, v in three.items() if k not in counts}
+    assert seen == [2, 2]
