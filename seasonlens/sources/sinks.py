@@ -1,6 +1,7 @@
 """Output shapes: integer rasters, WKT tables, nested documents, band renaming."""
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -74,18 +75,28 @@ def attach_geometry(rows: DataFrame, zones: DataFrame, level: int) -> DataFrame:
     return rows.join(zones.filter(F.col("level") == level).select(*keys, F.col("wkt").alias("geometry_wkt")), list(keys))
 
 
+def _json_number(x: Column) -> Column:
+    """A number as JSON text to three decimals, without an exponent at any size (text of a double has one from 1e7 on); NULL and NaN are null."""
+    v = F.round(F.nanvl(x.cast("double"), F.lit(None).cast("double")), 3)
+    plain = F.regexp_replace(v.try_cast("decimal(38,3)").cast("string"), r"(\.\d+?)0+$", "$1")
+    finite = F.abs(v) < F.lit(float("inf"))
+    return F.coalesce(F.when(finite, F.coalesce(plain, v.cast("string"))), F.when(~finite, F.concat(F.lit('"'), v.cast("string"), F.lit('"'))), F.lit("null"))
+
+
 def product_documents(rows: DataFrame, attrs: dict[str, str]) -> DataFrame:
     """One JSON line per product and level: {"id", "level", "units": [{n, p, c, a: {...}}]}.
 
     ``attrs`` maps column -> short key.  NaN becomes null and numbers keep three decimals.  A level
     has as many units as the admin table has rows, which is bounded by geography, not by pixels.
     """
-    val = lambda c: F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 3)
-    a = F.struct(*[val(c).alias(k) for c, k in attrs.items()])
-    unit = F.struct(F.col("name").alias("n"), F.coalesce("county", F.lit("")).alias("p"),
-                    F.when(F.col("level") == 3, F.coalesce("constituency", F.lit(""))).otherwise("").alias("c"), a.alias("a"))
-    doc = F.to_json(F.struct("product", "level", F.array_sort(F.collect_list(unit), _by_name).alias("units")),
-                    {"ignoreNullFields": "false"})
+    keep = {"ignoreNullFields": "false"}
+    named = F.struct(F.col("name").alias("n"), F.coalesce("county", F.lit("")).alias("p"),
+                     F.when(F.col("level") == 3, F.coalesce("constituency", F.lit(""))).otherwise("").alias("c"))
+    inner = F.concat_ws(",", *[F.concat(F.lit(json.dumps(k, ensure_ascii=False) + ":"), _json_number(F.col(c))) for c, k in attrs.items()])
+    opened = lambda s: F.regexp_replace(F.to_json(s, keep), r"\}$", "")  # to be continued
+    unit = F.struct(named.alias("u"), F.concat(opened(named), F.lit(',"a":{'), inner, F.lit("}}")).alias("t"))
+    units = F.transform(F.array_sort(F.collect_list(unit), lambda x, y: _by_name(x["u"], y["u"])), lambda u: u["t"])
+    doc = F.concat(opened(F.struct("product", "level")), F.lit(',"units":['), F.concat_ws(",", units), F.lit("]}"))
     return rows.groupBy("product", "level").agg(doc.alias("doc"))
 
 

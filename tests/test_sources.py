@@ -121,3 +121,16 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
         sparkContext = type("C", (), {"master": "spark://host:7077"})
     with pytest.raises(ValueError):
         TB.shared_dir(Session)
+
+
+def test_large_numbers_of_a_document_have_no_exponent(spark):
+    import json
+
+    from seasonlens.sources import sinks as SK
+    vals = [("a", 19283746.5), ("b", 12.0), ("c", 0.25), ("d", float("nan")), ("e", None), ("f", -1234567890123.0), ("g", 10.0), ('h"}', 1.0004), ("i", 1e8), ("j", 1e20)]
+    rows = spark.createDataFrame([(1999, 1, n, None, None, v) for n, v in vals], "product int, level int, name string, county string, constituency string, v double")
+    doc, = [r["doc"] for r in SK.product_documents(rows, {"v": "x"}).collect()]
+    assert doc.startswith('{"product":1999,"level":1,"units":[{"n":"a","p":"","c":"","a":{"x":19283746.5}},')
+    texts = [u.split('"x":')[1].split("}")[0] for u in doc.split('"a":{')[1:]]
+    assert texts == ["19283746.5", "12.0", "0.25", "null", "null", "-1234567890123.0", "10.0", "1.0", "100000000.0", "100000000000000000000.0"]
+    assert [u["n"] for u in json.loads(doc)["units"]] == [n for n, _ in vals]
