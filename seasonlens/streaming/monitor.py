@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,8 +21,11 @@ OUT = ("px_id long, year int, gd int, sw double, wrsi double, wrsi_class int, pr
 STATE = "gd int, sw double, aet double, wr double, wclass int"
 
 
+CLASS_FROM = (50.0, 60.0, 80.0, 95.0)
+
+
 def _class(w: float) -> int:
-    return 1 if w < 50 else 2 if w < 60 else 3 if w < 80 else 4 if w < 95 else 5
+    return 1 + bisect_right(CLASS_FROM, w)
 
 
 class BucketProcessor(StatefulProcessor):
@@ -95,7 +100,10 @@ def monitor(rows: DataFrame, p: CropParams, span: tuple[int, int], soil: SoilCon
 
 # ---- dekads in any order ------------------------------------------------------------------------
 REVISED = OUT.replace(", late int, gap int", ", version int, gap int")
-HELD = "p double, wr_in double, whc double, sw double, aet double, wr double, wclass int, version int"
+BLOCK = 256  # pixels of consecutive ids whose seasons of one year are folded together
+HELD = np.dtype([("px", "<i8"), ("p", "<f8"), ("wr_in", "<f8"), ("whc", "<f8"), ("sw", "<f8"), ("aet", "<f8"), ("wr", "<f8"),
+                 ("wclass", "<i4"), ("version", "<i4"), ("here", "?"), ("reached", "?")])
+INPUT = {"p": "p", "wr_in": "wr", "whc": "whc_mm"}
 
 
 def season_end(year: int, last_gd: int) -> dt.datetime:
@@ -106,9 +114,10 @@ def season_end(year: int, last_gd: int) -> dt.datetime:
 
 
 class ReplayProcessor(StatefulProcessor):
-    """The same recurrence for dekads in any order: the state holds each dekad's input and, once reached, a snapshot behind it.
+    """The same recurrence for dekads in any order, over a block of pixels at once: the state holds, by dekad, the inputs of the
+    block's pixels and, once reached, a snapshot behind each.
 
-    A late or corrected dekad folds again from the snapshot before it, and every dekad it changes is put out anew with a
+    A late or corrected dekad folds its pixel again from the snapshot before it, and every dekad it changes is put out anew with a
     higher ``version``; dekads beyond a missing one wait.  A timer at the season's end, on event time, puts
     what still waits out as masked (the first of them with ``gap = 1``) and forgets the season: what the watermark
     lets in by then counts, in whatever order it came.  Of several rows of one dekad in one batch the last counts.
@@ -119,59 +128,80 @@ class ReplayProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._dekads = handle.getMapState("dekads", "gd int", HELD)
-
-    def _held(self) -> dict[int, list]:
-        return {k[0]: list(v) for k, v in self._dekads.iterator()}
+        self._dekads = handle.getMapState("dekads", "gd int", "pixels binary")
+
+    def _held(self, more: np.ndarray) -> tuple[np.ndarray, bool]:
+        """(dekads x pixels that are held or in ``more``; whether any were held)."""
+        held = {k[0] - self._first: np.frombuffer(v[0], HELD) for k, v in self._dekads.iterator()}
+        px = np.unique(np.concatenate([more, *(h["px"] for h in held.values())]))
+        table = np.zeros((self._last - self._first + 1, len(px)), HELD)
+        table["px"] = px
+        for g, h in held.items():
+            table[g, np.searchsorted(px, h["px"])] = h
+        return table, bool(held)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        px, year = key
-        held = self._held()
-        if not held:
+        _, year = key
+        new = pd.concat(list(rows)).drop_duplicates(["px_id", "gd"], keep="last")
+        px, g = new["px_id"].to_numpy(np.int64), new["gd"].to_numpy(np.int64) - self._first
+        held, known = self._held(px)
+        if not known:
             self._handle.registerTimer(int(season_end(int(year), self._last).timestamp() * 1000))
-        changed = []
-        for r in pd.concat(list(rows)).sort_values("gd", kind="stable").itertuples():
-            given, old = [float(r.p), float(r.wr), float(r.whc_mm)], held.get(int(r.gd))
-            if old is None or [str(x) for x in old[:3]] != [str(x) for x in given]:  # as text: NaN equals itself
-                held[int(r.gd)] = [*given, *(old[3:] if old else [None, None, None, None, 0])]
-                changed.append(int(r.gd))
-        out = []
-        if changed:
-            gd = min(changed)
-            before = held.get(gd - 1)
-            if gd == self._first or before is not None and before[3] is not None:
-                while gd in held:
-                    out += self._step(px, year, gd, held)
-                    self._dekads.updateValue((gd,), tuple(held[gd]))
-                    gd += 1
-            for k in changed:
-                self._dekads.updateValue((k,), tuple(held[k]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REVISED.split(", ")])
-
-    def _step(self, px, year, gd: int, held: dict[int, list]) -> list[tuple]:
-        p, need, whc, *_, version = held[gd]
-        sw, aet, wr, cls = held[gd - 1][3:7] if gd > self._first else (whc * self._frac, 0.0, 0.0, 0)
-        if math.isnan(p + need + whc):
-            sw = aet = wr = math.nan
-        else:
-            got = min(sw + p, need)
-            sw, aet, wr = max(min(sw + p - got, whc), 0.0), aet + got, wr + need
-        if wr <= 0:
-            held[gd][3:] = [sw, aet, wr, cls, version]
-            return []
-        wrsi = aet / max(wr, 1e-6) * 100
-        known = not math.isnan(wrsi)
-        new = _class(wrsi) if known else cls
-        held[gd][3:] = [sw, aet, wr, new, version + 1]
-        return [(px, year, gd, sw if known else None, wrsi if known else None, new if known else None, cls, int(known and new != cls), version + 1, 0)]
+        i = np.searchsorted(held["px"][0], px)
+        old, given = held[g, i], {c: new[name].to_numpy(np.float64) for c, name in INPUT.items()}
+        same = old["here"].copy()
+        for c, v in given.items():
+            same &= (old[c] == v) | np.isnan(old[c]) & np.isnan(v)
+        g, i = g[~same], i[~same]
+        for c, v in given.items():
+            held[c][g, i] = v[~same]
+        held["here"][g, i] = True
+        changed = np.zeros(held.shape, bool)
+        changed[g, i] = True
+        start = np.where(changed.any(axis=0), changed.argmax(axis=0), len(held))
+        out, go = [], np.zeros(held.shape[1], bool)
+        for k in range(start.min(initial=len(held)), len(held)):
+            first = (start == k) & (held["reached"][k - 1] if k else True)
+            go = (go | first) & held["here"][k]
+            if go.any():
+                out.append(self._step(year, k, held, np.flatnonzero(go)))
+            changed[k] |= go
+        for k in np.flatnonzero(changed.any(axis=1)):
+            self._dekads.updateValue((int(k) + self._first,), (held[k][held["here"][k]].tobytes(),))
+        yield pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in REVISED.split(", ")})
+
+    def _step(self, year: int, k: int, held: np.ndarray, i: np.ndarray) -> pd.DataFrame:
+        """One dekad of the pixels at ``i``: its snapshots, and its rows."""
+        row = held[k, i]
+        p, need, whc = row["p"], row["wr_in"], row["whc"]
+        zero = np.zeros(len(i))
+        sw, aet, wr, cls = (held[c][k - 1, i] for c in ("sw", "aet", "wr", "wclass")) if k else (whc * self._frac, zero, zero, zero.astype(np.int32))
+        mask = np.isnan(p + need + whc)
+        got = np.minimum(sw + p, need)
+        sw, aet, wr = (np.where(mask, np.nan, v) for v in (np.maximum(np.minimum(sw + p - got, whc), 0.0), aet + got, wr + need))
+        shown = ~(wr <= 0)
+        wrsi = aet / np.maximum(wr, 1e-6) * 100
+        known = shown & ~np.isnan(wrsi)
+        new = np.where(known, np.searchsorted(CLASS_FROM, wrsi, side="right") + 1, cls)
+        version = row["version"] + shown
+        for c, v in (("sw", sw), ("aet", aet), ("wr", wr), ("wclass", new), ("version", version), ("reached", True)):
+            held[c][k, i] = v
+        at = lambda v: v[shown]
+        return pd.DataFrame({
+            "px_id": at(row["px"]), "year": year, "gd": k + self._first, "sw": at(np.where(known, sw, np.nan)), "wrsi": at(wrsi),
+            "wrsi_class": pd.array(at(new), "Int32"), "previous_class": at(cls), "alert": at(known & (new != cls)).astype(np.int32),
+            "version": at(version), "gap": 0}).assign(wrsi_class=lambda d: d["wrsi_class"].where(at(known)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        px, year = key
-        held = self._held()
-        waiting = sorted(k for k, v in held.items() if v[3] is None)
-        out = [(px, year, k, None, None, None, 0, 0, held[k][7] + 1, int(k == waiting[0])) for k in waiting]
+        _, year = key
+        held, _ = self._held(np.zeros(0, np.int64))
+        waiting = held["here"] & ~held["reached"]
+        g, i = np.nonzero(waiting)
         self._dekads.clear()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REVISED.split(", ")])
+        none = np.full(len(g), np.nan)
+        yield pd.DataFrame({
+            "px_id": held["px"][g, i], "year": year, "gd": g + self._first, "sw": none, "wrsi": none, "wrsi_class": pd.array([None] * len(g), "Int32"),
+            "previous_class": 0, "alert": 0, "version": held["version"][g, i] + 1, "gap": (g == waiting.argmax(axis=0)[i]).astype(np.int32)})
 
     def close(self) -> None:
         pass
@@ -179,11 +209,13 @@ class ReplayProcessor(StatefulProcessor):
 
 def monitor_any_order(rows: DataFrame, p: CropParams, span: tuple[int, int], lateness: str, soil: SoilConfig = SOIL) -> DataFrame:
     """``monitor`` for dekads that arrive in any order within ``lateness`` of event time (the dekads' own dates).  Read the
-    result with ``newest``.  The state of a season is one row per dekad, at most the span's, until its end."""
+    result with ``newest``.  The state of a season is one row per dekad and ``BLOCK`` of pixel ids, at most the span's, until its end; a
+    batch makes a call per block and year, and reads and writes a state row per dekad it changes, however many pixels the block has.
+    Pixels need an id."""
     rows = rows.filter(F.col("gd").between(*span))
     at = dekad_start(F.col("year"), F.col("gd")).cast("timestamp")
     need = season_demand(rows, p, soil).withColumn("ts", at).withWatermark("ts", lateness)
-    return need.groupBy("px_id", "year").transformWithStateInPandas(
+    return need.withColumn("block", F.floor(F.col("px_id") / BLOCK)).groupBy("block", "year").transformWithStateInPandas(
         statefulProcessor=ReplayProcessor(*span, soil.init_frac), outputStructType=REVISED, outputMode="Append", timeMode="EventTime")
 
 

@@ -142,6 +142,31 @@ def test_dekads_in_any_order_equal_the_ordered_stream(spark, tmp_path):
     assert [(r.gd, r.wrsi, r.gap) for r in ended] == [(g, None, int(g == 21)) for g in range(21, 29)]
 
 
+def test_the_state_of_many_pixels_is_a_row_per_block_and_dekad(spark, tmp_path):
+    pixels = [*range(-3, 0), *range(40), 10_000_000_000]                    # three blocks of ids
+    rows = [(px, 2000, gd, None if px == 7 and gd == 12 else float((gd * (px + 5)) % 7 * 8), 45.0, 8) for px in pixels for gd in range(6, 17)]
+    src, out = (str(tmp_path / n) for n in ("src", "out"))
+    schema = spark.createDataFrame([], DEK).schema
+
+    def run(make, src, out):
+        q = make(R.file_stream(spark, src, schema)).writeStream.outputMode("append").format("parquet").option(
+            "checkpointLocation", out + "-ck").option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    replay = lambda s: M.monitor_any_order(s, MAIZE, (6, 28), "400 days")
+    late = [r for r in rows if r[2] == 9 and r[0] % 3 == 0]
+    put(spark, src, [r for r in rows if r not in late][::-1] + [(5, 2000, 16, 77.0, 45.0, 8), rows[3 * 11 + 5 * 11 + 10]], DEK, 0)
+    assert run(replay, src, out) == 3 * 11                                   # a row for each dekad of 44 pixels would be 484
+    put(spark, src, late, DEK, 1)
+    assert run(replay, src, out) == 3 * 11
+    put(spark, src + "-all", rows, DEK, 0)
+    run(lambda s: M.monitor(s, MAIZE, (6, 28)), src + "-all", out + "-all")
+    cols = ("px_id", "year", "gd", "sw", "wrsi", "wrsi_class", "previous_class")
+    read = lambda df: sorted(map(str, df.select(*cols).collect()))
+    assert read(M.newest(spark.read.parquet(out))) == read(spark.read.parquet(out + "-all"))
+
+
 def test_compaction_keeps_one_version_at_every_point(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     schema = spark.createDataFrame([], OBS).schema
