@@ -6,19 +6,19 @@ or by a class, id or role made of template words alone go.  An element of which
 the suffix array decides.  The token streams of the host's pages are
 concatenated, suffixes are ranked by prefix doubling up to ``RUN`` tokens, runs of that length found on
 ``MIN_PAGES`` distinct pages are boilerplate, and the tokens that no such run covers are kept (as are a few
-words at a block's end that a run only reaches into).
+words at a block's end that a run only reaches into).  Every page goes through it with all its blocks, template and containers included.
 
-An ``article``, else ``main``, else a container named for content is the page's text if it holds half of the words that are
+What follows is a check by markup.  An ``article``, else ``main``, else a container named for content is the page's text if it holds half of the words that are
 left; elsewhere it is one teaser or label among others, and the unique runs of the whole page are the text.  Where it does not hold half
 before repeats are taken out, the share is taken again of the unique words.
 
 Repetition alone cannot do it: passages that articles share must stay, adverts that occur once must go.  So repeats inside
 a container that holds the text stay, but for elements in doubt.
 
-A host's pages are dealt into groups of about ``GROUP_BYTES`` of token streams by a hash of the page, so a task is
+A host's pages are dealt into groups of about ``GROUP_BYTES`` of html by a hash of the page, so a task is
 bounded whatever one host holds.  The groups of a large host emit each of their runs once, as a 64-bit hash with its number
-of pages; the sums over the host, not over the group, decide, and each group is told its repeated runs.  Pages with equal
-streams count as one page, in one group of the host.  Texts that markup settles are not shuffled.
+of pages, packed in as many parts of the hashes as there are groups; the sums over the host, not over the group, decide, and each group is
+told its repeated runs.  Blocks are shuffled compressed, page by page; pages are parsed again for the count rather than stored.  Pages with equal streams count as one page, in one group of the host.
 
 Nulls: NULL html has the text ''; a NULL or unreadable url belongs to the host ''.  Equal rows get equal texts.
 An empty table gives an empty table.
@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonlens.llm.store import map_texts, stored
 from seasonlens.llm.words import signed, windows
-from seasonlens.operators.frames import salted_join
 
 RUN = 8
 MIN_PAGES = 2
@@ -70,7 +69,7 @@ HEAD = frozenset("header".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 OUT, OTHER, NAMED, MAIN, ARTICLE = range(5)
 
@@ -213,19 +212,15 @@ def holder(words: dict[int, int]) -> int:
     return OTHER
 
 
-def settle(found: list[Block]) -> tuple[str | None, list[Block], list[str], int]:
-    """(text of a page without open questions, else None; its open blocks; template blocks; the standing that holds the
-    text, OTHER if that is open)."""
+def in_order(found: list[Block]) -> list[Block]:
+    """A page's blocks as its token stream has them: those of the container that holds half of the words (of all elements that are
+    no template, if none does), then the others."""
     words = Counter()
     for b in found:
         if b.standing != OUT:
             words[b.standing] += len(b.text.split())
-    level = holder(words)
-    within = [b for b in found if b.standing >= max(level, OTHER)]
-    template = [b.text for b in found if b.standing < max(level, OTHER)]
-    if level > OTHER and not any(b.doubt for b in within):
-        return " ".join(b.text for b in within), [], template, level
-    return None, within, template, level
+    level = max(holder(words), OTHER)
+    return sorted(found, key=lambda b: b.standing < level)
 
 
 def repeated(streams: list[np.ndarray], run: int = RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
@@ -287,49 +282,86 @@ def _run_hashes(streams: list[np.ndarray], run: int) -> np.ndarray:
     return np.concatenate([signed(windows(flat, run)), np.zeros(min(run - 1, len(flat)), np.int64)])
 
 
-def _runs_of_group(run: int):
-    """Cogroup of a group's pages and the streams that it counts: each run once, with its number of counted pages."""
+def _pages_of(rows: pa.Table) -> tuple[list[list[str]], list[np.ndarray]]:
+    """Blocks and token streams of pages; each different token is hashed once."""
+    texts = [pa.decompress(p, n, "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else []
+             for p, n in zip(rows["blocks"].to_pylist(), rows["bytes"].to_pylist())]
+    tokens = [[t for b in page for t in b.split()] for page in texts]
+    codes = {t: xxhash.xxh64_intdigest(t) >> 1 for t in set().union(*tokens)}
+    return texts, [np.fromiter(map(codes.__getitem__, page), np.int64, len(page)) for page in tokens]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as compressed differences, their bytes by place."""
+    steps = np.diff(values.view(np.uint64) ^ np.uint64(1 << 63), prepend=np.uint64(0))
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    places = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return (np.cumsum(np.ascontiguousarray(places.T).view(np.uint64).ravel(), dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _runs_of_group(run: int, min_pages: int):
+    """Cogroup of a group's pages and the streams that it counts: each run once, in one row per part of the hashes and number of
+    counted pages (``min_pages`` stands for more, too).  A host has as many parts as groups."""
     def runs(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        out = {"host": [], "deal": [], "part": [], "pages": [], "runs": []}
         mine = set(counted["sh"].to_pylist())
-        streams = [np.array(s, np.int64) for s in rows["stream"].to_pylist()]
+        _, streams = _pages_of(rows)
         lens = np.array([len(s) for s in streams], np.int64)
-        hashes, pages = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if lens.sum():
+            host, deal, parts = (rows[c][0].as_py() for c in ("host", "deal", "n"))
             page, _, rank, order = suffixes(streams, run)
             of = np.repeat(np.array([x in mine for x in rows["sh"].to_pylist()], bool), lens)
-            hashes = np.unique(_run_hashes(streams, run)[order])
+            every = _run_hashes(streams, run)
+            hashes = np.unique(every[order])
             pages = np.zeros(len(hashes), np.int64)
             order = order[of[order]]
             if len(order):
                 group, n = holders(page, rank, order)
                 first = order[np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])]
-                np.add.at(pages, np.searchsorted(hashes, _run_hashes(streams, run)[first]), n.astype(np.int64))
-        one = lambda c, t: pa.array([rows[c][0].as_py()] * len(hashes) if rows.num_rows else [], t)
-        return pa.table({"host": one("host", pa.string()), "deal": one("deal", pa.int64()), "run": pa.array(hashes), "pages": pa.array(pages)})
+                np.add.at(pages, np.searchsorted(hashes, every[first]), n.astype(np.int64))
+            part, pages = np.mod(hashes, parts), np.minimum(pages, min_pages)  # of a hash, part and quotient are kept
+            by = np.lexsort((hashes, pages, part))
+            ends = np.flatnonzero(np.diff(part[by] * (min_pages + 1) + pages[by])) + 1
+            for at in np.split(by, ends) if len(by) else []:
+                for c, v in (("host", host), ("deal", deal), ("part", int(part[at[0]])), ("pages", int(pages[at[0]])), ("runs", packed(hashes[at] // parts))):
+                    out[c].append(v)
+        return pa.table(out, schema=pa.schema([("host", pa.string()), ("deal", pa.int64()), ("part", pa.int64()), ("pages", pa.int64()), ("runs", pa.binary())]))
     return runs
 
 
-def _hash(text: str) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) >> 1 for t in text.split()]
+def _hot_runs(min_pages: int):
+    """Of one part of a host's runs, for each group, those on ``min_pages`` pages of the host."""
+    def hot(rows: pa.Table) -> pa.Table:
+        runs = [unpacked(r) for r in rows["runs"].to_pylist()]
+        flat = np.concatenate(runs)
+        distinct, at = np.unique(flat, return_inverse=True)
+        pages = np.bincount(at, np.repeat(rows["pages"].to_numpy(), [len(r) for r in runs]))
+        repeats = [r[h] for r, h in zip(runs, np.split(pages[at] >= min_pages, np.cumsum([len(r) for r in runs])[:-1]))]
+        some = [i for i, r in enumerate(repeats) if len(r)]
+        kept = rows.select(["host", "deal", "part"]).take(pa.array(some, pa.int64()))
+        return pa.table({"host": kept["host"], "deal": kept["deal"], "part": kept["part"], "runs": pa.array([packed(repeats[i]) for i in some], pa.binary())})
+    return hot
 
 
 def _parse(batches):
+    """Pages with their blocks, one to a line (a block has no line ends), compressed."""
     for batch in batches:
-        texts, open_blocks, marks, levels, streams, hosts = [], [], [], [], [], []
-        for url, page in zip(batch.column(1), batch.column(2)):
-            text, free, template, level = settle(blocks(page.as_py() or ""))
-            m = _HOST.match(url.as_py() or "")
-            hosts.append(m[1].lower() if m else "")
-            texts.append(text if text is not None or free else "")
-            open_blocks.append([b.text for b in free])
-            marks.append([2 * b.standing + bool(b.doubt) for b in free])
-            levels.append(level)
-            streams.append([h for t in [*(b.text for b in free), *template] for h in _hash(t)])
+        packs, sizes, marks, streams = [], [], [], []
+        for page in batch.column("html"):
+            found = in_order(blocks(page.as_py() or ""))
+            text = "\n".join(b.text for b in found).encode("utf-8", "surrogatepass")
+            packs.append(pa.compress(text, "zstd", asbytes=True))
+            sizes.append(len(text))
+            marks.append(bytes(2 * b.standing + bool(b.doubt) for b in found))
+            streams.append(xxhash.xxh64_intdigest(b" ".join(text.split(b"\n"))) - (1 << 63))
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()),
-            pa.array(open_blocks, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int32())), pa.array(levels, pa.int32()),
-            pa.array(streams, pa.list_(pa.int64()))],
-            names=["page_id", "url", "host", "text", "open", "marks", "level", "stream"])
+            *(batch.column(c) for c in ("page_id", "url", "host", "deal", "n")), pa.array(packs, pa.binary()), pa.array(sizes, pa.int64()),
+            pa.array(marks, pa.binary()), pa.array(streams, pa.int64())],
+            names=["page_id", "url", "host", "deal", "n", "blocks", "bytes", "marks", "sh"])
 
 
 def own_runs(covered: np.ndarray, run: int) -> np.ndarray:
@@ -351,51 +383,52 @@ def _told(streams: list[np.ndarray], run: int, hot: np.ndarray) -> list[np.ndarr
     return _covered(whole & np.isin(_run_hashes(streams, run), hot), lens, run)
 
 
-def _kept(texts: list[str], marks: list[int], level: int, covered: np.ndarray, run: int) -> str:
-    """The text of a page from its open blocks and what of their tokens is repeated."""
-    found, words, k = [], Counter(), 0
+def _kept(texts: list[str], marks: bytes, covered: np.ndarray, run: int) -> str:
+    """The text of a page from its blocks and what of their tokens is repeated."""
+    found, words, unique, k = [], Counter(), Counter(), 0
     for text, mark in zip(texts, marks):
         every = text.split()
-        own = [w for w, c in zip(every, own_runs(covered[k:k + len(every)], run)) if not c]
+        own = [w for w, c in zip(every, own_runs(covered[k:k + len(every)], run).tolist()) if not c]
         k += len(every)
-        words[mark // 2] += len(own)
-        found.append((mark // 2, every, own, mark % 2))
-    level = level if level > OTHER else holder(words)
+        if mark // 2 != OUT:
+            words[mark // 2] += len(every)
+            unique[mark // 2] += len(own)
+            found.append((mark // 2, every, own, mark % 2))
+    level = holder(words)
+    level = level if level > OTHER else holder(unique)
     return " ".join(w for s, every, own, doubt in found if s >= level for w in (own if doubt or level == OTHER else every))
 
 
 def _unique_runs(run: int, min_pages: int):
     def group(rows: pa.Table, hot: pa.Table | None = None) -> pa.Table:
-        open_blocks, marks, levels = (rows[c].to_pylist() for c in ("open", "marks", "level"))
-        streams = [np.array(s, np.int64) for s in rows["stream"].to_pylist()]
-        at, texts = [], []
-        for i, covered in enumerate(repeated(streams, run, min_pages) if hot is None else _told(streams, run, hot["run"].to_numpy())):
-            if open_blocks[i]:
-                at.append(i)
-                texts.append(_kept(open_blocks[i], marks[i], levels[i], covered, run))
-        some = rows.select(["page_id", "url"]).take(pa.array(at, pa.int64()))
-        return pa.table({"page_id": some["page_id"], "url": some["url"], "text": pa.array(texts, pa.string())})
+        texts, streams = _pages_of(rows)
+        told = lambda: np.concatenate([np.zeros(0, np.int64), *(unpacked(r) * rows["n"][0].as_py() + p for r, p in zip(hot["runs"].to_pylist(), hot["part"].to_pylist()))])
+        covered = repeated(streams, run, min_pages) if hot is None else _told(streams, run, told())
+        kept = [_kept(*page, run) for page in zip(texts, rows["marks"].to_pylist(), covered)]
+        return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array(kept, pa.string())})
     return group
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", run: int = RUN, min_pages: int = MIN_PAGES,
             group_bytes: int = GROUP_BYTES) -> DataFrame:
     """page_id, url, text: one row per page."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    shape = "page_id long, url string, host string, text string, open array<string>, marks array<int>, level int, stream array<long>"
-    unique, emit = _unique_runs(run, min_pages), _runs_of_group(run)
-    parsed = stored(map_texts(rows, _parse, shape), "blocks", compression="zstd")
-    sizes = stored(parsed.groupBy("host").agg((F.ceil(F.sum(F.size("stream") * 8 + F.length(F.array_join("open", " "))) / group_bytes)).cast("long").alias("n")), "hosts")
-    dealt = salted_join(parsed.select("page_id", "url", "host", "open", "marks", "level", "stream", F.xxhash64("stream").alias("sh")), sizes, ["host"]).withColumn(
-        "deal", F.pmod(F.xxhash64("page_id", "url"), F.greatest("n", F.lit(1).cast("long"))))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
+                        F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit(""))).alias("host"))
+    shape = "page_id long, url string, host string, deal long, n long, blocks binary, bytes long, marks binary, sh long"
+    unique, emit, settle = _unique_runs(run, min_pages), _runs_of_group(run, min_pages), _hot_runs(min_pages)
+    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / group_bytes).cast("long").alias("n"))
+    large = stored(sizes.filter("n > 1"), "hosts")  # a row per host of more than group_bytes
+    parsed = lambda dealt: map_texts(dealt, _parse, shape)
     result = "page_id long, url string, text string"
     whole = lambda pages: pages.groupBy("host", "deal")
-    rest = whole(dealt.filter("n <= 1")).applyInArrow(lambda rows: unique(rows), result)
-    if not sizes.filter("n > 1").isEmpty():
-        wide = dealt.filter("n > 1")
+    one = F.lit(1).cast("long")
+    narrow = rows.join(large, ["host"], "left_anti").select("*", F.lit(0).cast("long").alias("deal"), one.alias("n"))
+    found = whole(parsed(narrow)).applyInArrow(lambda rows: unique(rows), result)
+    if not large.isEmpty():
+        wide = parsed(rows.join(large, ["host"]).withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.col("n"))))
         counted = stored(wide.groupBy("host", "sh").agg(F.min("deal").alias("deal")), "counted")
-        runs = stored(whole(wide).cogroup(whole(counted)).applyInArrow(lambda rows, few: emit(rows, few), "host string, deal long, run long, pages long"), "runs")
-        hot = runs.groupBy("host", "run").agg(F.sum("pages").alias("n")).filter(F.col("n") >= min_pages).select("host", "run")
-        told = runs.select("host", "deal", "run").join(hot, ["host", "run"], "left_semi")
-        rest = rest.unionByName(whole(wide).cogroup(whole(told)).applyInArrow(lambda rows, some: unique(rows, some), result))
-    return parsed.filter("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest)
+        runs = whole(wide).cogroup(whole(counted)).applyInArrow(
+            lambda rows, few: emit(rows, few), "host string, deal long, part long, pages long, runs binary")
+        hot = runs.groupBy("host", "part").applyInArrow(lambda rows: settle(rows), "host string, deal long, part long, runs binary")
+        found = found.unionByName(whole(wide).cogroup(whole(hot)).applyInArrow(lambda rows, some: unique(rows, some), result))
+    return found

@@ -476,6 +476,23 @@ def test_containers_hold_half_and_names_in_doubt_are_settled_by_repeats(spark):
         assert got == {i: t for i, (_, t) in cases.items()}, size
 
 
+def test_pages_with_a_container_count_among_the_repeats_of_their_host(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    notice = " ".join(f"n{j}" for j in range(10))
+    pages = spark.createDataFrame([(1, "http://a/1", f"<article><p>{own(1)}</p><p>{notice}</p></article>"), (2, "http://a/2", f"<p>{own(2)}</p><p>{notice}</p>"),
+                                   (3, "http://b/3", f"<p>{own(3)}</p><p>{notice}</p>"), (4, "http://a/4", "<article></article>")], "page_id long, url string, html string")
+    for size in (H.GROUP_BYTES, 100):
+        got = {r.page_id: r.text for r in H.extract(pages, group_bytes=size).collect()}
+        assert got == {1: f"{own(1)} {notice}", 2: own(2), 3: f"{own(3)} {notice}", 4: ""}, size
+
+
+def test_runs_are_packed_whole():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 1000):
+        values = np.unique(rng.integers(-2 ** 63, 2 ** 63 - 1, n))
+        assert (H.unpacked(H.packed(values)) == values).all() and len(H.unpacked(H.packed(values))) == len(values)
+
+
 def test_a_host_in_groups_loses_what_a_host_in_one_group_loses(spark):
     rng = random.Random(4)
     own = lambda i: " ".join(f"o{i}x{j}" for j in range(30))
