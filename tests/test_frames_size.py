@@ -40,6 +40,23 @@ def test_cells_by_dekad_are_not_broadcast(spark, query):
     assert not joins
 
 
+SPINES = ["clim1_regional_means", "cpi1_water_stress", "wb3_staged_balance", "et2_reference_et", "gdd2_photothermal_clock", "aez1_growing_period",
+          "aez2_maturity_class", "gdd1_dekad_degree_days", "gdd3_maturity_target", "plan_rain_led_county", "wb2_wrsi_classes", "rain5_climatology",
+          "asap4_hazard_products", "wb3_staged_short_rains", "rain1_dekad_sum", "rain3_replaced_dekad", "stat6_temporal_zscore", "time7_global_dekad"]
+
+
+@pytest.mark.parametrize("query", SPINES)
+def test_every_spine_of_a_query_grows_from_dealt_rows(spark, query):
+    """No join to a fixed list of numbers stands on a file's rows as they are read."""
+    from crosscheck import load
+    with static_plan(spark, 30_000) as plan:
+        lines = plan(load()[0][query](spark, SF)).splitlines()
+    below = [next(l for l in lines[i + 1:] if "Project" not in l and "Filter" not in l)
+             for i, line in enumerate(lines) if "BroadcastNestedLoopJoin BuildRight, Cross" in line]
+    assert any("REPARTITION_BY_NUM" in l for l in below)
+    assert not [l for l in below if "Scan" in l or "ColumnarToRow" in l]
+
+
 def test_spines_leave_the_task_of_their_file(spark):
     px = spark.range(500).coalesce(1).select(F.col("id").alias("px_id"))
     for spine, n in ((FR.day_spine(px, "1995-01-30", "1995-03-02"), 32), (FR.dekad_spine(px, range(1995, 1997)), 72)):
