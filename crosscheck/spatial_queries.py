@@ -141,10 +141,12 @@ def _(spark, sf):
     r AS (SELECT b.px_id, b.row, b.col, b.dekad, b.f + sl.v * (y.c - b.c) AS r, y.c AS ct FROM b JOIN sl USING (px_id, dekad) JOIN v_fc y ON y.px_id = b.px_id AND y.dekad = b.dekad + 1)
     SELECT t.px_id, t.dekad, round(any_value(t.r + t.ct) - avg(n.r), 6) AS pred FROM r t JOIN r n ON n.dekad = t.dekad AND n.row BETWEEN t.row-2 AND t.row+2 AND n.col BETWEEN t.col-2 AND t.col+2 GROUP BY ALL""")
 def _(spark, sf):
-    """Every dekad predicts the next one with its own local slope."""
-    base = FU.local_slope(_bases(spark, sf), 10, ("dekad",)).select("px_id", "row", "col", "dekad", F.col("f").alias("f0"), F.col("c").alias("c0"), "v")
-    ct = I.fine_coarse(spark, sf).select("px_id", (F.col("dekad") - 1).alias("dekad"), F.col("c").alias("ct"))
-    return rounded(FU.predict_unbiased(base.join(ct, ["px_id", "dekad"]), 2, ("dekad",)).select("px_id", "dekad", "pred"), "pred")
+    """Every dekad predicts the next one with its own local slope.  Slope (10 cells) and residual (2) reach 12 in all: one shuffle."""
+    rows = I.fine_coarse_tiles(spark, sf, 10, 12).withColumn("f", F.coalesce("f", "c"))
+    keys = (*SP.TILE, "dekad")
+    base = FU.local_slope(rows, 10, keys, dense=True).withColumnsRenamed({"f": "f0", "c": "c0"})
+    preds = FU.predict_unbiased(base, 2, keys, dense=True).filter(F.col("_own") & F.col("px_id").isNotNull())
+    return rounded(preds.select("px_id", "dekad", "pred"), "pred")
 
 
 @query("fuse6_pair_blend", """

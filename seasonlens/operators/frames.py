@@ -11,10 +11,10 @@ from seasonlens.functions.dekads import DEKADS, date_to_dekad, dekad_start, fixe
 PX = ("px_id",)
 
 
-def spread(rows: DataFrame, keys: Sequence[str] = PX) -> DataFrame:
-    """Rows dealt by key over ``spark.sql.shuffle.partitions`` tasks, a number that adaptive planning keeps: ahead of a
-    step that makes many rows of each.  A small file is one task, and so would be all that it grows to."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(rows: DataFrame, keys: Sequence[str] = PX, times: int = 1) -> DataFrame:
+    """Rows dealt by key over ``spark.sql.shuffle.partitions`` tasks (``times`` as many where keys are few and long), a number that
+    adaptive planning keeps: ahead of a step that makes many rows of each.  A small file is one task, and so would be all that it grows to."""
+    return rows.repartition(times * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def each(rows: DataFrame, name: str, first: int, last: int) -> DataFrame:

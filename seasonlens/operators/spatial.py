@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seasonlens.functions.masks import as_col
-from seasonlens.operators.frames import PX, salted_join
+from seasonlens.operators.frames import PX, salted_join, spread
+
+TILE = ("_tr", "_tc")
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,19 @@ def focal_mean(
     return out.select(*cells.columns, *[F.try_divide(F.col(f"_S_{b}"), F.col(f"_N_{b}")).alias(f"{b}{suffix}") for b in bands])
 
 
+def in_tiles(rows: DataFrame, reach: int, size: int = 128) -> DataFrame:
+    """Rows with a place (row, col), each in its own square tile and copied to the tiles that come within ``reach`` of it, one task a
+    tile: windows by ``TILE`` that reach no further in all find every cell there and need no other shuffle.
+
+    Adds ``TILE`` and ``_own``, true in the tile that a place belongs to.  Tiles begin ``reach`` before 0, so that a grid from 0 on has
+    no copies outside its first line and column of tiles.  Rows without a place are dropped.
+    """
+    at = lambda c, off: F.floor((F.col(c) + off) / size).cast("int")
+    near = lambda c: F.explode(F.sequence(at(c, 0), at(c, 2 * reach)))
+    copies = spread(rows.withColumn("_tr", near("row")).withColumn("_tc", near("col")), TILE, times=4)
+    return copies.withColumn("_own", (F.col("_tr") == at("row", reach)) & (F.col("_tc") == at("col", reach)))
+
+
 def circle_offsets(radius_m: float, pixel_m: float) -> list[tuple[int, int]]:
     k = math.floor(radius_m / pixel_m)
     return [(dy, dx) for dy in range(-k, k + 1) for dx in range(-k, k + 1)

@@ -40,6 +40,18 @@ def test_cells_by_dekad_are_not_broadcast(spark, query):
     assert not joins
 
 
+def test_slope_and_residual_of_a_tile_need_one_shuffle(spark):
+    """Cells by dekad, about 36 rows a cell, are made behind the last exchange and not shuffled once for each pass and join."""
+    from crosscheck import load
+    with static_plan(spark, 30_000) as plan:
+        lines = plan(load()[0]["fuse5_unbiased_prediction"](spark, SF)).splitlines()
+    dealt = [i for i, l in enumerate(lines) if "Exchange hashpartitioning" in l]
+    assert "REPARTITION_BY_NUM" in lines[dealt[0]] and len(dealt) == 3  # the others are of the skeleton's blocks
+    for step in ("Window", "HashAggregate(keys=[_tr", "Generate explode"):
+        assert any(step in l for l in lines[:dealt[0]])
+    assert not any("Window" in l for l in lines[dealt[0]:])
+
+
 SPINES = ["clim1_regional_means", "cpi1_water_stress", "wb3_staged_balance", "et2_reference_et", "gdd2_photothermal_clock", "aez1_growing_period",
           "aez2_maturity_class", "gdd1_dekad_degree_days", "gdd3_maturity_target", "plan_rain_led_county", "wb2_wrsi_classes", "rain5_climatology",
           "asap4_hazard_products", "wb3_staged_short_rains", "rain1_dekad_sum", "rain3_replaced_dekad", "stat6_temporal_zscore", "time7_global_dekad"]

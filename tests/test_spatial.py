@@ -38,6 +38,35 @@ def test_keys_do_not_mix(spark):
     assert got == {(1, 1.0), (2, 5.0)}
 
 
+def test_tiles_hold_all_that_two_windows_reach(spark):
+    """Slope (reach 3), then residual (reach 2) inside small tiles: the same as on the whole grid, each place once."""
+    rng = random.Random(2)
+    value = lambda: None if rng.random() < 0.3 else rng.random()
+    rows = spark.createDataFrame([(r, c, value(), value(), rng.random()) for r in range(-9, 25) for c in range(-3, 19)],
+                                 "row int, col int, f double, c double, ct double")
+
+    def predict(rows, keys):
+        base = FU.local_slope(rows, 3, keys, dense=True).withColumnsRenamed({"f": "f0", "c": "c0"})
+        return FU.predict_unbiased(base, 2, keys, dense=True)
+
+    whole = {(r.row, r.col): r.pred for r in predict(rows, ()).collect()}
+    own = predict(SP.in_tiles(rows, reach=5, size=8), SP.TILE).filter("_own").collect()
+    got = {(r.row, r.col): r.pred for r in own}
+    assert len(own) == len(got) == len(whole) == 34 * 22 and len({(r._tr, r._tc) for r in own}) > 9
+    assert all(got[k] == pytest.approx(v) if v is not None else got[k] is None for k, v in whole.items())
+
+
+def test_readings_dealt_to_tiles_give_the_same_cells(spark):
+    from crosscheck import inputs as I
+    sf = "/root/testdata/sf0.001"
+    fc = I.fine_coarse(spark, sf)
+    want = fc.join(fc.select("px_id", (F.col("dekad") - 1).alias("dekad"), F.col("c").alias("ct")), ["px_id", "dekad"])
+    got = I.fine_coarse_tiles(spark, sf, 8, 8, size=16).filter(F.col("_own") & F.col("px_id").isNotNull())
+    cols = ["px_id", "row", "col", "dekad", "f", "c", "ct"]
+    assert got.select(SP.TILE[0], SP.TILE[1]).distinct().count() > 3
+    assert sorted(map(tuple, got.select(cols).collect()), key=lambda r: (r[0], r[3])) == sorted(map(tuple, want.select(cols).collect()), key=lambda r: (r[0], r[3]))
+
+
 def edges(spark, rings):
     rows = []
     for seq, pts in rings:
