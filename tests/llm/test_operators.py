@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,46 @@ def test_more_key_encodings_are_confirmed_and_near_misses_are_not():
     assert found(".".join([*parts, "AAAA"])) == []
 
 
+def test_only_texts_with_a_hint_are_searched(spark, monkeypatch):
+    """What a pattern matches holds its hint, so the scan of hinted texts finds all; prose is not searched at all."""
+    rx = {"assign": [S._ASSIGN], "access": [S._ACCESS], "hex": [S._HEX], "parts": [S._JWT, S._JWE], "pem": [S._PEM], "run": [S._BASE64, S._BASE64URL],
+          "hexkey": [S._HEXKEY], "wrapped": [S._WRAPPED]}
+    assert rx.keys() == S.HINTS.keys()
+    rng = random.Random(7)
+    word = lambda chars, n: "".join(rng.choices(chars, k=n))
+    b64, hexa = "ABxyz019", "0123456789abcdefABCDEF"
+    gaps = ["\n", "\r\n", "\r", " \n\t", "\\n", "\\r\\n", "\\\\n", " ", ""]
+
+    def bit():
+        gap = rng.choice(gaps)
+        return rng.choice([
+            lambda: rng.choice(["PassWord: ", "API_key=", "apiKEY='", "ſecret=", "toKen=", "AKIA" + word("AZ09", 12), "é", ".", "-", "\0", "the word "]),
+            lambda: word("0123456789abcdef", rng.randint(30, 34)), lambda: word(b64 + "+/", rng.randint(54, 58)), lambda: word(b64 + "-_", rng.randint(54, 58)),
+            lambda: ".".join(word(b64 + "-_", n) for n in (rng.randint(13, 15), rng.choice([0, 3, 9]), rng.randint(15, 23), *rng.choice([(), (0, 22), (5, 22)]))),
+            lambda: gap.join(word(b64, rng.choice([1, 15, 16, 17])) for _ in range(4)),
+            lambda: (rng.choice(["", ":"]) + gap).join(word(hexa, 2 * rng.choice([1, 8, 16])) for _ in range(rng.choice([3, 6, 12, 49]))),
+            lambda: f"-----BEGIN RSA PRIVATE KEY-----{gap}{word(b64, 40)}{gap}-----END RSA PRIVATE KEY-----",
+            lambda: gap.join(re.findall(".{1,24}", base64.b64encode(EC).decode())), lambda: base64.b64encode(RSA).decode(), lambda: gap.join(re.findall("..", EC.hex()))])()
+
+    texts = [rng.choice(["", " ", "\n"]).join(bit() for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    held, matched = S.hints(pa.array(texts)), collections.Counter()
+    for t, have in zip(texts, held):
+        for hint, patterns in rx.items():
+            if any(p.search(t) for p in patterns):
+                matched[hint] += 1
+                assert hint in have, (hint, t)
+    assert len(matched) == len(rx) and min(matched.values()) > 50 and all(len([1 for h in held if k not in h]) > 50 for k in rx)
+
+    assert S.hints(pa.array([None, "", "The lamp holds a stone, internationalization-minded; see www.a.b."])) == [set()] * 3
+    searched, scan = [], S.scan_text
+    monkeypatch.setattr(S, "scan_text", lambda t, *a: searched.append(t) or scan(t, *a))
+    monkeypatch.setattr(S, "map_texts", lambda docs, fn, schema: spark.createDataFrame(pa.Table.from_batches(fn(docs.toArrow().to_batches())), schema))
+    rows = [None, "", "plain prose", *texts[:200], "more prose"]
+    got = S.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert [[(s["start"], s["end"], s["kind"]) for s in r.secrets] for r in sorted(got, key=lambda r: r.doc_id)] == [scan(t or "") for t in rows]
+    assert searched and not {None, "", "plain prose", "more prose"} & set(searched)
+
+
 def test_base_secrets_equal_the_patterns():
     rx = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
           "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
